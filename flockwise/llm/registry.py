@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, pii, url_filter
+from . import chat, pii, sentencepiece_bpe, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_sentencepiece": sentencepiece_bpe.op2_sentencepiece,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_chat_format": chat.op6_chat_format,
     }
