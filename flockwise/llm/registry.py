@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, pii, sentencepiece_bpe, url_filter
+from . import chat, minhash, pii, sentencepiece_bpe, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
         "op2_sentencepiece": sentencepiece_bpe.op2_sentencepiece,
+        "op4_minhash": minhash.op4_minhash,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_chat_format": chat.op6_chat_format,
     }
