@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, pii, sentencepiece_bpe, url_filter
+from . import ann, chat, decontaminate, language, minhash, pii, sentencepiece_bpe, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
         "op2_sentencepiece": sentencepiece_bpe.op2_sentencepiece,
+        "op3_language_id": language.op3_language_id,
         "op4_minhash": minhash.op4_minhash,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_chat_format": chat.op6_chat_format,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_neighbours": ann.op9_neighbours,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
