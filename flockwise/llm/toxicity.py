@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not n:
         return Model(np.zeros(0, np.uint64), [], np.zeros(0), Index(*[np.zeros(0, np.int64)] * 2, np.zeros(0), 1, np.zeros((0, 2))), (0, 0), 0.5)
     share = F.lit(t / n)
-    z = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) * (1 - F.col("n") / F.lit(n + 1.0)) + 1e-9)
+    z = (F.abs(F.col("t") - F.col("n") * share) - 0.5) / F.sqrt(F.col("n") * share * (1 - share) + 1)  # rare words need more
     top = seen.select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(terms)
     words = sorted(r["word"] for r in top.collect())  # `terms` rows at most
     raw = "\n".join(words).encode()
