@@ -35,6 +35,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Cut lineage: a table of the warehouse, dealt out by key, so that joins on the key needn't move it."""
+    name = f"flockwise_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -3,16 +3,20 @@ of smaller id.
 
 Documents are packed into chunks of about CHUNK bytes. In each `length`-byte window the GRAM-byte string of least hash is its
 anchor; equal windows have equal anchors, and neighbouring windows mostly share theirs. A run of windows with one anchor, and the
-bytes that they span, is a context. Only anchors that stand in several chunks, or in several documents of one chunk, can matter
-(first exchange: a chunk's anchors, eight bytes each). Their distinct contexts are dealt out by anchor, so that equal windows meet
-in one bucket (second exchange). There shards of at most SHARD bytes get a suffix array by Larsson-Sadakane refinement and common
-prefixes by Kasai's rule, which group equal windows; the shards' sorted windows are merged by binary search, and each window gets
-the smallest id that holds it. Chunks learn where that is smaller than their own (third exchange) and cut their documents.
+bytes that they span, is a context; a chunk's equal contexts are one, with their smallest id.
 
-A passage of a third of all documents has one anchor entry in each chunk. What follows such a passage differs from document to
-document; the windows of anchors that stand in a large share of all chunks are therefore dealt out each by its own hash.
+First exchange: contexts meet by anchor, as hashes. An anchor with one context only is settled: its smallest id holds for all of
+its windows. Second exchange: the contexts of other anchors go, as bytes, to the anchor's bucket. There shards of at most SHARD
+bytes get a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's rule, which group equal windows; the
+shards' sorted windows are merged by binary search, and each window gets the smallest id that holds it. Chunks then cut their
+documents.
 
-Chunks are written to the shared folder first, so that all passes see the same ones and a lost executor costs its tasks only.
+A passage of a third of all documents sends one entry from each chunk. What follows such a passage differs from document to
+document, and so do the contexts of its last anchors: a chunk that has more than MANY of an anchor says only that, and the windows of anchors
+with HOT contexts or more are dealt out each by its own hash, and as hashes (of 96 bits) only.
+
+Chunks are written first, as a bucketed table, so that all passes see the same ones, joins needn't move them, and a lost executor
+costs its tasks only.
 
 Defined results: a null text is empty; a document shorter than `length` keeps all; a null id takes no part and keeps all; rows that
 share an id never remove bytes of one another; empty tables give no rows. Other columns are ignored.
@@ -28,23 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, materialize, mix, prefix_hash, ragged, span_hash, table, text_chunks
+from .common import BYTE_CODE, bucketed, mix, prefix_hash, ragged, span_hash, table, text_chunks
 
 LENGTH, GRAM, CHUNK, SHARD = 50, 20, 1 << 21, 1 << 22
 BUCKETS, BUCKET_BYTES = 256, 1 << 25
-HOT_CHUNKS, HOT_SHARE = 24, 16
+MANY, HOT = 16, 512
 NO_ID = np.iinfo(np.int64).max
+_ODD = np.random.default_rng(10).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def chunks(docs: DataFrame, size: int) -> DataFrame:
-    """docs(doc_id, text) -> chunk, ids, null: which ids are null, lens, data: the texts' bytes, compressed."""
+    """docs(doc_id, text) -> chunk, ids (NO_ID: null), lens, data: the texts' bytes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lens, data, total = [], [], [], 0
+        codec = pa.Codec("zstd", compression_level=6)
 
         def pack():
             i, n, raw = np.concatenate(ids), np.concatenate(lens), b"".join(data)
-            one = [pa.array([uuid.uuid4().int >> 65]), pa.array([i.tolist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int32())), pa.array([pa.compress(raw, "zstd", asbytes=True)])]
+            one = [pa.array([uuid.uuid4().int >> 65]), pa.array([i.tolist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int32())), pa.array([codec.compress(raw, asbytes=True)])]
             return pa.record_batch(one, names=["chunk", "ids", "lens", "data"])
 
         for batch in batches:
@@ -63,66 +69,113 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "chunk bigint, ids array<bigint>, lens array<int>, data binary")
 
 
+def gram_hashes(raw: bytes, gram: int) -> np.ndarray:
+    """Of the `gram` bytes (8 at least) from each place on."""
+    n = len(raw) - 7
+    w = np.empty(n, np.uint64)
+    for o in range(8):
+        w[o::8] = np.frombuffer(raw, "<u8", (len(raw) - o) // 8, o)
+    w = (w ^ (w >> np.uint64(32))) * _ODD[0]
+    w ^= w >> np.uint64(29)
+    m = len(raw) - gram + 1
+    g = w[:m].copy()
+    for k, o in enumerate([*range(8, gram - 8, 8), gram - 8]):
+        g += w[o : o + m] * _ODD[1 + k]
+    return mix(g)
+
+
 class Chunk:
-    """A chunk's documents, and its contexts in the order of their places."""
+    """A chunk's documents; its contexts in the order of their places (s0 and s1: first and last window), and its distinct contexts
+    in the order of anchor and context hash (at: one that has it; least: smallest id; kh: anchor hash)."""
 
-    def __init__(self, ids: pa.Scalar, lens: pa.Scalar, data: pa.Scalar, length: int, gram: int):
-        self.ids = ids.values.to_numpy(zero_copy_only=False)
-        self.offs = np.r_[0, np.cumsum(lens.values.to_numpy(zero_copy_only=False).astype(np.int64))]
+    def __init__(self, batch: pa.RecordBatch, r: int, length: int, gram: int):
+        self.number, self.length, self.gram = batch.column("chunk")[r].as_py(), length, gram
+        self.ids = batch.column("ids")[r].values.to_numpy(zero_copy_only=False)
+        self.offs = np.r_[0, np.cumsum(batch.column("lens")[r].values.to_numpy(zero_copy_only=False).astype(np.int64))]
         n = int(self.offs[-1])
-        self.buf = np.frombuffer(pa.decompress(data.as_py(), n, "zstd") if n else b"", np.uint8)
-        none = np.zeros(0, np.int64)
-        self.h, self.s0, self.s1, self.doc, self.key = None, none, none, none, np.zeros(0, np.uint64)
-        starts = np.maximum(np.diff(self.offs) - length + 1, 0) * (self.ids != NO_ID)  # windows of each document
-        if not starts.any():
+        self.raw = pa.Codec("zstd").decompress(batch.column("data")[r].as_py(), n, asbytes=True) if n else b""
+        self.buf = np.frombuffer(self.raw, np.uint8)
+        self.s0 = self.s1 = self.doc = self.which = self.at = self.least = np.zeros(0, np.int64)
+        self.kh = self.cx = np.zeros(0, np.uint64)
+        if n < length:
             return
-        self.h = prefix_hash(self.buf, BYTE_CODE)
-        at = np.arange(n - gram + 1)
-        g = span_hash(self.h, at, at + gram)
+        self.g = gram_hashes(self.raw, gram)
         low = np.uint64((1 << 32) - 1)
-        m, have, want = (g & ~low) | at.astype(np.uint64), 1, length - gram + 1
+        m, have, want = (self.g & ~low) | np.arange(len(self.g), dtype=np.uint64), 1, length - gram + 1
         while have * 2 <= want:
             m = np.minimum(m[:-have], m[have:])
             have *= 2
         if want > have:
             m = np.minimum(m[: len(m) - (want - have)], m[want - have :])
-        doc, place = ragged(starts)
-        s = self.offs[doc] + place
-        anchor = (m[s] & low).astype(np.int64)
-        head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-        self.s0, self.s1, self.doc = s[head], s[np.r_[head[1:], len(s)] - 1], self.ids[doc[head]]
-        self.key = g[anchor[head]] & ~np.uint64(1)
-
-    def shared(self, replies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts whose anchors count, hot ones cut into windows: starts of their first and last windows, ids and keys."""
-        known = np.sort(replies)
-        i = np.minimum(np.searchsorted(known, self.key), max(len(known) - 1, 0))
-        told = np.zeros(len(self.key), bool) if not len(known) else (known[i] & ~np.uint64(1)) == self.key
-        hot = np.zeros(len(self.key), bool)
-        if len(known):
-            j = np.minimum(np.searchsorted(known, self.key | np.uint64(1)), len(known) - 1)
-            hot = known[j] == (self.key | np.uint64(1))
-        _, back = np.unique(self.key, return_inverse=True)
-        lo, hi = np.full(len(self.key), NO_ID), np.full(len(self.key), -NO_ID)
-        np.minimum.at(lo, back, self.doc)
-        np.maximum.at(hi, back, self.doc)
-        use = told | hot | (lo < hi)[back]
-        s0, s1, doc, key, hot = (x[use] for x in (self.s0, self.s1, self.doc, self.key, hot))
-        row, place = ragged(np.where(hot, s1 - s0 + 1, 1))
-        a = s0[row] + place
-        b = np.where(hot[row], a, s1[row])
-        key = np.where(hot[row], span_hash(self.h, a, a + length), key[row]) if len(a) else key[row]
-        return a, b, doc[row], key
-
-    def contexts(self, a, b, doc, key, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct contexts: where each first stands, its smallest id, and which each is."""
+        valid = np.ones(n - length + 1, bool)  # windows within one document that has an id
+        size = np.minimum(np.diff(self.offs), length - 1)
+        row, place = ragged(size)
+        cross = self.offs[1:][row] - 1 - place
+        valid[cross[cross < len(valid)]] = False
+        for d in np.flatnonzero(self.ids == NO_ID).tolist():
+            valid[self.offs[d] : self.offs[d + 1]] = False
+        new = np.ones(len(valid), bool)
+        new[1:] = (m[1:] != m[:-1]) | ~valid[:-1]
+        last = np.ones(len(valid), bool)
+        last[:-1] = new[1:] | ~valid[1:]
+        self.s0, self.s1 = np.flatnonzero(new & valid), np.flatnonzero(last & valid)
+        if not len(self.s0):
+            return
+        self.doc = self.ids[np.searchsorted(self.offs, self.s0, "right") - 1]
+        kh = mix(self.g[(m[self.s0] & low).astype(np.int64)] ^ _ODD[6])
+        g, end = self.g, self.s1 + length
+        cx = mix(g[self.s0] * _ODD[0] + g[self.s0 + gram] * _ODD[1] + g[end - 2 * gram] * _ODD[2] + g[end - gram] * _ODD[3] + (end - self.s0).astype(np.uint64) * _ODD[4])
+        order = np.lexsort((cx, kh))
+        k, c = kh[order], cx[order]
+        head = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+        first = np.flatnonzero(head)
+        self.at, self.kh, self.cx = order[first], k[first], c[first]
+        self.least = np.minimum.reduceat(self.doc[order], first)
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(head) - 1
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What is said of the contexts: anchor hash, context hash, smallest id, and each context's entry. An anchor of more than MANY
+        contexts has one entry, of context 0."""
+        if not len(self.kh):
+            return self.kh, self.cx, self.least, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = np.r_[True, self.kh[1:] != self.kh[:-1]]
+        group = np.cumsum(new) - 1
+        many = (np.bincount(group) > MANY)[group]
+        keep = np.flatnonzero(~many | new)
+        entry = np.cumsum(~many | new) - 1
+        cx = np.where(many, np.uint64(0), np.maximum(self.cx, np.uint64(1 << 16)))
+        return self.kh[keep], cx[keep], np.minimum.reduceat(self.least, keep), entry, keep
+
+    def window_hashes(self, a: np.ndarray, k: int = 0) -> np.ndarray:
+        g = self.g
+        return mix(g[a] * _ODD[k] + g[a + self.gram] * _ODD[k + 1] + g[a + self.length - self.gram] * _ODD[k + 2])
+
+    def unsettled(self, replies) -> tuple:
+        """Applies what the first exchange said. What goes on, in a fixed order: contexts (indices), then single windows (their
+        smallest ids and hashes, and for each window of a hot context its context, place within it and single window)."""
+        entry = self.entries()[3]
+        flag = np.zeros(len(entry) + 1, np.uint8)
+        value = np.full(len(entry) + 1, NO_ID)
+        for r in replies or []:
+            i = np.frombuffer(r["idx"], np.uint32)
+            flag[i], value[i] = np.frombuffer(r["flag"], np.uint8), np.frombuffer(r["val"], np.int64)
+        if len(entry):
+            settled = flag[entry] == 0
+            self.least = np.where(settled, np.minimum(self.least, value[entry]), self.least)
+        part = np.flatnonzero(flag[entry] == 1) if len(entry) else entry
+        hot = np.flatnonzero(flag[entry] == 2) if len(entry) else entry
+        n = self.s1[self.at[hot]] - self.s0[self.at[hot]] + 1
+        row, place = ragged(n)
+        a = self.s0[self.at[hot]][row] + place
         if not len(a):
-            return a, doc, a
-        what = span_hash(self.h, a, b + length) ^ mix(key)
-        _, first, back = np.unique(what, return_index=True, return_inverse=True)
+            return part, a, np.zeros(0, np.uint64), hot[row], place, a
+        wh = self.window_hashes(a)
+        wh, first, back = np.unique(wh, return_index=True, return_inverse=True)
+        self.places = a[first]
         least = np.full(len(first), NO_ID)
-        np.minimum.at(least, back, doc)
-        return first, least, back
+        np.minimum.at(least, back, self.least[hot][row])
+        return part, least, wh, hot[row], place, back
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,151 +301,201 @@ def smallest_ids(key: np.ndarray, data: np.ndarray, offs: np.ndarray, ids: np.nd
     return out, places
 
 
-def _lists(cut: np.ndarray, values) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values))
+def _narrow(x: np.ndarray) -> tuple[int, bytes, int]:
+    """Base, offsets from it in as few bytes as they need, and that number."""
+    base = int(x.min()) if len(x) else 0
+    most = int(x.max()) - base if len(x) else 0
+    width = 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return base, (x - base).astype(f"<u{width}").tobytes(), width
+
+
+def _wide(base: int, raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}").astype(np.int64) + base
+
 
+def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of equal buckets."""
+    if not len(bucket):
+        return []
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True))
 
-def _flat(col) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False)
 
+def _table(rows: list[dict], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, kind)
 
-def _blobs(col) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in col.to_pylist() if x is not None), np.uint64)
 
+SAID = pa.schema({"bucket": pa.int64(), "chunk": pa.int64(), "start": pa.int32(), "hash": pa.binary(), "more": pa.binary(), "base": pa.int64(), "width": pa.int32(), "id": pa.binary()})
+TOLD = pa.schema({"chunk": pa.int64(), "idx": pa.binary(), "val": pa.binary(), "flag": pa.binary()})
+SENT = pa.schema({"bucket": pa.int64(), "chunk": pa.int64(), "item": pa.binary(), "size": pa.binary(), "more": pa.binary(), "key": pa.binary(), "base": pa.int64(), "width": pa.int32(), "id": pa.binary(), "data": pa.binary()})
+BACK = pa.schema({"chunk": pa.int64(), "item": pa.binary(), "n": pa.binary(), "id": pa.binary()})
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, shard: int = SHARD, buckets: int | None = None, hot: int | None = None) -> DataFrame:
+
+def _sql(kind: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {({pa.int64(): 'bigint', pa.int32(): 'int', pa.binary(): 'binary'})[f.type]}" for f in kind)
+
+
+def meet(group: pa.Table) -> pa.Table:
+    """First exchange, in a bucket: anchors with one context are settled (flag 0), others aren't (1; hot: 2)."""
+    rows = group.to_pylist()
+    size = np.array([len(r["hash"]) // 8 for r in rows])
+    code = np.frombuffer(b"".join(r["hash"] for r in rows), np.uint64)
+    more = np.frombuffer(b"".join(r["more"] for r in rows), np.uint16)
+    ids = np.concatenate([_wide(r["base"], r["id"], r["width"]) for r in rows])
+    row, place = ragged(size)
+    order = np.lexsort((more, code))
+    c, x = code[order], more[order]
+    anchor = c >> np.uint64(32)
+    new = np.r_[True, anchor[1:] != anchor[:-1]]
+    other = new | np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])]
+    group_of = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    n_ctx = np.add.reduceat(other.astype(np.int64), first)
+    marked = np.maximum.reduceat(((c & np.uint64(0xFFFFFFFF)) == 0) & (x == 0), first)
+    least = np.minimum.reduceat(ids[order], first)[group_of]
+    flag = np.where(marked | (n_ctx >= HOT), 2, np.where(n_ctx > 1, 1, 0))[group_of].astype(np.uint8)
+    tell = (flag > 0) | (ids[order] > least)
+    order, flag, least = order[tell], flag[tell], least[tell]
+    back = np.argsort(row[order], kind="stable")
+    order, flag, least = order[back], flag[back], least[back]
+    idx = (np.array([r["start"] for r in rows])[row[order]] + place[order]).astype(np.uint32)
+    out = [{"chunk": rows[k]["chunk"], "idx": idx[a:b].tobytes(), "val": least[a:b].tobytes(), "flag": flag[a:b].tobytes()} for k, a, b in _cuts(row[order])]
+    return pa.Table.from_batches([_table(out, TOLD)])
+
+
+def settle(group: pa.Table, length: int, shard: int) -> pa.Table:
+    """Second exchange, in a bucket: runs of windows with one smallest id, of what it isn't its own."""
+    rows = group.to_pylist()
+    item = [np.frombuffer(r["item"], np.uint32) for r in rows]
+    per = np.array([len(x) for x in item])
+    size = np.frombuffer(b"".join(r["size"] for r in rows), np.uint16).astype(np.int64)
+    key = np.frombuffer(b"".join(r["key"] for r in rows), np.uint64)
+    ids = np.concatenate([_wide(r["base"], r["id"], r["width"]) for r in rows])
+    data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
+    more = np.frombuffer(b"".join(r["more"] for r in rows), np.uint32)
+    single = np.flatnonzero(size == 0)  # windows as hashes; those that are equal need no more
+    n = np.where(size > 0, size - length + 1, 1)
+    places = np.r_[0, np.cumsum(n)]
+    least = np.zeros(places[-1], np.int64)
+    order = single[np.lexsort((more[single], key[single]))]
+    if len(order):
+        k, m = key[order], more[order]
+        head = np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])]
+        least[places[order]] = np.minimum.reduceat(ids[order], np.flatnonzero(head))[np.cumsum(head) - 1]
+    part = np.flatnonzero(size > 0)
+    if len(part):
+        found, _ = smallest_ids(key[part], data, np.r_[0, np.cumsum(size[part])], ids[part], length, shard)
+        row, place = ragged(n[part])
+        least[places[part][row] + place] = found
+    tell = np.minimum.reduceat(least, places[:-1]) < ids
+    head = np.r_[True, least[1:] != least[:-1]]
+    head[places[:-1]] = True
+    at = np.flatnonzero(head)
+    which = np.searchsorted(places, at, "right") - 1
+    n = np.diff(np.r_[at, len(least)])
+    ok = tell[which]
+    at, which, n = at[ok], which[ok], n[ok]
+    row = np.repeat(np.arange(len(per)), per)[which]
+    item = np.concatenate(item)[which]
+    out = [{"chunk": rows[k]["chunk"], "item": item[a:b].tobytes(), "n": n[a:b].astype(np.uint16).tobytes(), "id": least[at[a:b]].tobytes()} for k, a, b in _cuts(row)]
+    return pa.Table.from_batches([_table(out, BACK)])
+
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """-> doc_id, n_bytes, spans: array<struct<start,end>> of the bytes to remove, kept: the bytes that stay."""
+    if not (gram >= 16 and 2 * gram <= length <= 3 * gram and 2 * length <= 5 * gram):
+        raise ValueError("hashes of `gram` bytes must cover all of a window and a context")
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = materialize(chunks(texts, chunk))
-    total = parts.agg(F.count("*").alias("n"), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes")).first()
-    n_buckets = buckets or 1 << max(BUCKETS.bit_length() - 1, int((total["bytes"] or 0) // BUCKET_BYTES).bit_length())
-    n_hot = hot or max(HOT_CHUNKS, total["n"] // HOT_SHARE)
-    shift = np.uint64(64 - (n_buckets.bit_length() - 1))
-    bucket_of = lambda key: (mix(key) >> shift).astype(np.int64)
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = bucketed(chunks(texts, chunk), "chunk", dealt)
+    total = parts.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes")).first()["bytes"] or 0
+    bits = max(BUCKETS.bit_length() - 1, int(total // BUCKET_BYTES).bit_length())
+    top = np.uint64(64 - bits)
+
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                c = Chunk(batch.column(1)[r], batch.column(2)[r], batch.column(3)[r], length, gram)
-                key = np.unique(c.key)
-                b = bucket_of(key)
-                order = np.argsort(b, kind="stable")
-                key, b = key[order], b[order]
-                at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else b
-                raw, ends = key.tobytes(), [*at[1:].tolist(), len(b)]
-                yield pa.record_batch([pa.array(b[at]), pa.array(np.full(len(at), batch.column(0)[r].as_py())), pa.array([raw[8 * x : 8 * y] for x, y in zip(at.tolist(), ends, strict=False)], pa.binary())], names=["bucket", "chunk", "keys"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        size = np.array([len(x) // 8 for x in group["keys"].to_pylist()], np.int64)
-        key, who = _blobs(group["keys"]), np.repeat(np.arange(len(size)), size)
-        order = np.argsort(key, kind="stable")
-        key, who = key[order], who[order]
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[at, len(key)])
-        key, who, count = key, who, np.repeat(count, count)
-        key, who = (key | (count >= n_hot).astype(np.uint64))[count > 1], who[count > 1]
-        order = np.argsort(who, kind="stable")
-        raw, ends = key[order].tobytes(), np.r_[0, np.cumsum(np.bincount(who, minlength=len(size)))].tolist()
-        got = [k for k in range(len(size)) if ends[k + 1] > ends[k]]
-        return pa.table({"chunk": group["chunk"].combine_chunks().take(pa.array(got, pa.int64())), "keys": pa.array([raw[8 * ends[k] : 8 * ends[k + 1]] for k in got], pa.binary())})
-
-    told = parts.mapInArrow(anchors, "bucket bigint, chunk bigint, keys binary").groupBy("bucket").applyInArrow(meet, "chunk bigint, keys binary")
-    told = materialize(told.groupBy("chunk").agg(F.collect_list("keys").alias("keys")))  # a chunk's anchors at most
-    known = parts.join(told, "chunk", "left").select("chunk", "ids", "lens", "data", "keys")
-
-    def entries(batch: pa.RecordBatch, r: int):
-        c = Chunk(batch.column(1)[r], batch.column(2)[r], batch.column(3)[r], length, gram)
-        replies = np.frombuffer(b"".join(batch.column(4)[r].as_py() or []), np.uint64)
-        a, b, doc, key = c.shared(replies, length)
-        return c, a, b, doc, key, c.contexts(a, b, doc, key, length)
+                c = Chunk(batch, r, length, gram)
+                kh, cx, least, _, _ = c.entries()
+                code = ((kh << np.uint64(bits)) & ~np.uint64(0xFFFFFFFF)) | (cx >> np.uint64(32))
+                more = ((cx >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
+                out = []
+                for bucket, a, b in _cuts((kh >> top).astype(np.int64)):
+                    base, raw, width = _narrow(least[a:b])
+                    out.append({"bucket": bucket, "chunk": c.number, "start": a, "hash": code[a:b].tobytes(), "more": more[a:b].tobytes(), "base": base, "width": width, "id": raw})
+                yield _table(out, SAID)
+
+    told = parts.mapInArrow(say, _sql(SAID)).groupBy("bucket").applyInArrow(meet, _sql(TOLD))
+    told = bucketed(told.groupBy("chunk").agg(F.collect_list(F.struct("idx", "val", "flag")).alias("told")), "chunk", dealt)  # a chunk's entries at most
+    known = parts.join(told, "chunk", "left").select("chunk", "ids", "lens", "data", "told")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                c, a, b, _, key, (first, least, _) = entries(batch, r)
-                if not len(first):
-                    continue
-                bucket = bucket_of(key[first])
+                c = Chunk(batch, r, length, gram)
+                part, least, wh, _, _, _ = c.unsettled(batch.column("told")[r].as_py())
+                a = np.r_[c.s0[c.at[part]], np.zeros(len(wh), np.int64)]
+                b = np.r_[c.s1[c.at[part]] + length, np.zeros(len(wh), np.int64)]
+                ids, key = np.r_[c.least[part], least], np.r_[c.kh[part], wh]
+                more = np.r_[np.zeros(len(part), np.uint32), (c.window_hashes(c.places, 3) if len(wh) else wh).astype(np.uint32)]
+                bucket = (key >> top).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                at, bucket = first[order], bucket[order]
-                cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-                size = b[at] + length - a[at]
-                row, place = ragged(size)
-                raw, ends = c.buf[a[at][row] + place].tobytes(), np.r_[0, np.cumsum(size)][cut].tolist()
-                yield pa.record_batch(
-                    [
-                        pa.array(bucket[cut[:-1]]), pa.array(np.full(len(cut) - 1, batch.column(0)[r].as_py())), _lists(cut, order.astype(np.int32)), _lists(cut, size.astype(np.int32)), _lists(cut, least[order]),
-                        _lists(cut, key[at].view(np.int64)), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary()),
-                    ],
-                    names=["bucket", "chunk", "ctx", "size", "id", "key", "data"],
-                )
-
-    def settle(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        per = np.array([len(x) for x in group["ctx"]], np.int64)
-        ctx, size, ids, key = _flat(group["ctx"]), _flat(group["size"]).astype(np.int64), _flat(group["id"]), _flat(group["key"]).view(np.uint64)
-        data = np.frombuffer(b"".join(group["data"].to_pylist()), np.uint8)
-        least, places = smallest_ids(key, data, np.r_[0, np.cumsum(size)], ids, length, shard)
-        tell = np.minimum.reduceat(least, places[:-1]) < ids
-        # runs of one id among a context's windows
-        head = np.r_[True, least[1:] != least[:-1]]
-        head[places[:-1]] = True
-        which = np.repeat(np.arange(len(ctx)), np.diff(places))
-        at = np.flatnonzero(head)
-        run_ctx, run_len, run_id = which[at], np.diff(np.r_[at, len(least)]), least[at]
-        ok = tell[run_ctx]
-        run_ctx, run_len, run_id = run_ctx[ok], run_len[ok], run_id[ok]
-        row = np.repeat(np.arange(len(per)), per)[run_ctx]
-        cut = np.searchsorted(row, np.arange(len(per) + 1))
-        out = pa.table({"chunk": group["chunk"].combine_chunks(), "ctx": _lists(cut, ctx[run_ctx]), "n": _lists(cut, run_len.astype(np.int32)), "id": _lists(cut, run_id)})
-        return out.filter(pa.array(np.diff(cut) > 0))
-
-    sent = known.mapInArrow(send, "bucket bigint, chunk bigint, ctx array<int>, size array<int>, id array<bigint>, key array<bigint>, data binary")
-    back = sent.groupBy("bucket").applyInArrow(settle, "chunk bigint, ctx array<int>, n array<int>, id array<bigint>")
-    back = back.groupBy("chunk").agg(F.collect_list(F.struct("ctx", "n", "id")).alias("runs"))
+                a, b, ids, key, more = a[order], b[order], ids[order], key[order], more[order]
+                size = (b - a).astype(np.uint16)
+                row, place = ragged(b - a)
+                raw, ends = c.buf[a[row] + place].tobytes(), np.r_[0, np.cumsum(b - a)]
+                out = []
+                for bucket_, x, y in _cuts(bucket[order]):
+                    base, narrow, width = _narrow(ids[x:y])
+                    out.append({"bucket": bucket_, "chunk": c.number, "item": order[x:y].astype(np.uint32).tobytes(), "size": size[x:y].tobytes(), "more": more[x:y].tobytes(), "key": key[x:y].tobytes(), "base": base, "width": width, "id": narrow, "data": raw[ends[x] : ends[y]]})
+                yield _table(out, SENT)
+
+    sent = known.mapInArrow(send, _sql(SENT))
+    back = sent.groupBy("bucket").applyInArrow(lambda t: settle(t, length, shard), _sql(BACK))
+    back = back.groupBy("chunk").agg(F.collect_list(F.struct("item", "n", "id")).alias("back"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                c, a, b, doc, _, (first, least, which) = entries(batch, r)
+                c = Chunk(batch, r, length, gram)
+                part, least, _, hot, hot_place, single = c.unsettled(batch.column("told")[r].as_py())
+                # values of the windows of the distinct contexts, and of those that went on
+                n = (c.s1 - c.s0 + 1)[c.at]
+                start = np.r_[0, np.cumsum(n)]
+                value = np.repeat(c.least, n)
+                item_n = np.r_[n[part], np.ones(len(least), np.int64)].astype(np.int64)
+                item_start = np.r_[0, np.cumsum(item_n)]
+                item_value = np.repeat(np.r_[c.least[part], least], item_n)
+                for x in batch.column("back")[r].as_py() or []:
+                    item, m, ids = np.frombuffer(x["item"], np.uint32).astype(np.int64), np.frombuffer(x["n"], np.uint16).astype(np.int64), np.frombuffer(x["id"], np.int64)
+                    first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+                    before = np.cumsum(m) - m
+                    begin = item_start[item] + before - np.repeat(before[first], np.diff(np.r_[first, len(item)]))
+                    row, place = ragged(m)
+                    item_value[begin[row] + place] = ids[row]
+                row, place = ragged(n[part])
+                value[start[part][row] + place] = item_value[: item_start[len(part)]]
+                value[start[hot] + hot_place] = item_value[item_start[len(part)] :][single]
+                # windows that stand in a document of smaller id; a context of one id throughout in one step
                 gone = np.zeros(len(c.buf) + 1, np.int32)
-                if len(a):
-                    n = b - a + 1
-                    start = np.r_[0, np.cumsum((b - a + 1)[first])]
-                    value = np.repeat(least, n[first])
-                    runs = batch.column(5)[r]
-                    if runs.is_valid and len(runs.values):
-                        s = runs.values
-                        ctx, size, ids = (_flat(s.field(k)) for k in ("ctx", "n", "id"))
-                        order = np.argsort(ctx, kind="stable")  # a context's runs came in order
-                        ctx, size, ids = ctx[order], size[order].astype(np.int64), ids[order]
-                        i = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-                        before = np.cumsum(size) - size
-                        at = start[ctx] + before - np.repeat(before[i], np.diff(np.r_[i, len(ctx)]))
-                        row, place = ragged(size)
-                        value[at[row] + place] = ids[row]
-                    row, place = ragged(n)
-                    hit = value[start[which[row]] + place] < doc[row]
-                    s = (a[row] + place)[hit]
-                    np.add.at(gone, s, 1)
-                    np.subtract.at(gone, s + length, 1)
+                row, place = ragged(c.s1 - c.s0 + 1)
+                hit = value[start[c.which[row]] + place] < c.doc[row]
+                s = (c.s0[row] + place)[hit]
+                gone[: len(c.buf)] += np.bincount(s, minlength=len(c.buf)).astype(np.int32)
+                gone -= np.bincount(s + length, minlength=len(gone)).astype(np.int32)
                 cover = np.cumsum(gone[:-1]) > 0
                 edge = np.zeros(len(cover) + 1, bool)
                 edge[c.offs] = True
-                was = np.r_[False, cover[:-1]] & ~edge[:-1]
-                lo = np.flatnonzero(cover & ~was)
+                lo = np.flatnonzero(cover & ~(np.r_[False, cover[:-1]] & ~edge[:-1]))
                 hi = np.flatnonzero(cover & ~(np.r_[cover[1:], False] & ~edge[1:])) + 1
-                of = np.searchsorted(c.offs, lo, "right") - 1
-                cut = np.searchsorted(lo, c.offs)
-                base = c.offs[of]
+                cut, base = np.searchsorted(lo, c.offs), c.offs[np.searchsorted(c.offs, lo, "right") - 1]
                 spans = pa.StructArray.from_arrays([pa.array(lo - base), pa.array(hi - base)], names=["start", "end"])
-                raw, ends = c.buf[~cover].tobytes(), np.r_[0, np.cumsum(~cover)][c.offs].tolist()
+                kept, ends = c.buf[~cover].tobytes(), np.r_[0, np.cumsum(~cover)][c.offs].tolist()
                 ids = pa.array(c.ids, mask=c.ids == NO_ID)
-                yield pa.record_batch([ids, pa.array(np.diff(c.offs)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), spans), pa.array([raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                yield pa.record_batch([ids, pa.array(np.diff(c.offs)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), spans), pa.array([kept[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return known.join(back, "chunk", "left").select("chunk", "ids", "lens", "data", "keys", "runs").mapInArrow(remove, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return known.join(back, "chunk", "left").select("chunk", "ids", "lens", "data", "told", "back").mapInArrow(remove, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
