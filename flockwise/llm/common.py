@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are scanned in numpy in pieces of about this many bytes (always whole documents).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows of text that a Python task holds at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, run, kind: str) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS, for rows with long texts."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, kind)
+
+
 def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     """Cut lineage: a table of the warehouse, dealt out by key, so that joins on the key needn't move it."""
     name = f"flockwise_{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
+from .common import map_texts, materialize, mix, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
 from .toxicity import BREAK
 
 WORDS, SEGMENT, THRESHOLD, BLOCK_GRAMS = 3, 6, 0.6, 1_000_000
@@ -153,7 +153,7 @@ def _links(texts: DataFrame, items: Items, segment: int, threshold: float) -> Da
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(s.known[at].view(np.int64)), pa.array(n[at])], names=["gram", "n"])
 
-    df = texts.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    df = map_texts(texts, count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     items.choose({r["gram"]: r["n"] for r in df.collect()}, segment)  # no more rows than the block has n-grams
     seeded = spark.sparkContext.broadcast(items)
     reach = int(items.size.max()) * 3 // 2 + 4
@@ -171,7 +171,7 @@ def _links(texts: DataFrame, items: Items, segment: int, threshold: float) -> Da
                 ids = batch.column(0).slice(i, len(offs) - 1).take(pa.array(doc))
                 yield pa.record_batch([ids, pa.array(s.seeds[hit].view(np.int64)), pa.array(at - places[doc]), pa.array((at - a).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(w[a[group] + place].view(np.int64)))], names=["doc_id", "seed", "at", "before", "passage"])
 
-    found = texts.mapInArrow(passages, "doc_id bigint, seed bigint, at bigint, before int, passage array<bigint>")
+    found = map_texts(texts, passages, "doc_id bigint, seed bigint, at bigint, before int, passage array<bigint>")
     places = {}
     for k, (a, b) in enumerate(zip(items.places, items.places[1:], strict=False)):
         places[k] = items.words[a:b].view(np.int64).tolist()

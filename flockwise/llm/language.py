@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, table, text_chunks
+from .common import LOWER, map_texts, materialize, table, text_chunks
 from .url_filter import url_parts
 
 EXAMPLES, SLOTS, ORDERS, EVIDENCE, STRENGTH = 500, 1 << 15, (2, 3), 60, 20.0
@@ -98,7 +98,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang",
                 yield pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
 
     n = np.zeros(len(langs) * SLOTS)
-    for r in rows.select("lang", "text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect():  # SLOTS a language at most
+    for r in map_texts(rows.select("lang", "text"), count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect():  # SLOTS a language at most
         n[r["key"]] = r["n"]
     n = n.reshape(len(langs), SLOTS)
     p = (n + 0.1) / (n + 0.1).sum(axis=1, keepdims=True)
@@ -135,7 +135,7 @@ def identify(rows: DataFrame, model: Model, *, confidence: float = CONFIDENCE, f
                 yield pa.record_batch([*(batch.column(c).slice(i, size) for c in (0, 2, 3, 4, 5)), pa.ListArray.from_arrays(at, pa.array(logs.ravel())), pa.array(m.astype(np.int64)), pa.array(odd)], names=["id", "declared", "suffix", "domain", "host", "logs", "n_grams", "odd"])
 
     strings = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("declared", "suffix", "domain", "host")]
-    seen = rows.select("id", "text", *strings).mapInArrow(run, f"id {kind}, declared string, suffix string, domain string, host string, logs array<double>, n_grams bigint, odd double")
+    seen = map_texts(rows.select("id", "text", *strings), run, f"id {kind}, declared string, suffix string, domain string, host string, logs array<double>, n_grams bigint, odd double")
     seen = materialize(seen.withColumn("p", _normal(F.col("logs"))))
     hosts = materialize(_soft_counts(seen, ["suffix", "domain", "host"], n))
     up = lambda keys: hosts.groupBy(*keys).agg(F.array(*[F.sum(F.col("c")[k]) for k in range(n)]).alias("c"))
@@ -187,7 +187,7 @@ def page_texts(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "ht
             text = [x.encode("utf-8", "replace").decode() for x in text]
             yield pa.record_batch([batch.column(0), pa.array(text, pa.string()), pa.array(said, pa.string()), batch.column(2)], names=["id", "text", "declared", "url"])
 
-    return pages.select(id_col, html_col, url_col).mapInArrow(run, f"id {kind}, text string, declared string, url string")
+    return map_texts(pages.select(id_col, html_col, url_col), run, f"id {kind}, text string, declared string, url string")
 
 
 def keep_known(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", **how) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, prefix_hash, span_hash, table, text_chunks, word_spans
+from .common import map_texts, materialize, mix, prefix_hash, span_hash, table, text_chunks, word_spans
 
 BINS, ROWS, AGREE, BLOCK = 64, 4, 40, 32
 _R = np.random.default_rng(85)
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
                     names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
+    return map_texts(docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 raw = np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
                 yield pa.record_batch([batch.column(0).slice(i, len(offs) - 1), pa.array([raw[x:y].tobytes() for x, y in zip(places, places[1:], strict=False)])], names=["doc_id", "set"])
 
-    return docs.mapInArrow(run, "doc_id bigint, set binary")
+    return map_texts(docs, run, "doc_id bigint, set binary")
 
 
 def _set(raw: bytes) -> np.ndarray:

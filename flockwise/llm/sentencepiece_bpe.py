@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BYTE_CODE, prefix_hash, ragged, span_hash, table, text_chunks
+from .common import BYTE_CODE, map_texts, prefix_hash, ragged, span_hash, table, text_chunks
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
-CACHE_CUTS = 400_000
+CACHE_CUTS = 200_000
 FAR = np.int64(1 << 40)
 
 
@@ -309,7 +309,7 @@ def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
                 text = e.decode(full, at)
                 yield pa.record_batch([batch.column(0).slice(i, m), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(full)), pa.array([t.decode() for t in text])], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return map_texts(docs.select(id_col, text_col), run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

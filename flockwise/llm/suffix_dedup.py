@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, bucketed, mix, prefix_hash, ragged, span_hash, table, text_chunks
+from .common import BYTE_CODE, bucketed, map_texts, mix, prefix_hash, ragged, span_hash, table, text_chunks
 
 LENGTH, GRAM, CHUNK, SHARD = 50, 20, 1 << 21, 1 << 22
 BUCKETS, BUCKET_BYTES = 256, 1 << 25
@@ -66,7 +66,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield pack()
 
-    return docs.mapInArrow(run, "chunk bigint, ids array<bigint>, lens array<int>, data binary")
+    return map_texts(docs, run, "chunk bigint, ids array<bigint>, lens array<int>, data binary")
 
 
 def gram_hashes(raw: bytes, gram: int) -> np.ndarray:

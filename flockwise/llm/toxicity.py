@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash, table, text_chunks, word_spans
+from .common import map_texts, prefix_hash, span_hash, table, text_chunks, word_spans
 
 EXAMPLES, TERMS, MIN_Z, K, BLOCK = 20_000, 4096, 3.5, 15, 64
 #: Words are cut at ASCII characters that are neither letters nor digits.
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 vec = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (w, tf)]
                 yield pa.record_batch([batch.column(0).slice(i, len(o) - 1), *vec], names=["y", "term", "tf"])
 
-    rows = mine.select("y", "text").mapInArrow(cut, "y int, term array<int>, tf array<int>").groupBy("y", "term", "tf").count().collect()  # no more than examples
+    rows = map_texts(mine.select("y", "text"), cut, "y int, term array<int>, tf array<int>").groupBy("y", "term", "tf").count().collect()  # no more than examples
     bare, by = [0, 0], {}
     for r in rows:
         if not r["term"]:
@@ -194,7 +194,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
-    for r in docs.mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in map_texts(docs, run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return int(out[-1]), out[:-1]
 
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 s, best, cos = m.score(buf, o)
                 yield pa.record_batch([batch.column(0).slice(k, len(o) - 1), pa.array(s), pa.array([shown[b] for b in best], pa.string()), pa.array(cos)], names=["doc_id", "score", "nearest", "cosine"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double, nearest string, cosine double")
+    return map_texts(docs.select(id_col, text_col), run, f"doc_id {kind}, score double, nearest string, cosine double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
