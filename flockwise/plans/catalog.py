@@ -1,11 +1,14 @@
 """Every query of the library with its SQL."""
 
+from ..streaming import telemetry
+from . import events, frames, sweeps
+
 FLAGSHIP = "frame_mutual_information"
 
 
 def queries() -> dict:
-    return {}
+    return {**frames.QUERIES, **sweeps.QUERIES, **events.QUERIES, **telemetry.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**frames.ORACLE, **sweeps.ORACLE, **events.ORACLE, **telemetry.ORACLE}
