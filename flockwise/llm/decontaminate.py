@@ -178,7 +178,7 @@ def _links(texts: DataFrame, items: Items, segment: int, threshold: float) -> Da
     seeds = spark.createDataFrame(
         pa.table({"seed": items.gram.view(np.int64), "item_id": items.ids[items.item], "in_item": items.at, "item": [places[k] for k in items.item.tolist()]}), "seed bigint, item_id bigint, in_item bigint, item array<bigint>"
     )
-    pairs = found.join(seeds, "seed")
+    pairs = materialize(found).join(seeds, "seed")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

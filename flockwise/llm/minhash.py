@@ -7,10 +7,11 @@ the share of equal coordinates estimates the Jaccard similarity with concentrati
 are a band; documents that agree in a band are compared.
 
 Equal sets are one class, represented by its smallest doc_id; only representatives go on. A bucket's members are first compared with
-one pivot each (a star, linear in the bucket); buckets that still hold different components are then compared in blocks of BLOCK
-pivots at a time against members of other components, until all are settled. Pairs whose sketches agree in fewer than AGREE bins are
-not looked at (at similarity 0.85 that is five standard deviations off); all others are decided on the full sets. A pair of 0.85 has
-a band in common with probability 1 - (1 - .85^4)^16 > 0.99999.
+one pivot each (a star, linear in the bucket). Buckets that then still hold several components make families of components that have a bucket in
+common. In each family the members outside its largest component are compared with all others of another component, in blocks of BLOCK members
+a side, so that a set is sent once a block and not once a pair. Pairs whose sketches agree in fewer than AGREE bins are not looked
+at (at similarity 0.85 that is five standard deviations off); all others are decided on the full sets. A pair of 0.85 has a band in
+common with probability 1 - (1 - .85^4)^16 > 0.99999.
 
 Defined results: a null text is empty; a null doc_id is linked with nothing, kept, and has a null component; rows that share a
 doc_id are each judged by their own set, under that id; empty tables give no rows. Other columns are ignored.
@@ -22,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialize, mix, prefix_hash, span_hash, table, text_chunks, word_spans
 
-BINS, ROWS, AGREE, BLOCK = 64, 4, 40, 32
+BINS, ROWS, AGREE, BLOCK = 64, 4, 40, 512
 _R = np.random.default_rng(85)
 PLACE = _R.integers(1, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ROUND = _R.integers(1, 1 << 63, 2 * BINS, dtype=np.uint64)
@@ -167,6 +168,44 @@ def alike(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def across(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """members(id, label, family, sketch, set) -> a, b: pairs of a family, of different labels, that are alike."""
+    sizes = members.groupBy("family", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    sizes = materialize(sizes.select("family", "largest", parts(F.col("n") - F.col("most")).alias("lefts"), parts(F.col("n")).alias("rights")))
+    m = members.join(sizes, "family").withColumn("h", F.xxhash64("id"))
+    left = m.where(F.col("label") != F.col("largest")).withColumn("l", F.pmod("h", F.col("lefts"))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("rights") - 1).cast("bigint"))))
+    right = m.withColumn("r", F.pmod("h", F.col("rights"))).withColumn("l", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("lefts") - 1).cast("bigint"))))
+    columns = ["family", "l", "r", "id", "label", "largest", "sketch", "set"]
+
+    def pairs(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(x) and len(y):
+            ids, labels = y["id"].to_numpy(), y["label"].to_numpy()
+            alone = labels == y["largest"].to_numpy()
+            sketches_ = np.frombuffer(b"".join(y["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+            sets = [_set(v) for v in y["set"].to_pylist()]
+            size = np.array([len(v) for v in sets])
+            for i, label, sketch, raw in zip(*(x[c].to_pylist() for c in ("id", "label", "sketch", "set")), strict=True):
+                mine = _set(raw)
+                ok = (labels != label) & (alone | (ids < i)) & (100 * np.minimum(size, len(mine)) >= percent * np.maximum(size, len(mine)))
+                at = np.flatnonzero(ok)
+                at = at[(sketches_[at] == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= AGREE]
+                if len(at):
+                    other, row = np.concatenate([sets[k] for k in at]), np.repeat(np.arange(len(at)), size[at])
+                    j = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                    inter = np.bincount(row, mine[j] == other, minlength=len(at))
+                    hit = at[100 * inter >= percent * (len(mine) + size[at] - inter)]
+                    a += [i] * len(hit)
+                    b += ids[hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ["family", "l", "r"]
+    right = right.select(columns).toDF(*columns)  # columns of its own
+    return left.select(columns).groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(pairs, "a bigint, b bigint")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges(a, b), nodes(id) -> id, label: the smallest id reachable. Least labels spread and jump until none changes."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -193,35 +232,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = materialize(rows.join(shared, "band").select("band", F.col("doc_id").alias("id"), "pivot"))
     nodes = members.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(full_sets(texts.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    sets = materialize(full_sets(texts.join(nodes.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
     small = sig.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     small = materialize(small.select("doc_id", "sketch"))
     # the star: each document with the pivot of most of its buckets
     star = members.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count("*").alias("n"))
     star = star.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("id").alias("a"), "b")
-    edges = materialize(verified(alike(star, small), sets, percent))
-    buckets, done = members.select("band", "id"), None
-    while True:
-        labels = components(edges, nodes)
-        known = buckets.join(labels, "id")
-        mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
-        rest = known.join(mixed, "band", "left_semi")
-        if done is not None:  # pivots that have met all others
-            rest = rest.join(done, "band", "left").withColumn("done", F.coalesce("done", F.lit(-(1 << 63))))
-        else:
-            rest = rest.withColumn("done", F.lit(-(1 << 63)))
-        rest = materialize(rest)
-        by = Window.partitionBy("band").orderBy("id")
-        pivots = rest.where(F.col("id") > F.col("done")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= BLOCK)
-        pivots = materialize(pivots.select("band", F.col("id").alias("b"), F.col("label").alias("lb")))
-        if pivots.isEmpty():
-            break
-        pairs = rest.join(pivots, "band").where((F.col("id") > F.col("b")) & (F.col("label") != F.col("lb"))).select(F.col("id").alias("a"), "b").distinct()
-        new = materialize(verified(alike(pairs, small), sets, percent))
-        last = pivots.groupBy("band").agg(F.max("b").alias("done"))
-        done = materialize(last if done is None else done.join(last, "band", "left_anti").unionByName(last))
-        buckets = rest.select("band", "id")
-        edges = edges.union(new)
+    edges = materialize(verified(materialize(alike(star, small)), sets, percent))
+    labels = components(edges, nodes)
+    known = members.select("band", "id").join(labels, "id")
+    mixed = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
+    rest = materialize(known.join(mixed, "band").select("id", "label", "lo").distinct())
+    family = components(rest.select(F.col("label").alias("a"), F.col("lo").alias("b")).where("a != b"), rest.select(F.col("label").alias("id")).distinct())
+    rest = rest.select("id", "label").distinct().join(family.select(F.col("id").alias("label"), F.col("label").alias("family")), "label")
+    rest = rest.join(small, rest.id == small.doc_id).drop("doc_id").join(sets, F.col("id") == sets.doc_id).drop("doc_id")
+    labels = components(edges.union(materialize(across(materialize(rest), percent, BLOCK))), nodes)
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("c"))
     out = sig.join(of_class, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).alias("c"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
