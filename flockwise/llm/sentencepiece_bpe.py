@@ -14,12 +14,12 @@ tables give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import BYTE_CODE, map_texts, prefix_hash, ragged, span_hash, table, text_chunks
 
@@ -290,8 +290,8 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> doc_id, ids: array<int>, with begin and end ids, decoded: what the ids decode to."""
+def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
+    """-> doc_id, ids: array<int>, with begin and end ids (`packed`: their little-endian bytes instead), decoded: what the ids decode to."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,22 +307,17 @@ def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
                 full[~edge] = ids
                 full[at[:-1]], full[at[1:] - 1] = e.p.bos, e.p.eos
                 text = e.decode(full, at)
-                yield pa.record_batch([batch.column(0).slice(i, m), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(full)), pa.array([t.decode() for t in text])], names=["doc_id", "ids", "decoded"])
+                if packed:
+                    raw = full.astype("<u4").tobytes()
+                    out = pa.array([raw[4 * x : 4 * y] for x, y in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.binary())
+                else:
+                    out = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(full))
+                yield pa.record_batch([batch.column(0).slice(i, m), out, pa.array([t.decode() for t in text])], names=["doc_id", "ids", "decoded"])
 
-    return map_texts(docs.select(id_col, text_col), run, f"doc_id {kind}, ids array<int>, decoded string")
+    return map_texts(docs.select(id_col, text_col), run, f"doc_id {kind}, ids {'binary' if packed else 'array<int>'}, decoded string")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
-    out = encode_texts(table(spark, sf_dir, "documents"), model_bytes())
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(1)
-            flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            n = np.diff(at)
-            ids_sha = [hashlib.sha256(flat[x:y].tobytes()).hexdigest() for x, y in zip(at, at[1:], strict=False)]
-            text_sha = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in b.column(2)]
-            yield pa.record_batch([b.column(0), pa.array(n.astype(np.int64)), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return out.mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = encode_texts(table(spark, sf_dir, "documents"), model_bytes(), packed=True)
+    return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
