@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -37,12 +40,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives back what a task's arrays left in the allocators: Spark uses its Python workers again for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries don't keep as much
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(df: DataFrame, run, kind: str) -> DataFrame:
     """mapInArrow in batches of BATCH_ROWS, for rows with long texts."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
-    return df.mapInArrow(run, kind)
+
+    def held(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(held, kind)
 
 
 def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
