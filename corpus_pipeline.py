@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockwise.llm import decontaminate, language, minhash, pii, sentencepiece_bpe
-from flockwise.llm.common import shared_folder, table
+from flockwise.llm.common import fresh, shared_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
+    name = fresh(docs, "_kept")
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept[name]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,6 +108,7 @@ def classes(vectors: DataFrame, *, id_col: str, vec_col: str, k: int) -> DataFra
 def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, **how) -> DataFrame:
     """queries: ids among the vectors' -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    vectors = vectors.select(id_col, vec_col)
     none = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     of = materialize(classes(vectors, id_col=id_col, vec_col=vec_col, k=k))
     sample = [np.array(r["x"]) for r in of.orderBy("h1", "h2").select("x").limit(SAMPLE).collect()]  # SAMPLE rows at most

@@ -40,6 +40,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def release() -> None:
     """Gives back what a task's arrays left in the allocators: Spark uses its Python workers again for other stages."""
     gc.collect()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, mix, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
+from .common import fresh, map_texts, materialize, mix, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
 from .toxicity import BREAK
 
 WORDS, SEGMENT, THRESHOLD, BLOCK_GRAMS = 3, 6, 0.6, 1_000_000
@@ -205,8 +205,9 @@ def _links(texts: DataFrame, items: Items, segment: int, threshold: float) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = materialize(contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    name = fresh(docs, "_bad")
+    bad = materialize(contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(bad, docs[id_col] == bad[name], "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_texts, materialize, table, text_chunks
+from .common import LOWER, fresh, map_texts, materialize, table, text_chunks
 from .url_filter import url_parts
 
 EXAMPLES, SLOTS, ORDERS, EVIDENCE, STRENGTH = 500, 1 << 15, (2, 3), 60, 20.0
@@ -193,8 +193,9 @@ def page_texts(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "ht
 def keep_known(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", **how) -> DataFrame:
     """docs without those that are rejected; doc_id must be unique. A source stands for the host."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col(host_col).alias("host"))
-    bad = materialize(identify(rows, model, **how).where(F.col("lang").isNull()).select(F.col("id").alias("_bad")))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    name = fresh(docs, "_bad")
+    bad = materialize(identify(rows, model, **how).where(F.col("lang").isNull()).select(F.col("id").alias(name)))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[name]), "left_anti")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,9 +136,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic): every row of labels may become an example."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(examples)  # `examples` rows at most
-    mine = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_id", "y", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    mine = docs.join(F.broadcast(chosen), docs["id"] == F.col("_id")).select("_id", "y", F.coalesce("text", F.lit("")).alias("text"))
     words = F.array_distinct(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0)))
     seen = mine.select("y", F.explode(words).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where(F.col("n") >= 3)
     totals = mine.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     hashed, _ = word_hashes(np.frombuffer(raw, np.uint8), np.minimum(offs, len(raw)))
     order = np.argsort(hashed)
     hashes, words = hashed[order], [words[i] for i in order]
-    n_docs, df = document_frequencies(docs.select(id_col, text_col), hashes)
+    n_docs, df = document_frequencies(docs, hashes)
     idf = np.log((1 + n_docs) / (1 + df)) + 1e-3
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
