@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-import math
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """A checkpoint in the cluster's shared folder; a local one is set only where there is none, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def shift(d, world: float):
     """Least displacement on a ring of length `world`."""
     return F.when(d > world / 2, d - world).when(d < -world / 2, d + world).otherwise(d)
@@ -49,22 +57,18 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, *, world: float | No
     Core labels spread along core-core edges, and jump to the label of their label, until none changes; each round is checkpointed."""
     edges = neighbours(points, eps, [], world=world, inclusive=inclusive).select("i", "j")
     degree = edges.groupBy("i").agg(F.count("*").alias("n"))
-    core = points.join(degree, points.id == degree.i, "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id").checkpoint()
-    to_core = edges.join(core.select(F.col("id").alias("j")), "j", "left_semi").checkpoint()
+    core = saved(points.join(degree, points.id == degree.i, "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id"))
+    to_core = saved(edges.join(core.select(F.col("id").alias("j")), "j", "left_semi"))
     links = to_core.join(core.select(F.col("id").alias("i")), "i", "left_semi")
-    labels = core.withColumn("label", F.col("id")).checkpoint()
+    labels = saved(core.withColumn("label", F.col("id")))
     while True:
         near = links.join(labels.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id")).agg(F.min("label").alias("m"))
         new = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
         far = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = new.join(far, "label", "left").select("id", "was", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
+        new = saved(new.join(far, "label", "left").select("id", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = new.select("id", "label")
         if new.where("was <> label").isEmpty():
             break
     border = to_core.join(labels.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id")).agg(F.min("label").alias("border"))
     out = points.join(labels, "id", "left").join(border, "id", "left")
     return out.select("id", "x", "y", F.coalesce("label", "border", F.lit(-1)).alias("label"))
-
-
-def cells_of(world: float, radius: float) -> int:
-    return max(1, math.floor(world / radius))
