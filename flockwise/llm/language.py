@@ -9,7 +9,7 @@ A row's own share is taken out of its host's counts first, so that no text is ev
 
 A text's log likelihood is per byte n-gram, times at most EVIDENCE n-grams: neighbours in a text aren't independent. A text is
 rejected (`lang` null) if it holds no letters, if its n-grams are less likely under each language than `floor` nats below that
-language's own texts, or if the posterior is under `confidence`.
+language's own texts (NOISE / sqrt(n) more for n n-grams, as short texts vary), or if the posterior is under `confidence`.
 
 Defined results: null texts, marks and hosts are empty strings, which are values like others; a text without letters is decided
 by the other evidence but rejected; ties go to the first language in order of name; rows that share an id are each judged; empty
@@ -31,7 +31,7 @@ from .common import LOWER, fresh, map_texts, materialize, table, text_chunks
 from .url_filter import url_parts
 
 EXAMPLES, SLOTS, ORDERS, EVIDENCE, STRENGTH = 500, 1 << 15, (2, 3), 60, 20.0
-FLOOR, CONFIDENCE = 2.5, 0.5
+FLOOR, NOISE, CONFIDENCE = 2.5, 20.0, 0.5
 #: Names of languages in markup that mean one of ours: the part before - or _ is looked at.
 LETTER = np.zeros(256, bool)
 LETTER[[c for c in range(256) if chr(c).isalpha() or c >= 128]] = True
@@ -161,7 +161,7 @@ def identify(rows: DataFrame, model: Model, *, confidence: float = CONFIDENCE, f
     argmax = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     out = joined.select("id", "declared", "host", "n_grams", "odd", "p", _normal(logs).alias("post"))
     best, posterior = argmax(F.col("post")), F.array_max("post")
-    sure = (F.col("n_grams") > 0) & (F.col("odd") <= floor) & (posterior >= confidence)
+    sure = (F.col("n_grams") > 0) & (F.col("odd") <= floor + NOISE / F.sqrt("n_grams")) & (posterior >= confidence)
     return out.select("id", F.when(sure, best).alias("lang"), best.alias("best"), F.round(posterior, 6).alias("posterior"), "declared", "host", argmax(F.col("p")).alias("text_lang"), "n_grams")
 
 
