@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh, map_texts, materialize, mix, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
 from .toxicity import BREAK
 
-WORDS, SEGMENT, THRESHOLD, BLOCK_GRAMS = 3, 6, 0.6, 1_000_000
+WORDS, SEGMENT, THRESHOLD, BLOCK_GRAMS = 3, 6, 0.5, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PLACE = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
