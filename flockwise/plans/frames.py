@@ -199,6 +199,13 @@ def largest_flock(spark, sf):
     return d.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
 
 
+def flock_polarization(spark, sf):
+    """Polarization of each cluster's members at the first step, noise left out."""
+    labels = space.dbscan(cloud(spark, sf), 0.02, 5).where("label >= 0").select("id", "label")
+    f = A.frames(spark, sf).where("step = 0").select(F.col("boid_id").alias("id"), "vx", "vy")
+    return f.join(labels, "id").groupBy("label").agg(F.count("*").alias("n"), R6(S.polarization(F.col("vx"), F.col("vy"))).alias("polarization"))
+
+
 def dbscan_sql(points_: str, dist: str, op: str, tail: str) -> str:
     return f"""WITH RECURSIVE p AS ({points_}), e AS (SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id<>b.id AND {dist} {op} 0.02),
  core AS (SELECT i AS id FROM e GROUP BY i HAVING count(*)+1>=5), l AS (SELECT i, j FROM e WHERE i IN (FROM core) AND j IN (FROM core)),
@@ -228,7 +235,7 @@ def mode_class(spark, sf):
     return p.select("run", "step", S.mode(F.lit(1.0), F.col("polarization")).alias("mode"), S.mode(F.lit(1.0), F.col("polarization"), "forming").alias("mode_forming"))
 
 
-QUERIES = {f.__name__: f for f in (frame_polarization, frame_macro_state, polarization_class, coherence_class, mode_class, frame_mutual_information, te_delta_series, te_delta_mean, substrate_robustness, neighbors_plain, neighbors_periodic, neighbor_stats, step_forces, step_update, boundary_reflect, dbscan_labels, dbscan_periodic, largest_flock, warmup_filter, thin_records)}
+QUERIES = {f.__name__: f for f in (frame_polarization, frame_macro_state, polarization_class, coherence_class, mode_class, frame_mutual_information, te_delta_series, te_delta_mean, substrate_robustness, neighbors_plain, neighbors_periodic, neighbor_stats, step_forces, step_update, boundary_reflect, dbscan_labels, dbscan_periodic, largest_flock, flock_polarization, warmup_filter, thin_records)}
 ORACLE = {
     "frame_polarization": f"WITH {FR} SELECT run, step, count(*) AS n, round({POL},6) AS polarization FROM frames GROUP BY run, step",
     "frame_macro_state": f"WITH {MACRO} SELECT run, step, n, round(polarization,6) AS polarization, round(cx,6) AS cx, round(cy,6) AS cy, round(dispersion,6) AS dispersion, round(mean_speed,6) AS mean_speed FROM macro",
@@ -248,6 +255,7 @@ ORACLE = {
     "dbscan_labels": dbscan_sql(_CLOUD, _EUC, "<=", "SELECT id, label FROM d"),
     "dbscan_periodic": dbscan_sql(_MOD, _PER, "<", "SELECT id, label FROM d"),
     "largest_flock": dbscan_sql(_CLOUD, _EUC, "<=", "SELECT label, count(*) AS n FROM d WHERE label>=0 GROUP BY label ORDER BY n DESC, label LIMIT 1"),
+    "flock_polarization": dbscan_sql(_CLOUD, _EUC, "<=", f", {FR} SELECT label, count(*) AS n, round({POL},6) AS polarization FROM d JOIN frames ON boid_id=d.id WHERE label>=0 AND step=0 GROUP BY label"),
     "warmup_filter": f"WITH {POLS} SELECT run, round(avg(polarization),6) AS polarization, count(*) AS frames FROM p WHERE step>=4 GROUP BY run",
     "thin_records": f"WITH {FR} SELECT run, step, count(*) AS n, round(sum(x),6) AS x FROM frames WHERE step%5=0 GROUP BY run, step",
 }

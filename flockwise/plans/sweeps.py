@@ -71,6 +71,13 @@ DISC = f"""WITH {MEANS}, s AS (SELECT *, avg(y) OVER (PARTITION BY run ORDER BY
  SELECT run, alpha AS critical_alpha, round(before,4) AS before, round(after,4) AS after, round(after-before,4) AS magnitude FROM f WHERE k=1"""
 
 
+def before_after_means(spark, sf):
+    """Means of the three points before and from each point on."""
+    w = along()
+    d = means(spark, sf).select("run", "alpha", F.avg("y").over(w.rowsBetween(-3, -1)).alias("before"), F.avg("y").over(w.rowsBetween(0, 2)).alias("after"))
+    return d.select("run", "alpha", R4("before").alias("before"), R4("after").alias("after"))
+
+
 def cohens_d_samp(spark, sf):
     return A.sweep(spark, sf).groupBy("run").agg(R4(S.cohens_d(F.col("metric"), F.col("alpha") < CUT)).alias("d"))
 
@@ -219,7 +226,7 @@ def pelt_changepoints(spark, sf):
     return means(spark, sf).groupBy("run").applyInPandas(find, "run int, alpha double")
 
 
-QUERIES = {f.__name__: f for f in (sweep_summary_samp, sweep_summary_pop, rolling_mean_centered, gradient, second_derivative, adjacent_diff, neighbor_jump, discontinuity_point, cohens_d_samp, cohens_d_pop, linear_fit, threshold_split, permutation_pvalue, bootstrap_d_ci, verdict_standard, plot_data, robustness_table, sweep_tasks, dbscan_grid, union_phases, pelt_changepoints)}
+QUERIES = {f.__name__: f for f in (sweep_summary_samp, sweep_summary_pop, rolling_mean_centered, gradient, second_derivative, adjacent_diff, neighbor_jump, discontinuity_point, before_after_means, cohens_d_samp, cohens_d_pop, linear_fit, threshold_split, permutation_pvalue, bootstrap_d_ci, verdict_standard, plot_data, robustness_table, sweep_tasks, dbscan_grid, union_phases, pelt_changepoints)}
 _GR = "SELECT alpha, count(*) AS n, round(avg(metric),4) AS mean, round({}(metric),4) AS std FROM sweep GROUP BY alpha"
 ORACLE = {
     "sweep_summary_samp": f"WITH {SW} {_GR.format('stddev_samp')}",
@@ -230,6 +237,7 @@ ORACLE = {
     "adjacent_diff": f"WITH {MEANS}, d AS (SELECT run, abs(y-lag(y) OVER w) AS d FROM m {WIN}) SELECT run, round(max(d),4) AS largest FROM d GROUP BY run",
     "neighbor_jump": f"WITH {MEANS}, d AS (SELECT run, alpha, abs(lead(y) OVER w-lag(y) OVER w) AS j FROM m {WIN}) SELECT run, alpha, round(j,4) AS jump FROM d WHERE j IS NOT NULL",
     "discontinuity_point": DISC,
+    "before_after_means": f"WITH {MEANS} SELECT run, alpha, round(avg(y) OVER (PARTITION BY run ORDER BY alpha ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),4) AS before, round(avg(y) OVER (PARTITION BY run ORDER BY alpha ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),4) AS after FROM m",
     "cohens_d_samp": f"WITH {SW} SELECT run, round({_d('var_samp')},4) AS d FROM sweep GROUP BY run",
     "cohens_d_pop": f"WITH {SW} SELECT run, round({_d('var_pop')},4) AS d FROM sweep GROUP BY run",
     "linear_fit": f"WITH {SW} SELECT run, round(regr_slope(metric,alpha),3) AS slope, round(regr_intercept(metric,alpha),3) AS intercept FROM sweep GROUP BY run",
