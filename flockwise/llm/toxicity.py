@@ -1,15 +1,18 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
-
-Fit: at most EXAMPLES labelled documents (those of the least hash of doc_id) are the examples, and at most TERMS words the terms:
-those whose share of toxic and of clean examples differs most, in standard errors (MIN_Z at least). Document frequencies of the
-terms count every document. A text's vector has (1 + ln tf) * idf at its terms, at length 1; examples of one direction are kept once,
-with their numbers of toxic and clean labels. So the index has a bounded size, and its bytes travel with the tasks.
-
-Search: postings lie in blocks of BLOCK examples, with the largest weight of each term in each block. A query's bound on a block is
-the sum of its weights times those; blocks are scored in the order of their bounds until the K-th best cosine so far is above
-every bound that is left, so that the K nearest are exact. Each votes with the labels it stands for, weighted by
-1 / (0.05 + 1 - cosine); votes are shrunk to the share of toxic labels among all examples. A text without any of the terms has no
-neighbour at a distance; it is scored by the examples that have none either.
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF over a block-max inverted index, and distance-weighted votes.
+
+Fit: at most EXAMPLES labelled documents (those of the least hash of doc_id) are the examples, and every word of theirs is a term.
+Document frequencies of the terms count every document. A term weighs idf * (1 + z * z), z being how many standard errors its share
+of toxic examples is off the share of all: no term is left out, and those that tell labels apart decide which examples are near. A
+text's vector has (1 + ln tf) times these weights, at length 1; examples of one direction are kept once, with their numbers of toxic
+and clean labels. The index's bytes travel with the tasks.
+
+Search: the COMMON terms of most examples are a matrix, the others have posting lists. Examples lie in blocks of BLOCK, with the
+largest weight of each common term in each block. Posting lists are summed for all examples; a query's bound on a block is the best
+of these sums there and its common weights times the block's largest. Blocks that can't reach the K-th best are left out, common
+terms are added in the others, and those that are near enough to the K-th are summed again in double precision, so that the K
+nearest are exact. Each votes with the labels it stands for, weighted by
+1 / (0.05 + 1 - cosine); votes are shrunk to the share of toxic labels among all examples. A text that shares no term with any
+example has no neighbour at a distance; it is scored by the examples without words.
 
 Defined results: a null text is empty and scored like any text without terms; rows that share a doc_id are each scored; a null
 doc_id is scored and never an example; without labels every score is the prior, 0.5 of no examples; empty tables give no rows.
@@ -18,17 +21,22 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, prefix_hash, span_hash, table, text_chunks, word_spans
+from .common import map_texts, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
 
-EXAMPLES, TERMS, MIN_Z, K, BLOCK = 20_000, 4096, 3.5, 15, 64
+EXAMPLES, K, BLOCK = 20_000, 15, 64
+#: Terms that are kept as a matrix; what sums of single precision may be off by.
+COMMON, ROUND = 512, 1e-4
 #: Words are cut at ASCII characters that are neither letters nor digits.
 BREAK = np.zeros(256, bool)
 BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -61,62 +69,96 @@ def vectors(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray)
 
 
 class Index:
-    """Postings of examples in blocks. labels: (examples, 2) numbers of clean and toxic labels."""
+    """Examples in blocks, with postings by term. labels: (examples, 2) numbers of clean and toxic labels."""
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, labels: np.ndarray):
         self.n, self.n_terms, self.labels = len(labels), n_terms, labels
         self.blocks = -(-self.n // BLOCK)
-        block = example // BLOCK
-        order = np.lexsort((example, term, block))
-        self.example, self.term, self.weight = example[order], term[order], weight[order]
-        key = block[order] * n_terms + self.term
-        self.key, self.at = np.unique(key, return_index=True)  # a posting list is one term in one block
-        self.size = np.diff(np.r_[self.at, len(key)])
-        self.most = np.maximum.reduceat(self.weight, self.at) if len(key) else np.zeros(0)
-        self.bound = np.zeros((n_terms, self.blocks))
-        self.bound[self.key % n_terms, self.key // n_terms] = self.most
+        order = np.lexsort((term, example))
+        self.example, self.term, self.weight = example[order].astype(np.int32), term[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(self.example, np.arange(self.n + 1))
+        # the terms of most examples are columns of a matrix, all others have posting lists
+        common = np.sort(np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:COMMON])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        at = self.column[self.term]
+        dense = at >= 0
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        self.dense[self.example[dense], at[dense]] = self.weight[dense]
+        self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1) if self.n else np.zeros((0, len(common)), np.float32)
+        t, self.post, self.post_weight = (x[~dense] for x in (self.term, self.example, self.weight))
+        order = np.argsort(t, kind="stable")
+        self.post, self.post_weight = self.post[order], self.post_weight[order]
+        self.post_start = np.searchsorted(t[order], np.arange(n_terms + 1))
 
     def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(n, k) examples and cosines, best first, ties to the smaller example; -1 and 0 where there are no more with a term shared."""
         best, cos = np.full((n, k), -1), np.zeros((n, k))
         if not self.n or not len(doc):
             return best, cos
-        bounds = np.zeros((n, self.blocks))
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        bounds[doc[first]] = np.add.reduceat(weight[:, None] * self.bound[term], first, axis=0)
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        start = np.searchsorted(doc, np.arange(n + 1))
-        live = np.arange(n)
-        for r in range(self.blocks):
-            block = order[live, r]
-            top = bounds[live, block]
-            go = (top > 0) & (top >= cos[live, -1] - 1e-9)
-            live, block = live[go], block[go]
-            if not len(live):
-                break
-            # all postings of the live queries' terms in their blocks
-            size = start[live + 1] - start[live]
-            row = np.repeat(np.arange(len(live)), size)
-            t = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + start[live][row]
-            key = block[row] * self.n_terms + term[t]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = self.key[at] == key
-            row, t, at = row[hit], t[hit], at[hit]
-            m = self.size[at]
-            post = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.at[at], m)
-            cell = np.repeat(row, m) * BLOCK + self.example[post] % BLOCK
-            score = np.bincount(cell, np.repeat(weight[t], m) * self.weight[post], minlength=len(live) * BLOCK).reshape(-1, BLOCK)
-            both_c = np.round(np.concatenate([cos[live], score], axis=1), 12)
-            both_e = np.concatenate([best[live], np.where(score > 0, block[:, None] * BLOCK + np.arange(BLOCK), -1)], axis=1)
-            pick = np.lexsort((both_e, -both_c), axis=1)[:, :k]
-            cos[live], best[live] = np.take_along_axis(both_c, pick, 1), np.take_along_axis(both_e, pick, 1)
-            best[live] = np.where(cos[live] > 0, best[live], -1)
+        start, lookup = np.searchsorted(doc, np.arange(n + 1)), np.zeros(self.n_terms)
+        for i in range(0, n, BLOCK):
+            j = min(i + BLOCK, n)
+            a, b = start[i], start[j]
+            self._nearest(doc[a:b] - i, term[a:b], weight[a:b], best[i:j], cos[i:j], k, lookup)
         return best, cos
 
+    def _kth(self, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each block's best; a bound from below on the k-th best score, as k blocks reach it."""
+        top = score.reshape(len(score), self.blocks, BLOCK).max(axis=2)
+        return top, np.partition(top, self.blocks - k, axis=1)[:, self.blocks - k] if self.blocks >= k else np.zeros(len(score), np.float32)
+
+    def _nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, best: np.ndarray, cos: np.ndarray, k: int, lookup: np.ndarray) -> None:
+        n, width = len(best), self.blocks * BLOCK
+        at = self.column[term]
+        of = at >= 0
+        query = np.zeros((n, self.dense.shape[1]), np.float32)
+        query[doc[of], at[of]] = weight[of]
+        d, t, w = doc[~of], term[~of], weight[~of]
+        size = self.post_start[t + 1] - self.post_start[t]
+        group, place = ragged(size)
+        place += self.post_start[t][group]
+        score = np.bincount(d[group] * width + self.post[place], w[group] * self.post_weight[place], minlength=n * width).astype(np.float32).reshape(n, width)
+        top, low = self._kth(score, k)
+        live = top + query @ self.most.T >= low[:, None] - ROUND
+        for b in np.flatnonzero(live.any(axis=0)).tolist():
+            rows, block = np.flatnonzero(live[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            score[rows, block] += query[rows] @ self.dense[block].T
+        _, low = self._kth(score, k)
+        row, example = np.nonzero((score >= low[:, None] - ROUND) & (score > 0))
+        first = np.searchsorted(row, np.arange(n + 1))
+        start = np.searchsorted(doc, np.arange(n + 1))
+        for r in range(n):
+            e = example[first[r] : first[r + 1]]
+            if not len(e):
+                continue
+            if len(e) > k:
+                s = score[r, e]
+                e = e[s >= np.partition(s, len(s) - k)[len(s) - k] - ROUND]
+            mine = slice(start[r], start[r + 1])
+            lookup[term[mine]] = weight[mine]
+            size = self.start[e + 1] - self.start[e]
+            group, place = ragged(size)
+            place += self.start[e][group]
+            c = np.round(np.bincount(group, lookup[self.term[place]] * self.weight[place], minlength=len(e)), 12)
+            lookup[term[mine]] = 0
+            pick = np.lexsort((e, -c))[:k]
+            pick = pick[c[pick] > 0]
+            best[r, : len(pick)], cos[r, : len(pick)] = e[pick], c[pick]
+
 
 class Model:
-    def __init__(self, terms: np.ndarray, words: list[str], idf: np.ndarray, index: Index, bare: tuple[int, int], prior: float):
-        self.terms, self.words, self.idf, self.index, self.bare, self.prior = terms, words, idf, index, bare, prior
+    """terms: hashes of words, sorted; examples: where each one's terms begin (n+1 places), their terms and tf; labels as in Index."""
+
+    def __init__(self, terms: np.ndarray, words: pa.Array, idf: np.ndarray, examples: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, bare: tuple[int, int], prior: float):
+        self.terms, self.words, self.idf, self.examples, self.labels, self.bare, self.prior = terms, words, idf, examples, labels, bare, prior
+
+    @cached_property
+    def index(self) -> Index:
+        """Built where it is used, as it takes several times the examples' room."""
+        at, term, tf = self.examples
+        example = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        return Index(example, term, np.round(vectors(example, term, tf, self.idf), 9), max(len(self.terms), 1), self.labels)
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, nearest example (-1: none) and its cosine."""
@@ -134,27 +176,21 @@ class Model:
         return out, best[:, 0], cos[:, 0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic): every row of labels may become an example."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(examples)  # `examples` rows at most
     mine = docs.join(F.broadcast(chosen), docs["id"] == F.col("_id")).select("_id", "y", F.coalesce("text", F.lit("")).alias("text"))
     words = F.array_distinct(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0)))
-    seen = mine.select("y", F.explode(words).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n")).where(F.col("n") >= 3)
     totals = mine.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
     n, t = totals["n"] or 0, totals["t"] or 0
     if not n:
-        return Model(np.zeros(0, np.uint64), [], np.zeros(0), Index(*[np.zeros(0, np.int64)] * 2, np.zeros(0), 1, np.zeros((0, 2))), (0, 0), 0.5)
-    share = F.lit(t / n)
-    z = (F.abs(F.col("t") - F.col("n") * share) - 0.5) / F.sqrt(F.col("n") * share * (1 - share) + 1)  # rare words need more
-    top = seen.select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(terms)
-    words = sorted(r["word"] for r in top.collect())  # `terms` rows at most
-    raw = "\n".join(words).encode()
-    offs = np.r_[0, np.cumsum([len(w.encode()) + 1 for w in words])][: len(words) + 1].astype(np.int64)
-    hashed, _ = word_hashes(np.frombuffer(raw, np.uint8), np.minimum(offs, len(raw)))
-    order = np.argsort(hashed)
-    hashes, words = hashed[order], [words[i] for i in order]
+        return Model(np.zeros(0, np.uint64), pa.array([], pa.string()), np.zeros(0), (np.zeros(1, np.int64), *[np.zeros(0, np.int32)] * 2), np.zeros((0, 2)), (0, 0), 0.5)
+    words = mine.select(F.explode(words).alias("word")).distinct().toArrow().column(0).combine_chunks()  # of `examples` texts at most
+    hashes = np.concatenate([word_hashes(buf, o)[0] for _, buf, o in text_chunks(words)] or [np.zeros(0, np.uint64)])
+    order = np.argsort(hashes)
+    hashes, words = hashes[order], words.take(pa.array(order))
     n_docs, df = document_frequencies(docs, hashes)
     idf = np.log((1 + n_docs) / (1 + df)) + 1e-3
 
@@ -166,20 +202,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 vec = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (w, tf)]
                 yield pa.record_batch([batch.column(0).slice(i, len(o) - 1), *vec], names=["y", "term", "tf"])
 
-    rows = map_texts(mine.select("y", "text"), cut, "y int, term array<int>, tf array<int>").groupBy("y", "term", "tf").count().collect()  # no more than examples
+    rows = map_texts(mine.select("y", "text"), cut, "y int, term array<int>, tf array<int>").groupBy("y", "term", "tf").count().toArrow()  # no more than examples
+    y, count = (rows.column(c).to_numpy() for c in ("y", "count"))
+    terms, tfs = (rows.column(c).combine_chunks() for c in ("term", "tf"))
+    at, of, tf = terms.offsets.to_numpy(), terms.values.to_numpy(), tfs.values.to_numpy()
+    size, share = np.diff(at), t / n
+    seen, toxic = (np.bincount(of, np.repeat(c, size), len(words)) for c in (count, y * count))
+    z = np.maximum(np.abs(toxic - seen * share) - 0.5, 0) / np.sqrt(seen * share * (1 - share) + 1)  # rare words need more
+    idf = idf * (1 + z * z)
     bare, by = [0, 0], {}
-    for r in rows:
-        if not r["term"]:
-            bare[r["y"]] += r["count"]
+    for k in range(len(y)):
+        if not size[k]:
+            bare[y[k]] += int(count[k])
             continue
-        w = (1 + np.log(np.array(r["tf"]))) * idf[r["term"]]
-        key = (tuple(r["term"]), tuple(np.round(w / np.sqrt((w * w).sum()), 9)))
-        by.setdefault(key, [0, 0])[r["y"]] += r["count"]
-    kept = sorted(by)
-    ex = np.repeat(np.arange(len(kept)), [len(k[0]) for k in kept]).astype(np.int64)
-    term = np.array([x for k in kept for x in k[0]], np.int64)
-    weight = np.array([x for k in kept for x in k[1]], float)
-    return Model(hashes, words, idf, Index(ex, term, weight, max(len(words), 1), np.array([by[k] for k in kept], float).reshape(-1, 2)), tuple(bare), t / n)
+        term = of[at[k] : at[k + 1]]
+        w = (1 + np.log(tf[at[k] : at[k + 1]])) * idf[term]
+        key = hashlib.blake2b(term.tobytes() + np.round(w / np.sqrt((w * w).sum()), 9).tobytes(), digest_size=16).digest()
+        by.setdefault(key, (k, [0, 0]))[1][y[k]] += int(count[k])
+    kept = [by[key] for key in sorted(by)]
+    group, place = ragged(size[[k for k, _ in kept]] if kept else np.zeros(0, np.int64))
+    place += at[[k for k, _ in kept]][group] if kept else 0
+    labels = np.array([c for _, c in kept], float).reshape(-1, 2)
+    return Model(hashes, words, idf, (np.searchsorted(group, np.arange(len(kept) + 1)), of[place], tf[place]), labels, tuple(bare), share)
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
@@ -195,8 +239,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
-    for r in map_texts(docs, run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    rows = map_texts(docs, run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
     return int(out[-1]), out[:-1]
 
 
@@ -207,13 +251,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(packed.value)
         i = m.index
-        order = np.lexsort((i.term, i.example))
-        at = np.searchsorted(i.example[order], np.arange(i.n + 1))
-        shown = [" ".join(m.words[t] for t in i.term[order[a:b]]) for a, b in zip(at, at[1:], strict=False)] + [None]
+        shown = pc.binary_join(pa.ListArray.from_arrays(pa.array(i.start.astype(np.int32)), m.words.take(pa.array(i.term))), " ")
         for batch in batches:
             for k, buf, o in text_chunks(batch.column(1)):
                 s, best, cos = m.score(buf, o)
-                yield pa.record_batch([batch.column(0).slice(k, len(o) - 1), pa.array(s), pa.array([shown[b] for b in best], pa.string()), pa.array(cos)], names=["doc_id", "score", "nearest", "cosine"])
+                yield pa.record_batch([batch.column(0).slice(k, len(o) - 1), pa.array(s), shown.take(pa.array(best, mask=best < 0)), pa.array(cos)], names=["doc_id", "score", "nearest", "cosine"])
 
     return map_texts(docs.select(id_col, text_col), run, f"doc_id {kind}, score double, nearest string, cosine double")
 

@@ -222,6 +222,16 @@ def test_toxicity(spark, sf_dir, docs):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_indexes_every_word(spark):
+    rows = [(k, f"plain words number{k} stand here") for k in range(40)] + [(40, "vile rareword here"), (41, "here rareword alone"), (42, "unknown")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(k, int(k == 40)) for k in range(41)], "doc_id bigint, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    assert set(model.words.to_pylist()) == {w for k, t in rows[:41] for w in t.split()} and model.bare == (0, 0)
+    assert set(got[41].nearest.split()) == {"vile", "rareword", "here"} and got[41].cosine > 0.5 and got[7].cosine == pytest.approx(1)
+    assert got[42].nearest is None and got[41].score > max(got[k].score for k in range(40))
+
+
 def test_language(spark, docs):
     known = spark.createDataFrame([("the cat and the dog " * 5, "en"), ("der hund und die katze " * 5, "de"), (None, "fr"), ("x", None)], "text string, lang string")
     model = language.fit(known)
