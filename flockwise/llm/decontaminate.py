@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds lead from passages to test items, Smith-Waterman alignment scores them.
 
 The items are a stated query set; they are taken in blocks of at most BLOCK_GRAMS n-grams, each of them against all documents. Words
-are runs of letters and digits, A-Z lower-cased. One pass counts in how many documents each n-gram of the block's items stands. An
-item's seeds are the rarest n-gram that starts in each SEGMENT of its words, however frequent that is, so that no item and no hot
-passage goes without seeds. A second pass finds the seeds in the documents and cuts out the passage around each, once per document,
-item and diagonal; a join with the items by seed gives the candidates, which are aligned (match 2, mismatch -1, gap -1). The
+are runs of letters and digits, A-Z lower-cased. Every n-gram of an item is a seed, so that a copy is only missed if its edits leave
+no WORDS words in a row. One pass finds the seeds in the documents, merges those of one document and item that lie on nearby
+diagonals, and aligns the union of their passages with the item (match 2, mismatch -1, gap -1). The
 score is the best local alignment's, divided by twice the item's number of words: 1 for an exact copy. Edited and paraphrased
 copies lose a share; THRESHOLD decides.
 
-Items of fewer than WORDS words are too short for seeds of WORDS words: their whole text is the one seed.
+Items of fewer than SHORT words have seeds of two words, as edits leave them few runs of WORDS; a single word is its own seed.
 
 Defined results: a null text has no words and is never contaminated, nor is an item without words found; rows that share a doc_id
 count as one document, as do items that share an item_id; a null doc_id or item_id is left out of the links and kept by
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import fresh, map_texts, materialize, mix, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
 from .toxicity import BREAK
 
-WORDS, SEGMENT, THRESHOLD, BLOCK_GRAMS = 3, 6, 0.5, 1_000_000
+WORDS, SHORT, THRESHOLD, BLOCK_GRAMS = 3, 16, 0.5, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PLACE = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -47,7 +46,7 @@ def _grams(w: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
 
 
 class Items:
-    """A block of test items: their words, n-grams and seeds."""
+    """A block of test items: their words, and their n-grams, which are the seeds."""
 
     def __init__(self, ids: list[int], texts: list[str], words: int):
         raw = [t.encode() for t in texts]
@@ -56,34 +55,25 @@ class Items:
         self.words, self.places = _words(np.frombuffer(b"".join(raw), np.uint8), offs)
         self.size = np.diff(self.places)
         item, self.at = ragged(self.size)
-        self.n = sorted({*np.minimum(self.size[self.size > 0], words).tolist()})  # lengths of n-grams
+        length = np.minimum(self.size, np.where(self.size < SHORT, min(words, 2), words))
+        self.n = sorted({*length[length > 0].tolist()})  # lengths of n-grams
         at, gram = [], []
         for n in self.n:
-            of = (np.minimum(self.size[item], words) == n) & (self.at + n <= self.size[item])
+            of = (length[item] == n) & (self.at + n <= self.size[item])
             at.append(np.flatnonzero(of))
             gram.append(_grams(self.words, self.places, n)[of])
         at, gram = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (gram, np.uint64)))
-        self.item, self.at, self.gram = item[at], self.at[at], gram
-        self.known = np.unique(gram)
-        self.seeds = self.known
-
-    def choose(self, df: dict[int, int], segment: int) -> None:
-        """The rarest n-gram of each segment."""
-        n = np.array([df.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        order = np.lexsort((self.gram, n, self.at // segment, self.item))
-        head = np.ones(len(order), bool)
-        i, s = self.item[order], (self.at // segment)[order]
-        head[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1])
-        self.item, self.at, self.gram = self.item[order][head], self.at[order][head], self.gram[order][head]
-        self.seeds = np.unique(self.gram)
-
-    def find(self, w: np.ndarray, places: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the words, index in `what`) of what documents hold."""
+        order = np.lexsort((at, gram))
+        self.item, self.at = item[at][order], self.at[at][order]
+        self.known, self.first, self.uses = np.unique(gram[order], return_index=True, return_counts=True)
+
+    def find(self, w: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the words, index in `known`) of the seeds that documents hold."""
         at, hit = [], []
         for n in self.n:
             g = _grams(w, places, n)
-            i = np.minimum(np.searchsorted(what, g), len(what) - 1)
-            ok = np.flatnonzero((what[i] == g) & (g != 0))
+            i = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
+            ok = np.flatnonzero((self.known[i] == g) & (g != 0))
             at.append(ok)
             hit.append(i[ok])
         return (np.concatenate(at), np.concatenate(hit)) if at else (np.zeros(0, np.int64),) * 2
@@ -125,81 +115,49 @@ def smith_waterman(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, segment: int = SEGMENT, threshold: float = THRESHOLD, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """-> doc_id, item_id, score: documents and the test items that they hold, at `threshold` or above."""
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, score double")
     for ids, of in blocks_of(benchmark, item_col, item_text_col, block_grams):
-        out = out.unionByName(_links(texts, Items(ids, of, words), segment, threshold))
+        out = out.unionByName(_links(texts, Items(ids, of, words), threshold))
     return out
 
 
-def _links(texts: DataFrame, items: Items, segment: int, threshold: float) -> DataFrame:
+def _links(texts: DataFrame, items: Items, threshold: float) -> DataFrame:
     spark = texts.sparkSession
     if not len(items.known):
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double")
     sent = spark.sparkContext.broadcast(items)  # block_grams n-grams at most
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent.value
-        n = np.zeros(len(s.known), np.int64)
-        for batch in batches:
-            for _, buf, offs in text_chunks(batch.column(1)):
-                w, places = _words(buf, offs)
-                at, hit = s.find(w, places, s.known)
-                doc = np.searchsorted(places, at, "right") - 1
-                n += np.bincount(np.unique(doc * len(n) + hit) % len(n), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(s.known[at].view(np.int64)), pa.array(n[at])], names=["gram", "n"])
-
-    df = map_texts(texts, count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    items.choose({r["gram"]: r["n"] for r in df.collect()}, segment)  # no more rows than the block has n-grams
-    seeded = spark.sparkContext.broadcast(items)
-    reach = int(items.size.max()) * 3 // 2 + 4
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = seeded.value
         for batch in batches:
             for i, buf, offs in text_chunks(batch.column(1)):
                 w, places = _words(buf, offs)
-                at, hit = s.find(w, places, s.seeds)
-                doc = np.searchsorted(places, at, "right") - 1
-                a, b = np.maximum(places[doc], at - reach), np.minimum(places[doc + 1], at + reach)
-                group, place = ragged(b - a)
-                ends = np.r_[0, np.cumsum(b - a)].astype(np.int32)
-                ids = batch.column(0).slice(i, len(offs) - 1).take(pa.array(doc))
-                yield pa.record_batch([ids, pa.array(s.seeds[hit].view(np.int64)), pa.array(at - places[doc]), pa.array((at - a).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(w[a[group] + place].view(np.int64)))], names=["doc_id", "seed", "at", "before", "passage"])
-
-    found = map_texts(texts, passages, "doc_id bigint, seed bigint, at bigint, before int, passage array<bigint>")
-    places = {}
-    for k, (a, b) in enumerate(zip(items.places, items.places[1:], strict=False)):
-        places[k] = items.words[a:b].view(np.int64).tolist()
-    seeds = spark.createDataFrame(
-        pa.table({"seed": items.gram.view(np.int64), "item_id": items.ids[items.item], "in_item": items.at, "item": [places[k] for k in items.item.tolist()]}), "seed bigint, item_id bigint, in_item bigint, item array<bigint>"
-    )
-    pairs = materialize(found).join(seeds, "seed")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            c = {n: batch.column(n) for n in batch.schema.names}
-            doc, item = c["doc_id"].to_numpy(), c["item_id"].to_numpy()
-            at, before, in_item = (c[n].to_numpy() for n in ("at", "before", "in_item"))
-            diagonal = (at - in_item) // 16  # nearby diagonals of one document and item lie in each other's passage
-            _, first = np.unique(np.stack([doc, item, diagonal]), axis=1, return_index=True)
-            x, y = [], []
-            for k in first.tolist():
-                p, q = np.asarray(c["passage"][k].values, np.int64).view(np.uint64), np.asarray(c["item"][k].values, np.int64).view(np.uint64)
-                lo = max(0, int(before[k]) - int(in_item[k]) - len(q) // 2)  # half the item's length may be inserted or missing
-                x.append(p[lo : int(before[k]) + len(q) - int(in_item[k]) + len(q) // 2])
-                y.append(q)
-            score = smith_waterman(x, y) / (MATCH * np.array([len(q) for q in y]))
-            ok = score >= threshold
-            yield pa.record_batch([pa.array(doc[first][ok]), pa.array(item[first][ok]), pa.array(score[ok])], names=["doc_id", "item_id", "score"])
-
-    aligned = pairs.select("doc_id", "item_id", "at", "before", "in_item", "passage", "item").mapInArrow(align, "doc_id bigint, item_id bigint, score double")
+                at, hit = s.find(w, places)
+                group, use = ragged(s.uses[hit])
+                use += s.first[hit][group]
+                doc, item = np.searchsorted(places, at[group], "right") - 1, s.item[use]
+                begin = at[group] - s.at[use]  # of the item, if nothing before the seed were inserted or missing
+                order = np.lexsort((begin, item, doc))
+                doc, item, begin = doc[order], item[order], begin[order]
+                head = np.ones(len(doc), bool)
+                head[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > s.size[item[1:]])
+                first = np.flatnonzero(head)
+                last = np.r_[first[1:], len(doc)][: len(first)] - 1
+                doc, item = doc[first], item[first]
+                size = s.size[item]
+                a = np.maximum(places[doc], begin[first] - size // 2)  # half the item's length may be inserted or missing
+                b = np.minimum(places[doc + 1], begin[last] + size + size // 2)
+                x, y = [w[p:q] for p, q in zip(a, b, strict=True)], [s.words[p:q] for p, q in zip(s.places[item], s.places[item + 1], strict=True)]
+                score = smith_waterman(x, y) / (MATCH * size)
+                ok = score >= threshold
+                ids = batch.column(0).slice(i, len(offs) - 1).take(pa.array(doc[ok]))
+                yield pa.record_batch([ids, pa.array(s.ids[item[ok]]), pa.array(score[ok])], names=["doc_id", "item_id", "score"])
+
+    aligned = map_texts(texts, align, "doc_id bigint, item_id bigint, score double")
     return aligned.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 

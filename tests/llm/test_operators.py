@@ -171,6 +171,22 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 == decontaminate.contaminated(docs, bench.limit(0)).count()
 
 
+def test_decontamination_finds_edited_copies(spark):
+    r = random.Random(11)
+    vocab = [f"w{k}" for k in range(3000)]
+    items = [" ".join(r.choice(vocab) for _ in range(n)) for n in (10, 16, 20, 27, 45) * 4]
+    rows, want = [], set()
+    for k in range(600):
+        i = r.randrange(len(items))
+        copy = [f"new{r.randrange(9999)}" if r.random() < 0.25 else w for w in items[i].split()]
+        text = [r.choice(vocab) for _ in range(40)] + copy + [r.choice(vocab) for _ in range(40)]
+        rows.append((k, " ".join(text)))
+        if brute.local_alignment(text, items[i].split()) >= len(copy):
+            want.add((k, i))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")).collect()}
+    assert got <= want and len(want) > 300 and len(want - got) <= 0.005 * len(want)
+
+
 def test_smith_waterman():
     r = random.Random(7)
     x, y = [[[r.randrange(1, 6) for _ in range(r.randrange(1, 30))] for _ in range(40)] for _ in range(2)]
