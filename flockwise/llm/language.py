@@ -73,10 +73,12 @@ class Model:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", examples: int = EXAMPLES) -> Model:
-    """On at most `examples` texts of each language."""
+    """On at most `examples` different texts of each language: copies of one text are one example."""
     spark = labelled.sparkSession
     known = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(label_col) != ""))
-    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}  # a row a language
+    # copies share a hash; counting different hashes moves no texts
+    different = known.select(F.col(label_col).alias("lang"), F.xxhash64(text_col, label_col).alias("h")).distinct()
+    counts = {r[0]: r[1] for r in different.groupBy("lang").count().collect()}  # a row a language
     langs = sorted(counts)
     none = Model(langs, np.zeros((len(langs), SLOTS)), np.zeros(len(langs)))
     if not langs:
@@ -87,7 +89,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang",
     few = known.where(h < share * F.lit(float(1 << 40))).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
     rows = spark.createDataFrame([], few.schema)
     for lang in langs:
-        rows = rows.unionByName(few.where(F.col("lang") == lang).orderBy("h", "text").limit(examples))
+        rows = rows.unionByName(few.where(F.col("lang") == lang).distinct().orderBy("h", "text").limit(examples))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -257,3 +257,15 @@ def test_language(spark, docs):
     some = docs.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "spans")
     assert language.keep_known(some, model).columns == some.columns
     assert language.identify(spark.createDataFrame(rows, "id bigint, text string, declared string, suffix string, domain string, host string").limit(0), model).count() == 0
+
+
+def test_language_counts_copies_once(spark):
+    r = random.Random(12)
+    texts = sorted({rng_text(r, 8) for _ in range(30)})
+    once = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    for copied in texts[:3]:
+        many = once.unionByName(spark.createDataFrame([(copied, "en")] * 60, once.schema))
+        a, b = (language.fit(d, examples=20) for d in (once, many))
+        assert a.langs == b.langs and np.array_equal(a.logp, b.logp)
+    full = language.fit(many, examples=1000)
+    assert np.array_equal(full.logp, language.fit(once, examples=1000).logp)
