@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). One of its own only where none is set and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -37,7 +39,27 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/flockwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what `materialize` wrote, once nothing reads it any more."""
+    path = _PATHS.pop(id(df), None)
+    if path is not None:
+        jvm = df.sparkSession.sparkContext._jvm
+        of = jvm.org.apache.hadoop.fs.Path(path)
+        of.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(of, True)
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written with a key of each row's own, and that column's name: joins by it hold for null and repeated ids."""
+    name = fresh(df, "_row")
+    return materialize(df.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -82,16 +104,12 @@ def ascii_lower(col):
 
 # ---------------------------------------------------------------- numpy scanning
 
-_SEED = np.random.default_rng(0x5EED)
-MULT = np.uint64(int(_SEED.integers(1 << 62, dtype=np.uint64)) * 2 + 1)
-INV = np.uint64(pow(int(MULT), -1, 1 << 64))
-BYTE_CODE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_CODE = BYTE_CODE[LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POW: dict[str, np.ndarray] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,30 +119,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of MULT and of its inverse, 0 to n."""
-    if len(_POW.get("p", ())) <= n:
-        size = 1 << max(21, int(n + 1).bit_length())
-        for k, m in (("p", MULT), ("q", INV)):
-            a = np.full(size, m, np.uint64)
-            a[0] = 1
-            _POW[k] = np.multiply.accumulate(a)
-    return _POW["p"], _POW["q"]
-
-
-def prefix_hash(buf: np.ndarray, code: np.ndarray = LOWER_CODE) -> np.ndarray:
-    """H with span_hash(H, a, b) a polynomial hash of bytes a to b."""
-    p, _ = powers(len(buf))
-    h = np.empty(len(buf) + 1, np.uint64)
-    h[0] = 0
-    np.cumsum(code[buf] * p[: len(buf)], out=h[1:])
-    return h
-
-
-def span_hash(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the bytes a to b; the length counts as well."""
-    _, q = powers(len(h))
-    return mix((h[b] - h[a]) * q[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def span_hash(buf: np.ndarray, a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Of the bytes a to b: each block of eight is mixed with its place before they are added, so the hash isn't linear in the bytes."""
+    if not len(a):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    word = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    size = b - a
+    count = np.maximum((size + 7) >> 3, 1)
+    group, place = ragged(count)
+    at = a[group] + 8 * place
+    block = word[at] & _MASK[np.minimum(b[group] - at, 8)]
+    x = mix(block ^ (place.astype(np.uint64) + np.uint64(salt * 2 + 1)) * _GOLD)
+    return mix(np.add.reduceat(x, np.cumsum(count) - count) + size.astype(np.uint64) * _GOLD)
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray, brk: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, map_texts, materialize, mix, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
+from .common import LOWER, fresh, map_texts, materialize, mix, ragged, span_hash, table, text_chunks, word_spans
 from .toxicity import BREAK
 
 WORDS, SHORT, THRESHOLD, BLOCK_GRAMS = 3, 16, 0.5, 1_000_000
@@ -33,7 +33,7 @@ _PLACE = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64) * np
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b, places = word_spans(buf, offs, BREAK)
-    return span_hash(prefix_hash(buf), a, b), places
+    return span_hash(LOWER[buf], a, b), places
 
 
 def _grams(w: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, mix, prefix_hash, span_hash, table, text_chunks, word_spans
+from .common import LOWER, map_texts, materialize, mix, span_hash, table, text_chunks, word_spans
 
 BINS, ROWS, AGREE, BLOCK = 64, 4, 40, 512
 _R = np.random.default_rng(85)
@@ -38,7 +38,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, words: int = 5) -> tuple[np.ndar
     """Distinct shingles of documents: hashes, sorted within a document, and n+1 places of the documents in them."""
     n = len(offs) - 1
     a, b, first = word_spans(buf, offs)
-    w = span_hash(prefix_hash(buf), a, b)
+    w = span_hash(LOWER[buf], a, b)
     count = np.diff(first)
     s = np.zeros(len(w), np.uint64)
     for k in range(words):

@@ -1,23 +1,32 @@
-"""PII: patterns, then information-theoretic sanitisation. DataFrame functions only on the main path.
-
-Base spans: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping per kind. The
-entities are the values found. A term (a word of the same line, up to `reach` characters away; not the outermost, which may be cut) reveals an entity as far as the
-corpus says so: with n(t) documents that hold the term, p(e|t) is n(e,t)/n(t) and PMI(t;e) = log2(p(e|t) N / n(e)). Where PMI
-reaches `disclosure` of the entity's whole information content IC(e) = log2(N / n(e)), the term discloses it. n(e,t) counts
-different contexts, so that copies of one text prove nothing, and at least `support` of them are asked for. Disclosing terms that
-also hold a digit or reveal it alone (PMI >= `removal` of IC) are removed, other ones generalised to [TERM]. Terms that overlap a
-base span stay part of that.
-
-Defined results: a null text is empty and has no spans; a null doc_id is a row like any other in the output of `find_base`, and
-takes no part in the corpus statistics; rows that share a doc_id share their added spans' terms; empty tables give no rows. Other columns are ignored.
+"""PII: patterns, then information-theoretic sanitisation. DataFrame functions only.
+
+Base spans: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping per kind. These four
+and credentials (a marker such as `token =` and what follows it) are the protected entities, by kind.
+
+A term reveals a kind as far as the corpus says so. Terms are words, and the shapes of words that mix letters and digits (their
+alphabet and length), since such a word hardly occurs twice. Counts are of units: a document without entities is one, and documents
+with the very same entities are one together, so that copies prove nothing. With n(t) units that hold the term, n(k) that hold an
+entity of the kind and n(k,t) that hold both, PMI(t;k) = log2(n(k,t) N / (n(t) n(k))), and the kind's information content is
+IC(k) = log2(N / n(k)). A term discloses the kind where PMI >= `disclosure` of IC and the units are evidence of it: n(t) times the
+divergence of n(k,t)/n(t) from n(k)/N, in nats, reaches `evidence` (chance reaches that in one of exp(-evidence) cases). Wherever a
+disclosing term stands in a document with an entity of its kind, it is removed if it is a shape, or else generalised to [TERM]. What
+overlaps a base span stays part of that; markers themselves are left alone.
+
+Rows have a key of their own from the first step on, so null and repeated ids never meet another row's text.
+
+Defined results: a null text is empty and has no spans, and stays null in `sanitise`; null ids and repeated ids and rows are rows like
+any other; very long texts are located and cut in time in proportion to their length; empty tables give no rows. Other columns are
+passed on by `sanitise` and otherwise ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table
+from .common import materialize, table
 
 #: Possessive forms of the base patterns. A mail address starts where a run of its characters does, or where the last match ended:
 #: within a run no later start can succeed where the first one fails.
@@ -28,11 +37,20 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: Markers of a credential, fixed: what follows one is protected.
+MARKERS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "private_key", "credential")
+CREDENTIAL = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(MARKERS) + r")[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[^\x20\x09-\x0D]{1,128}"
+CLASSES = (*KINDS, "credential")
 #: Each kind's text holds this; it is looked for first.
-HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "credential": r"(?i)[a-z][\"']?[\x20\t]{0,3}[:=]"}
 WORD = r"[\p{L}\p{N}_]{3,}"
 SPANS = "array<struct<start:int,end:int,value:string>>"
+ADDED = "array<struct<kind:string,start:int,end:int,removed:boolean>>"
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+#: Elements to a block of a running total; code points to a piece of a text that is cut.
+BLOCK, PIECE = 128, 1024
+#: So many candidate terms at most are broadcast; with more, all words are counted and joined.
+BROADCAST_TERMS = 100_000
 
 
 def _digits(v):
@@ -64,127 +82,165 @@ def _valid(kind: str, v):
     return F.lit(True)
 
 
-def _located(text, matches):
-    """Places of a pattern's successive matches: each is the first occurrence of its value after the last match, for an earlier
-    occurrence would itself have been matched."""
-    kind = f"struct<at:int,spans:{SPANS}>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")).cast(kind)
+def _running(df: DataFrame, names: list[str], add) -> DataFrame:
+    """Each array column of ints becomes its running totals before each element (0 first), in blocks, as arrays grow by copying."""
+    kind = "struct<t:int,out:array<int>>"
 
-    def step(acc, v):
-        start = F.position(v, text, acc.at + 1) - 1
-        span = F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"))
-        return F.struct((start + F.length(v)).alias("at"), F.concat(acc.spans, F.array(span)).alias("spans")).cast(kind)
+    def run(values):
+        first = F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, first, lambda acc, x: F.struct(add(acc.t, x).alias("t"), F.concat(acc.out, F.array(acc.t)).alias("out")).cast(kind))
 
-    return F.aggregate(matches, first, step).spans
+    def blocks(c):
+        of = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / BLOCK).cast("int")), lambda k: run(F.slice(c, k * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(c) > 0, of).otherwise(F.array().cast(f"array<{kind}>"))
 
+    def joined(c):
+        return F.flatten(F.zip_with(c, run(F.transform(c, lambda b: b.t)).out, lambda b, o: F.transform(b.out, lambda v: add(v, o))))
 
-def _spans(text, pattern: str, hint: str | None = None):
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return found if hint is None else F.when(text.rlike(hint), found)
+    df = df.select(*[blocks(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[joined(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def _valid_only(kind: str):
-    return F.filter(kind, lambda s: _valid(kind, s.value))
+def locate(df: DataFrame, patterns: dict[str, str], hints: dict[str, str]) -> DataFrame:
+    """df with a column more for each pattern: where its successive matches lie in `text`, array<struct<start,end,value>>, in code points.
 
+    The text is split by the pattern once: a match starts where all pieces and matches before it end.
+    """
+    text, had = F.col("text"), df.columns
 
-def _entities(kind: str):
-    return F.transform(kind, lambda s: F.struct(F.concat(F.lit(kind + ":"), s.value).alias("entity"), s.start.alias("start"), s.end.alias("end")))
+    def found(n):
+        all_ = F.regexp_extract_all(text, F.lit(patterns[n]), F.lit(0))
+        return (F.when(text.rlike(hints[n]), all_) if n in hints else all_).alias(f"{n}_v")
 
+    df = df.select("*", *[found(n) for n in patterns])
+    df = df.select("*", *[F.when(F.size(f"{n}_v") > 0, F.transform(F.slice(F.split(text, patterns[n], -1), F.lit(1), F.size(f"{n}_v")), lambda g: F.length(g))).alias(f"{n}_g") for n in patterns])
+    df = df.select("*", *[F.zip_with(f"{n}_g", f"{n}_v", lambda g, v: g + F.length(v)).alias(f"{n}_p") for n in patterns])
+    df = _running(df, [f"{n}_p" for n in patterns], lambda a, b: a + b)
+    df = df.select("*", *[F.zip_with(f"{n}_p", f"{n}_g", lambda p, g: p + g).alias(f"{n}_s") for n in patterns])
+    span = lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value"))
+    return df.select(*had, *[F.when(F.size(f"{n}_v") > 0, F.zip_with(f"{n}_s", f"{n}_v", span)).otherwise(F.array().cast(SPANS)).alias(n) for n in patterns])
 
-def _base(kind: str):
-    return F.transform(F.sort_array(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end"), F.lit(False).alias("removed")))
+
+def _valid_only(kind: str):
+    return F.filter(kind, lambda s: _valid(kind, s.value))
 
 
-def _count(kind: str):
-    return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+def _values(kind: str):
+    return F.transform(kind, lambda s: F.concat(F.lit(kind + ":"), s.value))
 
 
-def find_base(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> doc_id, text, email, ip, card, phone: arrays of (start, end, value), in code points."""
-    none = F.array().cast(SPANS)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = out.select("doc_id", "text", *[_spans(F.col("text"), PATTERNS[k], HINT[k]).alias(k) for k in KINDS])
-    out = out.select("doc_id", "text", *[F.coalesce(F.when(F.size(k) > 0, _located(F.col("text"), F.col(k))), none).alias(k) for k in KINDS])
-    return out.select("doc_id", "text", *[_valid_only(k).alias(k) for k in KINDS])
-
-
-def with_contexts(found: DataFrame, *, reach: int) -> DataFrame:
-    """Without the text: doc_id, the base spans, and contexts: array<struct<entity, c, at>> of what stands near each on its line."""
-    any_ = F.concat(*[_entities(k) for k in KINDS])
-    text = F.col("text")
-
-    def around(e):
-        from_ = F.greatest(e.start - reach, F.lit(0))
-        before = F.substring_index(F.substring(text, from_ + 1, e.start - from_), "\n", -1)
-        before = F.regexp_replace(before, r"^[\p{L}\p{N}_]+", "")  # it may be cut
-        after = F.regexp_replace(F.substring_index(F.substring(text, e.end + 1, F.lit(reach)), "\n", 1), r"[\p{L}\p{N}_]+$", "")
-        return F.array(
-            F.struct(e.entity.alias("entity"), before.alias("c"), (e.start - F.length(before)).alias("at"), F.xxhash64(before, after).alias("context")),
-            F.struct(e.entity.alias("entity"), after.alias("c"), e.end.alias("at"), F.xxhash64(before, after).alias("context")),
-        )
-
-    return found.select("doc_id", *KINDS, F.flatten(F.transform(any_, around)).alias("contexts"))
-
-
-def _terms(near: DataFrame) -> DataFrame:
-    """-> doc_id, entity, context, term, start, end: words of contexts."""
-    c = near.where(F.col("doc_id").isNotNull() & (F.size("contexts") > 0)).select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.*")
-    c = c.select("doc_id", "entity", "context", "at", F.explode(_located(F.col("c"), _spans(F.col("c"), WORD))).alias("w"))
-    return c.select("doc_id", "entity", "context", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-
-
-def disclosing_terms(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = 3, disclosure: float = 0.8, removal: float = 0.95) -> DataFrame:
-    """-> entity, term, pmi, ic, removed. Counts cover every document."""
-    seen = terms.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
-    pairs = materialize(seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
-    n_e = terms.groupBy("entity", "doc_id").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    known = docs.where(F.col(id_col).isNotNull())
-    words = known.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))  # of every word: combined in each task before it is dealt out
-    total = known.agg(F.count("*").alias("n"))  # one row
-    pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    out = pairs.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total)).select("entity", "term", pmi.alias("pmi"), F.log2(F.col("n") / F.col("n_e")).alias("ic"))
-    out = out.where((F.col("pmi") >= disclosure * F.col("ic")) & (F.col("ic") > 0))
-    return out.withColumn("removed", (F.col("pmi") >= removal * F.col("ic")) | F.col("term").rlike("[0-9]"))
-
-
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, **thresholds) -> DataFrame:
-    """-> doc_id, base and added spans: arrays of (kind, start, end, removed), each by kind as listed and start."""
-    near = materialize(with_contexts(find_base(docs, id_col=id_col, text_col=text_col), reach=reach))
-    terms = materialize(_terms(near))
-    told = disclosing_terms(docs, terms, id_col=id_col, text_col=text_col, **thresholds).select("entity", "term", "removed")
-    kind = "array<struct<start:int,end:int,removed:boolean>>"
-    added = terms.join(told, ["entity", "term"]).groupBy("doc_id", "start", "end").agg(F.max("removed").alias("removed"))
-    added = added.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).cast(kind).alias("added"))
-    base = F.concat(*[_base(k) for k in KINDS])
-    out = near.select("doc_id", base.alias("base")).join(added, "doc_id", "left")
-    free = F.filter(F.coalesce("added", F.array().cast(kind)), lambda a: ~F.exists("base", lambda b: (b.start < a.end) & (a.start < b.end)))
-    return out.select("doc_id", "base", F.transform(free, lambda a: F.struct(F.lit("term").alias("kind"), a.start.alias("start"), a.end.alias("end"), a.removed.alias("removed"))).alias("added"))
-
-
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with its texts cleaned: base spans become tags, disclosing terms [TERM] or nothing. doc_id must be unique."""
-    spans = find_pii(docs, id_col=id_col, text_col=text_col, **how).where((F.size("base") > 0) | (F.size("added") > 0))
-    own, found = fresh(docs, "_pii_id"), fresh(docs, "_pii")
-    spans = spans.select(F.col("doc_id").alias(own), F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(b.end - a.end)).alias(found))
-    kind, text = "struct<at:int,out:array<string>>", F.col(text_col)
-
-    def put(acc, s):
-        tag = F.when(s.removed, "").otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv]), s.kind))
-        piece = F.concat(F.substring(text, acc.at + 1, s.start - acc.at), tag)
-        fresh = s.start >= acc.at
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(fresh, F.concat(acc.out, F.array(piece))).otherwise(acc.out).alias("out")).cast(kind)
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
-    done = F.aggregate(found, first, put, lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(text, acc.at + 1, F.length(text))))
-    joined = docs.join(spans, docs[id_col] == spans[own], "left")
-    return joined.select(*[F.coalesce(done, text).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+def _base(kind: str):
+    return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end"), F.lit(False).alias("removed")))
+
+
+def find_base(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """-> row (a key), d (the row of docs), text, and email, ip, card, phone, credential: arrays of (start, end, value)."""
+    out = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = locate(out, {**PATTERNS, "credential": CREDENTIAL}, HINT)
+    return out.select("row", "d", "text", *[_valid_only(k).alias(k) if k in KINDS else F.col(k) for k in CLASSES])
+
+
+def _shape(w):
+    alphabet = F.when(w.rlike("^[0-9a-f]+$"), "hex").otherwise("mixed")
+    return F.when((F.length(w) >= 8) & w.rlike("[0-9]") & w.rlike("[a-z]"), F.concat(F.lit("#"), alphabet, F.lit(":"), F.length(w).cast("string")))
+
+
+def _terms(text):
+    """A text's different words and shapes."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(_shape(w).isNull(), F.array(w)).otherwise(F.array(w, _shape(w))))))
+
+
+def disclosing_terms(work: DataFrame, *, disclosure: float = 0.8, evidence: float = 20.0) -> DataFrame:
+    """work(row, text, has: which classes, unit: null without any) -> term, kinds: booleans, by class."""
+    spark = work.sparkSession
+    flags = [F.col("has")[i].alias(f"k{i}") for i in range(len(CLASSES))]
+    unit = work.where(F.col("unit").isNotNull()).select("unit", *flags).distinct()
+    sums = [F.coalesce(F.sum(F.col(f"k{i}").cast("long")), F.lit(0)).alias(f"k{i}") for i in range(len(CLASSES))]
+    totals = unit.agg(F.count("*").alias("n"), *sums).first()  # one row
+    total = totals["n"] + work.where(F.col("unit").isNull()).count()
+    classes = [i for i in range(len(CLASSES)) if 0 < totals[f"k{i}"] < total]
+    if not classes:
+        return spark.createDataFrame([], "term string, kinds array<boolean>")
+
+    def tells(i, n, both):
+        """Both thresholds, for a term of n units, `both` of which hold class i."""
+        p = totals[f"k{i}"] / total
+        share = both / n
+        rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+        return (both > 0) & (F.log2(share / p) >= disclosure * math.log2(1 / p)) & (n * (share * F.log(share / p) + rest) >= evidence)
+
+    terms = work.where(F.col("unit").isNotNull()).select("unit", *flags, F.explode(_terms(F.col("text"))).alias("term")).distinct()
+    held = terms.groupBy("term").agg(F.count("*").alias("n"), *[F.sum(F.col(f"k{i}").cast("long")).alias(f"k{i}") for i in range(len(CLASSES))])
+    # units without entities can only lower a share
+    may = F.lit(False)
+    for i in classes:
+        may = may | tells(i, F.col("n"), F.col(f"k{i}"))
+    held = materialize(held.where(may))
+    words = work.where(F.col("unit").isNull()).select(F.explode(_terms(F.col("text"))).alias("term"))
+    if held.count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(held.select("term")), "term", "left_semi")
+    free = words.groupBy("term").agg(F.count("*").alias("free"))
+    out = held.join(free, "term", "left").withColumn("n", F.col("n") + F.coalesce("free", F.lit(0)))
+    kinds = F.array(*[tells(i, F.col("n"), F.col(f"k{i}")) if i in classes else F.lit(False) for i in range(len(CLASSES))])
+    return materialize(out.select("term", kinds.alias("kinds")).where(F.exists("kinds", lambda k: k) & ~F.col("term").isin(*MARKERS)))
+
+
+def find_pii(docs: DataFrame, *, text_col: str = "text", **thresholds) -> DataFrame:
+    """-> row, d (the row of docs), text, base, added: arrays of (kind, start, end, removed), each by kind as listed and start."""
+    found = find_base(docs, text_col=text_col)
+    values = F.array_sort(F.array_distinct(F.concat(*[_values(k) for k in CLASSES])))
+    base = F.concat(*[_base(k) for k in KINDS]).cast(ADDED)
+    has = F.array(*[F.size(k) > 0 for k in CLASSES])
+    work = found.select("row", "d", "text", base.alias("base"), has.alias("has"), F.when(F.exists(has, lambda x: x), F.xxhash64(values)).alias("unit"))
+    work = materialize(work)
+    told = disclosing_terms(work, **thresholds)
+    some = work.where(F.col("unit").isNotNull())
+    held = some.select("row", "has", F.explode(_terms(F.col("text"))).alias("term")).join(told, "term")
+    held = held.where(F.exists(F.zip_with("has", "kinds", lambda a, b: a & b), lambda x: x)).groupBy("row").agg(F.collect_set("term").alias("told"))
+    some = some.join(held, "row", "left").select("row", "d", "text", "base", "told")
+    yes = locate(some.where(F.col("told").isNotNull()), {"words": WORD}, {})
+    hit = F.filter("words", lambda w: F.array_contains("told", F.lower(w.value)) | F.coalesce(F.array_contains("told", _shape(F.lower(w.value))), F.lit(False)))
+    yes = yes.select("row", "d", "text", "base", "told", hit.alias("words"))
+    added = F.transform("words", lambda w: F.struct(F.lit("term").alias("kind"), w.start.alias("start"), w.end.alias("end"), F.coalesce(F.array_contains("told", _shape(F.lower(w.value))), F.lit(False)).alias("removed")))
+    free = F.filter(added, lambda a: ~F.exists("base", lambda b: (b.start < a.end) & (a.start < b.end)))
+    columns = ["row", "d", "text", "base"]
+    none = F.array().cast(ADDED).alias("added")
+    plain = some.where(F.col("told").isNull()).select(*columns, none)
+    return yes.select(*columns, free.cast(ADDED).alias("added")).unionAll(plain).unionAll(work.where(F.col("unit").isNull()).select(*columns, none))
+
+
+def sanitise(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """docs with its texts cleaned: base spans become tags, disclosing terms [TERM] or nothing."""
+    found = find_pii(docs, text_col=text_col, **how)
+    spans = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(b.end - a.end))
+    found = found.select("d", "text", spans.alias("spans"))
+    dirty = F.size("spans") > 0
+    found = found.select("d", "text", "spans", F.transform("spans", lambda s: s.end).alias("before"), F.when(dirty, F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PIECE), F.lit(0))).alias("pieces"))
+    found = _running(found, ["before"], lambda a, b: F.greatest(a, b))  # where what is already replaced ends
+
+    def cut(a, b):
+        """The text from a to b, out of the few pieces that it touches."""
+        first = F.floor(a / PIECE).cast("int")
+        some = F.slice("pieces", first + 1, F.greatest(F.floor((b - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
+        return F.when(b > a, F.substring(F.array_join(some, ""), a - first * PIECE + 1, b - a)).otherwise("")
+
+    tag = lambda s: F.when(s.removed, "").otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv]), s.kind))
+    out = F.array_join(F.zip_with("spans", "before", lambda s, at: F.when(s.start >= at, F.concat(cut(at, s.start), tag(s))).otherwise("")), "")
+    end = F.array_max(F.transform("spans", lambda s: s.end))
+    clean = F.when(dirty, F.concat(out, cut(end, F.length("text")))).otherwise(F.col("d")[text_col])
+    return found.select(*[clean.alias(c) if c == text_col else F.col("d")[c].alias(c) for c in docs.columns])
 
 
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
+def _count(kind: str):
+    return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[_count(k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_term"))
+    """Every document's base spans and those of disclosing terms."""
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("d")["doc_id"].alias("doc_id"), *[_count(k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_term"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

@@ -6,7 +6,7 @@ all leftmost merges of it at once, and compaction, until no pair remains. Mergin
 where no pair with the new piece ranks before the piece itself; for other pieces only the leftmost is merged.
 
 The model (identity normaliser, dummy prefix, byte fallback) is read on the driver and travels with the task; it is a file of
-some hundred kB. Tasks keep the cuts that they have seen, up to CACHE_CUTS, and nothing else.
+some hundred kB. Tasks keep the cuts that they have seen, up to CACHE_CUTS of them and CACHE_IDS ids, and nothing else.
 
 Defined results: a null text is empty, an empty text is the begin and end ids alone; repeated rows each have their result; empty
 tables give no rows. Other columns are ignored.
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, map_texts, prefix_hash, ragged, span_hash, table, text_chunks
+from .common import map_texts, ragged, span_hash, table, text_chunks
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
-CACHE_CUTS = 200_000
+CACHE_CUTS, CACHE_IDS = 200_000, 1 << 22
 FAR = np.int64(1 << 40)
 
 
@@ -198,8 +198,6 @@ class Encoder:
             g, q = ragged(n[alone])
             ids[np.repeat(bare, reps)] = p.byte_id[text[at[alone][g] + q]]
         size_cut = np.bincount(part_cut[np.repeat(tok_part, reps)], minlength=len(a))
-        if len(self.known) + len(keys) > CACHE_CUTS:
-            self._reset()
         start = np.cumsum(size_cut) - size_cut + len(self.store)
         self.store = np.concatenate([self.store, ids.astype(np.int32)])
         order = np.argsort(known := np.concatenate([self.known, keys]))
@@ -227,13 +225,13 @@ class Encoder:
         start[1:] |= (gap[1:] & ~gap[:-1]) | line[1:] | line[:-1]
         a = np.flatnonzero(start)
         b = np.r_[a[1:], len(wide)]
-        key = span_hash(prefix_hash(wide, BYTE_CODE), a, b)
+        key = span_hash(wide, a, b)
         unique, first, back = np.unique(key, return_index=True, return_inverse=True)
         i = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
         new = self.known[i] != unique if len(self.known) else np.ones(len(unique), bool)
         if new.any():
             had = len(self.known)
-            if had + int(new.sum()) > CACHE_CUTS:
+            if had + int(new.sum()) > CACHE_CUTS or len(self.store) > CACHE_IDS:
                 self._reset()
                 new[:] = True
             self._learn(unique[new], wide, a[first[new]], b[first[new]])

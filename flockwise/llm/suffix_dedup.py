@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, bucketed, map_texts, mix, prefix_hash, ragged, span_hash, table, text_chunks
+from .common import bucketed, map_texts, mix, ragged, span_hash, table, text_chunks
 
 LENGTH, GRAM, CHUNK, SHARD = 50, 20, 1 << 21, 1 << 22
 BUCKETS, BUCKET_BYTES = 256, 1 << 25
@@ -270,8 +270,7 @@ def smallest_ids(key: np.ndarray, data: np.ndarray, offs: np.ndarray, ids: np.nd
     """Of each window of each context, in turn: the smallest id that holds it; and the n+1 places of the contexts in them."""
     n = np.diff(offs) - length + 1
     places = np.r_[0, np.cumsum(n)]
-    h = prefix_hash(data, BYTE_CODE)
-    what = span_hash(h, offs[:-1], offs[1:]) ^ mix(key)
+    what = span_hash(data, offs[:-1], offs[1:]) ^ mix(key)
     _, first, back = np.unique(what, return_index=True, return_inverse=True)
     least = np.full(len(first), NO_ID)
     np.minimum.at(least, back, ids)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, prefix_hash, ragged, span_hash, table, text_chunks, word_spans
+from .common import LOWER, map_texts, ragged, span_hash, table, text_chunks, word_spans
 
 EXAMPLES, K, BLOCK = 20_000, 15, 64
 #: Terms that are kept as a matrix; what sums of single precision may be off by.
@@ -45,7 +45,7 @@ BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (A-Z lower-cased), and n+1 places of the documents in them."""
     a, b, places = word_spans(buf, offs, BREAK)
-    return span_hash(prefix_hash(buf), a, b), places
+    return span_hash(LOWER[buf], a, b), places
 
 
 def term_counts(buf: np.ndarray, offs: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
-from flockwise.llm import ann, chat, decontaminate, language, minhash, pii, registry, sentencepiece_bpe, suffix_dedup, toxicity, url_filter
+from flockwise.llm import ann, chat, common, decontaminate, language, minhash, registry, sentencepiece_bpe, suffix_dedup, toxicity, url_filter
 
 from . import brute
 
@@ -53,21 +53,6 @@ def column(sf_dir, table, *names):
     return list(zip(*(t[n] for n in names)))
 
 
-def test_pii(docs, odd, empty):
-    found = {r.doc_id: r for r in pii.find_pii(docs).collect()}
-    for i, text in odd:
-        assert [(s.kind, s.start, s.end) for s in found[i].base] == brute.base_spans(text), i
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert "[EMAIL]" in clean[30] and "[CARD]" in clean[30] and "[PHONE]" in clean[30] and "10.0.0.256" in clean[30] and clean[4] is None and clean[1] == odd[0][1]
-    assert pii.find_pii(empty).count() == 0 and pii.sanitise(empty).columns == docs.columns
-
-
-def test_pii_terms(spark):
-    rows = [(k, f"note {w} agent falcon uses k@x.org {w} here") for k, w in enumerate(["red", "green", "blue", "white"])] + [(k, "plain words stand here") for k in range(4, 60)]
-    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert all("falcon" not in out[k] and "k@x.org" not in out[k] for k in range(4)) and out[10] == "plain words stand here"
-
-
 def test_sentencepiece(docs, odd, empty):
     model = sentencepiece_bpe.model_bytes()
     p = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -77,6 +62,29 @@ def test_sentencepiece(docs, odd, empty):
     assert sentencepiece_bpe.encode_texts(empty, model).count() == 0
 
 
+def test_sentencepiece_query(spark, sf_dir):
+    p = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_bpe.model_bytes())
+    out = registry.queries()["op2_sentencepiece"](spark, sf_dir)
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema.fields] == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert got == {i: brute.encoded(p, t) for i, t in column(sf_dir, "documents", "doc_id", "text")}
+
+
+def test_hashes_tell_swapped_words_apart():
+    """Words that polynomial hashes modulo 2**64 confuse."""
+    bits = "a"
+    for _ in range(11):
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    buf = np.frombuffer((bits + other).encode(), np.uint8)
+    h = common.span_hash(buf, np.array([0, 2048]), np.array([2048, 4096]))
+    assert h[0] != h[1]
+    e, p = sentencepiece_bpe.Encoder(sentencepiece_bpe.model_bytes()), sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_bpe.model_bytes())
+    raw = [bits.encode(), other.encode(), bits.encode()]
+    ids, places = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.arange(4) * 2048)
+    assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [p.encode(x.decode()) for x in raw]
+
+
 def test_near_duplicates(docs, odd, empty):
     want = brute.near_components(dict(odd))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
