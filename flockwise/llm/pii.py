@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import cut, materialize, pieces, running, table
 
 #: Possessive forms of the base patterns. A mail address starts where a run of its characters does, or where the last match ended:
 #: within a run no later start can succeed where the first one fails.
@@ -47,8 +47,6 @@ WORD = r"[\p{L}\p{N}_]{3,}"
 SPANS = "array<struct<start:int,end:int,value:string>>"
 ADDED = "array<struct<kind:string,start:int,end:int,removed:boolean>>"
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Elements to a block of a running total; code points to a piece of a text that is cut.
-BLOCK, PIECE = 128, 1024
 #: So many candidate terms at most are broadcast; with more, all words are counted and joined.
 BROADCAST_TERMS = 100_000
 
@@ -82,25 +80,6 @@ def _valid(kind: str, v):
     return F.lit(True)
 
 
-def _running(df: DataFrame, names: list[str], add) -> DataFrame:
-    """Each array column of ints becomes its running totals before each element (0 first), in blocks, as arrays grow by copying."""
-    kind = "struct<t:int,out:array<int>>"
-
-    def run(values):
-        first = F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(values, first, lambda acc, x: F.struct(add(acc.t, x).alias("t"), F.concat(acc.out, F.array(acc.t)).alias("out")).cast(kind))
-
-    def blocks(c):
-        of = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / BLOCK).cast("int")), lambda k: run(F.slice(c, k * BLOCK + 1, F.lit(BLOCK))))
-        return F.when(F.size(c) > 0, of).otherwise(F.array().cast(f"array<{kind}>"))
-
-    def joined(c):
-        return F.flatten(F.zip_with(c, run(F.transform(c, lambda b: b.t)).out, lambda b, o: F.transform(b.out, lambda v: add(v, o))))
-
-    df = df.select(*[blocks(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
-    return df.select(*[joined(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
-
-
 def locate(df: DataFrame, patterns: dict[str, str], hints: dict[str, str]) -> DataFrame:
     """df with a column more for each pattern: where its successive matches lie in `text`, array<struct<start,end,value>>, in code points.
 
@@ -115,7 +94,7 @@ def locate(df: DataFrame, patterns: dict[str, str], hints: dict[str, str]) -> Da
     df = df.select("*", *[found(n) for n in patterns])
     df = df.select("*", *[F.when(F.size(f"{n}_v") > 0, F.transform(F.slice(F.split(text, patterns[n], -1), F.lit(1), F.size(f"{n}_v")), lambda g: F.length(g))).alias(f"{n}_g") for n in patterns])
     df = df.select("*", *[F.zip_with(f"{n}_g", f"{n}_v", lambda g, v: g + F.length(v)).alias(f"{n}_p") for n in patterns])
-    df = _running(df, [f"{n}_p" for n in patterns], lambda a, b: a + b)
+    df = running(df, [f"{n}_p" for n in patterns], lambda a, b: a + b)
     df = df.select("*", *[F.zip_with(f"{n}_p", f"{n}_g", lambda p, g: p + g).alias(f"{n}_s") for n in patterns])
     span = lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value"))
     return df.select(*had, *[F.when(F.size(f"{n}_v") > 0, F.zip_with(f"{n}_s", f"{n}_v", span)).otherwise(F.array().cast(SPANS)).alias(n) for n in patterns])
@@ -192,8 +171,8 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", **thresholds) -> DataFr
     values = F.array_sort(F.array_distinct(F.concat(*[_values(k) for k in CLASSES])))
     base = F.concat(*[_base(k) for k in KINDS]).cast(ADDED)
     has = F.array(*[F.size(k) > 0 for k in CLASSES])
-    work = found.select("row", "d", "text", base.alias("base"), has.alias("has"), F.when(F.exists(has, lambda x: x), F.xxhash64(values)).alias("unit"))
-    work = materialize(work)
+    work = found.select("row", "d", base.alias("base"), has.alias("has"), F.when(F.exists(has, lambda x: x), F.xxhash64(values)).alias("unit"))
+    work = materialize(work).withColumn("text", F.coalesce(F.col("d")[text_col], F.lit("")))
     told = disclosing_terms(work, **thresholds)
     some = work.where(F.col("unit").isNotNull())
     held = some.select("row", "has", F.explode(_terms(F.col("text"))).alias("term")).join(told, "term")
@@ -216,19 +195,13 @@ def sanitise(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
     spans = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(b.end - a.end))
     found = found.select("d", "text", spans.alias("spans"))
     dirty = F.size("spans") > 0
-    found = found.select("d", "text", "spans", F.transform("spans", lambda s: s.end).alias("before"), F.when(dirty, F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PIECE), F.lit(0))).alias("pieces"))
-    found = _running(found, ["before"], lambda a, b: F.greatest(a, b))  # where what is already replaced ends
-
-    def cut(a, b):
-        """The text from a to b, out of the few pieces that it touches."""
-        first = F.floor(a / PIECE).cast("int")
-        some = F.slice("pieces", first + 1, F.greatest(F.floor((b - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
-        return F.when(b > a, F.substring(F.array_join(some, ""), a - first * PIECE + 1, b - a)).otherwise("")
+    found = found.select("d", "text", "spans", F.transform("spans", lambda s: s.end).alias("before"), F.when(dirty, pieces("text")).alias("pieces"))
+    found = running(found, ["before"], lambda a, b: F.greatest(a, b))  # where what is already replaced ends
 
     tag = lambda s: F.when(s.removed, "").otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv]), s.kind))
-    out = F.array_join(F.zip_with("spans", "before", lambda s, at: F.when(s.start >= at, F.concat(cut(at, s.start), tag(s))).otherwise("")), "")
+    out = F.array_join(F.zip_with("spans", "before", lambda s, at: F.when(s.start >= at, F.concat(cut("pieces", at, s.start), tag(s))).otherwise("")), "")
     end = F.array_max(F.transform("spans", lambda s: s.end))
-    clean = F.when(dirty, F.concat(out, cut(end, F.length("text")))).otherwise(F.col("d")[text_col])
+    clean = F.when(dirty, F.concat(out, cut("pieces", end, F.length("text")))).otherwise(F.col("d")[text_col])
     return found.select(*[clean.alias(c) if c == text_col else F.col("d")[c].alias(c) for c in docs.columns])
 
 
