@@ -2,7 +2,8 @@
 
 Events (conv_id, turn, seq, event, role, text) are dealt by conversation and block of turns, sorted by (turn, seq) and folded:
 `message` opens a message, `delta` adds to the one that is open in its turn, `edit` replaces its text, `regenerate` empties it.
-Blocks are folded and rendered apart, so that a huge conversation meets only as finished blocks in the one row that it becomes.
+Blocks are folded and rendered apart, so that a huge conversation meets only as finished blocks in the one row that it becomes; the
+mask is placed in that row's text by running totals, and read back from it piece by piece.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` a message. In texts and roles a backslash is doubled and `<|` becomes `<\\|`; in
 roles a newline gets a backslash as well. So neither mark can occur inside a text, and unescaping gives it back exactly.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, pieces, running, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Turns to a block; a block is what one task folds at once.
@@ -53,17 +54,11 @@ def _fold(events):
         kept = F.when(starts, done).otherwise(F.slice(done, 1, F.size(done) - 1))
         return F.concat(kept, F.array(new)).cast(kind)
 
-    # a run of plain messages needs no fold
-    plain = F.transform(events, lambda e: F.struct(e.turn.alias("turn"), e.role.alias("role"), e.text.alias("text"))).cast(kind)
-    folded = F.aggregate(events, F.array().cast(kind), step)
-    return F.when(F.forall(events, lambda e: e.event == "message"), plain).otherwise(folded)
+    return F.aggregate(events, F.array().cast(kind), step)
 
 
 def format_chats(events: DataFrame, *, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """-> conv_id, formatted, loss_spans: array<struct<start,len>> of assistant texts, in code points from 0, blocks.
-
-    blocks: the same output and mask in pieces of whole messages, each mask counted within its piece.
-    """
+    """-> conv_id, formatted, loss_spans: array<struct<start,len>> of assistant texts, in code points of `formatted` from 0."""
     e = events.select(
         "conv_id", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block_turns).alias("block"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("event", F.lit("message")).alias("event")).alias("e"),
@@ -71,11 +66,11 @@ def format_chats(events: DataFrame, *, block_turns: int = BLOCK_TURNS) -> DataFr
     blocks = e.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("e")).alias("es"))
     body = F.transform(_fold(F.col("es")), lambda m: F.struct(F.concat(F.lit(OPEN), escape_role(m.role), F.lit("\n")).alias("head"), escape(m.text).alias("text"), (m.role == "assistant").alias("loss")))
     blocks = blocks.select("conv_id", "block", body.alias("ms"))
-    kind = "struct<at:bigint,spans:array<struct<start:bigint,len:bigint>>>"
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("spans")).cast(kind)
+    kind = "struct<at:int,spans:array<struct<start:int,len:int>>>"
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans")).cast(kind)
 
     def place(acc, m):
-        at, n = acc.at + F.length(m["head"]), F.length(m["text"]).cast("long")
+        at, n = acc.at + F.length(m["head"]), F.length(m["text"])
         spans = F.when(m["loss"], F.concat(acc.spans, F.array(F.struct(at.alias("start"), n.alias("len"))))).otherwise(acc.spans)
         return F.struct((at + n + len(CLOSE)).alias("at"), spans.alias("spans")).cast(kind)
 
@@ -83,15 +78,16 @@ def format_chats(events: DataFrame, *, block_turns: int = BLOCK_TURNS) -> DataFr
     done = blocks.select("conv_id", "block", whole.alias("s"), F.aggregate("ms", first, place).alias("p"))
     done = done.select("conv_id", F.struct("block", "s", F.col("p.at").alias("n"), F.col("p.spans").alias("spans")).alias("b"))
     chats = done.groupBy("conv_id").agg(F.sort_array(F.collect_list("b")).alias("bs"))
+    chats = running(chats.select("conv_id", "bs", F.transform("bs", lambda b: b.n).alias("before")), ["before"], lambda a, b: a + b)
+    moved = F.zip_with("bs", "before", lambda b, at: F.transform(b.spans, lambda x: F.struct((x.start + at).alias("start"), x["len"].alias("len"))))
+    return chats.select("conv_id", F.array_join(F.transform("bs", lambda b: b.s), "").alias("formatted"), F.flatten(moved).alias("loss_spans"))
 
-    def shift(acc, b):
-        moved = F.transform(b.spans, lambda x: F.struct((x.start + acc.at).alias("start"), x["len"].alias("len")))
-        return F.struct((acc.at + b.n).alias("at"), F.concat(acc.spans, moved).alias("spans")).cast(kind)
 
-    return chats.select(
-        "conv_id", F.array_join(F.transform("bs", lambda b: b.s), "").alias("formatted"), F.aggregate("bs", first, shift).spans.alias("loss_spans"),
-        F.transform("bs", lambda b: F.struct(b.s.alias("text"), b.spans.alias("loss_spans"))).alias("blocks"),
-    )
+def loss_text(chats: DataFrame) -> DataFrame:
+    """chats with `loss`: what stands under the mask in `formatted`, unescaped."""
+    parts = chats.select("*", pieces("formatted").alias("_pieces"))
+    under = F.transform("loss_spans", lambda s: unescape(cut("_pieces", s.start, s.start + s["len"])))
+    return parts.select(*chats.columns, F.array_join(under, "").alias("loss"))
 
 
 def parse_chats(formatted):
@@ -111,8 +107,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     chats = format_chats(events_of_turns(rows.unionByName(extra)))
-    read = chats.select("conv_id", parse_chats(F.col("formatted")).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"),
-        F.array_join(F.transform("blocks", lambda b: F.array_join(F.transform(b.loss_spans, lambda s: unescape(F.substring(b.text, s.start.cast("int") + 1, s.len.cast("int")))), "")), "").alias("loss"))
+    read = loss_text(chats).select("conv_id", parse_chats(F.col("formatted")).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"), "loss")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),

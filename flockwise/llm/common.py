@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 19
 #: Rows of text that a Python task holds at once.
 BATCH_ROWS = 1000
+#: Elements to a block of a running total; code points to a piece of a text that is cut.
+BLOCK, PIECE = 128, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +104,37 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def running(df: DataFrame, names: list[str], add) -> DataFrame:
+    """Each array column of ints becomes its running totals before each element (0 first), in blocks, as arrays grow by copying."""
+    kind = "struct<t:int,out:array<int>>"
+
+    def run(values):
+        first = F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, first, lambda acc, x: F.struct(add(acc.t, x).alias("t"), F.concat(acc.out, F.array(acc.t)).alias("out")).cast(kind))
+
+    def blocks(c):
+        of = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / BLOCK).cast("int")), lambda k: run(F.slice(c, k * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(c) > 0, of).otherwise(F.array().cast(f"array<{kind}>"))
+
+    def joined(c):
+        return F.flatten(F.zip_with(c, run(F.transform(c, lambda b: b.t)).out, lambda b, o: F.transform(b.out, lambda v: add(v, o))))
+
+    df = df.select(*[blocks(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[joined(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def pieces(text):
+    """A text in pieces of PIECE code points, for `cut`."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
+
+def cut(parts: str, a, b):
+    """The text from a to b out of a column of its pieces, of which it reads only those that it touches."""
+    first = F.floor(a / PIECE).cast("int")
+    some = F.slice(parts, first + 1, F.greatest(F.floor((b - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
+    return F.when(b > a, F.substring(F.array_join(some, ""), (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+
 # ---------------------------------------------------------------- numpy scanning
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -9,9 +9,11 @@ copies lose a share; THRESHOLD decides.
 
 Items of fewer than SHORT words have seeds of two words, as edits leave them few runs of WORDS; a single word is its own seed.
 
-Defined results: a null text has no words and is never contaminated, nor is an item without words found; rows that share a doc_id
-count as one document, as do items that share an item_id; a null doc_id or item_id is left out of the links and kept by
-`decontaminate`; empty tables give no rows. Other columns are ignored.
+Defined results: a null text has no words and is never contaminated, nor is an item without words found. Links are between ids: rows
+that share a doc_id are one document of several texts, items that share an item_id one item of several texts, and the best score of
+any two counts; null ids have no links. `decontaminate` gives rows a key of their own instead: each is judged by its own text, with a
+null or repeated id too. Very long texts take time in proportion to their length; empty tables give no rows. Other columns are
+ignored, or passed on by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, map_texts, materialize, mix, ragged, span_hash, table, text_chunks, word_spans
+from .common import LOWER, keyed, map_texts, materialize, mix, ragged, span_hash, table, text_chunks, word_spans
 from .toxicity import BREAK
 
 WORDS, SHORT, THRESHOLD, BLOCK_GRAMS = 3, 16, 0.5, 1_000_000
@@ -80,9 +82,10 @@ class Items:
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Items in turn, so many that they have about `limit` words."""
+    """Items in turn (each different text of one is a part of its own), so many that they have about `limit` words."""
     ids, texts, size = [], [], 0
-    for r in items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.min(text_col).alias("t")).orderBy("i").toLocalIterator():
+    known = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    for r in known.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct().orderBy("i", "t").toLocalIterator():
         ids.append(r["i"])
         texts.append(r["t"])
         size += len(r["t"].split()) + 1
@@ -161,11 +164,11 @@ def _links(texts: DataFrame, items: Items, threshold: float) -> DataFrame:
     return aligned.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the contaminated ones."""
-    name = fresh(docs, "_bad")
-    bad = materialize(contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(bad, docs[id_col] == bad[name], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """docs without the contaminated rows."""
+    docs, row = keyed(docs)
+    bad = materialize(contaminated(docs.select(row, text_col), benchmark, id_col=row, text_col=text_col, **how).select(F.col("doc_id").alias(row)).distinct())
+    return docs.join(bad, row, "left_anti").drop(row)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

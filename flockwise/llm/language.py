@@ -5,15 +5,16 @@ address suffix, and the host's prior. The n-gram models are fitted on at most EX
 hash). Everything else is counted over all rows by grouped aggregation: how often each declared value comes with each language that the
 texts alone suggest, and the mix of languages of each suffix, registered domain and host. The mixes are smoothed from level to level:
 a host's prior is its own soft counts and STRENGTH rows' worth of its domain's, that of its suffix's, that of the whole table's.
-A row's own share is taken out of its host's counts first, so that no text is evidence twice.
+A row's own share is taken out of the counts of every level and of its declared value first, so that no text is evidence twice.
 
-A text's log likelihood is per byte n-gram, times at most EVIDENCE n-grams: neighbours in a text aren't independent. A text is
-rejected (`lang` null) if it holds no letters, if its n-grams are less likely under each language than `floor` nats below that
+A text's log likelihood is divided by the number of n-grams that read each byte (the sum of ORDERS), as those tell the same thing.
+A text is rejected (`lang` null) if it holds no letters, if its n-grams are less likely under each language than `floor` nats below that
 language's own texts (NOISE / sqrt(n) more for n n-grams, as short texts vary), or if the posterior is under `confidence`.
 
 Defined results: null texts, marks and hosts are empty strings, which are values like others; a text without letters is decided
-by the other evidence but rejected; ties go to the first language in order of name; rows that share an id are each judged; empty
-tables give no rows. Other columns are ignored; the id may be null.
+by the other evidence but rejected; ties go to the first language in order of name; rows that share an id, or have none, are each judged
+alone (`keep_known` gives rows a key of their own); very long texts and markup take time in proportion to their length; empty tables
+give no rows. Other columns are ignored, or passed on by `keep_known`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, map_texts, materialize, table, text_chunks
-from .url_filter import url_parts
+from .common import LOWER, keyed, map_texts, materialize, table, text_chunks
+from .url_filter import host_levels, url_parts
 
-EXAMPLES, SLOTS, ORDERS, EVIDENCE, STRENGTH = 500, 1 << 15, (2, 3), 60, 20.0
+EXAMPLES, SLOTS, ORDERS, STRENGTH = 500, 1 << 15, (2, 3), 20.0
 FLOOR, NOISE, CONFIDENCE = 2.5, 20.0, 0.5
 #: Names of languages in markup that mean one of ours: the part before - or _ is looked at.
 LETTER = np.zeros(256, bool)
@@ -131,7 +132,7 @@ def identify(rows: DataFrame, model: Model, *, confidence: float = CONFIDENCE, f
             for i, buf, offs in text_chunks(batch.column(1)):
                 mean, m = model.texts(buf, offs)
                 odd = (model.usual - mean).min(axis=1)
-                logs = mean * np.minimum(m, EVIDENCE)[:, None]
+                logs = mean * m[:, None] / sum(ORDERS)
                 size = len(m)
                 at = pa.array((np.arange(size + 1) * n).astype(np.int32))
                 yield pa.record_batch([*(batch.column(c).slice(i, size) for c in (0, 2, 3, 4, 5)), pa.ListArray.from_arrays(at, pa.array(logs.ravel())), pa.array(m.astype(np.int64)), pa.array(odd)], names=["id", "declared", "suffix", "domain", "host", "logs", "n_grams", "odd"])
@@ -141,23 +142,22 @@ def identify(rows: DataFrame, model: Model, *, confidence: float = CONFIDENCE, f
     seen = materialize(seen.withColumn("p", _normal(F.col("logs"))))
     hosts = materialize(_soft_counts(seen, ["suffix", "domain", "host"], n))
     up = lambda keys: hosts.groupBy(*keys).agg(F.array(*[F.sum(F.col("c")[k]) for k in range(n)]).alias("c"))
-    whole = up([]).first()["c"] or [0.0] * n  # one row
-    whole = [(c or 0.0) + 1.0 for c in whole]
-    base = F.array(*[F.lit(c / sum(whole)) for c in whole])
+    whole = [(c or 0.0) + 1.0 for c in up([]).first()["c"] or [0.0] * n]  # one row
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    others = lambda c: F.zip_with(c, "p", lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
     def smoothed(counts, prior):
         return F.zip_with(counts, prior, lambda c, p: (c + strength * p) / (total(counts) + strength))
 
-    suffixes = up(["suffix"]).select("suffix", smoothed(F.col("c"), base).alias("ps"))
-    domains = up(["suffix", "domain"]).join(suffixes, "suffix").select("suffix", "domain", smoothed(F.col("c"), F.col("ps")).alias("pd"))
-    priors = hosts.join(domains, ["suffix", "domain"]).select("suffix", "domain", "host", "c", "pd")
-    # what each declared value means: soft counts of the languages, shrunk to none of it telling anything
-    declared = _soft_counts(seen, ["declared"], n).select("declared", smoothed(F.col("c"), base).alias("dd"))
-    own = F.transform(F.zip_with("c", "p", lambda a, b: a - b), lambda v: F.greatest(v, F.lit(0.0)))
-    joined = seen.join(priors, ["suffix", "domain", "host"], "left").join(declared, "declared", "left")
-    prior = smoothed(own, F.col("pd"))
-    told = F.zip_with("dd", base, lambda a, b: F.log(a) - F.log(b))  # log P(declared | language), but for a constant
+    domains = up(["suffix", "domain"]).withColumnRenamed("c", "cd").join(up(["suffix"]).withColumnRenamed("c", "cs"), "suffix")
+    levels = materialize(hosts.join(domains, ["suffix", "domain"]))
+    declared = materialize(_soft_counts(seen, ["declared"], n).withColumnRenamed("c", "dd"))
+    joined = seen.join(levels, ["suffix", "domain", "host"]).join(declared, "declared")
+    # counts of the other rows, by level
+    joined = joined.select("id", "declared", "host", "n_grams", "odd", "logs", "p", F.zip_with(F.array(*[F.lit(c) for c in whole]), "p", lambda c, p: (c - p) / (sum(whole) - 1)).alias("base"), *[others(c).alias(c) for c in ("c", "cd", "cs", "dd")])
+    base, prior = F.col("base"), smoothed(F.col("c"), smoothed(F.col("cd"), smoothed(F.col("cs"), F.col("base"))))
+    # what the declared value means, shrunk to none of it telling anything: log P(declared | language), but for a constant
+    told = F.zip_with(smoothed(F.col("dd"), base), base, lambda a, b: F.log(a) - F.log(b))
     logs = F.zip_with(F.zip_with("logs", prior, lambda a, b: a + F.log(b)), told, lambda a, b: a + b)
     names = F.array(*[F.lit(x) for x in langs])
     argmax = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
@@ -167,14 +167,34 @@ def identify(rows: DataFrame, model: Model, *, confidence: float = CONFIDENCE, f
     return out.select("id", F.when(sure, best).alias("lang"), best.alias("best"), F.round(posterior, 6).alias("posterior"), "declared", "host", argmax(F.col("p")).alias("text_lang"), "n_grams")
 
 
-def host_levels(host) -> tuple:
-    """Suffix and registered domain of a host column."""
-    return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+_OPEN = re.compile(r"<!--|<(script|style)\b", re.I)
+_CLOSE = {"": re.compile("-->"), **{k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}}
+_TAG = re.compile(r"<[^<>]*>")
+_HTML = re.compile(r"<html\b([^>]*)", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
 
 
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_TAG = re.compile(r"<[^<>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+def visible(markup: str) -> str:
+    """Its text: scripts, styles, comments and tags are spaces. An opening that nothing closes is looked up once."""
+    out, at, open_ = [], 0, set()
+    for m in _OPEN.finditer(markup):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in open_:
+            continue
+        end = _CLOSE[kind].search(markup, m.end())
+        if end is None:
+            open_.add(kind)
+            continue
+        out.append(markup[at : m.start()])
+        at = end.end()
+    out.append(markup[at:])
+    return html_lib.unescape(_TAG.sub(" ", " ".join(out))).encode("utf-8", "replace").decode()
+
+
+def declared_language(markup: str) -> str:
+    tag = _HTML.search(markup)
+    m = _LANG.search(tag[1]) if tag else None
+    return m[1].lower() if m else ""
 
 
 def page_texts(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -184,20 +204,18 @@ def page_texts(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "ht
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [x or "" for x in batch.column(1).to_pylist()]
-            said = [m[1].lower() if (m := _LANG.search(x)) else "" for x in raw]
-            text = [html_lib.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", x))) for x in raw]
-            text = [x.encode("utf-8", "replace").decode() for x in text]
+            said, text = [declared_language(x) for x in raw], [visible(x) for x in raw]
             yield pa.record_batch([batch.column(0), pa.array(text, pa.string()), pa.array(said, pa.string()), batch.column(2)], names=["id", "text", "declared", "url"])
 
     return map_texts(pages.select(id_col, html_col, url_col), run, f"id {kind}, text string, declared string, url string")
 
 
 def keep_known(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", **how) -> DataFrame:
-    """docs without those that are rejected; doc_id must be unique. A source stands for the host."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col(host_col).alias("host"))
-    name = fresh(docs, "_bad")
-    bad = materialize(identify(rows, model, **how).where(F.col("lang").isNull()).select(F.col("id").alias(name)))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad[name]), "left_anti")
+    """docs without those rows that are rejected. A source stands for the host."""
+    docs, row = keyed(docs)
+    rows = docs.select(F.col(row).alias("id"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col(host_col).alias("host"))
+    bad = materialize(identify(rows, model, **how).where(F.col("lang").isNull()).select(F.col("id").alias(row)))
+    return docs.join(bad, row, "left_anti").drop(row)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat.ORACLE_OP6}
+    return {"op5_url_filter": url_filter.ORACLE_OP5, "op6_chat_format": chat.ORACLE_OP6}

@@ -15,10 +15,26 @@ def test_stages(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).columns == docs.columns, name
 
 
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Null and repeated ids, nulls in any column, exact repeats and clashing names."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and length(text) between 300 and 900").orderBy("doc_id").limit(12)
+    odd = base.selectExpr("cast(null as bigint) as doc_id", "concat(text, ' mail me at a.b@c.org') as text", "lang", "source", "n_chars").limit(1)
+    docs = base.unionAll(base.limit(2)).unionAll(odd).unionAll(base.selectExpr("doc_id", "cast(null as string)", "cast(null as string)", "cast(null as string)", "cast(null as bigint)").limit(1))
+    docs = docs.selectExpr("*", *[f"'x' as {c}" for c in ("_row", "d", "row", "spans", "base", "label")])
+    counts = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        counts.append(docs.count())
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_row", "d", "row", "spans", "base", "label"], name
+    rows = docs.collect()
+    assert counts[0] == 15 and counts[1] <= 13 and not any("a.b@c.org" in r.text for r in rows) and len({r.text for r in rows}) == len(rows)
+    assert all(r.n_chars == len(r.text) for r in rows)
+
+
 def test_run(spark, sf_dir):
     t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
     texts = dict(zip(t["doc_id"], t["text"]))
-    near = brute.near_components(texts)
+    near = brute.near_components(texts, 80)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = {r.doc_id for r in decontaminate.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), bench).collect()}
     items = [x.split() for x in pq.read_table(f"{sf_dir}/benchmark.parquet")["text"].to_pylist()]
@@ -28,6 +44,6 @@ def test_run(spark, sf_dir):
     assert set(got) == {d for d in texts if near[d][1] == d} - leaks  # each document is in a known language
     p = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_bpe.model_bytes())
     for d, r in got.items():
-        if not brute.base_spans(texts[d]):
+        if not brute.base_spans(texts[d]) and "token" not in texts[d].lower():
             assert r.ids == p.encode(texts[d], add_bos=True, add_eos=True)
         assert r.n_tokens == len(r.ids)
