@@ -1,22 +1,23 @@
 """Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF over a block-max inverted index, and distance-weighted votes.
 
-Fit: at most EXAMPLES labelled documents (those of the least hash of doc_id) are the examples, and every word of theirs is a term.
-Document frequencies of the terms count every document. A term weighs idf * (1 + z * z), z being how many standard errors its share
-of toxic examples is off the share of all: no term is left out, and those that tell labels apart decide which examples are near. A
-text's vector has (1 + ln tf) times these weights, at length 1; examples of one direction are kept once, with their numbers of toxic
-and clean labels. The index's bytes travel with the tasks.
-
-Search: the COMMON terms of most examples are a matrix, the others have posting lists. Examples lie in blocks of BLOCK, with the
-largest weight of each common term in each block. Posting lists are summed for all examples; a query's bound on a block is the best
-of these sums there and its common weights times the block's largest. Blocks that can't reach the K-th best are left out, common
-terms are added in the others, and those that are near enough to the K-th are summed again in double precision, so that the K
-nearest are exact. Each votes with the labels it stands for, weighted by
-1 / (0.05 + 1 - cosine); votes are shrunk to the share of toxic labels among all examples. A text that shares no term with any
-example has no neighbour at a distance; it is scored by the examples without words.
-
-Defined results: a null text is empty and scored like any text without terms; rows that share a doc_id are each scored; a null
-doc_id is scored and never an example; without labels every score is the prior, 0.5 of no examples; empty tables give no rows.
-Other columns are ignored.
+Fit: at most EXAMPLES labelled documents (those of the least hash of doc_id) are the examples, and every word of theirs is a term; a
+word that no example holds weighs nothing. Document frequencies of the terms count every document. A term weighs idf * (1 + z * z), z
+being how many standard errors its share of toxic examples is off the share of all: no term is left out, and those that tell labels
+apart decide which examples are near. A text's vector has (1 + ln tf) times these weights, at length 1; examples of one direction are
+kept once, with their numbers of toxic and clean labels. The index's bytes travel with the tasks.
+
+Search: the COMMON terms of most examples are a matrix, the others have posting lists, which are summed for all examples. Examples lie
+in blocks of BLOCK, with the largest weight of each common term and the greatest length of the common part in each block. The best
+examples by postings of the best blocks are summed exactly: the least of those K is a bound from below on the K-th best. A block is
+left out if its best sum of postings and the lesser of two bounds on the common terms (by the block's largest weights, and by lengths)
+don't reach it; in the others, examples that may reach it are summed, and those near enough to the K-th once more in double
+precision, so that the K nearest are exact. Each votes with the labels it stands for, weighted by 1 / (0.05 + 1 - cosine); votes are
+shrunk to the share of toxic labels among all examples. A text that shares no term with any example has no neighbour at a distance;
+it is scored by the examples without words.
+
+Defined results: a null text is empty and scored like any text without terms; rows that share a doc_id are each scored, and the least
+of their texts is the example; a null doc_id is scored and never an example; without labels every score is the prior, 0.5 of no
+examples; very long texts are scored whole; empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_texts, ragged, span_hash, table, text_chunks, word_spans
+from .common import LOWER, map_texts, materialize, ragged, span_hash, table, text_chunks, word_spans
 
 EXAMPLES, K, BLOCK = 20_000, 15, 64
 #: Terms that are kept as a matrix; what sums of single precision may be off by.
@@ -85,6 +86,8 @@ class Index:
         dense = at >= 0
         self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
         self.dense[self.example[dense], at[dense]] = self.weight[dense]
+        self.length = np.sqrt((self.dense * self.dense).sum(axis=1))
+        self.reach = self.length.reshape(self.blocks, BLOCK).max(axis=1) if self.n else np.zeros(0, np.float32)
         self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1) if self.n else np.zeros((0, len(common)), np.float32)
         t, self.post, self.post_weight = (x[~dense] for x in (self.term, self.example, self.weight))
         order = np.argsort(t, kind="stable")
@@ -103,10 +106,12 @@ class Index:
             self._nearest(doc[a:b] - i, term[a:b], weight[a:b], best[i:j], cos[i:j], k, lookup)
         return best, cos
 
-    def _kth(self, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each block's best; a bound from below on the k-th best score, as k blocks reach it."""
-        top = score.reshape(len(score), self.blocks, BLOCK).max(axis=2)
-        return top, np.partition(top, self.blocks - k, axis=1)[:, self.blocks - k] if self.blocks >= k else np.zeros(len(score), np.float32)
+    def _sums(self, score: np.ndarray, query: np.ndarray, row: np.ndarray, example: np.ndarray) -> np.ndarray:
+        """Of postings and common terms, in single precision."""
+        out = score[row, example]
+        for a in range(0, len(row), 4096):
+            out[a : a + 4096] += np.einsum("ij,ij->i", query[row[a : a + 4096]], self.dense[example[a : a + 4096]])
+        return out
 
     def _nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, best: np.ndarray, cos: np.ndarray, k: int, lookup: np.ndarray) -> None:
         n, width = len(best), self.blocks * BLOCK
@@ -119,13 +124,24 @@ class Index:
         group, place = ragged(size)
         place += self.post_start[t][group]
         score = np.bincount(d[group] * width + self.post[place], w[group] * self.post_weight[place], minlength=n * width).astype(np.float32).reshape(n, width)
-        top, low = self._kth(score, k)
-        live = top + query @ self.most.T >= low[:, None] - ROUND
-        for b in np.flatnonzero(live.any(axis=0)).tolist():
-            rows, block = np.flatnonzero(live[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-            score[rows, block] += query[rows] @ self.dense[block].T
-        _, low = self._kth(score, k)
-        row, example = np.nonzero((score >= low[:, None] - ROUND) & (score > 0))
+        by_block = score.reshape(n, self.blocks, BLOCK)
+        top = by_block.max(axis=2)
+        low = np.zeros(n, np.float32)
+        if self.blocks >= k:
+            first = np.argpartition(-top, k - 1, axis=1)[:, :k]
+            one = first * BLOCK + np.take_along_axis(by_block.argmax(axis=2), first, 1)
+            row = np.repeat(np.arange(n), k)
+            low = self._sums(score, query, row, one.ravel()).reshape(n, k).min(axis=1)
+        length = np.sqrt((query * query).sum(axis=1))
+        live = top + np.minimum(query @ self.most.T, length[:, None] * self.reach[None]) >= low[:, None] - ROUND
+        row, block = np.nonzero(live)
+        part = by_block[row, block]  # (live blocks, BLOCK)
+        may = part + length[row][:, None] * self.length.reshape(self.blocks, BLOCK)[block] >= (low - ROUND)[row][:, None]
+        i, place = np.nonzero(may)
+        row, example = row[i], block[i] * BLOCK + place
+        sums = self._sums(score, query, row, example)
+        keep = (sums > 0) & (sums >= (low - ROUND)[row])
+        row, example, sums = row[keep], example[keep], sums[keep]
         first = np.searchsorted(row, np.arange(n + 1))
         start = np.searchsorted(doc, np.arange(n + 1))
         for r in range(n):
@@ -133,7 +149,7 @@ class Index:
             if not len(e):
                 continue
             if len(e) > k:
-                s = score[r, e]
+                s = sums[first[r] : first[r + 1]]
                 e = e[s >= np.partition(s, len(s) - k)[len(s) - k] - ROUND]
             mine = slice(start[r], start[r + 1])
             lookup[term[mine]] = weight[mine]
@@ -181,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(examples)  # `examples` rows at most
-    mine = docs.join(F.broadcast(chosen), docs["id"] == F.col("_id")).select("_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    mine = docs.join(F.broadcast(chosen), docs["id"] == F.col("_id")).groupBy("_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # `examples` rows at most
+    mine = materialize(mine)
     words = F.array_distinct(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0)))
     totals = mine.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
     n, t = totals["n"] or 0, totals["t"] or 0

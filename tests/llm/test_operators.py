@@ -1,6 +1,7 @@
 """The operators against brute force: on the small tables, and on rows with nulls, ties, repeats and clashing columns."""
 
 import random
+import re
 import zlib
 
 import duckdb
@@ -363,6 +364,61 @@ def test_toxicity(spark, sf_dir, docs):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_against_brute_force(spark, sf_dir):
+    """Scores of the query from dense vectors over every word of the examples, every document against every example."""
+    word = re.compile("[a-z0-9\x80-\U0010ffff]+")
+    texts = {i: [w for w in word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))] for i, t in column(sf_dir, "documents", "doc_id", "text")}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    labels = {i: y for i, y in column(sf_dir, "labels", "doc_id", "toxic") if i in texts and not held[i]}
+    terms = {w: k for k, w in enumerate(sorted({w for i in labels for w in texts[i]}))}
+    df = np.zeros(len(terms))
+    for ws in texts.values():
+        for w in set(ws) & terms.keys():
+            df[terms[w]] += 1
+    y = np.array(list(labels.values()))
+    seen, toxic = np.zeros(len(terms)), np.zeros(len(terms))
+    for i, label in labels.items():
+        for w in set(texts[i]):
+            seen[terms[w]] += 1
+            toxic[terms[w]] += label
+    share = y.mean()
+    z = np.maximum(np.abs(toxic - seen * share) - 0.5, 0) / np.sqrt(seen * share * (1 - share) + 1)
+    weight = (np.log((1 + len(texts)) / (1 + df)) + 1e-3) * (1 + z * z)
+
+    def vector(i):
+        v = np.zeros(len(terms))
+        for w in texts[i]:
+            if w in terms:
+                v[terms[w]] += 1
+        v = np.where(v > 0, (1 + np.log(np.maximum(v, 1))) * weight, 0)
+        norm = np.sqrt((v * v).sum())
+        return v / norm if norm else v
+
+    ids = [i for i in labels if texts[i]]
+    rows = np.round(np.stack([vector(i) for i in ids]), 9)
+    back = {}
+    for k, row in enumerate(rows):
+        back.setdefault(row.tobytes(), []).append(k)
+    groups = list(back.values())
+    votes = np.array([[sum(1 - labels[ids[k]] for k in g), sum(labels[ids[k]] for k in g)] for g in groups], float)
+    index, got = rows[[g[0] for g in groups]], {r.doc_id: r for r in registry.queries()["op7_toxicity"](spark, sf_dir).collect()}
+    bad = 0
+    for i in texts:
+        c = np.round(index @ vector(i), 12)
+        best = np.argsort(-c, kind="stable")[: toxicity.K]
+        best = best[c[best] > 0]
+        if len(best):
+            w = (1 / (1.05 - c[best]))[:, None] * votes[best]
+            want = (w[:, 1].sum() + share) / (w.sum() + 1)
+            assert abs(got[i].cosine - c[best[0]]) < 1e-9
+        else:
+            want = None
+        tie = len(c) > toxicity.K and (np.sort(-c)[toxicity.K - 1] == np.sort(-c)[toxicity.K])
+        bad += want is not None and abs(got[i].score - want) > 1e-9 and not tie
+        assert got[i].held_out == held[i] and got[i].predicted == int(got[i].score >= 0.5)
+    assert bad == 0 and len(terms) > 1000
+
+
 def test_toxicity_indexes_every_word(spark):
     rows = [(k, f"plain words number{k} stand here") for k in range(40)] + [(40, "vile rareword here"), (41, "here rareword alone"), (42, "unknown")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
