@@ -14,7 +14,7 @@ all on full sets:
    one again. Each class is compared with the pivot of most of its buckets: linear work, and no bucket meets in one task.
 2. Within buckets that then still hold several components, classes of different components are compared if the sizes of their sets
    allow the similarity: buckets are cut by size class, and those parts into blocks of bounded bytes. A pair that shares several
-   buckets is compared in the first.
+   buckets is compared in the first, and a block passes on only links that join two of its components.
 
 Defined results: a null text is empty; a null doc_id is linked with nothing, kept, and has a null component; rows that share a
 doc_id are each judged by their own set, under that id; repeated rows are rows each; empty tables give no rows. Other columns are
@@ -199,16 +199,20 @@ def within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sets_ = [np.frombuffer(v.as_py(), np.uint64) for v in t["set"]]
         bands = np.asarray(t["bands"].combine_chunks().flatten()).reshape(len(t), -1)
         size, right = np.array([len(x) for x in sets_]), (role & 2) > 0
-        out = set()
+        of = label.copy()  # components as far as the block has found them; only what joins two of them goes out
+        out = []
         for i in np.flatnonzero((role & 1) > 0).tolist():
-            ok = right & (label != label[i]) & ((upper == 1) | (node < node[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            ok = right & (of != of[i]) & ((upper == 1) | (node < node[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             at = np.flatnonzero(ok)
             same = bands[at] == bands[i]  # the first bucket that both are in
             at = at[bands[at, same.argmax(axis=1)] == band[0]]
             if len(at):
                 inter = _shared(sets_[i], [sets_[k] for k in at])
                 hit = at[100 * inter >= percent * (size[i] + size[at] - inter)]
-                out |= {(int(label[i]), x) for x in label[hit].tolist()}
+                if len(hit):
+                    met, first = np.unique(of[hit], return_index=True)
+                    out += [(int(label[i]), x) for x in label[hit[first]].tolist()]
+                    of[np.isin(of, met)] = of[i]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return dealt.groupBy("band", "c", "l", "r").applyInArrow(pairs, "a bigint, b bigint")
