@@ -10,7 +10,7 @@ rows by brute force, and of the choices that find RECALL of their true neighbour
 tables; vectors without structure have no near neighbours, and most rows must then be compared, whatever the hash.
 
 Equal vectors are one class, of which a search needs the K + 1 smallest ids at most; they are pre-aggregated in salted windows, so
-that a vector of a third of all rows costs no more than another. Buckets are dealt out in parts of PART classes by QPART queries, so
+that a vector of a third of all rows costs no more than another. Buckets are dealt out in parts of PART_BYTES of vectors by QPART queries, so
 no task holds a whole large bucket or all of its visitors. Every row is indexed. Queries with fewer than K candidates in their
 buckets (few rows in all) are compared with every class, dealt out likewise.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix, table
 
-PART, QPART, SAMPLE, CALIBRATE, RECALL = 2048, 512, 2000, 60, 0.97
+PART_BYTES, QPART, QSLICE, SAMPLE, CALIBRATE, RECALL = 1 << 24, 512, 64, 2000, 60, 0.97
 #: What is tried: tables, projections to a table, widths in spreads of the projections; most probes of a table.
 CHOICES = [(t, m, w) for t in (2, 4) for m in (4, 6, 8, 10, 12, 16) for w in (0.5, 1.0, 1.5)]
 PROBES = 500
@@ -234,19 +234,20 @@ def _nearest(of: DataFrame, q: DataFrame, dim: int, rows_: int, k: int, recall:
         lists = near.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
         return q.join(lists, (q.h1 == lists.q1) & (q.h2 == lists.q2)).select("query_id", F.slice(F.filter("near", lambda c: c.vec_id != F.col("query_id")), 1, k).alias("near"), "h1", "h2")
 
-    lists = materialize(ranked(_met(rows, probes, k)))
+    lists = materialize(ranked(_met(rows, probes, dim, k)))
     done = lists.where(F.size("near") >= k)
     rest = materialize(asked.join(done.select(F.col("h1").alias("q1"), F.col("h2").alias("q2")), ["q1", "q2"], "left_anti"))
     if rest.limit(1).count():
         one = F.lit(0).cast("long").alias("bucket")
-        done = done.unionAll(ranked(_met(of.select(one, "h1", "h2", "x"), rest.select(one, "q1", "q2", "q"), k)))
+        done = done.unionAll(ranked(_met(of.select(one, "h1", "h2", "x"), rest.select(one, "q1", "q2", "q"), dim, k)))
     return done.select("query_id", F.posexplode("near").alias("at", "c")).select("query_id", (F.col("at") + 1).alias("rank"), "c.vec_id", "c.score")
 
 
-def _met(rows: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """rows(bucket, h1, h2, x), probes(bucket, q1, q2, q) -> q1, q2, h1, h2, score: the k + 1 nearest classes of each query in each
-    bucket and all that tie with the last, each pair once. Parts of buckets meet parts of their visitors."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+def _met(rows: DataFrame, probes: DataFrame, dim: int, k: int) -> DataFrame:
+    """rows(bucket, h1, h2, x), probes(bucket, q1, q2, q) -> q1, q2, h1, h2, score: the k + 1 nearest classes of each query in its
+    buckets and all that tie with the last. Parts of buckets meet parts of their visitors."""
+    part = max(256, PART_BYTES // (8 * dim))
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     visits = probes.groupBy("bucket").agg(F.ceil(F.count("*") / QPART).cast("int").alias("qparts"))
     sizes = materialize(sizes.join(visits, "bucket"))
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -258,11 +259,15 @@ def _met(rows: DataFrame, probes: DataFrame, k: int) -> DataFrame:
         a, b = left.combine_chunks(), right.combine_chunks()
         if not len(a) or not len(b):
             return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in ("q1", "q2", "h1", "h2", "score")})
-        i, j, d = best_of(_matrix(a["q"].combine_chunks()), _matrix(b["x"].combine_chunks()), k + 1)
+        q, x = _matrix(a["q"].combine_chunks()), _matrix(b["x"].combine_chunks())
+        found = [best_of(q[o : o + QSLICE], x, k + 1) for o in range(0, len(q), QSLICE)]
+        i, j, d = (np.concatenate(c) for c in zip(*[(r + o * QSLICE, c, s) for o, (r, c, s) in enumerate(found)], strict=True))
         return pa.table({**{c: a[c].take(pa.array(i)) for c in ("q1", "q2")}, **{c: b[c].take(pa.array(j)) for c in ("h1", "h2")}, "score": pa.array(d)})
 
     by = ["bucket", "part", "qpart"]
-    return materialize(v.groupBy(by).cogroup(r.groupBy(by)).applyInArrow(meet, kind).distinct())
+    found = v.groupBy(by).cogroup(r.groupBy(by)).applyInArrow(meet, kind).distinct()
+    near = found.withColumn("n", F.rank().over(Window.partitionBy("q1", "q2").orderBy("score")))
+    return materialize(near.where(F.col("n") <= k + 1).drop("n"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
