@@ -52,9 +52,10 @@ def polarization(vx, vy):
 
 
 def cohens_d(value, before, *, population: bool = False):
-    """Aggregate: (mean after - mean before) / pooled deviation; null under two rows a side, 0 without deviation. `population`: variances by n."""
+    """Aggregate: (mean after - mean before) / pooled deviation; null under two rows a side, 0 without deviation. `population`:
+    variances by n, and 0 under two rows a side."""
     var = F.var_pop if population else F.var_samp
     a, b = F.when(before, value), F.when(~before, value)
     na, nb = F.count(a), F.count(b)
     pooled = F.sqrt(((na - 1) * var(a) + (nb - 1) * var(b)) / (na + nb - 2))
-    return F.when((na < 2) | (nb < 2), None).when(pooled < 1e-10, 0.0).otherwise((F.avg(b) - F.avg(a)) / pooled)
+    return F.when((na < 2) | (nb < 2), 0.0 if population else None).when(pooled < 1e-10, 0.0).otherwise((F.avg(b) - F.avg(a)) / pooled)

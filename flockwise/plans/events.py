@@ -193,24 +193,29 @@ def dialogue_last_k(spark, sf):
 
 
 def dialogue_by_round(spark, sf):
-    """Entries of each round: how many, and previews of the first conversation."""
+    """The records of each conversation's rounds of two entries: who, and the start of what."""
     d = A.discussion(spark, sf).withColumn("preview", F.concat(F.substring("content", 1, 200), F.lit("...")))
-    return d.groupBy("round").agg(F.count("*").alias("n"), F.min_by("preview", "conv").alias("preview"))
+    g = d.groupBy("conv", F.floor(F.col("round") / 2).alias("round2")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("round", "agent", "preview"))).alias("r"))
+    return g.select("conv", F.col("round2").alias("round"), "n", F.md5(F.array_join(F.transform("r", lambda r: F.concat_ws("|", r.round.cast("string"), r.agent, r.preview)), "\n")).alias("records"))
 
 
 def dialogue_context(spark, sf):
-    """What the next speaker is shown: the last four entries, oldest first."""
+    """What the next speaker is shown: the round, the state, the last four entries, and for every fourth conversation (a synthesizer
+    speaks) the last round's entries once more; then the limit."""
     w = Window.partitionBy("conv").orderBy(F.desc("round"))
-    d = A.discussion(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 4")
-    g = d.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("round", "agent", "content"))).alias("e"))
-    return g.select("conv", F.md5(F.array_join(F.transform("e", lambda e: F.concat(F.lit("["), F.upper(e.agent), F.lit("]: "), e.content)), "\n\n")).alias("context"))
+    d = A.discussion(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 4").withColumn("last", F.max("round").over(Window.partitionBy("conv")))
+    g = d.groupBy("conv", "last").agg(F.sort_array(F.collect_list(F.struct("round", "agent", "content"))).alias("e"))
+    entry = lambda e: F.concat(F.lit("### "), F.upper(e.agent), F.lit(" (Round "), e.round.cast("string"), F.lit(")\n"), e.content, F.lit("\n\n"))
+    again = F.concat(F.lit("## This Round's Outputs (for synthesis)\n"), F.array_join(F.transform(F.filter("e", lambda e: e.round == F.col("last")), lambda e: F.concat(F.lit("### "), F.upper(e.agent), F.lit("\n"), e.content, F.lit("\n\n"))), ""))
+    text = F.concat(F.lit("# Current Round: "), F.col("last").cast("string"), F.lit("\n\n## Current State Document\n# State Document v1\n\n## Recent Discussion\n"), F.array_join(F.transform("e", entry), ""), F.when(F.col("conv") % 4 == 3, again).otherwise(""), F.lit("Stay under 500 words."))
+    return g.select("conv", F.md5(text).alias("context"))
 
 
 def round_headers(spark, sf):
-    """Where the speaker changes from the entry before."""
+    """Where a round (of two entries) begins that is later than the one before."""
     w = Window.partitionBy("conv").orderBy("round")
-    d = A.discussion(spark, sf).withColumn("was", F.lag("agent").over(w))
-    return d.where(F.col("was").isNull() | (F.col("was") != F.col("agent"))).select("conv", "round", "agent")
+    d = A.discussion(spark, sf).withColumn("number", F.floor(F.col("round") / 2)).withColumn("was", F.lag("number").over(w))
+    return d.where(F.col("was").isNull() | (F.col("number") > F.col("was"))).select("conv", "round", "number", "agent")
 
 
 def markdown_export(spark, sf):
@@ -221,11 +226,13 @@ def markdown_export(spark, sf):
 
 
 def state_extract(spark, sf):
-    """The latest fenced state document that an assistant wrote; a text without one stands in as its own."""
-    d = A.discussion(spark, sf).where("agent = 'assistant'")
-    fenced = F.regexp_extract("content", r"(?s)```markdown\n(# State Document.*?)```", 1)
-    d = d.withColumn("doc", F.when(fenced != "", fenced).otherwise(F.concat(F.lit("# State Document\n"), F.col("content"))))
-    return d.groupBy("conv").agg(F.md5(F.max_by("doc", "round")).alias("state"), F.max("round").alias("round"))
+    """The latest fenced state document that an assistant wrote, and its round; null where none did. In every third conversation the
+    entries of odd rounds are put into fences first."""
+    fence = (F.col("conv") % 3 == 0) & (F.col("round") % 4 == 1)
+    d = A.discussion(spark, sf).where("agent = 'assistant'").withColumn("content", F.when(fence, F.concat(F.lit("so:\n```markdown\n# State Document\n"), "content", F.lit("\n``` done"))).otherwise(F.col("content")))
+    doc = F.regexp_extract("content", r"(?s)```markdown\n(# State Document.*?)```", 1)
+    d = d.withColumn("doc", F.when(doc != "", doc))
+    return d.groupBy("conv").agg(F.md5(F.max_by("doc", F.when(F.col("doc").isNotNull(), F.col("round")))).alias("state"), F.max(F.when(F.col("doc").isNotNull(), F.col("round"))).alias("round"))
 
 
 def intervention_union(spark, sf):
@@ -247,7 +254,7 @@ def model_catalog(spark, sf):
 
 def models_by_provider(spark, sf):
     g = A.models(spark, sf).groupBy("provider").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return g.select("provider", F.size("ids").cast("bigint").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids"))
+    return g.select("provider", F.size("ids").cast("bigint").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids")).orderBy("provider")
 
 
 def cost_format(spark, sf):
@@ -283,15 +290,16 @@ ORACLE = {
     "telemetry_by_tick": f"WITH {TK} SELECT tick, count(*) AS agents, round(avg(latency_ms),6) AS latency, CAST(sum(tokens) AS BIGINT) AS tokens FROM ticks GROUP BY tick",
     "replay_last_n": f"WITH {TK} SELECT event_id, agent, tick FROM ticks ORDER BY ts DESC, event_id DESC LIMIT 50",
     "dialogue_last_k": f"WITH {_LAST} SELECT conv, round, agent, CAST(length(content) AS BIGINT) AS chars FROM k WHERE k<=4",
-    "dialogue_by_round": f"WITH {DI} SELECT round, count(*) AS n, arg_min(substr(content,1,200)||'...', conv) AS preview FROM discussion GROUP BY round",
-    "dialogue_context": f"WITH {_LAST} SELECT conv, md5(string_agg('['||upper(agent)||']: '||content, chr(10)||chr(10) ORDER BY round, agent, content)) AS context FROM k WHERE k<=4 GROUP BY conv",
-    "round_headers": f"WITH {DI}, w AS (SELECT conv, round, agent, lag(agent) OVER (PARTITION BY conv ORDER BY round) AS was FROM discussion) SELECT conv, round, agent FROM w WHERE was IS NULL OR was<>agent",
+    "dialogue_by_round": f"WITH {DI} SELECT conv, round//2 AS round, count(*) AS n, md5(string_agg(round||'|'||agent||'|'||substr(content,1,200)||'...', chr(10) ORDER BY round, agent, content)) AS records FROM discussion GROUP BY conv, round//2",
+    "dialogue_context": f"""WITH {_LAST}, l AS (SELECT *, max(round) OVER (PARTITION BY conv) AS last FROM k WHERE k<=4) SELECT conv, md5('# Current Round: '||any_value(last)||chr(10)||chr(10)||'## Current State Document'||chr(10)||'# State Document v1'||chr(10)||chr(10)||'## Recent Discussion'||chr(10)
+  ||string_agg('### '||upper(agent)||' (Round '||round||')'||chr(10)||content||chr(10)||chr(10), '' ORDER BY round, agent, content)||CASE WHEN conv%4=3 THEN '## This Round''s Outputs (for synthesis)'||chr(10)||string_agg('### '||upper(agent)||chr(10)||content||chr(10)||chr(10), '' ORDER BY round, agent, content) FILTER (round=last) ELSE '' END||'Stay under 500 words.') AS context FROM l GROUP BY conv""",
+    "round_headers": f"WITH {DI}, w AS (SELECT conv, round, agent, round//2 AS number, lag(round//2) OVER (PARTITION BY conv ORDER BY round) AS was FROM discussion) SELECT conv, round, number, agent FROM w WHERE was IS NULL OR number>was",
     "markdown_export": f"WITH {DI} SELECT conv, md5(string_agg('## Round '||round||chr(10)||chr(10)||'**'||upper(substr(agent,1,1))||lower(substr(agent,2))||'**'||chr(10)||chr(10)||content||chr(10), chr(10) ORDER BY round)) AS markdown, count(*) AS entries FROM discussion GROUP BY conv",
-    "state_extract": f"WITH {DI}, d AS (SELECT conv, round, CASE WHEN regexp_extract(content, '(?s)```markdown\\n(# State Document.*?)```', 1)<>'' THEN regexp_extract(content, '(?s)```markdown\\n(# State Document.*?)```', 1) ELSE '# State Document'||chr(10)||content END AS doc FROM discussion WHERE agent='assistant') SELECT conv, md5(arg_max(doc, round)) AS state, max(round) AS round FROM d GROUP BY conv",
+    "state_extract": f"WITH {DI}, c AS (SELECT conv, round, CASE WHEN conv%3=0 AND round%4=1 THEN 'so:'||chr(10)||'```markdown'||chr(10)||'# State Document'||chr(10)||content||chr(10)||'``` done' ELSE content END AS content FROM discussion WHERE agent='assistant'), d AS (SELECT conv, round, nullif(regexp_extract(content, '(?s)```markdown\n(# State Document.*?)```', 1),'') AS doc FROM c) SELECT conv, md5(arg_max(doc, round) FILTER (doc IS NOT NULL)) AS state, max(round) FILTER (doc IS NOT NULL) AS round FROM d GROUP BY conv",
     "intervention_union": f"WITH {DI} SELECT conv, round, agent, false AS is_intervention FROM discussion UNION ALL SELECT conv, max(round), 'human', true FROM discussion GROUP BY conv",
     "escape_html": f"""WITH {DI} SELECT conv, round, md5(replace(replace(replace(replace(content,'&','&amp;'),'<','&lt;'),'>','&gt;'),'"','&quot;')) AS html FROM discussion""",
     "model_catalog": f"WITH {MO} SELECT id, name, round(cost,6) AS cost FROM models WHERE provider IN ('Brand#11','Brand#21','Brand#31','Brand#41','Brand#51') ORDER BY lower(id), id",
-    "models_by_provider": f"WITH {MO} SELECT provider, count(*) AS n, md5(string_agg(id, ',' ORDER BY id)) AS ids FROM models GROUP BY provider",
+    "models_by_provider": f"WITH {MO} SELECT provider, count(*) AS n, md5(string_agg(id, ',' ORDER BY id)) AS ids FROM models GROUP BY provider ORDER BY provider",
     "cost_format": f"WITH {MO}, c AS (SELECT id, round(cost,3) AS c FROM models) SELECT id, CASE WHEN c=0 THEN 'Free' WHEN c<0.01 THEN printf('$%.4f',c) WHEN c<1 THEN printf('$%.3f',c) ELSE printf('$%.2f',c) END AS label FROM c",
     "model_cost_lookup": f"WITH {TK}, {MO}, t AS (SELECT event_id, tokens, 'Brand#11/'||(agent+1) AS id FROM ticks) SELECT event_id, id, round(cost*tokens,6) AS price FROM t LEFT JOIN models USING (id)",
 }

@@ -23,13 +23,16 @@ def frame_polarization(spark: SparkSession, sf: str) -> DataFrame:
     return polarization_frames(spark, sf).select("run", "step", "n", R6("polarization").alias("polarization"))
 
 
+KEY = ["run", "step"]
+
+
 def macro(spark, sf) -> DataFrame:
     """Polarization, centroid, dispersion (population deviation of the distance to the centroid) and mean speed of each frame."""
-    w = Window.partitionBy("run", "step")
-    f = A.frames(spark, sf).withColumn("cx", F.avg("x").over(w)).withColumn("cy", F.avg("y").over(w))
+    f = A.frames(spark, sf)
+    c = f.groupBy(*KEY).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     speed = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2)
-    return f.groupBy("run", "step").agg(
-        F.count("*").alias("n"), S.polarization(F.col("vx"), F.col("vy")).alias("polarization"), F.avg("x").alias("cx"), F.avg("y").alias("cy"),
+    return f.join(c, KEY).groupBy(*KEY).agg(
+        F.count("*").alias("n"), S.polarization(F.col("vx"), F.col("vy")).alias("polarization"), F.first("cx").alias("cx"), F.first("cy").alias("cy"),
         F.stddev_pop(F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)).alias("dispersion"), F.avg(F.when(speed == 0, 1e-10).otherwise(speed)).alias("mean_speed"),
     )
 
@@ -38,6 +41,21 @@ MACRO = f"""{FR}, c AS (SELECT *, avg(x) OVER (PARTITION BY run, step) AS cx, av
  macro AS (SELECT run, step, count(*) AS n, {POL} AS polarization, avg(x) AS cx, avg(y) AS cy, stddev_pop(sqrt(pow(x-cx,2)+pow(y-cy,2))) AS dispersion, avg({UNIT}) AS mean_speed FROM c GROUP BY run, step)"""
 
 
+def frame_dispersion_wrapped(spark, sf):
+    """Mean distance to the centroid in a world that wraps at 100."""
+    f = A.frames(spark, sf)
+    c = f.groupBy(*KEY).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    dx, dy = (space.shift(F.col(a) - F.col(f"c{a}"), 100.0) for a in "xy")
+    return f.join(c, KEY).groupBy(*KEY).agg(R6(F.avg(F.sqrt(dx * dx + dy * dy))).alias("dispersion"))
+
+
+def trend_proxy(spark, sf):
+    """A rough predictability: the polarization's level, and the last five frames against the five before; 0 with fewer than ten."""
+    w = Window.partitionBy("run").orderBy("step")
+    p = polarization_frames(spark, sf).select("run", "step", "polarization", F.avg("polarization").over(w.rowsBetween(-9, -5)).alias("old"), F.avg("polarization").over(w.rowsBetween(-4, 0)).alias("new"), F.row_number().over(w).alias("i"))
+    return p.select("run", "step", R6(F.when(F.col("i") >= 10, (F.col("polarization") - 0.5) * 0.5 + (F.col("new") - F.col("old")) * 2).otherwise(0.0)).alias("trend"))
+
+
 def frame_macro_state(spark, sf):
     return macro(spark, sf).select("run", "step", "n", *[R6(c).alias(c) for c in ("polarization", "cx", "cy", "dispersion", "mean_speed")])
 
@@ -86,7 +104,8 @@ def te_delta_series(spark, sf):
 
 
 def te_delta_mean(spark, sf):
-    return te_series(spark, sf).groupBy("run").agg(R6(F.avg("te_delta")).alias("te_delta"), F.count("*").alias("n"))
+    p = polarization_frames(spark, sf).groupBy("run").agg(R6(F.avg("polarization")).alias("polarization"))
+    return te_series(spark, sf).groupBy("run").agg(R6(F.avg("te_delta")).alias("te_delta"), F.count("*").alias("n")).join(p, "run")
 
 
 def substrate_robustness(spark, sf):
@@ -102,160 +121,206 @@ TE = f"""{MACRO}, w AS (SELECT *, {", ".join(f"avg({c}) {_W} AS m{i}, sum({c}) {
  te AS (SELECT run, step, CASE WHEN sd<1e-10 THEN 0.0 ELSE greatest(0,least(1,1-err/(sd*sqrt(5.0))))*(1-1/(1+ln(1+12*n/16.0))) END AS te_delta FROM v)"""
 
 
-def points(spark, sf, step: int = 0) -> DataFrame:
-    return A.frames(spark, sf).where(F.col("step") == step).select("run", F.col("boid_id").alias("id"), "x", "y", "vx", "vy")
+def points(spark, sf) -> DataFrame:
+    return A.frames(spark, sf).select("run", "step", F.col("boid_id").alias("id"), "x", "y", "vx", "vy")
 
 
 def counted(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("run", "i").agg(F.count("*").alias("neighbours"), R6(F.min("dist")).alias("nearest"))
+    return pairs.groupBy(*KEY, "i").agg(F.count("*").alias("neighbours"), R6(F.min("dist")).alias("nearest"))
 
 
 def neighbors_plain(spark, sf):
-    return counted(space.neighbours(points(spark, sf), 7.0, ["run"]))
+    """In an open world, the radius included."""
+    return counted(space.neighbours(points(spark, sf), 7.0, KEY, inclusive=True))
 
 
 def neighbors_periodic(spark, sf):
-    return counted(space.neighbours(points(spark, sf), 7.0, ["run"], world=100.0))
+    """In a periodic world, the radius excluded, and points in the same place left out."""
+    return counted(space.neighbours(points(spark, sf), 7.0, KEY, world=100.0, coincident=False))
+
+
+def neighbors_grid(spark, sf):
+    """By cells of the radius, the last one narrower: neighbours across it may be missed."""
+    return counted(space.neighbours(points(spark, sf), 7.0, KEY, world=100.0, seam=True))
 
 
 def neighbor_stats(spark, sf):
-    """Mean number of neighbours, points without any counted, by run."""
-    p = points(spark, sf)
-    n = space.neighbours(p, 7.0, ["run"], world=100.0).groupBy("run", F.col("i").alias("id")).agg(F.count("*").alias("n"))
-    return p.join(n, ["run", "id"], "left").groupBy("run").agg(F.count("*").alias("points"), R6(F.avg(F.coalesce("n", F.lit(0)))).alias("mean_neighbours"))
+    """Mean number of neighbours of each frame, points without any counted: of all points, and of the first ten."""
+    p = points(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("id")))
+    n = space.neighbours(p, 7.0, KEY, world=100.0).groupBy(*KEY, F.col("i").alias("id")).agg(F.count("*").alias("n"))
+    some = F.coalesce("n", F.lit(0))
+    return p.join(n, [*KEY, "id"], "left").groupBy(*KEY).agg(F.count("*").alias("points"), R6(F.avg(some)).alias("mean_neighbours"), R6(F.avg(F.when(F.col("k") <= 10, some))).alias("mean_of_ten"))
 
 
-PTS = f"{FR}, p AS (SELECT run, boid_id AS id, x, y, vx, vy FROM frames WHERE step=0)"
+PTS = f"{FR}, p AS (SELECT run, step, boid_id AS id, x, y, vx, vy FROM frames)"
 _D = lambda d: f"CASE WHEN {d}>50 THEN {d}-100 WHEN {d}<-50 THEN {d}+100 ELSE {d} END"
-EDGES = f"""{PTS}, d AS (SELECT a.run, a.id AS i, b.id AS j, {_D("(b.x-a.x)")} AS dx, {_D("(b.y-a.y)")} AS dy, b.vx AS vxj, b.vy AS vyj FROM p a JOIN p b ON a.run=b.run AND a.id<>b.id),
- e AS (SELECT *, sqrt(dx*dx+dy*dy) AS dist FROM d WHERE sqrt(dx*dx+dy*dy)<7)"""
+PAIRS = f"""{PTS}, d AS (SELECT a.run, a.step, a.id AS i, b.id AS j, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj, {_D("(b.x-a.x)")} AS dx, {_D("(b.y-a.y)")} AS dy, b.vx AS vxj, b.vy AS vyj FROM p a JOIN p b ON a.run=b.run AND a.step=b.step AND a.id<>b.id)"""
+EDGES = f"{PAIRS}, e AS (SELECT *, sqrt(dx*dx+dy*dy) AS dist FROM d WHERE sqrt(dx*dx+dy*dy)<7)"
 
 
-def forces(spark, sf) -> DataFrame:
-    """Alignment, cohesion and separation on each point."""
+def forces(spark, sf, *, soft: float = 0.01, raw: bool = False) -> DataFrame:
+    """Alignment, cohesion and separation on each point. `soft` is added to squared distances; with `raw` the centre of the neighbours
+    is that of their positions, wrapped once, instead of the mean of the wrapped offsets."""
     p = points(spark, sf)
-    e = space.neighbours(p, 7.0, ["run"], world=100.0, extra=("vx", "vy"))
-    near = F.col("dist") < 3
-    push = lambda d: F.coalesce(F.sum(F.when(near, -F.col(d) / (F.col("dist") ** 2 + 0.01))), F.lit(0.0))
-    g = e.groupBy("run", F.col("i").alias("id")).agg(F.avg("vx_j").alias("avx"), F.avg("vy_j").alias("avy"), F.avg("dx").alias("cox"), F.avg("dy").alias("coy"), push("dx").alias("sx"), push("dy").alias("sy"))
+    e = space.neighbours(p.withColumn("px", F.col("x")).withColumn("py", F.col("y")), 7.0, KEY, world=100.0, extra=("vx", "vy", "px", "py"))
+    near = (F.col("dist") < 3) & (F.col("dist") > 0)
+    push = lambda d: F.coalesce(F.sum(F.when(near, -F.col(d) / (F.col("dist") ** 2 + soft))), F.lit(0.0))
+    centre = (F.avg("px_j").alias("cox"), F.avg("py_j").alias("coy")) if raw else (F.avg("dx").alias("cox"), F.avg("dy").alias("coy"))
+    g = e.groupBy(*KEY, F.col("i").alias("id")).agg(F.avg("vx_j").alias("avx"), F.avg("vy_j").alias("avy"), *centre, push("dx").alias("sx"), push("dy").alias("sy"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return p.join(g, ["run", "id"], "left").select("run", "id", "x", "y", "vx", "vy", zero(F.col("avx") - F.col("vx")).alias("ax"), zero(F.col("avy") - F.col("vy")).alias("ay"), zero(0.1 * F.col("cox")).alias("cox"), zero(0.1 * F.col("coy")).alias("coy"), zero(F.col("sx")).alias("sx"), zero(F.col("sy")).alias("sy"))
+    co = lambda c: space.shift(F.col(f"co{c}") - F.col(c), 100.0) if raw else F.col(f"co{c}")
+    return p.join(g, [*KEY, "id"], "left").select(*KEY, "id", "x", "y", "vx", "vy", zero(F.col("avx") - F.col("vx")).alias("ax"), zero(F.col("avy") - F.col("vy")).alias("ay"), zero(0.1 * co("x")).alias("cox"), zero(0.1 * co("y")).alias("coy"), zero(F.col("sx")).alias("sx"), zero(F.col("sy")).alias("sy"))
+
+
+def forces_sql(soft: float = 0.01, raw: bool = False) -> str:
+    push = lambda d: f"coalesce(sum(CASE WHEN dist<3 AND dist>0 THEN -{d}/(dist*dist+{soft}) END),0)"
+    co = lambda c: f"coalesce(0.1*({_D(f'(co{c}-{c})')}),0)" if raw else f"coalesce(0.1*co{c},0)"
+    centre = "avg(xj) AS cox, avg(yj) AS coy" if raw else "avg(dx) AS cox, avg(dy) AS coy"
+    return f"""{EDGES}, g AS (SELECT run, step, i AS id, avg(vxj) AS avx, avg(vyj) AS avy, {centre}, {push("dx")} AS sx, {push("dy")} AS sy FROM e GROUP BY run, step, i),
+ f AS (SELECT p.run, p.step, p.id, x, y, vx, vy, coalesce(avx-vx,0) AS ax, coalesce(avy-vy,0) AS ay, {co("x")} AS cox, {co("y")} AS coy, coalesce(sx,0) AS sx, coalesce(sy,0) AS sy FROM p LEFT JOIN g USING (run, step, id))"""
+
 
+def shown(f: DataFrame) -> DataFrame:
+    return f.select(*KEY, "id", *[R6(c).alias(c) for c in ("ax", "ay", "cox", "coy", "sx", "sy")])
 
-FORCES = f"""{EDGES}, g AS (SELECT run, i AS id, avg(vxj) AS avx, avg(vyj) AS avy, avg(dx) AS cox, avg(dy) AS coy, coalesce(sum(CASE WHEN dist<3 THEN -dx/(dist*dist+0.01) END),0) AS sx, coalesce(sum(CASE WHEN dist<3 THEN -dy/(dist*dist+0.01) END),0) AS sy FROM e GROUP BY run, i),
- f AS (SELECT p.run, p.id, x, y, vx, vy, coalesce(avx-vx,0) AS ax, coalesce(avy-vy,0) AS ay, coalesce(0.1*cox,0) AS cox, coalesce(0.1*coy,0) AS coy, coalesce(sx,0) AS sx, coalesce(sy,0) AS sy FROM p LEFT JOIN g USING (run, id))"""
+
+SHOWN = "SELECT run, step, id, round(ax,6) AS ax, round(ay,6) AS ay, round(cox,6) AS cox, round(coy,6) AS coy, round(sx,6) AS sx, round(sy,6) AS sy FROM f"
 
 
 def step_forces(spark, sf):
-    return forces(spark, sf).select("run", "id", *[R6(c).alias(c) for c in ("ax", "ay", "cox", "coy", "sx", "sy")])
+    return shown(forces(spark, sf))
 
 
-def step_update(spark, sf):
-    """One step: noise keyed by run, step and point, speed cap 2, time step .1, periodic world of 100."""
+def step_forces_raw(spark, sf):
+    """The other definitions: cohesion to the wrapped mean of positions, separation by the bare squared distance."""
+    return shown(forces(spark, sf, soft=0.0, raw=True))
+
+
+def _step(spark, sf, uniform: bool) -> DataFrame:
     f = forces(spark, sf)
-    u1, u2 = (S.uniform(F.lit("7"), "run", F.lit("0"), "id", F.lit(k)) for k in ("a", "b"))
-    f = f.withColumn("g", S.gaussian(u1, u2))
+    u1, u2 = (S.uniform(F.lit("7"), "run", "step", "id", F.lit(k)) for k in ("a", "b"))
+    f = f.withColumn("g", 2 * u1 - 1 if uniform else S.gaussian(u1, u2))
     f = f.withColumn("wx", F.col("vx") + 0.1 * (F.col("ax") + F.col("cox") + F.col("sx") + 0.1 * F.col("g"))).withColumn("wy", F.col("vy") + 0.1 * (F.col("ay") + F.col("coy") + F.col("sy") + 0.1 * F.col("g")))
     speed = F.sqrt(F.col("wx") ** 2 + F.col("wy") ** 2)
     cap = F.when(speed > 2, 2 / speed).otherwise(1.0)
     f = f.withColumn("wx2", F.col("wx") * cap).withColumn("wy2", F.col("wy") * cap)
     r4 = lambda c: F.round(c, 4)
-    return f.select("run", "id", r4(F.pmod(F.col("x") + 0.1 * F.col("wx2"), F.lit(100.0))).alias("x"), r4(F.pmod(F.col("y") + 0.1 * F.col("wy2"), F.lit(100.0))).alias("y"), r4("wx2").alias("vx"), r4("wy2").alias("vy"))
+    return f.select(*KEY, "id", r4(F.pmod(F.col("x") + 0.1 * F.col("wx2"), F.lit(100.0))).alias("x"), r4(F.pmod(F.col("y") + 0.1 * F.col("wy2"), F.lit(100.0))).alias("y"), r4("wx2").alias("vx"), r4("wy2").alias("vy"))
+
+
+def step_update(spark, sf):
+    """One step from every frame: Gaussian noise keyed by run, step and point, speed cap 2, time step .1, periodic world of 100."""
+    return _step(spark, sf, False)
+
+
+def step_update_uniform(spark, sf):
+    """With uniform noise."""
+    return _step(spark, sf, True)
+
 
+_U = lambda k: f"(('0x'||substr(md5('7|'||run||'|'||step||'|'||id||'|{k}'),1,8))::BIGINT/4294967296.0)"
+_NOISE = {False: f"sqrt(-2*ln(greatest({_U('a')}, pow(2.0,-33))))*cos(2*3.141592653589793*{_U('b')})", True: f"2*{_U('a')}-1"}
 
-_U = lambda k: f"(('0x'||substr(md5('7|'||run||'|0|'||id||'|{k}'),1,8))::BIGINT/4294967296.0)"
-STEP = f"""WITH {FORCES}, n AS (SELECT *, sqrt(-2*ln(greatest({_U("a")}, pow(2.0,-33))))*cos(2*3.141592653589793*{_U("b")}) AS g FROM f),
- v AS (SELECT run, id, x, y, vx+0.1*(ax+cox+sx+0.1*g) AS wx, vy+0.1*(ay+coy+sy+0.1*g) AS wy FROM n),
+
+def step_sql(uniform: bool) -> str:
+    return f"""WITH {forces_sql()}, n AS (SELECT *, {_NOISE[uniform]} AS g FROM f),
+ v AS (SELECT run, step, id, x, y, vx+0.1*(ax+cox+sx+0.1*g) AS wx, vy+0.1*(ay+coy+sy+0.1*g) AS wy FROM n),
  c AS (SELECT *, CASE WHEN sqrt(wx*wx+wy*wy)>2 THEN 2/sqrt(wx*wx+wy*wy) ELSE 1.0 END AS cap FROM v),
- q AS (SELECT run, id, x+0.1*wx*cap AS x, y+0.1*wy*cap AS y, wx*cap AS vx, wy*cap AS vy FROM c)
- SELECT run, id, round(x-100*floor(x/100),4) AS x, round(y-100*floor(y/100),4) AS y, round(vx,4) AS vx, round(vy,4) AS vy FROM q"""
+ q AS (SELECT run, step, id, x+0.1*wx*cap AS x, y+0.1*wy*cap AS y, wx*cap AS vx, wy*cap AS vy FROM c)
+ SELECT run, step, id, round(x-100*floor(x/100),4) AS x, round(y-100*floor(y/100),4) AS y, round(vx,4) AS vx, round(vy,4) AS vy FROM q"""
 
 
 def boundary_reflect(spark, sf):
-    """Positions pushed out of a world of 60 by ten velocities are reflected, velocities flipped."""
-    p = points(spark, sf).withColumn("nx", F.col("x") + 10 * F.col("vx"))
-    out = F.when(F.col("nx") < 0, -F.col("nx")).when(F.col("nx") > 60, 120 - F.col("nx")).otherwise(F.col("nx"))
-    flip = (F.col("nx") < 0) | (F.col("nx") > 60)
-    return p.select("run", "id", R6(out).alias("x"), R6(F.when(flip, -F.col("vx")).otherwise(F.col("vx"))).alias("vx"))
+    """Positions pushed out of a world of 60 by ten velocities are reflected, velocities flipped, along both axes."""
+    p = points(spark, sf)
+    new = lambda c: F.col(c) + 10 * F.col(f"v{c}")
+    out = lambda c: R6(F.when(new(c) < 0, -new(c)).when(new(c) > 60, 120 - new(c)).otherwise(new(c))).alias(c)
+    flip = lambda c: R6(F.when((new(c) < 0) | (new(c) > 60), -F.col(f"v{c}")).otherwise(F.col(f"v{c}"))).alias(f"v{c}")
+    return p.select(*KEY, "id", out("x"), out("y"), flip("x"), flip("y"))
 
 
-def cloud(spark, sf) -> DataFrame:
-    e = A.table(spark, sf, "embeddings").where(F.col("embedding").isNotNull())
-    return e.select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+_OUT = lambda c: f"round(CASE WHEN n{c}<0 THEN -n{c} WHEN n{c}>60 THEN 120-n{c} ELSE n{c} END,6) AS {c}, round(CASE WHEN n{c}<0 OR n{c}>60 THEN -v{c} ELSE v{c} END,6) AS v{c}"
 
 
 def dbscan_labels(spark, sf):
-    return space.dbscan(cloud(spark, sf), 0.02, 5).select("id", "label")
+    """Clusters of every frame."""
+    return space.dbscan(points(spark, sf), 3.0, 5, keys=("run", "step")).select(*KEY, "id", "label")
 
 
 def dbscan_periodic(spark, sf):
-    p = cloud(spark, sf).select("id", F.pmod("x", F.lit(0.5)).alias("x"), F.pmod("y", F.lit(0.5)).alias("y"))
-    return space.dbscan(p, 0.02, 5, world=0.5, inclusive=False).select("id", "label")
+    """In a periodic world of 50, the radius excluded."""
+    p = points(spark, sf).select(*KEY, "id", F.pmod("x", F.lit(50.0)).alias("x"), F.pmod("y", F.lit(50.0)).alias("y"))
+    return space.dbscan(p, 3.0, 4, keys=("run", "step"), world=50.0, inclusive=False).select(*KEY, "id", "label")
+
+
+def flocks(spark, sf) -> DataFrame:
+    """run, step, id, label, vx, vy; noise left out."""
+    p = points(spark, sf)
+    return space.dbscan(p, 3.0, 5, keys=("run", "step")).where("label >= 0").select(*KEY, "id", "label").join(p.select(*KEY, "id", "vx", "vy"), [*KEY, "id"])
 
 
 def largest_flock(spark, sf):
-    """The largest cluster, the smallest label of equals."""
-    d = space.dbscan(cloud(spark, sf), 0.02, 5).where("label >= 0")
-    return d.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
+    """The largest cluster of each frame, the smallest label of equals."""
+    d = flocks(spark, sf).groupBy(*KEY, "label").agg(F.count("*").alias("n"))
+    return d.groupBy(*KEY).agg(F.min_by(F.struct("label", "n"), F.struct(-F.col("n"), F.col("label"))).alias("b")).select(*KEY, "b.label", "b.n")
 
 
 def flock_polarization(spark, sf):
-    """Polarization of each cluster's members at the first step, noise left out."""
-    labels = space.dbscan(cloud(spark, sf), 0.02, 5).where("label >= 0").select("id", "label")
-    f = A.frames(spark, sf).where("step = 0").select(F.col("boid_id").alias("id"), "vx", "vy")
-    return f.join(labels, "id").groupBy("label").agg(F.count("*").alias("n"), R6(S.polarization(F.col("vx"), F.col("vy"))).alias("polarization"))
+    """Polarization of each cluster's members, noise left out."""
+    return flocks(spark, sf).groupBy(*KEY, "label").agg(F.count("*").alias("n"), R6(S.polarization(F.col("vx"), F.col("vy"))).alias("polarization"))
 
 
-def dbscan_sql(points_: str, dist: str, op: str, tail: str) -> str:
-    return f"""WITH RECURSIVE p AS ({points_}), e AS (SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id<>b.id AND {dist} {op} 0.02),
- core AS (SELECT i AS id FROM e GROUP BY i HAVING count(*)+1>=5), l AS (SELECT i, j FROM e WHERE i IN (FROM core) AND j IN (FROM core)),
+def dbscan_sql(points_: str, dist: str, op: str, least: int, tail: str) -> str:
+    """Labels by reachability; ids hold the step, so that they are unique."""
+    return f"""WITH RECURSIVE {FR}, p AS (SELECT step::BIGINT*1000000000+boid_id AS id, run, step, boid_id, {points_}, vx, vy FROM frames), e AS (SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.run=b.run AND a.step=b.step AND a.id<>b.id AND {dist} {op} 3.0),
+ core AS (SELECT i AS id FROM e GROUP BY i HAVING count(*)+1>={least}), l AS (SELECT i, j FROM e WHERE i IN (FROM core) AND j IN (FROM core)),
  r(id, root) AS (SELECT id, id FROM core UNION SELECT l.i, r.root FROM r JOIN l ON l.j=r.id),
  lab AS (SELECT id, min(root) AS label FROM r GROUP BY id), bor AS (SELECT e.i AS id, min(lab.label) AS b FROM e JOIN lab ON lab.id=e.j GROUP BY e.i),
- d AS (SELECT p.id, p.x, p.y, coalesce(lab.label, bor.b, -1) AS label FROM p LEFT JOIN lab USING (id) LEFT JOIN bor USING (id)) {tail}"""
+ d AS (SELECT p.run, p.step, boid_id AS id, vx, vy, coalesce(coalesce(lab.label, bor.b)%1000000000, -1) AS label FROM p LEFT JOIN lab USING (id) LEFT JOIN bor USING (id)) {tail}"""
 
 
-_CLOUD = "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE embedding IS NOT NULL"
 _EUC = "sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))"
-_MOD = f"SELECT id, x-0.5*floor(x/0.5) AS x, y-0.5*floor(y/0.5) AS y FROM ({_CLOUD})"
-_PER = "sqrt(pow(least(abs(a.x-b.x),0.5-abs(a.x-b.x)),2)+pow(least(abs(a.y-b.y),0.5-abs(a.y-b.y)),2))"
+_MOD = "x-50*floor(x/50) AS x, y-50*floor(y/50) AS y"
+_PER = "sqrt(pow(least(abs(a.x-b.x),50-abs(a.x-b.x)),2)+pow(least(abs(a.y-b.y),50-abs(a.y-b.y)),2))"
 
 
 def warmup_filter(spark, sf):
-    """Mean polarization of the steps from 4 on."""
-    return polarization_frames(spark, sf).where("step >= 4").groupBy("run").agg(R6(F.avg("polarization")).alias("polarization"), F.count("*").alias("frames"))
+    """Mean polarization of every second step after a warm-up of four, by three conventions: from step 4 on, from the fifth record on,
+    and from step 4 on if there are at least eight records, else 0."""
+    p = polarization_frames(spark, sf).where("step % 2 = 0").withColumn("i", F.row_number().over(Window.partitionBy("run").orderBy("step")) - 1)
+    late = F.avg(F.when(F.col("step") >= 4, F.col("polarization")))
+    return p.groupBy("run").agg(R6(late).alias("by_step"), R6(F.avg(F.when(F.col("i") >= 4, F.col("polarization")))).alias("by_record"), R6(F.when(F.count("*") < 8, 0.0).otherwise(late)).alias("guarded"))
 
 
 def thin_records(spark, sf):
     return A.frames(spark, sf).where("step % 5 = 0").groupBy("run", "step").agg(F.count("*").alias("n"), R6(F.sum("x")).alias("x"))
 
 
-def mode_class(spark, sf):
-    """Mode of each frame with all points clustered: by the frame's own polarization."""
-    p = polarization_frames(spark, sf)
-    return p.select("run", "step", S.mode(F.lit(1.0), F.col("polarization")).alias("mode"), S.mode(F.lit(1.0), F.col("polarization"), "forming").alias("mode_forming"))
-
-
-QUERIES = {f.__name__: f for f in (frame_polarization, frame_macro_state, polarization_class, coherence_class, mode_class, frame_mutual_information, te_delta_series, te_delta_mean, substrate_robustness, neighbors_plain, neighbors_periodic, neighbor_stats, step_forces, step_update, boundary_reflect, dbscan_labels, dbscan_periodic, largest_flock, flock_polarization, warmup_filter, thin_records)}
+QUERIES = {f.__name__: f for f in (frame_polarization, frame_macro_state, polarization_class, coherence_class, frame_mutual_information, te_delta_series, te_delta_mean, substrate_robustness, frame_dispersion_wrapped, trend_proxy, neighbors_plain, neighbors_periodic, neighbors_grid, neighbor_stats, step_forces, step_forces_raw, step_update, step_update_uniform, boundary_reflect, dbscan_labels, dbscan_periodic, largest_flock, flock_polarization, warmup_filter, thin_records)}
 ORACLE = {
     "frame_polarization": f"WITH {FR} SELECT run, step, count(*) AS n, round({POL},6) AS polarization FROM frames GROUP BY run, step",
     "frame_macro_state": f"WITH {MACRO} SELECT run, step, n, round(polarization,6) AS polarization, round(cx,6) AS cx, round(cy,6) AS cy, round(dispersion,6) AS dispersion, round(mean_speed,6) AS mean_speed FROM macro",
     "polarization_class": class_sql(0.4, 0.7),
     "coherence_class": class_sql(0.3, 0.6),
-    "mode_class": f"WITH {POLS} SELECT run, step, CASE WHEN polarization>0.6 THEN 'migrating' ELSE 'milling' END AS mode, CASE WHEN polarization>0.6 THEN 'migrating' ELSE 'forming' END AS mode_forming FROM p",
     "frame_mutual_information": MI_FRAMES,
     "te_delta_series": f"WITH {TE} SELECT run, step, round(te_delta,6) AS te_delta FROM te",
-    "te_delta_mean": f"WITH {TE} SELECT run, round(avg(te_delta),6) AS te_delta, count(*) AS n FROM te GROUP BY run",
+    "te_delta_mean": f"WITH {TE}, t AS (SELECT run, round(avg(te_delta),6) AS te_delta, count(*) AS n FROM te GROUP BY run) SELECT t.*, (SELECT round(avg(polarization),6) FROM macro m WHERE m.run=t.run) AS polarization FROM t",
+    "frame_dispersion_wrapped": f"WITH {FR}, c AS (SELECT *, x-avg(x) OVER (PARTITION BY run, step) AS ox, y-avg(y) OVER (PARTITION BY run, step) AS oy FROM frames), s AS (SELECT run, step, {_D('ox')} AS dx, {_D('oy')} AS dy FROM c) SELECT run, step, round(avg(sqrt(dx*dx+dy*dy)),6) AS dispersion FROM s GROUP BY run, step",
+    "trend_proxy": f"WITH {POLS}, w AS (SELECT *, avg(polarization) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) AS old, avg(polarization) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS new, row_number() OVER (PARTITION BY run ORDER BY step) AS i FROM p) SELECT run, step, round(CASE WHEN i>=10 THEN (polarization-0.5)*0.5+(new-old)*2 ELSE 0.0 END,6) AS trend FROM w",
     "substrate_robustness": f"WITH {TE} SELECT step, round(CASE WHEN abs(avg(te_delta))<1e-10 THEN 0.0 ELSE greatest(0,least(1,1-stddev_pop(te_delta)/abs(avg(te_delta)))) END,6) AS robustness FROM te GROUP BY step",
-    "neighbors_plain": f"WITH {PTS} SELECT a.run, a.id AS i, count(*) AS neighbours, round(min({_EUC}),6) AS nearest FROM p a JOIN p b ON a.run=b.run AND a.id<>b.id AND {_EUC}<7 GROUP BY a.run, a.id",
-    "neighbors_periodic": f"WITH {EDGES} SELECT run, i, count(*) AS neighbours, round(min(dist),6) AS nearest FROM e GROUP BY run, i",
-    "neighbor_stats": f"WITH {EDGES}, n AS (SELECT run, i AS id, count(*) AS n FROM e GROUP BY run, i) SELECT p.run, count(*) AS points, round(avg(coalesce(n,0)),6) AS mean_neighbours FROM p LEFT JOIN n USING (run, id) GROUP BY p.run",
-    "step_forces": f"WITH {FORCES} SELECT run, id, round(ax,6) AS ax, round(ay,6) AS ay, round(cox,6) AS cox, round(coy,6) AS coy, round(sx,6) AS sx, round(sy,6) AS sy FROM f",
-    "step_update": STEP,
-    "boundary_reflect": f"WITH {PTS}, q AS (SELECT *, x+10*vx AS nx FROM p) SELECT run, id, round(CASE WHEN nx<0 THEN -nx WHEN nx>60 THEN 120-nx ELSE nx END,6) AS x, round(CASE WHEN nx<0 OR nx>60 THEN -vx ELSE vx END,6) AS vx FROM q",
-    "dbscan_labels": dbscan_sql(_CLOUD, _EUC, "<=", "SELECT id, label FROM d"),
-    "dbscan_periodic": dbscan_sql(_MOD, _PER, "<", "SELECT id, label FROM d"),
-    "largest_flock": dbscan_sql(_CLOUD, _EUC, "<=", "SELECT label, count(*) AS n FROM d WHERE label>=0 GROUP BY label ORDER BY n DESC, label LIMIT 1"),
-    "flock_polarization": dbscan_sql(_CLOUD, _EUC, "<=", f", {FR} SELECT label, count(*) AS n, round({POL},6) AS polarization FROM d JOIN frames ON boid_id=d.id WHERE label>=0 AND step=0 GROUP BY label"),
-    "warmup_filter": f"WITH {POLS} SELECT run, round(avg(polarization),6) AS polarization, count(*) AS frames FROM p WHERE step>=4 GROUP BY run",
+    "neighbors_plain": f"WITH {PTS} SELECT a.run, a.step, a.id AS i, count(*) AS neighbours, round(min({_EUC}),6) AS nearest FROM p a JOIN p b ON a.run=b.run AND a.step=b.step AND a.id<>b.id AND {_EUC}<=7 GROUP BY a.run, a.step, a.id",
+    "neighbors_periodic": f"WITH {EDGES} SELECT run, step, i, count(*) AS neighbours, round(min(dist),6) AS nearest FROM e WHERE dist>0 GROUP BY run, step, i",
+    "neighbors_grid": f"WITH {EDGES}, c AS (SELECT *, (floor((xj-100*floor(xj/100))/7)-floor((xi-100*floor(xi/100))/7)+16)::INT%15 AS cx, (floor((yj-100*floor(yj/100))/7)-floor((yi-100*floor(yi/100))/7)+16)::INT%15 AS cy FROM e) SELECT run, step, i, count(*) AS neighbours, round(min(dist),6) AS nearest FROM c WHERE cx<3 AND cy<3 GROUP BY run, step, i",
+    "neighbor_stats": f"WITH {EDGES}, n AS (SELECT run, step, i AS id, count(*) AS n FROM e GROUP BY run, step, i), k AS (SELECT run, step, id, row_number() OVER (PARTITION BY run, step ORDER BY id) AS k FROM p) SELECT k.run, k.step, count(*) AS points, round(avg(coalesce(n,0)),6) AS mean_neighbours, round(avg(coalesce(n,0)) FILTER (k<=10),6) AS mean_of_ten FROM k LEFT JOIN n USING (run, step, id) GROUP BY k.run, k.step",
+    "step_forces": f"WITH {forces_sql()} {SHOWN}",
+    "step_forces_raw": f"WITH {forces_sql(0.0, True)} {SHOWN}",
+    "step_update": step_sql(False),
+    "step_update_uniform": step_sql(True),
+    "boundary_reflect": f"WITH {PTS}, q AS (SELECT *, x+10*vx AS nx, y+10*vy AS ny FROM p) SELECT run, step, id, {_OUT('x')}, {_OUT('y')} FROM q",
+    "dbscan_labels": dbscan_sql("x, y", _EUC, "<=", 5, "SELECT run, step, id, label FROM d"),
+    "dbscan_periodic": dbscan_sql(_MOD, _PER, "<", 4, "SELECT run, step, id, label FROM d"),
+    "largest_flock": dbscan_sql("x, y", _EUC, "<=", 5, ", c AS (SELECT run, step, label, count(*) AS n FROM d WHERE label>=0 GROUP BY run, step, label), k AS (SELECT *, row_number() OVER (PARTITION BY run, step ORDER BY n DESC, label) AS k FROM c) SELECT run, step, label, n FROM k WHERE k=1"),
+    "flock_polarization": dbscan_sql("x, y", _EUC, "<=", 5, f"SELECT run, step, label, count(*) AS n, round({POL},6) AS polarization FROM d WHERE label>=0 GROUP BY run, step, label"),
+    "warmup_filter": f"WITH {POLS}, i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step)-1 AS i FROM p WHERE step%2=0) SELECT run, round(avg(polarization) FILTER (step>=4),6) AS by_step, round(avg(polarization) FILTER (i>=4),6) AS by_record, round(CASE WHEN count(*)<8 THEN 0.0 ELSE avg(polarization) FILTER (step>=4) END,6) AS guarded FROM i GROUP BY run",
     "thin_records": f"WITH {FR} SELECT run, step, count(*) AS n, round(sum(x),6) AS x FROM frames WHERE step%5=0 GROUP BY run, step",
 }

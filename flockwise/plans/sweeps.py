@@ -145,27 +145,54 @@ BOOT = f"""WITH {MEANS}, r AS (SELECT run, CASE WHEN alpha<{CUT} THEN 'b' ELSE '
  SELECT run, round(quantile_cont(d,0.025),3) AS low, round(quantile_cont(d,0.975),3) AS high FROM c GROUP BY run"""
 
 
+def jump_tested(spark, sf) -> DataFrame:
+    """run, critical_alpha, magnitude, p_value: the discontinuity against a straight line. The line's residuals are resampled REPS
+    times; p is the share of resamplings whose smoothed steps reach the magnitude, 1 / REPS at least."""
+    m = means(spark, sf).withColumn("y", F.round("y", 6))
+    of = Window.partitionBy("run")
+    m = m.withColumn("fit", F.regr_slope("y", "alpha").over(of) * F.col("alpha") + F.regr_intercept("y", "alpha").over(of)).withColumn("i", F.row_number().over(along()) - 1).withColumn("n", F.count("*").over(of))
+    draws = m.select("run", "fit", F.col("i").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))).alias("rep"))
+    draws = draws.withColumn("i", F.floor(S.uniform(F.lit("6"), "run", "rep", "slot") * F.col("n")).cast("int"))
+    b = draws.join(m.select("run", "i", (F.col("y") - F.col("fit")).alias("residual")), ["run", "i"]).withColumn("v", F.col("fit") + F.col("residual"))
+    w = Window.partitionBy("run", "rep").orderBy("slot")
+    b = b.withColumn("sm", series.rolling_mean("v", w)).withColumn("d", F.abs(F.col("sm") - F.lag("sm").over(w))).groupBy("run", "rep").agg(F.round(F.max("d"), 6).alias("d"))
+    at = series.discontinuity(m.select("run", "alpha", "y"), ["run"], "alpha", "y").select("run", "critical_alpha", F.round("magnitude", 6).alias("magnitude"))
+    p = F.greatest(F.avg((F.col("d") >= F.abs("magnitude")).cast("double")), F.lit(1 / REPS))
+    return b.join(at, "run").groupBy("run").agg(F.first("critical_alpha").alias("critical_alpha"), F.first("magnitude").alias("magnitude"), p.alias("p_value"))
+
+
+def bootstrap_jump_pvalue(spark, sf):
+    """The discontinuity of each run; without significance there is no critical alpha."""
+    t = jump_tested(spark, sf)
+    return t.select("run", F.when(F.col("p_value") < 0.05, F.col("critical_alpha")).alias("critical_alpha"), R4("magnitude").alias("magnitude"), "p_value")
+
+
 def verdict_standard(spark, sf):
-    """p under .05 and d over .5: SUPPORTED; p alone: WEAK; else FALSIFIED."""
-    d = A.sweep(spark, sf).groupBy("run").agg(S.cohens_d(F.col("metric"), F.col("alpha") < CUT).alias("d"))
-    v = permutation_pvalue(spark, sf).join(d, "run")
-    word = F.when((F.col("p_value") < 0.05) & (F.col("d") > 0.5), "SUPPORTED").when(F.col("p_value") < 0.05, "WEAK").otherwise("FALSIFIED")
-    return v.select("run", word.alias("verdict"))
+    """p of the discontinuity under .05, and d over .5 at its alpha: SUPPORTED; p alone: WEAK; else FALSIFIED."""
+    t = jump_tested(spark, sf)
+    d = A.sweep(spark, sf).join(t, "run").groupBy("run").agg(F.first("p_value").alias("p"), S.cohens_d(F.col("metric"), F.col("alpha") < F.col("critical_alpha")).alias("d"))
+    word = F.when((F.col("p") < 0.05) & (F.col("d") > 0.5), "SUPPORTED").when(F.col("p") < 0.05, "WEAK").otherwise("FALSIFIED")
+    return d.select("run", word.alias("verdict"))
 
 
-def plot_data(spark, sf):
-    """Means and deviations of all runs as arrays along alpha."""
-    g = A.sweep(spark, sf).groupBy("alpha").agg(R4(F.avg("metric")).alias("mean"), R4(F.stddev_samp("metric")).alias("std"))
-    g = g.agg(F.sort_array(F.collect_list(F.struct("alpha", "mean", "std"))).alias("r"))  # a row per alpha
-    join = lambda c: F.array_join(F.transform("r", lambda s: F.format_string("%.4f", s[c])), ",")
-    return g.select(join("alpha").alias("alphas"), join("mean").alias("means"), join("std").alias("stds"))
+JUMP = f"""{DISC.removeprefix("WITH ").rsplit(" SELECT run, alpha AS critical_alpha", 1)[0].replace("avg(metric) AS y FROM sweep", "round(avg(metric),6) AS y FROM sweep")},
+ pt AS (SELECT run, alpha AS critical_alpha, round(after-before,6) AS magnitude FROM f WHERE k=1),
+ z AS (SELECT *, regr_slope(y,alpha) OVER (PARTITION BY run)*alpha+regr_intercept(y,alpha) OVER (PARTITION BY run) AS fit FROM s),
+ w AS (SELECT run, fit, i-1 AS slot, rep, CAST(floor((('0x'||substr(md5('6|'||run||'|'||rep||'|'||(i-1)),1,8))::BIGINT/4294967296.0)*n) AS BIGINT)+1 AS i FROM z, range({REPS}) x(rep)),
+ v AS (SELECT w.run, w.rep, w.slot, w.fit+z.y-z.fit AS v FROM w JOIN z ON z.run=w.run AND z.i=w.i), u AS (SELECT *, avg(v) OVER (PARTITION BY run, rep ORDER BY slot ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS sm FROM v),
+ g AS (SELECT run, rep, abs(sm-lag(sm) OVER (PARTITION BY run, rep ORDER BY slot)) AS d FROM u), b AS (SELECT run, rep, round(max(d),6) AS d FROM g GROUP BY run, rep),
+ t AS (SELECT run, any_value(critical_alpha) AS critical_alpha, any_value(magnitude) AS magnitude, greatest(avg(CASE WHEN d>=abs(magnitude) THEN 1.0::DOUBLE ELSE 0 END), {1 / REPS}) AS p_value FROM b JOIN pt USING (run) GROUP BY run)"""
 
 
-def robustness_table(spark, sf):
-    """Effect by quantity and line as stand-ins for two clustering parameters, formatted; N/A without an effect."""
-    li = A.table(spark, sf, "lineitem").where("l_quantity <= 3 and l_linenumber <= 3")
-    g = li.groupBy(F.col("l_quantity").cast("int").alias("eps"), F.col("l_linenumber").cast("int").alias("min_samples")).agg(S.cohens_d(F.col("l_extendedprice"), F.col("l_discount") < CUT).alias("d"))
-    return g.select("eps", "min_samples", F.coalesce(F.format_string("%.3f", F.round("d", 3)), F.lit("N/A")).alias("cohens_d"))
+def plot_data(spark, sf):
+    """Means and deviations of all runs as arrays along alpha, of two measures, the mean of a third, and the first's discontinuity."""
+    li = A.table(spark, sf, "lineitem").withColumn("alpha", F.col("l_discount"))
+    g = li.groupBy("alpha").agg(R4(F.avg("l_extendedprice")).alias("mean"), R4(F.stddev_samp("l_extendedprice")).alias("std"), R4(F.avg("l_quantity")).alias("mean2"), R4(F.stddev_samp("l_quantity")).alias("std2"), R4(F.avg("l_tax")).alias("mean3"))
+    at = series.discontinuity(g.select(F.lit(1).alias("k"), "alpha", F.col("mean").alias("y")), ["k"], "alpha", "y")  # a row per alpha
+    names = ("alpha", "mean", "std", "mean2", "std2", "mean3")
+    g = g.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("r"))  # a row per alpha
+    join = lambda c: F.array_join(F.transform("r", lambda s: F.format_string("%.4f", s[c])), ",")
+    return g.crossJoin(F.broadcast(at)).select(*[join(c).alias(f"{c}s") for c in names], "critical_alpha", R4("magnitude").alias("magnitude"))  # one row each
 
 
 def sweep_tasks(spark, sf):
@@ -173,18 +200,56 @@ def sweep_tasks(spark, sf):
     return A.alpha_grid(spark, 0.0, 3.0, 31).crossJoin(spark.range(10).select(F.col("id").cast("int").alias("run"))).select("alpha_idx", R4("alpha").alias("alpha"), "run")
 
 
-def dbscan_grid(spark, sf):
-    eps, least = (F.explode(F.array(*[F.lit(v) for v in vs])) for vs in ((10, 15, 20), (3, 5, 10)))
-    return spark.range(1).select(eps.alias("eps")).select("eps", least.alias("min_samples"))
-
-
 def union_phases(spark, sf):
     """Main and robustness rows of one parameter stay apart by phase."""
-    s = A.sweep(spark, sf).where("run <= 2").select("alpha", "metric", F.lit("main").alias("phase"))
-    t = A.sweep(spark, sf).where("run = 2").select("alpha", "metric", F.lit("robustness").alias("phase"))
+    s = A.sweep(spark, sf).select("alpha", "metric", F.lit("main").alias("phase"))
+    t = A.table(spark, sf, "lineitem").select(F.col("l_tax").alias("alpha"), F.col("l_extendedprice").alias("metric"), F.lit("robustness").alias("phase"))
     return s.unionByName(t).groupBy("phase", "alpha").agg(F.count("*").alias("n"), F.round(F.sum("metric"), 2).alias("total"))
 
 
+def sorted_sweep(spark, sf):
+    """Means in order of (alpha, run)."""
+    return means(spark, sf).select("alpha", "run", R4("y").alias("y")).orderBy("alpha", "run")
+
+
+def zoom(spark, sf):
+    """The part of the sweep up to an alpha of .05, by level."""
+    return A.sweep(spark, sf).where("alpha <= 0.05").groupBy("alpha").agg(F.count("*").alias("n"), R4(F.avg("metric")).alias("mean"))
+
+
+def sweep_tasks_clustering(spark, sf):
+    """Every clustering choice with every alpha and run: 9 by 31 by 10; and every size and noise with ten alphas and five runs."""
+    runs = lambda n: spark.range(n).select(F.col("id").cast("int").alias("run"))
+    pairs = lambda a, b: spark.range(1).select(F.explode(F.array(*[F.lit(float(v)) for v in a])).alias("p")).select("p", F.explode(F.array(*[F.lit(float(v)) for v in b])).alias("q"))
+    one = pairs((10, 15, 20), (3, 5, 10)).crossJoin(A.alpha_grid(spark, 0.0, 0.3, 31)).crossJoin(runs(10)).withColumn("grid", F.lit("clustering"))
+    two = pairs((100, 300), (0.1, 0.2)).crossJoin(A.alpha_grid(spark, 0.0, 0.2, 10)).crossJoin(runs(5)).withColumn("grid", F.lit("robustness"))
+    return one.unionByName(two).select("grid", "p", "q", "alpha_idx", R4("alpha").alias("alpha"), "run")
+
+
+def task_configs(spark, sf):
+    """Each task's settings: defaults with the task's own alpha and noise put over them, as records."""
+    base = {"n_boids": 500.0, "world_size": 200.0, "alignment_weight": 1.0, "noise_std": 0.1}
+    t = sweep_tasks(spark, sf).select("alpha_idx", "run", F.explode(F.array(F.lit(None).cast("double"), F.lit(0.05), F.lit(0.2))).alias("noise"), "alpha")
+    c = t.select("alpha_idx", "run", *[F.lit(v).alias(k) for k, v in base.items() if k not in ("alignment_weight", "noise_std")], F.col("alpha").alias("alignment_weight"), F.coalesce("noise", F.lit(base["noise_std"])).alias("noise_std"))
+    return c.select("alpha_idx", "run", "noise_std", F.format_string('{"n_boids":%.0f,"world_size":%.0f,"alignment_weight":%.4f,"noise_std":%.2f}', "n_boids", "world_size", "alignment_weight", "noise_std").alias("config"))
+
+
+def filter_with_fallback(spark, sf):
+    """Rows of quantity 15 and line 5 of each supplier; of suppliers without any, all rows."""
+    li = A.table(spark, sf, "lineitem")
+    hit = (F.col("l_quantity") == 15) & (F.col("l_linenumber") == 5)
+    has = li.groupBy("l_suppkey").agg(F.max(hit).alias("has"))
+    kept = li.join(has, "l_suppkey").where(hit | ~F.col("has"))
+    return kept.groupBy("l_suppkey").agg(F.first("has").alias("matched"), F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+def concatenated(spark, sf):
+    """Each run's values before and after the cut, as one sample each, put together again."""
+    s = A.sweep(spark, sf)
+    both = s.where(F.col("alpha") < CUT).select("run", "metric", F.lit("before").alias("side")).unionAll(s.where(F.col("alpha") >= CUT).select("run", "metric", F.lit("after").alias("side")))
+    return both.groupBy("run").agg(F.count("*").alias("n"), F.count(F.when(F.col("side") == "before", 1)).alias("n_before"), R4(F.avg("metric")).alias("mean"))
+
+
 def segment_costs(y: np.ndarray) -> np.ndarray:
     """RBF cost of every segment [a, b), by the median bandwidth."""
     d = (y[:, None] - y[None, :]) ** 2
@@ -214,19 +279,25 @@ def change_points(y: np.ndarray, penalty: float = 1.0, least: int = 2) -> list[i
     return out[::-1]
 
 
-def pelt_changepoints(spark, sf):
-    """Change points of each run's means: a series is a row per alpha, so a group is small."""
+def change_points_of(rows: DataFrame, kind: str) -> DataFrame:
+    """rows(group, alpha, y) -> group, alpha of the change points; a group's series is a row per alpha, so it is small."""
+    key = rows.columns[0]
 
     def find(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("alpha")
-        y = g["y"].to_numpy()
-        y = (y - y.mean()) / (y.std() or 1.0)
-        return pd.DataFrame({"run": g["run"].iloc[0], "alpha": g["alpha"].to_numpy()[change_points(y)]})
+        return pd.DataFrame({key: g[key].iloc[0], "alpha": g["alpha"].to_numpy()[change_points(g["y"].to_numpy())]})
 
-    return means(spark, sf).groupBy("run").applyInPandas(find, "run int, alpha double")
+    return rows.groupBy(key).applyInPandas(find, kind)
+
+
+def pelt_changepoints(spark, sf):
+    """Change points of each run's means."""
+    return change_points_of(means(spark, sf).select("run", "alpha", F.round("y", 6).alias("y")), "run int, alpha double")
 
 
-QUERIES = {f.__name__: f for f in (sweep_summary_samp, sweep_summary_pop, rolling_mean_centered, gradient, second_derivative, adjacent_diff, neighbor_jump, discontinuity_point, before_after_means, cohens_d_samp, cohens_d_pop, linear_fit, threshold_split, permutation_pvalue, bootstrap_d_ci, verdict_standard, plot_data, robustness_table, sweep_tasks, dbscan_grid, union_phases, pelt_changepoints)}
+QUERIES = {f.__name__: f for f in (sweep_summary_samp, sweep_summary_pop, rolling_mean_centered, gradient, second_derivative, adjacent_diff, neighbor_jump, discontinuity_point, before_after_means, cohens_d_samp, cohens_d_pop, linear_fit, threshold_split, permutation_pvalue, bootstrap_d_ci, bootstrap_jump_pvalue, verdict_standard, plot_data, sorted_sweep, zoom, sweep_tasks, sweep_tasks_clustering, task_configs, filter_with_fallback, concatenated, union_phases, pelt_changepoints)}
+_LIST = lambda c, t: f"string_agg(printf('%.4f',{c}),',' ORDER BY alpha) AS {t}"
+_PLOT = DISC.replace(MEANS, "g AS (SELECT l_discount AS alpha, round(avg(l_extendedprice),4) AS mean, round(stddev_samp(l_extendedprice),4) AS std, round(avg(l_quantity),4) AS mean2, round(stddev_samp(l_quantity),4) AS std2, round(avg(l_tax),4) AS mean3 FROM lineitem GROUP BY 1), m AS (SELECT 1 AS run, alpha, mean AS y FROM g)").rsplit(" SELECT run, alpha AS critical_alpha", 1)[0] + f", pt AS (SELECT alpha AS critical_alpha, round(after-before,4) AS magnitude FROM f WHERE k=1) SELECT {', '.join(_LIST(c, c + 's') for c in ('alpha', 'mean', 'std', 'mean2', 'std2', 'mean3'))}, any_value(critical_alpha) AS critical_alpha, any_value(magnitude) AS magnitude FROM g, pt"
 _GR = "SELECT alpha, count(*) AS n, round(avg(metric),4) AS mean, round({}(metric),4) AS std FROM sweep GROUP BY alpha"
 ORACLE = {
     "sweep_summary_samp": f"WITH {SW} {_GR.format('stddev_samp')}",
@@ -239,15 +310,20 @@ ORACLE = {
     "discontinuity_point": DISC,
     "before_after_means": f"WITH {MEANS} SELECT run, alpha, round(avg(y) OVER (PARTITION BY run ORDER BY alpha ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),4) AS before, round(avg(y) OVER (PARTITION BY run ORDER BY alpha ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),4) AS after FROM m",
     "cohens_d_samp": f"WITH {SW} SELECT run, round({_d('var_samp')},4) AS d FROM sweep GROUP BY run",
-    "cohens_d_pop": f"WITH {SW} SELECT run, round({_d('var_pop')},4) AS d FROM sweep GROUP BY run",
+    "cohens_d_pop": f"WITH {SW} SELECT run, round(CASE WHEN count(*) FILTER (alpha<{CUT})<2 OR count(*) FILTER (alpha>={CUT})<2 THEN 0.0 ELSE {_d('var_pop')} END,4) AS d FROM sweep GROUP BY run",
     "linear_fit": f"WITH {SW} SELECT run, round(regr_slope(metric,alpha),3) AS slope, round(regr_intercept(metric,alpha),3) AS intercept FROM sweep GROUP BY run",
     "threshold_split": f"WITH {SW} SELECT run, count(*) FILTER (alpha<{CUT}) AS n_before, count(*) FILTER (alpha>={CUT}) AS n_after, round(avg(metric) FILTER (alpha<{CUT}),4) AS before, round(avg(metric) FILTER (alpha>={CUT}),4) AS after FROM sweep GROUP BY run",
     "permutation_pvalue": PERM,
     "bootstrap_d_ci": BOOT,
-    "verdict_standard": f"WITH t AS ({PERM}), {SW}, d AS (SELECT run, {_d('var_samp')} AS d FROM sweep GROUP BY run) SELECT run, CASE WHEN p_value<0.05 AND d>0.5 THEN 'SUPPORTED' WHEN p_value<0.05 THEN 'WEAK' ELSE 'FALSIFIED' END AS verdict FROM t JOIN d USING (run)",
-    "plot_data": f"WITH {SW}, g AS (SELECT alpha, round(avg(metric),4) AS mean, round(stddev_samp(metric),4) AS std FROM sweep GROUP BY alpha) SELECT string_agg(printf('%.4f',alpha),',' ORDER BY alpha) AS alphas, string_agg(printf('%.4f',mean),',' ORDER BY alpha) AS means, string_agg(printf('%.4f',std),',' ORDER BY alpha) AS stds FROM g",
-    "robustness_table": f"WITH sweep AS (SELECT CAST(l_quantity AS INT) AS eps, CAST(l_linenumber AS INT) AS min_samples, l_discount AS alpha, l_extendedprice AS metric FROM lineitem WHERE l_quantity<=3 AND l_linenumber<=3), d AS (SELECT eps, min_samples, CASE WHEN count(*) FILTER (alpha<{CUT})<2 OR count(*) FILTER (alpha>={CUT})<2 THEN NULL ELSE {_d('var_samp')} END AS d FROM sweep GROUP BY eps, min_samples) SELECT eps, min_samples, coalesce(printf('%.3f',round(d,3)),'N/A') AS cohens_d FROM d",
+    "bootstrap_jump_pvalue": f"WITH {JUMP} SELECT run, CASE WHEN p_value<0.05 THEN critical_alpha END AS critical_alpha, round(magnitude,4) AS magnitude, p_value FROM t",
+    "verdict_standard": f"WITH {JUMP}, c AS (SELECT sweep.*, critical_alpha, p_value, alpha<critical_alpha AS before FROM sweep JOIN t USING (run)), ef AS (SELECT run, any_value(p_value) AS p, (avg(metric) FILTER (NOT before)-avg(metric) FILTER (before))/sqrt(((count(*) FILTER (before)-1)*var_samp(metric) FILTER (before)+(count(*) FILTER (NOT before)-1)*var_samp(metric) FILTER (NOT before))/(count(*)-2)) AS d FROM c GROUP BY run) SELECT run, CASE WHEN p<0.05 AND d>0.5 THEN 'SUPPORTED' WHEN p<0.05 THEN 'WEAK' ELSE 'FALSIFIED' END AS verdict FROM ef",
+    "plot_data": _PLOT,
+    "sorted_sweep": f"WITH {MEANS} SELECT alpha, run, round(y,4) AS y FROM m ORDER BY alpha, run",
+    "zoom": f"WITH {SW} SELECT alpha, count(*) AS n, round(avg(metric),4) AS mean FROM sweep WHERE alpha<=0.05 GROUP BY alpha",
+    "sweep_tasks_clustering": "SELECT 'clustering' AS grid, p::DOUBLE AS p, q::DOUBLE AS q, CAST(a AS INT) AS alpha_idx, round(a*0.3::DOUBLE/30,4) AS alpha, CAST(r AS INT) AS run FROM (VALUES (10),(15),(20)) x(p), (VALUES (3),(5),(10)) y(q), range(31) z(a), range(10) w(r) UNION ALL SELECT 'robustness', p::DOUBLE, q::DOUBLE, CAST(a AS INT), round(a*0.2::DOUBLE/9,4), CAST(r AS INT) FROM (VALUES (100),(300)) x(p), (VALUES (0.1),(0.2)) y(q), range(10) z(a), range(5) w(r)",
+    "task_configs": """SELECT CAST(a AS INT) AS alpha_idx, CAST(r AS INT) AS run, n::DOUBLE AS noise_std, printf('{"n_boids":500,"world_size":200,"alignment_weight":%.4f,"noise_std":%.2f}', round(a*3.0::DOUBLE/30,4), n::DOUBLE) AS config FROM range(31) x(a), range(10) y(r), (VALUES (0.1),(0.05),(0.2)) z(n)""",
+    "filter_with_fallback": "WITH h AS (SELECT *, l_quantity=15 AND l_linenumber=5 AS hit, bool_or(l_quantity=15 AND l_linenumber=5) OVER (PARTITION BY l_suppkey) AS has FROM lineitem) SELECT l_suppkey, any_value(has) AS matched, count(*) AS n, round(sum(l_extendedprice),2) AS total FROM h WHERE hit OR NOT has GROUP BY l_suppkey",
+    "concatenated": f"WITH {SW} SELECT run, count(*) AS n, count(*) FILTER (alpha<{CUT}) AS n_before, round(avg(metric),4) AS mean FROM sweep GROUP BY run",
     "sweep_tasks": "SELECT CAST(a AS INT) AS alpha_idx, round(a*3.0::DOUBLE/30,4) AS alpha, CAST(r AS INT) AS run FROM range(31) x(a), range(10) y(r)",
-    "dbscan_grid": "SELECT eps, min_samples FROM (VALUES (10),(15),(20)) a(eps), (VALUES (3),(5),(10)) b(min_samples)",
-    "union_phases": f"WITH {SW}, u AS (SELECT 'main' AS phase, alpha, metric FROM sweep WHERE run<=2 UNION ALL SELECT 'robustness', alpha, metric FROM sweep WHERE run=2) SELECT phase, alpha, count(*) AS n, round(sum(metric),2) AS total FROM u GROUP BY phase, alpha",
+    "union_phases": "WITH u AS (SELECT 'main' AS phase, l_discount AS alpha, l_extendedprice AS metric FROM lineitem UNION ALL SELECT 'robustness', l_tax, l_extendedprice FROM lineitem) SELECT phase, alpha, count(*) AS n, round(sum(metric),2) AS total FROM u GROUP BY phase, alpha",
 }

@@ -14,8 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_json_document(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def read_json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """With a schema the files are read once only."""
+    return spark.read.json(path, schema=schema, multiLine=True)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = TELEMETRY) -> DataFrame:
@@ -23,8 +24,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = TELEMETRY) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """With a header and quotes; without a schema types are inferred, by one more reading."""
+    return spark.read.csv(path, schema=schema, header=True, inferSchema=schema is None, escape='"', multiLine=True)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +34,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True)
+    df.write.csv(path, header=True, escape='"')
 
 
 def write_json(df: DataFrame, path: str) -> None:

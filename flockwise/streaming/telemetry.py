@@ -7,16 +7,20 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEEP = 5
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A folder for this run in the cluster's shared one; a local one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+def shared(spark: SparkSession, name: str) -> str:
+    """A folder for this run in the cluster's shared one; one of its own only where none is set and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -49,18 +53,30 @@ def last_outputs(stream: DataFrame, keep: int = KEEP) -> DataFrame:
     return stream.select(F.col("user_id").alias("agent"), "ts", "event_id").groupBy("agent").applyInPandasWithState(step, "agent bigint, n bigint, last string", "n bigint, last string", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs over all that is there; each batch is written to a folder of its own, and the last one read."""
+def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines as they come in; malformed ones are dropped."""
+    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def drain(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs over all that is there; each batch is written to a folder of its own. Of a complete result the last batch is read, of
+    updates each key's row of the latest batch that has one."""
     spark = stream.sparkSession
-    out, done = _shared(spark, name), []
+    out, done = shared(spark, name), []
 
     def keep(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         done.append(batch)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", _shared(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(keep).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/batch={max(done)}") if done else spark.createDataFrame([], stream.schema)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.parquet(f"{out}/batch={max(done)}")
+    all_ = spark.read.option("basePath", out).parquet(out)
+    latest = all_.withColumn("_k", F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(F.desc("batch"))))
+    return latest.where("_k = 1").drop("_k", "batch")
 
 
 def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +84,21 @@ def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drain(last_outputs(events_stream(spark, sf_dir)), "update", "state")
+    return drain(last_outputs(events_stream(spark, sf_dir)), "update", "state", ["agent"])
+
+
+def stream_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as JSON lines in several files, a few lines malformed, read as a stream and counted."""
+    path = shared(spark, "lines")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.col("user_id").alias("agent"), F.col("value").alias("latency_ms"))).alias("value"), "event_id")
+    e.select(F.when(F.col("event_id") % 1000 == 999, F.lit('{"t": broken')).otherwise(F.col("value")).alias("value")).repartition(3).write.text(path)
+    lines = json_stream(spark, path, "t BIGINT, agent BIGINT, latency_ms DOUBLE").where("t is not null")
+    return drain(lines.groupBy("agent").agg(F.count("*").alias("n"), F.max("t").alias("last")), "complete", "json")
 
 
-QUERIES = {"stream_telemetry": stream_telemetry, "stream_state": stream_state}
+QUERIES = {"stream_telemetry": stream_telemetry, "stream_state": stream_state, "stream_json_lines": stream_json_lines}
 ORACLE = {
+    "stream_json_lines": "SELECT user_id AS agent, count(*) AS n, max(epoch_us(ts)//1000) AS last FROM events WHERE event_id%1000<>999 GROUP BY user_id",
     "stream_telemetry": "SELECT event_type, count(*) AS n, round(sum(value),2) AS total FROM events GROUP BY event_type",
     "stream_state": "WITH k AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id AS agent, any_value(n) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS last FROM k WHERE k<=5 GROUP BY user_id",
 }
