@@ -7,13 +7,12 @@ apart decide which examples are near. A text's vector has (1 + ln tf) times thes
 kept once, with their numbers of toxic and clean labels. The index's bytes travel with the tasks.
 
 Search: the COMMON terms of most examples are a matrix, the others have posting lists, which are summed for all examples. Examples lie
-in blocks of BLOCK, with the largest weight of each common term and the greatest length of the common part in each block. The best
-examples by postings of the best blocks are summed exactly: the least of those K is a bound from below on the K-th best. A block is
-left out if its best sum of postings and the lesser of two bounds on the common terms (by the block's largest weights, and by lengths)
-don't reach it; in the others, examples that may reach it are summed, and those near enough to the K-th once more in double
-precision, so that the K nearest are exact. Each votes with the labels it stands for, weighted by 1 / (0.05 + 1 - cosine); votes are
-shrunk to the share of toxic labels among all examples. A text that shares no term with any example has no neighbour at a distance;
-it is scored by the examples without words.
+in blocks of BLOCK, with the largest weight of each common term in each block. A text's bound on a block is the best of these sums
+there and its common weights times the block's largest; blocks that can't reach the K-th best are left out, common terms are added in
+the others, and those examples that are near enough to the K-th are summed again in double precision, so that the K nearest are
+exact. Each votes with the labels it stands for, weighted by 1 / (0.05 + 1 - cosine); votes are shrunk to the share of toxic labels
+among all examples. A text that shares no term with any example has no neighbour at a distance; it is scored by the examples without
+words.
 
 Defined results: a null text is empty and scored like any text without terms; rows that share a doc_id are each scored, and the least
 of their texts is the example; a null doc_id is scored and never an example; without labels every score is the prior, 0.5 of no
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, map_texts, materialize, ragged, span_hash, table, text_chunks, word_spans
 
 EXAMPLES, K, BLOCK = 20_000, 15, 64
-#: Terms that are kept as a matrix; what sums of single precision may be off by.
-COMMON, ROUND = 512, 1e-4
+#: Terms that are kept as a matrix; blocks that are multiplied at once; what sums of single precision may be off by.
+COMMON, SPAN, ROUND = 512, 16, 1e-4
 #: Words are cut at ASCII characters that are neither letters nor digits.
 BREAK = np.zeros(256, bool)
 BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -86,12 +85,10 @@ class Index:
         dense = at >= 0
         self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
         self.dense[self.example[dense], at[dense]] = self.weight[dense]
-        self.length = np.sqrt((self.dense * self.dense).sum(axis=1))
-        self.reach = self.length.reshape(self.blocks, BLOCK).max(axis=1) if self.n else np.zeros(0, np.float32)
         self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1) if self.n else np.zeros((0, len(common)), np.float32)
         t, self.post, self.post_weight = (x[~dense] for x in (self.term, self.example, self.weight))
         order = np.argsort(t, kind="stable")
-        self.post, self.post_weight = self.post[order], self.post_weight[order]
+        self.post, self.post_weight = self.post[order], self.post_weight[order].astype(np.float32)
         self.post_start = np.searchsorted(t[order], np.arange(n_terms + 1))
 
     def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +103,9 @@ class Index:
             self._nearest(doc[a:b] - i, term[a:b], weight[a:b], best[i:j], cos[i:j], k, lookup)
         return best, cos
 
-    def _sums(self, score: np.ndarray, query: np.ndarray, row: np.ndarray, example: np.ndarray) -> np.ndarray:
-        """Of postings and common terms, in single precision."""
-        out = score[row, example]
-        for a in range(0, len(row), 4096):
-            out[a : a + 4096] += np.einsum("ij,ij->i", query[row[a : a + 4096]], self.dense[example[a : a + 4096]])
-        return out
+    def _kth(self, top: np.ndarray, k: int) -> np.ndarray:
+        """A bound from below on the k-th best score, as the best examples of k blocks reach it."""
+        return np.partition(top, self.blocks - k, axis=1)[:, self.blocks - k] if self.blocks >= k else np.zeros(len(top), np.float32)
 
     def _nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, best: np.ndarray, cos: np.ndarray, k: int, lookup: np.ndarray) -> None:
         n, width = len(best), self.blocks * BLOCK
@@ -120,27 +114,26 @@ class Index:
         query = np.zeros((n, self.dense.shape[1]), np.float32)
         query[doc[of], at[of]] = weight[of]
         d, t, w = doc[~of], term[~of], weight[~of]
-        size = self.post_start[t + 1] - self.post_start[t]
-        group, place = ragged(size)
-        place += self.post_start[t][group]
-        score = np.bincount(d[group] * width + self.post[place], w[group] * self.post_weight[place], minlength=n * width).astype(np.float32).reshape(n, width)
-        by_block = score.reshape(n, self.blocks, BLOCK)
-        top = by_block.max(axis=2)
-        low = np.zeros(n, np.float32)
-        if self.blocks >= k:
-            first = np.argpartition(-top, k - 1, axis=1)[:, :k]
-            one = first * BLOCK + np.take_along_axis(by_block.argmax(axis=2), first, 1)
-            row = np.repeat(np.arange(n), k)
-            low = self._sums(score, query, row, one.ravel()).reshape(n, k).min(axis=1)
-        length = np.sqrt((query * query).sum(axis=1))
-        live = top + np.minimum(query @ self.most.T, length[:, None] * self.reach[None]) >= low[:, None] - ROUND
-        row, block = np.nonzero(live)
-        part = by_block[row, block]  # (live blocks, BLOCK)
-        may = part + length[row][:, None] * self.length.reshape(self.blocks, BLOCK)[block] >= (low - ROUND)[row][:, None]
-        i, place = np.nonzero(may)
-        row, example = row[i], block[i] * BLOCK + place
-        sums = self._sums(score, query, row, example)
-        keep = (sums > 0) & (sums >= (low - ROUND)[row])
+        size, start = self.post_start[t + 1] - self.post_start[t], np.searchsorted(d, np.arange(n + 1))
+        score = np.empty((n, width), np.float32)
+        for r in range(n):  # a text at a time, whose sums stay in the processor's cache
+            mine = slice(start[r], start[r + 1])
+            group, place = ragged(size[mine])
+            place += self.post_start[t[mine]][group]
+            score[r] = np.bincount(self.post[place], w[mine][group] * self.post_weight[place], minlength=width)
+        top = score.reshape(n, self.blocks, BLOCK).max(axis=2)
+        live = top + query @ self.most.T >= self._kth(top, k)[:, None] - ROUND
+        for b in range(0, self.blocks, SPAN):  # several blocks at once, if any is live for any text
+            if live[:, b : b + SPAN].any():
+                span = slice(b * BLOCK, (b + SPAN) * BLOCK)
+                score[:, span] += query @ self.dense[span].T
+        top = score.reshape(n, self.blocks, BLOCK).max(axis=2)
+        low = np.maximum(self._kth(top, k), 0)
+        near = (top >= low[:, None] - ROUND) & (top > 0)
+        row, block = np.nonzero(near)
+        i, place = np.nonzero((part := score.reshape(n, self.blocks, BLOCK)[row, block]) >= (low - ROUND)[row][:, None])
+        row, example, sums = row[i], block[i] * BLOCK + place, part[i, place]
+        keep = sums > 0
         row, example, sums = row[keep], example[keep], sums[keep]
         first = np.searchsorted(row, np.arange(n + 1))
         start = np.searchsorted(doc, np.arange(n + 1))
