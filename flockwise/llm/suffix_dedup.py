@@ -5,7 +5,7 @@ Documents are packed into chunks of about CHUNK bytes. In each `length`-byte win
 anchor; equal windows have equal anchors, and neighbouring windows mostly share theirs. A run of windows with one anchor, and the
 bytes that they span, is a context; a chunk's equal contexts are one, with their smallest id.
 
-First exchange: contexts meet by anchor, as hashes. An anchor with one context only is settled: its smallest id holds for all of
+First exchange: contexts meet by anchor, as hashes of 104 bits and more. An anchor with one context only is settled: its smallest id holds for all of
 its windows. Second exchange: the contexts of other anchors go, as bytes, to the anchor's bucket. There shards of at most SHARD
 bytes get a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's rule, which group equal windows; the
 shards' sorted windows are merged by binary search, and each window gets the smallest id that holds it. Chunks then cut their
@@ -144,7 +144,7 @@ class Chunk:
         many = (np.bincount(group) > MANY)[group]
         keep = np.flatnonzero(~many | new)
         entry = np.cumsum(~many | new) - 1
-        cx = np.where(many, np.uint64(0), np.maximum(self.cx, np.uint64(1 << 16)))
+        cx = np.where(many, np.uint64(0), np.maximum(self.cx, np.uint64(1)))
         return self.kh[keep], cx[keep], np.minimum.reduceat(self.least, keep), entry, keep
 
     def window_hashes(self, a: np.ndarray, k: int = 0) -> np.ndarray:
@@ -339,7 +339,7 @@ def meet(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     size = np.array([len(r["hash"]) // 8 for r in rows])
     code = np.frombuffer(b"".join(r["hash"] for r in rows), np.uint64)
-    more = np.frombuffer(b"".join(r["more"] for r in rows), np.uint16)
+    more = np.frombuffer(b"".join(r["more"] for r in rows), np.uint32)
     ids = np.concatenate([_wide(r["base"], r["id"], r["width"]) for r in rows])
     row, place = ragged(size)
     order = np.lexsort((more, code))
@@ -418,7 +418,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 c = Chunk(batch, r, length, gram)
                 kh, cx, least, _, _ = c.entries()
                 code = ((kh << np.uint64(bits)) & ~np.uint64(0xFFFFFFFF)) | (cx >> np.uint64(32))
-                more = ((cx >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
+                more = cx.astype(np.uint32)  # the lower half
                 out = []
                 for bucket, a, b in _cuts((kh >> top).astype(np.int64)):
                     base, raw, width = _narrow(least[a:b])

@@ -489,3 +489,10 @@ def test_markup():
     for hostile in ("<script>" * 100_000, "<!--" * 200_000, "<html" * 100_000, "<style" * 50_000 + "<!-- -->" * 50_000):
         language.visible(hostile), language.declared_language(hostile)
     assert __import__("time").time() - began < 20
+
+
+def test_repeated_passages_query(spark, sf_dir):
+    out = registry.queries()["op10_suffix_dedup"](spark, sf_dir)
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema.fields] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    rows = column(sf_dir, "documents", "doc_id", "text")
+    assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == {i: x for (i, _), x in zip(rows, brute.removed(rows))}
