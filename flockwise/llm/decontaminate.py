@@ -11,8 +11,7 @@ Items of fewer than SHORT words have seeds of two words, as edits leave them few
 
 Defined results: a null text has no words and is never contaminated, nor is an item without words found. Links are between ids: rows
 that share a doc_id are one document of several texts, items that share an item_id one item of several texts, and the best score of
-any two counts; null ids have no links. `decontaminate` gives rows a key of their own instead: each is judged by its own text, with a
-null or repeated id too. Very long texts take time in proportion to their length; empty tables give no rows. Other columns are
+any two counts; null ids have no links. `decontaminate` judges each row by its own text, whatever its id. Very long texts take time in proportion to their length; empty tables give no rows. Other columns are
 ignored, or passed on by `decontaminate`, whatever their names.
 """
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, keyed, map_texts, materialize, mix, ragged, span_hash, table, text_chunks, word_spans
+from .common import LOWER, map_texts, mix, ragged, span_hash, table, text_chunks, word_spans
 from .toxicity import BREAK
 
 WORDS, SHORT, THRESHOLD, BLOCK_GRAMS = 3, 16, 0.5, 1_000_000
@@ -128,6 +127,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     return out
 
 
+def _aligned(s: Items, buf: np.ndarray, offs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, score) of the passages that seeds lead to, at the threshold or above."""
+    w, places = _words(buf, offs)
+    at, hit = s.find(w, places)
+    group, use = ragged(s.uses[hit])
+    use += s.first[hit][group]
+    doc, item = np.searchsorted(places, at[group], "right") - 1, s.item[use]
+    begin = at[group] - s.at[use]  # of the item, if nothing before the seed were inserted or missing
+    order = np.lexsort((begin, item, doc))
+    doc, item, begin = doc[order], item[order], begin[order]
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > s.size[item[1:]])
+    first = np.flatnonzero(head)
+    last = np.r_[first[1:], len(doc)][: len(first)] - 1
+    doc, item = doc[first], item[first]
+    size = s.size[item]
+    a = np.maximum(places[doc], begin[first] - size // 2)  # half the item's length may be inserted or missing
+    b = np.minimum(places[doc + 1], begin[last] + size + size // 2)
+    x, y = [w[p:q] for p, q in zip(a, b, strict=True)], [s.words[p:q] for p, q in zip(s.places[item], s.places[item + 1], strict=True)]
+    score = smith_waterman(x, y) / (MATCH * size)
+    ok = score >= threshold
+    return doc[ok], item[ok], score[ok]
+
+
 def _links(texts: DataFrame, items: Items, threshold: float) -> DataFrame:
     spark = texts.sparkSession
     if not len(items.known):
@@ -135,40 +158,35 @@ def _links(texts: DataFrame, items: Items, threshold: float) -> DataFrame:
     sent = spark.sparkContext.broadcast(items)  # block_grams n-grams at most
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sent.value
         for batch in batches:
             for i, buf, offs in text_chunks(batch.column(1)):
-                w, places = _words(buf, offs)
-                at, hit = s.find(w, places)
-                group, use = ragged(s.uses[hit])
-                use += s.first[hit][group]
-                doc, item = np.searchsorted(places, at[group], "right") - 1, s.item[use]
-                begin = at[group] - s.at[use]  # of the item, if nothing before the seed were inserted or missing
-                order = np.lexsort((begin, item, doc))
-                doc, item, begin = doc[order], item[order], begin[order]
-                head = np.ones(len(doc), bool)
-                head[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > s.size[item[1:]])
-                first = np.flatnonzero(head)
-                last = np.r_[first[1:], len(doc)][: len(first)] - 1
-                doc, item = doc[first], item[first]
-                size = s.size[item]
-                a = np.maximum(places[doc], begin[first] - size // 2)  # half the item's length may be inserted or missing
-                b = np.minimum(places[doc + 1], begin[last] + size + size // 2)
-                x, y = [w[p:q] for p, q in zip(a, b, strict=True)], [s.words[p:q] for p, q in zip(s.places[item], s.places[item + 1], strict=True)]
-                score = smith_waterman(x, y) / (MATCH * size)
-                ok = score >= threshold
-                ids = batch.column(0).slice(i, len(offs) - 1).take(pa.array(doc[ok]))
-                yield pa.record_batch([ids, pa.array(s.ids[item[ok]]), pa.array(score[ok])], names=["doc_id", "item_id", "score"])
+                doc, item, score = _aligned(sent.value, buf, offs, threshold)
+                yield pa.record_batch([batch.column(0).slice(i, len(offs) - 1).take(pa.array(doc)), pa.array(sent.value.ids[item]), pa.array(score)], names=["doc_id", "item_id", "score"])
 
     aligned = map_texts(texts, align, "doc_id bigint, item_id bigint, score double")
     return aligned.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
-    """docs without the contaminated rows."""
-    docs, row = keyed(docs)
-    bad = materialize(contaminated(docs.select(row, text_col), benchmark, id_col=row, text_col=text_col, **how).select(F.col("doc_id").alias(row)).distinct())
-    return docs.join(bad, row, "left_anti").drop(row)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """docs without the contaminated rows: each row is judged where it is, so nothing is joined or moved."""
+    at = docs.columns.index(text_col)
+
+    def without(docs: DataFrame, items: Items) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(items)  # block_grams n-grams at most
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                for i, buf, offs in text_chunks(batch.column(at)):
+                    clean[i + _aligned(sent.value, buf, offs, threshold)[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        return map_texts(docs, keep, docs.schema)
+
+    for ids, of in blocks_of(benchmark, item_col, item_text_col, block_grams):
+        if len((items := Items(ids, of, words)).known):
+            docs = without(docs, items)
+    return docs
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

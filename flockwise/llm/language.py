@@ -13,7 +13,7 @@ language's own texts (NOISE / sqrt(n) more for n n-grams, as short texts vary),
 
 Defined results: null texts, marks and hosts are empty strings, which are values like others; a text without letters is decided
 by the other evidence but rejected; ties go to the first language in order of name; rows that share an id, or have none, are each judged
-alone (`keep_known` gives rows a key of their own); very long texts and markup take time in proportion to their length; empty tables
+alone, by what they hold; very long texts and markup take time in proportion to their length; empty tables
 give no rows. Other columns are ignored, or passed on by `keep_known`, whatever their names.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, keyed, map_texts, materialize, table, text_chunks
+from .common import LOWER, fresh, map_texts, materialize, table, text_chunks
 from .url_filter import host_levels, url_parts
 
 EXAMPLES, SLOTS, ORDERS, STRENGTH = 500, 1 << 15, (2, 3), 20.0
@@ -211,11 +211,13 @@ def page_texts(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "ht
 
 
 def keep_known(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", **how) -> DataFrame:
-    """docs without those rows that are rejected. A source stands for the host."""
-    docs, row = keyed(docs)
-    rows = docs.select(F.col(row).alias("id"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col(host_col).alias("host"))
-    bad = materialize(identify(rows, model, **how).where(F.col("lang").isNull()).select(F.col("id").alias(row)))
-    return docs.join(bad, row, "left_anti").drop(row)
+    """docs without those rows that are rejected. A source stands for the host. Rows of one text, declared language and source have one
+    verdict, so the rejected ones are found by hashes of these (128 bits), whatever their ids."""
+    name, parts = fresh(docs, "_key"), [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text_col, declared_col, host_col)]
+    key = F.concat(F.hex(F.xxhash64(*parts)), F.lit("-"), F.hex(F.xxhash64(F.lit(9), *parts)))
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col(host_col).alias("host"))
+    bad = materialize(identify(rows, model, **how).where(F.col("lang").isNull()).select(F.col("id").alias(name)).distinct())
+    return docs.withColumn(name, key).join(bad, name, "left_anti").drop(name)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

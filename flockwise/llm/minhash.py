@@ -255,6 +255,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = materialize(known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band"))
     rest = materialize(known.join(mixed, "band").join(of.select("node", "size", "bands"), "node"))
     links = materialize(within(rest, sets, percent))
+    for used in (sets, members, known, edges):
+        forget(used)
     joined = components(links, labels.select(F.col("label").alias("id")).distinct()).select(F.col("id").alias("label"), F.col("label").alias("top"))
     top = labels.join(joined, "label").select("node", "top")
     classes = classes.join(top, "node", "left").select("h1", "h2", "rep", F.coalesce("top", "node").alias("top"))
