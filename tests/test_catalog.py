@@ -3,19 +3,26 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 from flockwise.operators import info, series, space
 from flockwise.plans import catalog, sweeps
 from flockwise.sources import adapters
+from flockwise.streaming import telemetry
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings conversations".split()
 
 
 @pytest.fixture(scope="module")
-def duck(sf_dir):
+def small():
+    return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck(small):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+        c.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
     return c
 
 
@@ -25,8 +32,8 @@ def rows(df):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
-def test_matches_sql(spark, sf_dir, duck, name):
-    got, want = rows(catalog.queries()[name](spark, sf_dir).toPandas()), rows(duck.execute(catalog.oracle_sql()[name]).df())
+def test_matches_sql(spark, small, duck, name):
+    got, want = rows(catalog.queries()[name](spark, small).toPandas()), rows(duck.execute(catalog.oracle_sql()[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want) and len(got) > 0
     for c in got.columns:
         assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
@@ -71,6 +78,42 @@ def test_hopping_windows_drop_the_tail(spark):
     assert info.hopping_windows(f, ["run"], "step", 50, 25).select("w").distinct().count() == 58
 
 
+def test_state_keeps_keys_of_all_batches(spark, tmp_path):
+    """Two files in two batches: every agent is there, with its latest events."""
+    for k in range(2):
+        rows_ = spark.range(100).selectExpr(f"cast(id % 75 + {75 * k} as bigint) as user_id", f"timestamp_seconds(id + 1000 * {k}) as ts", f"id + 100 * {k} as event_id")
+        rows_.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = {r.agent: (r.n, r.last) for r in telemetry.drain(telemetry.last_outputs(stream), "update", "test", ["agent"]).collect()}
+    assert len(got) == 150 and got[0] == (2, "0,75") and got[149] == (1, "174")
+
+
+def test_clusters_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    xy = rng.uniform(0, 20, (2, 60, 2))
+    p = spark.createDataFrame([(g, i, *map(float, xy[g, i])) for g in range(2) for i in range(60)], "g int, id bigint, x double, y double")
+    for r in space.dbscan_grid(p, [(2.0, 4), (1.5, 3)], keys=("g",)).groupBy("g", "eps", "min_samples").agg(functions.sort_array(functions.collect_list(functions.struct("id", "label"))).alias("l")).collect():
+        near = np.sqrt(((xy[r.g][:, None] - xy[r.g][None]) ** 2).sum(-1)) <= r.eps
+        core = near.sum(axis=1) >= r.min_samples
+        label = np.where(core, np.arange(60), -1)
+        while True:
+            new = np.array([min(label[j] for j in range(60) if near[i, j] and core[j]) if core[i] else -1 for i in range(60)])
+            if (new == label).all():
+                break
+            label = new
+        for i in np.flatnonzero(~core):
+            around = [label[j] for j in range(60) if near[i, j] and core[j]]
+            label[i] = min(around) if around else -1
+        assert [x.label for x in r.l] == label.tolist()
+
+
+def test_csv_and_text(spark, tmp_path):
+    adapters.write_csv(spark.createDataFrame([(1, 'a, "b"\nc'), (0, "")], "n int, s string"), f"file://{tmp_path}/c")
+    assert {(r.n, r.s) for r in adapters.read_csv(spark, f"file://{tmp_path}/c").collect()} == {(1, 'a, "b"\nc'), (0, None)}
+    (tmp_path / "t.md").write_text("# State\nx")
+    assert adapters.read_text(spark, f"file://{tmp_path}/t.md").first().value == "# State\nx"
+
+
 def test_json_lines_drop_malformed(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"t": 1, "agent": 2}\n{bad\n{"t": 3, "agent": 4}\n')
     assert {r.t for r in adapters.read_json_lines(spark, f"file://{tmp_path}/a.json").collect()} == {1, 3}
