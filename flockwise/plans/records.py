@@ -12,6 +12,7 @@ from ..sources import adapters as A
 from ..streaming.telemetry import shared
 
 DI, MO = A.SQL["discussion"], A.SQL["models"]
+#: The agents in the order in which they speak.
 AGENTS = ("theorist", "critic", "empiricist", "synthesizer")
 
 
