@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts lineage: written once to the cluster's shared folder and read again. A folder of its own only where none is set and all
-    runs on this machine."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/space-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import saved
 
 
 def shift(d, world: float):
@@ -63,38 +48,3 @@ def neighbours(points: DataFrame, radius: float, keys: list[str], *, world: floa
     if not coincident:
         near = near & (F.col("dist") > 0)
     return out.where(near).select(*keys, "i", "j", "dx", "dy", "dist", *[f"{e}_{s}" for e in extra for s in "ij"])
-
-
-def dbscan(points: DataFrame, eps: float, min_samples: int, *, keys: tuple[str, ...] = (), world: float | None = None, inclusive: bool = True) -> DataFrame:
-    """points(*keys, id, x, y) -> *keys, id, x, y, label; as `dbscan_grid` with one choice."""
-    return dbscan_grid(points, [(eps, min_samples)], keys=keys, world=world, inclusive=inclusive).drop("eps", "min_samples")
-
-
-def dbscan_grid(points: DataFrame, grid: list[tuple[float, int]], *, keys: tuple[str, ...] = (), world: float | None = None, inclusive: bool = True) -> DataFrame:
-    """points(*keys, id, x, y) -> *keys, eps, min_samples, id, x, y, label for each choice of the grid: the smallest core id of the
-    cluster (for a border point, of its core neighbours), -1 for noise.
-
-    Neighbours are found once, for the widest eps. Core labels spread along core-core edges of all groups and choices at once, and
-    jump to the label of their label, until none changes; each round is written."""
-    choice = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("eps"), F.lit(m).alias("min_samples")) for e, m in grid])).alias("g")
-    k = [*keys, "eps", "min_samples"]
-    near = neighbours(points, max(e for e, _ in grid), list(keys), world=world, inclusive=inclusive)
-    edges = near.select(*keys, "i", "j", "dist", choice).select(*keys, "g.eps", "g.min_samples", "i", "j", "dist")
-    edges = edges.where(F.col("dist") <= F.col("eps") if inclusive else F.col("dist") < F.col("eps")).drop("dist")
-    all_ = points.select(*keys, "id", "x", "y", choice).select(*keys, "g.eps", "g.min_samples", "id", "x", "y")
-    degree = edges.groupBy(*k, F.col("i").alias("id")).agg(F.count("*").alias("n"))
-    core = saved(all_.join(degree, [*k, "id"], "left").where(F.coalesce("n", F.lit(0)) + 1 >= F.col("min_samples")).select(*k, "id"))
-    to_core = saved(edges.join(core.withColumnRenamed("id", "j"), [*k, "j"], "left_semi"))
-    links = to_core.join(core.withColumnRenamed("id", "i"), [*k, "i"], "left_semi")
-    labels = saved(core.withColumn("label", F.col("id")))
-    while True:
-        least = links.join(labels.withColumnRenamed("id", "j"), [*k, "j"]).groupBy(*k, F.col("i").alias("id")).agg(F.min("label").alias("m"))
-        new = labels.join(least, [*k, "id"], "left").select(*k, "id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        far = labels.select(*k, F.col("id").alias("label"), F.col("label").alias("further"))
-        new = saved(new.join(far, [*k, "label"], "left").select(*k, "id", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = new.select(*k, "id", "label")
-        if new.where("was <> label").isEmpty():
-            break
-    border = to_core.join(labels.withColumnRenamed("id", "j"), [*k, "j"]).groupBy(*k, F.col("i").alias("id")).agg(F.min("label").alias("border"))
-    out = all_.join(labels, [*k, "id"], "left").join(border, [*k, "id"], "left")
-    return out.select(*k, "id", "x", "y", F.coalesce("label", "border", F.lit(-1)).alias("label"))

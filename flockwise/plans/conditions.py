@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import info, series, space
+from ..operators import density, info, series
 from ..sources import adapters as A
+from ..sources.shared import saved
 from .frames import UNIT
 from .sweeps import MEANS, change_points_of
 
@@ -27,11 +28,11 @@ def points(spark, sf) -> DataFrame:
     return A.frames(spark, sf).select(F.col("run").cast("int").alias("alpha"), F.pmod("boid_id", F.lit(3)).cast("int").alias("rep"), "step", F.col("boid_id").alias("id"), "x", "y", "vx", "vy")
 
 
-def frame_classes(spark, sf) -> DataFrame:
-    """Of each frame under each choice: polarization, clusters, the share of points in them, the largest one's polarization (smallest
+def frame_classes(spark, sf, grid=tuple((e, m) for e in EPS for m in LEAST)) -> DataFrame:
+    """Of each frame under each choice of the grid: polarization, clusters, the share of points in them, the largest one's polarization (smallest
     label of equals), that of all clustered points, mode by the largest cluster and by all points, coherence."""
     p = points(spark, sf)
-    lab = space.dbscan_grid(p, [(e, m) for e in EPS for m in LEAST], keys=("alpha", "rep", "step"))
+    lab = density.dbscan_grid(p, list(grid), keys=("alpha", "rep", "step"))
     d = lab.select(*GROUP, "id", "label").join(p.select("alpha", "rep", "step", "id", "vx", "vy"), ["alpha", "rep", "step", "id"])
     speed = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2)
     unit = lambda c: F.sum(F.col(c) / F.when(speed == 0, 1e-10).otherwise(speed))
@@ -50,7 +51,7 @@ def frame_classes(spark, sf) -> DataFrame:
 
 def mode_class(spark, sf):
     """Modes and coherence of the frames under the main choice."""
-    g = frame_classes(spark, sf).where((F.col("eps") == MAIN[0]) & (F.col("min_samples") == MAIN[1]))
+    g = frame_classes(spark, sf, [MAIN])
     return g.select("alpha", "rep", "step", "n_flocks", R6("clustered").alias("clustered"), R6("flock_polarization").alias("flock_polarization"), R6("clustered_polarization").alias("clustered_polarization"), "mode", "mode_forming", "coherence")
 
 
@@ -59,10 +60,10 @@ def dbscan_grid(spark, sf):
     return frame_classes(spark, sf).groupBy("eps", "min_samples").agg(F.count("*").alias("frames"), R6(F.avg("n_flocks")).alias("n_flocks"), R6(F.avg("clustered")).alias("clustered"))
 
 
-def experiment(spark, sf) -> DataFrame:
+def experiment(spark, sf, **choices) -> DataFrame:
     """-> g, alpha, rep, value: mutual information of successive macro-states. g: A (ten bins of polarization), B (three), and for
     each choice C (clusters and mode) and D (and coherence) with its numbers."""
-    f = frame_classes(spark, sf)
+    f = frame_classes(spark, sf, **choices)
     name = lambda c: F.format_string(f"{c}|%.1f|%d", "eps", "min_samples")
     tenth = S.digitize(R6("polarization"), F.array(*[F.lit(k / 10) for k in range(1, 10)])).cast("string")
     main = (F.col("eps") == MAIN[0]) & (F.col("min_samples") == MAIN[1])
@@ -81,22 +82,22 @@ def condition_mi(spark, sf):
 
 
 def analyse(rows: DataFrame) -> DataFrame:
-    """rows(g, alpha, rep, value) -> g, critical_alpha, jump, cohens_d, ci_low, ci_high, p_value.
+    """rows(g, alpha, rep, value) -> g, critical_alpha, jump, cohens_d, ci_low, ci_high, p_value; not rounded, as tables round by their format.
 
     The critical level is the change point of the largest jump between its neighbours; without one, where the smoothed means bend
     most, two from the ends (jump 0). Effect and interval (population variances) need more than two rows a side, else they are 0;
     the permutation test needs two, else p is 1."""
-    rows, w = space.saved(rows), series.by(["g"], "alpha")
+    rows, w = saved(rows), series.by(["g"], "alpha")
     m = rows.groupBy("g", "alpha").agg(F.round(F.avg("value"), 9).alias("y"))
     m = m.withColumn("sm", series.rolling_mean("y", w)).withColumn("d1", series.gradient("sm", "alpha", w))
     m = m.withColumn("d2", F.round(F.abs(series.gradient("d1", "alpha", w)), 9)).withColumn("jump", F.round(F.abs(F.lead("y").over(w) - F.lag("y").over(w)), 9))
     m = m.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("g")))
-    m = space.saved(m)
+    m = saved(m)
     found = change_points_of(m.select("g", "alpha", "y"), "g string, alpha int")
     pick = m.join(found, ["g", "alpha"]).where("jump > 0").groupBy("g").agg(F.min_by(F.struct("alpha", "jump"), F.struct(-F.col("jump"), F.col("i"))).alias("a"))
     bend = m.where("n > 4 and i > 2 and i <= n - 2").groupBy("g").agg(F.min_by("alpha", F.struct(-F.col("d2"), F.col("i"))).alias("b"))
     at = rows.select("g").distinct().join(pick, "g", "left").join(bend, "g", "left").select("g", F.coalesce("a.alpha", "b").alias("critical_alpha"), F.coalesce("a.jump", F.lit(0.0)).alias("jump"))
-    at = space.saved(at)
+    at = saved(at)
     s = rows.join(at, "g").withColumn("before", F.coalesce(F.col("alpha") < F.col("critical_alpha"), F.lit(False)))
     d = lambda before: S.cohens_d(F.col("value"), before, population=True)
     nb, na = F.count(F.when(F.col("before"), 1)), F.count(F.when(~F.col("before"), 1))
@@ -110,8 +111,8 @@ def analyse(rows: DataFrame) -> DataFrame:
     p = perm.join(seen.select("g", "observed"), "g").groupBy("g").agg(F.greatest(F.avg((F.col("null") >= F.col("observed")).cast("double")), F.lit(1 / REPS)).alias("p"))
     out = seen.join(boot, "g").join(p, "g")
     enough = (F.col("nb") > 2) & (F.col("na") > 2)
-    r = lambda c: F.round(F.when(enough, F.col(c)).otherwise(0.0), 4)
-    return out.select("g", "critical_alpha", F.round("jump", 6).alias("jump"), r("d").alias("cohens_d"), r("low").alias("ci_low"), r("high").alias("ci_high"), F.when((F.col("nb") >= 2) & (F.col("na") >= 2), F.col("p")).otherwise(1.0).alias("p_value"))
+    r = lambda c: F.when(enough, F.col(c)).otherwise(0.0)
+    return out.select("g", "critical_alpha", "jump", r("d").alias("cohens_d"), r("low").alias("ci_low"), r("high").alias("ci_high"), F.when((F.col("nb") >= 2) & (F.col("na") >= 2), F.col("p")).otherwise(1.0).alias("p_value"))
 
 
 _MAIN = f"{MAIN[0]}|{MAIN[1]}"
@@ -119,24 +120,25 @@ _MAIN = f"{MAIN[0]}|{MAIN[1]}"
 
 def main_conditions(spark, sf) -> DataFrame:
     """B, C and D under the main choice; A is measured and not analysed."""
-    e = experiment(spark, sf).where(F.col("g").isin("B", f"C|{_MAIN}", f"D|{_MAIN}"))
+    e = experiment(spark, sf, grid=[MAIN]).where(F.col("g").isin("B", f"C|{_MAIN}", f"D|{_MAIN}"))
     return e.withColumn("g", F.substring("g", 1, 1))
 
 
 def condition_analysis(spark, sf):
-    return analyse(main_conditions(spark, sf))
+    a = analyse(main_conditions(spark, sf))
+    return a.select("g", "critical_alpha", R6("jump").alias("jump"), *[F.round(c, 4).alias(c) for c in ("cohens_d", "ci_low", "ci_high")], "p_value")
 
 
 def verdict_conditions(spark, sf):
     """A jump (d over .5 and p under .05) under C and not under B validates the classification, one under B is an artifact of binning."""
     jump = (F.col("cohens_d") > 0.5) & (F.col("p_value") < 0.05)
-    v = condition_analysis(spark, sf).agg(F.max(F.when(F.col("g") == "B", jump)).alias("b"), F.max(F.when(F.col("g") == "C", jump)).alias("c"))  # three rows
+    v = analyse(main_conditions(spark, sf)).agg(F.max(F.when(F.col("g") == "B", jump)).alias("b"), F.max(F.when(F.col("g") == "C", jump)).alias("c"))  # three rows
     return v.select(F.when(F.col("c") & ~F.col("b"), "STRUCTURAL_CLASSIFICATION_VALIDATED").when(F.col("b"), "DISCRETIZATION_ARTIFACT").otherwise("NO_EFFECT").alias("verdict"))
 
 
 def summary_table(spark, sf):
     """The analysis as text."""
-    a = condition_analysis(spark, sf)
+    a = analyse(main_conditions(spark, sf))
     alpha = F.when(F.coalesce("critical_alpha", F.lit(0)) == 0, "N/A").otherwise(F.format_string("%.3f", F.col("critical_alpha").cast("double")))
     return a.select(F.col("g").alias("condition"), alpha.alias("changepoint"), F.format_string("%.4f", "jump").alias("jump"), F.format_string("%.3f", "cohens_d").alias("cohens_d"), F.format_string("[%.3f, %.3f]", "ci_low", "ci_high").alias("ci"), F.format_string("%.4f", "p_value").alias("p"))
 
@@ -216,7 +218,7 @@ def analysis_sql(rows: str) -> str:
  pm AS (SELECT g, k, value, row_number() OVER (PARTITION BY g, k ORDER BY md5('p|'||k||'|'||g||'|'||alpha||'|'||rep))<=count(*) FILTER (before) OVER (PARTITION BY g, k) AS side FROM sd, range({REPS}) x(k)),
  pn AS (SELECT g, k, round(abs(avg(value) FILTER (side)-avg(value) FILTER (NOT side)),9) AS d FROM pm GROUP BY g, k),
  pv AS (SELECT g, greatest(avg(CASE WHEN pn.d>=observed THEN 1.0::DOUBLE ELSE 0 END), {1 / REPS}) AS p FROM pn JOIN ob USING (g) GROUP BY g),
- an AS (SELECT g, critical_alpha, round(jump,6) AS jump, round(CASE WHEN nb>2 AND na>2 THEN d ELSE 0.0 END,4) AS cohens_d, round(CASE WHEN nb>2 AND na>2 THEN low ELSE 0.0 END,4) AS ci_low, round(CASE WHEN nb>2 AND na>2 THEN high ELSE 0.0 END,4) AS ci_high, CASE WHEN nb>=2 AND na>=2 THEN p ELSE 1.0 END AS p_value FROM ob JOIN ci USING (g) JOIN pv USING (g))"""
+ an AS (SELECT g, critical_alpha, jump, CASE WHEN nb>2 AND na>2 THEN d ELSE 0.0 END AS cohens_d, CASE WHEN nb>2 AND na>2 THEN low ELSE 0.0 END AS ci_low, CASE WHEN nb>2 AND na>2 THEN high ELSE 0.0 END AS ci_high, CASE WHEN nb>=2 AND na>=2 THEN p ELSE 1.0 END AS p_value FROM ob JOIN ci USING (g) JOIN pv USING (g))"""
 
 
 _THREE = f"WITH RECURSIVE {EXPERIMENT}, " + analysis_sql(f"SELECT substr(g,1,1) AS g, alpha, rep, value FROM ex WHERE g IN ('B','C|{_MAIN}','D|{_MAIN}')")
@@ -227,7 +229,7 @@ ORACLE = {
     "mode_class": f"WITH RECURSIVE {CLASSES} SELECT alpha, rep, step, n_flocks, round(clustered,6) AS clustered, round(flock_polarization,6) AS flock_polarization, round(clustered_polarization,6) AS clustered_polarization, mode, mode_forming, coherence FROM f WHERE {_ON}",
     "dbscan_grid": f"WITH RECURSIVE {CLASSES} SELECT eps, min_samples, count(*) AS frames, round(avg(n_flocks),6) AS n_flocks, round(avg(clustered),6) AS clustered FROM f GROUP BY eps, min_samples",
     "condition_mi": f"WITH RECURSIVE {EXPERIMENT} SELECT g, alpha, round(avg(value),6) AS mean, round(stddev_samp(value),6) AS std FROM ex GROUP BY g, alpha",
-    "condition_analysis": f"{_THREE} SELECT * FROM an",
+    "condition_analysis": f"{_THREE} SELECT g, critical_alpha, round(jump,6) AS jump, round(cohens_d,4) AS cohens_d, round(ci_low,4) AS ci_low, round(ci_high,4) AS ci_high, p_value FROM an",
     "verdict_conditions": f"{_THREE}, j AS (SELECT g, cohens_d>0.5 AND p_value<0.05 AS jump FROM an) SELECT CASE WHEN bool_or(jump) FILTER (g='C') AND NOT bool_or(jump) FILTER (g='B') THEN 'STRUCTURAL_CLASSIFICATION_VALIDATED' WHEN bool_or(jump) FILTER (g='B') THEN 'DISCRETIZATION_ARTIFACT' ELSE 'NO_EFFECT' END AS verdict FROM j",
     "summary_table": f"{_THREE} SELECT g AS condition, {_ALPHA} AS changepoint, printf('%.4f',jump) AS jump, printf('%.3f',cohens_d) AS cohens_d, printf('[%.3f, %.3f]',ci_low,ci_high) AS ci, printf('%.4f',p_value) AS p FROM an",
     "robustness_table": f"WITH RECURSIVE {EXPERIMENT}, " + analysis_sql("SELECT * FROM ex WHERE g LIKE 'C%'") + f" SELECT CAST(split_part(g,'|',2) AS DOUBLE) AS eps, CAST(split_part(g,'|',3) AS INT) AS min_samples, {_ALPHA} AS critical_alpha, printf('%.3f',cohens_d) AS cohens_d FROM an",

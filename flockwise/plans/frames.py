@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import info, space
+from ..operators import density, info, space
 from ..sources import adapters as A
 
 R6 = lambda c: F.round(c, 6)
@@ -244,19 +244,19 @@ _OUT = lambda c: f"round(CASE WHEN n{c}<0 THEN -n{c} WHEN n{c}>60 THEN 120-n{c}
 
 def dbscan_labels(spark, sf):
     """Clusters of every frame."""
-    return space.dbscan(points(spark, sf), 3.0, 5, keys=("run", "step")).select(*KEY, "id", "label")
+    return density.dbscan(points(spark, sf), 3.0, 5, keys=("run", "step")).select(*KEY, "id", "label")
 
 
 def dbscan_periodic(spark, sf):
     """In a periodic world of 50, the radius excluded."""
     p = points(spark, sf).select(*KEY, "id", F.pmod("x", F.lit(50.0)).alias("x"), F.pmod("y", F.lit(50.0)).alias("y"))
-    return space.dbscan(p, 3.0, 4, keys=("run", "step"), world=50.0, inclusive=False).select(*KEY, "id", "label")
+    return density.dbscan(p, 3.0, 4, keys=("run", "step"), world=50.0, inclusive=False).select(*KEY, "id", "label")
 
 
 def flocks(spark, sf) -> DataFrame:
     """run, step, id, label, vx, vy; noise left out."""
     p = points(spark, sf)
-    return space.dbscan(p, 3.0, 5, keys=("run", "step")).where("label >= 0").select(*KEY, "id", "label").join(p.select(*KEY, "id", "vx", "vy"), [*KEY, "id"])
+    return density.dbscan(p, 3.0, 5, keys=("run", "step")).where("label >= 0").select(*KEY, "id", "label").join(p.select(*KEY, "id", "vx", "vy"), [*KEY, "id"])
 
 
 def largest_flock(spark, sf):

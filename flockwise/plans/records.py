@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import adapters as A
-from ..streaming.telemetry import shared
+from ..sources.shared import shared
 
 DI, MO = A.SQL["discussion"], A.SQL["models"]
 #: The agents in the order in which they speak.

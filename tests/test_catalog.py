@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions
 
-from flockwise.operators import info, series, space
+from flockwise.operators import density, info, series, space
 from flockwise.plans import catalog, sweeps
 from flockwise.sources import adapters
 from flockwise.streaming import telemetry
@@ -92,7 +92,7 @@ def test_clusters_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     xy = rng.uniform(0, 20, (2, 60, 2))
     p = spark.createDataFrame([(g, i, *map(float, xy[g, i])) for g in range(2) for i in range(60)], "g int, id bigint, x double, y double")
-    for r in space.dbscan_grid(p, [(2.0, 4), (1.5, 3)], keys=("g",)).groupBy("g", "eps", "min_samples").agg(functions.sort_array(functions.collect_list(functions.struct("id", "label"))).alias("l")).collect():
+    for r in density.dbscan_grid(p, [(2.0, 4), (1.5, 3)], keys=("g",)).groupBy("g", "eps", "min_samples").agg(functions.sort_array(functions.collect_list(functions.struct("id", "label"))).alias("l")).collect():
         near = np.sqrt(((xy[r.g][:, None] - xy[r.g][None]) ** 2).sum(-1)) <= r.eps
         core = near.sum(axis=1) >= r.min_samples
         label = np.where(core, np.arange(60), -1)
