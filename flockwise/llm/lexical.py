@@ -34,7 +34,9 @@ from .common import LOWER, forget, map_texts, materialize, ragged, table, text_c
 
 TOP, LEAF, FIRST = 50, 64, 8
 #: Documents and bytes of a group that is bisected; rounds of swaps at each level; terms of a block of items.
-GROUP, GROUP_BYTES, ROUNDS, BLOCK = 4096, 1 << 23, 6, 20_000
+GROUP, GROUP_BYTES, ROUNDS, BLOCK = 4096, 1 << 22, 6, 20_000
+#: Bytes of the index that a Python task gets at once.
+BATCH_BYTES = 1 << 23
 GAP = np.ones(256, bool)
 GAP[48:58] = GAP[65:91] = GAP[97:123] = GAP[128:] = False
 SCALE = 1_000_000_000
@@ -255,7 +257,9 @@ def _each(b: pa.RecordBatch):
 
 def search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", top: int = TOP, leaf: int = LEAF, first: int = FIRST, block: int = BLOCK) -> DataFrame:
     """-> item_id, rank, doc_id, score."""
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
     index = materialize(clusters(docs, id_col=id_col, text_col=text_col, leaf=leaf))
     sizes = index.select(F.size("docs").cast("long").alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
     total, words = sizes["n"] or 0, sizes["l"] or 0
