@@ -181,7 +181,7 @@ def change_sql(rows: str) -> str:
     return f"""sn AS (SELECT g, alpha, y, CAST(row_number() OVER (PARTITION BY g ORDER BY alpha) AS INT) AS i, CAST(count(*) OVER (PARTITION BY g) AS INT) AS n FROM {rows}),
  pd AS (SELECT a.g, a.i, b.i AS j, pow(a.y-b.y,2) AS d FROM sn a JOIN sn b ON a.g=b.g), md AS (SELECT g, coalesce(median(d) FILTER (d>0),1.0) AS med FROM pd GROUP BY g),
  kk AS (SELECT pd.g, i, j, exp(-greatest(0.01,least(100.0,d/med))) AS k FROM pd JOIN md USING (g)),
- sg AS (SELECT a.g, CAST(x.a AS INT) AS a, a.i AS b FROM sn a, range(1000) x(a) WHERE x.a<=a.i-2),
+ sg AS (SELECT a.g, CAST(x.a AS INT) AS a, a.i AS b FROM sn a, range((SELECT max(n) FROM sn)) x(a) WHERE x.a<=a.i-2),
  sc AS (SELECT sg.g, sg.a, sg.b, (sg.b-sg.a)-sum(k)/(sg.b-sg.a) AS c FROM sg JOIN kk ON kk.g=sg.g AND kk.i>sg.a AND kk.i<=sg.b AND kk.j>sg.a AND kk.j<=sg.b GROUP BY sg.g, sg.a, sg.b),
  cl AS (SELECT g, b, list(c ORDER BY a) AS cs FROM sc GROUP BY g, b),
  dp(g, b, n, best, back) AS (SELECT g, 1, any_value(n), [-1.0::DOUBLE, 'inf'::DOUBLE], [0, 0] FROM sn GROUP BY g

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import info
+from ..operators import info, select
 from ..sources import adapters as A
 from .frames import mi_sql
 
@@ -53,7 +53,10 @@ def predictability(spark, sf):
 
 
 def quantile_edges(spark, sf) -> DataFrame:
-    return A.states(spark, sf).groupBy("state").agg(F.percentile("value", F.array(*[F.lit(k / 8) for k in range(1, 8)])).alias("edges"), F.stddev_pop("value").alias("sd"))
+    """Edges of eight bins of each state's values: a state may hold any share of all rows, so they are selected, not buffered."""
+    s = A.states(spark, sf)
+    edges = select.quantiles(s, ["state"], "value", [k / 8 for k in range(1, 8)], "edges")
+    return edges.join(s.groupBy("state").agg(F.stddev_pop("value").alias("sd")), "state")
 
 
 def binned(spark, sf) -> DataFrame:
@@ -94,7 +97,7 @@ def mi_hopping_windows(spark, sf):
 
 HOP = f"""WITH {ST}, q AS (SELECT entity, seq, state AS s, lead(state) OVER (PARTITION BY entity ORDER BY seq) AS t FROM states),
  z AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq)-1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM q WHERE t IS NOT NULL),
- x AS (SELECT entity, w, s, t FROM z, range(1000) r(w) WHERE w*5<=i AND i<w*5+10 AND w*5<n-11),
+ x AS (SELECT entity, w, s, t FROM z, range((SELECT max(n) FROM z)) r(w) WHERE w*5<=i AND i<w*5+10 AND w*5<n-11),
  h AS ({"WITH " + mi_sql("x", "entity, w")}) SELECT entity, round(avg(mi),4) AS mi, count(*) AS windows FROM h GROUP BY entity"""
 
 
@@ -159,16 +162,17 @@ _H = lambda k: f"(('0x'||substr(md5('5|'||tick||'|'||agent||'|{k}'),1,8))::BIGIN
 
 
 def asof_partner_output(spark, sf):
-    """The latest latency that the partner (next agent of 150) had shown before: one union, one window."""
+    """The latest latency that the partner (the next agent, the first after the last) had shown before: one union, one window."""
     t = A.ticks(spark, sf)
-    asks = t.select(F.col("event_id"), ((F.col("agent") + 1) % 150).alias("of"), "ts", F.lit(None).cast("double").alias("seen"), F.lit(1).alias("asks"))
+    n = t.agg((F.max("agent") + 1).alias("n"))  # one row
+    asks = t.crossJoin(F.broadcast(n)).select(F.col("event_id"), ((F.col("agent") + 1) % F.col("n")).alias("of"), "ts", F.lit(None).cast("double").alias("seen"), F.lit(1).alias("asks"))
     shows = t.select("event_id", F.col("agent").alias("of"), "ts", F.col("latency_ms").alias("seen"), F.lit(0).alias("asks"))
     w = Window.partitionBy("of").orderBy("ts", "asks", "event_id")
     both = asks.unionByName(shows).withColumn("partner_latency", F.last("seen", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     return both.where("asks = 1").select("event_id", F.col("of").alias("partner"), "partner_latency")
 
 
-ASOF = f"WITH {TK}, a AS (SELECT event_id, (agent+1)%150 AS partner, ts FROM ticks), s AS (SELECT agent, ts, arg_max(latency_ms, event_id) AS latency FROM ticks WHERE latency_ms IS NOT NULL GROUP BY agent, ts) SELECT a.event_id, a.partner, s.latency AS partner_latency FROM a ASOF LEFT JOIN s ON a.partner=s.agent AND a.ts>=s.ts"
+ASOF = f"WITH {TK}, a AS (SELECT event_id, (agent+1)%(SELECT max(agent)+1 FROM ticks) AS partner, ts FROM ticks), s AS (SELECT agent, ts, arg_max(latency_ms, event_id) AS latency FROM ticks WHERE latency_ms IS NOT NULL GROUP BY agent, ts) SELECT a.event_id, a.partner, s.latency AS partner_latency FROM a ASOF LEFT JOIN s ON a.partner=s.agent AND a.ts>=s.ts"
 
 
 def agent_history(spark, sf):

@@ -38,8 +38,8 @@ def round_filter(spark, sf):
 
 
 def padded_lines(spark, sf):
-    """Agent names in capitals, padded to twelve, before the trimmed start of their entry."""
-    return A.discussion(spark, sf).select("conv", "round", F.md5(F.concat(F.rpad(F.upper("agent"), 12, " "), F.trim(F.substring("content", 1, 60)))).alias("line"))
+    """Agent names in capitals, padded to twelve, before their trimmed entry."""
+    return A.discussion(spark, sf).select("conv", "round", F.md5(F.concat(F.rpad(F.upper("agent"), 12, " "), F.trim("content"))).alias("line"))
 
 
 def mini_markdown(spark, sf):
@@ -49,7 +49,7 @@ def mini_markdown(spark, sf):
         t = F.replace(t, F.lit(a), F.lit(b))
     for pattern, new in ((r"(?m)^### (.+)$", "<h3>$1</h3>"), (r"\*\*(.+?)\*\*", "<strong>$1</strong>"), (r"`([^`]+)`", "<code>$1</code>")):
         t = F.regexp_replace(t, pattern, new)
-    d = A.discussion(spark, sf).withColumn("content", F.concat(F.lit("### "), F.col("agent"), F.lit("\n**"), F.substring("content", 1, 30), F.lit("** `"), F.substring("content", 31, 20), F.lit("`")))
+    d = A.discussion(spark, sf).withColumn("content", F.concat(F.lit("### "), F.col("agent"), F.lit("\n**"), "agent", F.lit("** `"), F.col("round").cast("string"), F.lit("` "), "content"))
     return d.select("conv", "round", F.md5(t).alias("html"))
 
 
@@ -67,11 +67,11 @@ def event_times(spark, sf):
 
 
 def vector_arrays(spark, sf):
-    """Arrays cut, joined, reshaped and reduced."""
+    """Arrays cut, joined, reshaped to pairs and reduced, over all their numbers."""
     e = A.table(spark, sf, "embeddings").where(F.col("embedding").isNotNull()).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("v", k * 2 + 1, F.lit(2)))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), lambda k: F.slice("v", k * 2 + 1, F.lit(2)))
     mean = lambda a, n: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / n
-    return e.select("vec_id", F.array_position("v", F.array_max("v")).alias("argmax"), F.round(mean(F.flatten(pairs), 8), 6).alias("mean"), F.size(F.concat("v", F.slice("v", 1, 4))).cast("bigint").alias("size"), F.round(F.element_at(F.transform(pairs, lambda p: p[0] * p[1]), 2), 6).alias("second"))
+    return e.select("vec_id", F.array_position("v", F.array_max("v")).alias("argmax"), F.round(mean(F.flatten(pairs), F.size("v")), 6).alias("mean"), F.size(F.concat("v", F.slice("v", 1, 4))).cast("bigint").alias("size"), F.round(F.aggregate(F.transform(pairs, lambda p: p[0] * p[1]), F.lit(0.0), lambda x, y: x + y), 6).alias("products"))
 
 
 def props_roundtrip(spark, sf):
@@ -172,12 +172,12 @@ ORACLE = {
     "model_records": f"WITH {MO} SELECT id, CAST(json_object('id',id,'provider',provider,'name',name) AS VARCHAR) AS record FROM models",
     "parsed_costs": "SELECT p_brand, sum(coalesce(TRY_CAST(CASE WHEN p_partkey%7=0 THEN '' WHEN p_partkey%11=0 THEN 'n/a' WHEN p_partkey%13<>0 THEN CAST(p_size AS VARCHAR) END AS DOUBLE),0.0)) AS cost FROM part GROUP BY p_brand",
     "round_filter": f"WITH {DI} SELECT agent, count(*) AS n FROM discussion WHERE round=1 GROUP BY agent",
-    "padded_lines": f"WITH {DI} SELECT conv, round, md5(rpad(upper(agent),12,' ')||trim(substr(content,1,60),' ')) AS line FROM discussion",
-    "mini_markdown": f"""WITH {DI}, e AS (SELECT conv, round, replace(replace(replace('### '||agent||chr(10)||'**'||substr(content,1,30)||'** `'||substr(content,31,20)||'`','&','&amp;'),'<','&lt;'),'>','&gt;') AS t FROM discussion)
+    "padded_lines": f"WITH {DI} SELECT conv, round, md5(rpad(upper(agent),12,' ')||trim(content,' ')) AS line FROM discussion",
+    "mini_markdown": f"""WITH {DI}, e AS (SELECT conv, round, replace(replace(replace('### '||agent||chr(10)||'**'||agent||'** `'||round||'` '||content,'&','&amp;'),'<','&lt;'),'>','&gt;') AS t FROM discussion)
  SELECT conv, round, md5(regexp_replace(regexp_replace(regexp_replace(t,'(?m)^### (.+)$','<h3>\\1</h3>','g'),'\\*\\*(.+?)\\*\\*','<strong>\\1</strong>','g'),'`([^`]+)`','<code>\\1</code>','g')) AS html FROM e""",
     "dropdown_labels": f"WITH {MO}, c AS (SELECT id, provider||': '||name AS name, CASE WHEN cost<0.01 THEN 0.0 ELSE round(cost,4) END AS cost FROM models) SELECT id, regexp_replace(name,'^[^:]+:\\s*','')||CASE WHEN cost=0 THEN ' (Free)' ELSE printf(' ($%.2f/M)',cost*100) END AS label FROM c",
     "event_times": "SELECT event_id, strftime(ts,'%Y-%m-%dT%H:%M:%S.%g') AS iso, epoch_us(ts)//1000 AS ms, strftime(ts,'%Y%m%d_%H%M%S') AS version, CAST(floor((epoch_us(ts)-epoch_us(min(ts) OVER (PARTITION BY user_id)))/1000000) AS BIGINT) AS elapsed FROM events",
-    "vector_arrays": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, CAST(list_position(v, list_max(v)) AS BIGINT) AS argmax, round(list_sum(v[1:8])/8,6) AS mean, len(list_concat(v, v[1:4])) AS size, round(v[3]*v[4],6) AS second FROM v",
+    "vector_arrays": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, CAST(list_position(v, list_max(v)) AS BIGINT) AS argmax, round(list_sum(v)/len(v),6) AS mean, len(list_concat(v, v[1:4])) AS size, round(list_sum(list_transform(range(1,len(v),2), lambda i: v[i]*v[i+1])),6) AS products FROM v",
     "props_roundtrip": f"SELECT event_id, '{{\"k2\":'||{_K}*2||',\"event_id\":'||event_id||'}}' AS json FROM events",
     "token_counts": f"SELECT event_id, coalesce(nullif({_K}%5,0), {_K}) AS tokens FROM events",
     "telemetry_totals": f"WITH {A.SQL['ticks']} SELECT count(*) AS records, count(DISTINCT agent) AS agents, max(tick) AS ticks, CAST(floor((epoch_us(max(ts))-epoch_us(min(ts)))/1000000) AS BIGINT) AS uptime FROM ticks",
