@@ -302,23 +302,29 @@ def _block(index: DataFrame, block: Block, total: int, words: int, top: int, fir
         start.setdefault(r["cluster"], []).append(r["item"])
 
     def best_of(rows, floor: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """rows: the restricted index's; of each item the best documents of the clusters that it visits. floor: an item's threshold."""
+        """rows: the restricted index's; of each item the `top` documents of the clusters that it visits. floor: an item's threshold,
+        which rises here with every batch; without it, the clusters to visit are given."""
+        low = np.zeros(scorer.items, np.int64) if floor is None else floor.copy()
+        held = [np.zeros(0, np.int64)] * 4  # item, score, no id, id
         for b in rows:
             seen = list(_each(b))
             bound = np.array([scorer.bounds(r[3], r[5], r[6]) for r in seen]).reshape(len(seen), scorer.items)
-            items, ids, scores = [], [], []
+            found = [held]
             for k in np.argsort(-bound.max(axis=1, initial=0), kind="stable"):
                 cluster, docs, lens, terms, df, _, _, at, tf = seen[k]
-                who = np.array(start.get(cluster, []), np.int64) if floor is None else np.flatnonzero((bound[k] > 0) & (bound[k] >= floor))
-                if not len(who):
-                    continue
-                s = scorer.scores(who, terms, df, at, tf, lens)
-                i, d = np.nonzero((s > 0) if floor is None else (s > 0) & (s >= floor[who][:, None]))
-                items.append(who[i])
-                ids.append(docs.take(pa.array(d)))
-                scores.append(s[i, d])
-            if items:
-                yield pa.record_batch([pa.array(np.concatenate(items)), pa.concat_arrays(ids), pa.array(np.concatenate(scores))], names=["item", "doc_id", "score"])
+                who = np.array(start.get(cluster, []), np.int64) if floor is None else np.flatnonzero((bound[k] > 0) & (bound[k] >= low))
+                if len(who):
+                    s = scorer.scores(who, terms, df, at, tf, lens)
+                    i, d = np.nonzero((s > 0) & (s >= low[who][:, None]))
+                    found.append([who[i], s[i, d], np.asarray(docs.is_null())[d].astype(np.int64), docs.fill_null(0).to_numpy()[d]])
+            item, score, none, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((doc, none, -score, item))
+            _, rank = ragged(np.bincount(item, minlength=scorer.items))
+            order = order[rank < top]
+            held = [x[order] for x in (item, score, none, doc)]
+            last = np.flatnonzero(rank[rank < top] == top - 1)
+            low[held[0][last]] = np.maximum(low[held[0][last]], held[1][last])
+        yield pa.record_batch([pa.array(held[0]), pa.array(held[3], mask=held[2] > 0), pa.array(held[1])], names=["item", "doc_id", "score"])
 
     shape = "item bigint, doc_id bigint, score bigint"
     ranked = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
