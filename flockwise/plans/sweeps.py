@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import series
+from ..operators.breaks import change_points
 from ..sources import adapters as A
 
 R4 = lambda c: F.round(c, 4)
@@ -250,37 +250,8 @@ def concatenated(spark, sf):
     return both.groupBy("run").agg(F.count("*").alias("n"), F.count(F.when(F.col("side") == "before", 1)).alias("n_before"), R4(F.avg("metric")).alias("mean"))
 
 
-def segment_costs(y: np.ndarray) -> np.ndarray:
-    """RBF cost of every segment [a, b), by the median bandwidth."""
-    d = (y[:, None] - y[None, :]) ** 2
-    median = np.median(d[d > 0]) if (d > 0).any() else 1.0
-    k = np.exp(-np.clip(d / median, 0.01, 100))
-    s = np.zeros((len(y) + 1, len(y) + 1))
-    s[1:, 1:] = k.cumsum(0).cumsum(1)
-    n = np.arange(len(y) + 1)
-    size = n[None, :] - n[:, None]
-    block = np.diag(s)[None, :] - s - s.T + np.diag(s)[:, None]
-    return np.where(size > 0, size - block / np.maximum(size, 1), np.inf)
-
-
-def change_points(y: np.ndarray, penalty: float = 1.0, least: int = 2) -> list[int]:
-    """Starts of segments after the first, of least total cost plus `penalty` a change: exact dynamic programme."""
-    n, cost = len(y), segment_costs(y)
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0] = -penalty
-    for b in range(least, n + 1):
-        a = np.arange(0, b - least + 1)
-        total = best[a] + cost[a, b] + penalty
-        back[b], best[b] = a[total.argmin()], total.min()
-    out, b = [], n
-    while n and back[b] > 0:
-        b = int(back[b])
-        out.append(b)
-    return out[::-1]
-
-
 def change_points_of(rows: DataFrame, kind: str) -> DataFrame:
-    """rows(group, alpha, y) -> group, alpha of the change points; a group's series is a row per alpha, so it is small."""
+    """rows(group, alpha, y) -> group, alpha of the change points; a group's series is a row per alpha, and takes memory in proportion."""
     key = rows.columns[0]
 
     def find(g: pd.DataFrame) -> pd.DataFrame:

@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions
 
-from flockwise.operators import density, info, series, space
-from flockwise.plans import catalog, sweeps
+from flockwise.operators import breaks, density, info, series, space
+from flockwise.plans import catalog
 from flockwise.sources import adapters
 from flockwise.streaming import telemetry
 
@@ -69,8 +69,8 @@ def test_step_is_found_and_line_is_not(spark):
     step = [(0, k / 10, 0.1 + 0.2 * (k >= 15) + 0.001 * (k % 3)) for k in range(31)]
     got = series.discontinuity(spark.createDataFrame(step, "run int, alpha double, y double"), ["run"], "alpha", "y").first()
     assert abs(got.critical_alpha - 1.5) <= 0.2 + 1e-9 and got.magnitude > 0.05  # the second derivative turns where the smoothing starts to see the step
-    assert sweeps.change_points(np.array([r[2] for r in step]) * 10) == [15]
-    assert sweeps.change_points(np.zeros(10)) == []
+    assert breaks.change_points(np.array([r[2] for r in step]) * 10) == [15]
+    assert breaks.change_points(np.zeros(10)) == []
 
 
 def test_hopping_windows_drop_the_tail(spark):
