@@ -58,14 +58,15 @@ def change_points(y: np.ndarray, penalty: float = 1.0, least: int = 2) -> list[i
     start, sums = np.zeros(0, np.int64), np.zeros(0)
     gone = np.zeros(0, np.int64)  # from which end on a start is out
     for b in range(1, n + 1):
-        start, sums, gone = np.append(start, b - 1), np.append(sums, 0.0), np.append(gone, n + 1)
+        if np.isfinite(best[b - 1]):
+            start, sums, gone = np.append(start, b - 1), np.append(sums, 0.0), np.append(gone, n + 1)
         first = int(start[0])
         row = np.exp(-np.clip((y[first:b] - y[b - 1]) ** 2 / scale, NEAR, FAR))
         tail = np.cumsum(row[::-1])[::-1]  # the new value with all from a start on
         sums += 2 * tail[start - first] - row[-1]
         size = b - start
         cost = size - sums / size
-        ready = np.flatnonzero((size >= least) & np.isfinite(best[start]))
+        ready = np.flatnonzero(size >= least)
         if not len(ready):
             continue
         total = best[start[ready]] + cost[ready] + penalty
