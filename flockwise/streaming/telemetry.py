@@ -50,7 +50,7 @@ def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def drain(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """Runs over all that is there; each batch is written to a folder of its own. Of a complete result the last batch is read, of
-    updates each key's row of the latest batch that has one."""
+    updates each key's row of the latest batch that has one, of an appended result all."""
     spark = stream.sparkSession
     out, done = shared(spark, name), []
 
@@ -65,6 +65,8 @@ def drain(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None
     if mode == "complete":
         return spark.read.parquet(f"{out}/batch={max(done)}")
     all_ = spark.read.option("basePath", out).parquet(out)
+    if mode == "append":
+        return all_.drop("batch")
     latest = all_.withColumn("_k", F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(F.desc("batch"))))
     return latest.where("_k = 1").drop("_k", "batch")
 
