@@ -27,7 +27,9 @@ from ..sources.shared import saved
 from .space import neighbours, shift
 
 #: Points of a group that a task clusters whole; mean neighbours of a point up to which pairs are listed; points of a block of a cell.
-FRAME, DEGREE, BLOCK = 1024, 256, 4096
+FRAME, DEGREE, BLOCK = 1024, 32, 4096
+#: Halvings of a cell that one pass over its points prepares.
+HALVINGS = 3
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, *, keys: tuple[str, ...] = (), world: float | None = None, inclusive: bool = True) -> DataFrame:
@@ -223,11 +225,15 @@ def _joined_cells(points: DataFrame, cells: DataFrame, eps: float, k, side, n, w
     open_ = saved(pair.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("sax", "say", "sbx", "sby")]))
     done, level = [], 0
     while not open_.isEmpty():
-        cut = 2**level
-        at = lambda c: F.least(F.floor((_place(c, world) - F.col(f"c{c}") * side) / side * cut), F.lit(cut - 1)).cast("bigint")  # noqa: B023, E731
-        used = open_.select(*k, F.col("i").alias("first")).unionAll(open_.select(*k, F.col("j").alias("first"))).distinct()
-        box = points.join(used, [*k, "first"], "left_semi").select(*k, "first", F.greatest(at("x"), F.lit(0)).alias("sx"), F.greatest(at("y"), F.lit(0)).alias("sy"), _place("x", world).alias("x"), _place("y", world).alias("y"))
-        box = saved(box.groupBy(*k, "first", "sx", "sy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+        if level % HALVINGS == 0:  # boxes of the smallest parts first; larger parts' boxes follow from them
+            cut = 2 ** (level + HALVINGS)
+            at = lambda c: F.greatest(F.least(F.floor((_place(c, world) - F.col(f"c{c}") * side) / side * cut), F.lit(cut - 1)), F.lit(0)).cast("bigint")  # noqa: B023, E731
+            used = open_.select(*k, F.col("i").alias("first")).unionAll(open_.select(*k, F.col("j").alias("first"))).distinct()
+            parts = points.join(used, [*k, "first"], "left_semi").select(*k, "first", at("x").alias("sx"), at("y").alias("sy"), _place("x", world).alias("x"), _place("y", world).alias("y"))
+            parts = saved(parts.groupBy(*k, "first", "sx", "sy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+        up = 2 ** (HALVINGS - level % HALVINGS)
+        box = parts.groupBy(*k, "first", F.floor(F.col("sx") / up).alias("sx"), F.floor(F.col("sy") / up).alias("sy")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+        box = saved(box)
         for c, s in (("i", "a"), ("j", "b")):
             open_ = open_.join(box.select(*k, F.col("first").alias(c), F.col("sx").alias(f"s{s}x"), F.col("sy").alias(f"s{s}y"), *[F.col(e).alias(f"{s}{e}") for e in ("x0", "x1", "y0", "y1")]), [*k, c, f"s{s}x", f"s{s}y"])
         low, high = [], []
