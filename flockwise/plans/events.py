@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import topology
 from ..operators import info, select
 from ..sources import adapters as A
 from .frames import mi_sql
@@ -108,57 +109,82 @@ def digitize_bins(spark, sf):
     return e.select(S.digitize(F.col("value") / F.col("top"), edges).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def edges_of(spark, name: str, n: int) -> DataFrame:
-    """(src, dst) of a topology of n agents, both ways."""
-    ids = spark.range(n).select(F.col("id").alias("src"))
+#: Suppliers that make a network of agents.
+N = 12
+
+
+def agents(spark, sf) -> DataFrame:
+    """net, i, n: every N suppliers are a network; i counts its agents from 0."""
+    s = A.table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / N).alias("net"), "s_suppkey")
+    w = Window.partitionBy("net")
+    return s.select("net", (F.row_number().over(w.orderBy("s_suppkey")) - 1).cast("bigint").alias("i"), F.count("*").over(w).alias("n"))
+
+
+def edges_of(nets: DataFrame, name: str) -> DataFrame:
+    """nets(net, i, n) -> net, src, dst of a topology, both ways."""
+    ids = nets.where("n > 1").withColumnRenamed("i", "src")
     if name == "ring":
-        out = ids.select("src", F.explode(F.array(F.pmod(F.col("src") - 1, F.lit(n)), F.pmod(F.col("src") + 1, F.lit(n)))).alias("dst"))
-        return out if n > 1 else out.limit(0)
+        return ids.select("net", "src", F.explode(F.array(F.pmod(F.col("src") - 1, "n"), F.pmod(F.col("src") + 1, "n"))).alias("dst"))
+    zero = F.lit(0).cast("bigint")
     if name == "star":
         spokes = ids.where("src > 0")
-        return spokes.select("src", F.lit(0).cast("bigint").alias("dst")).union(spokes.select(F.lit(0).cast("bigint").alias("src"), F.col("src").alias("dst")))
-    others = ids.select("src", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("dst")).where("src <> dst")
+        return spokes.select("net", "src", zero.alias("dst")).union(spokes.select("net", zero.alias("src"), F.col("src").alias("dst")))
+    others = ids.select("net", "src", F.explode(F.sequence(zero, F.col("n") - 1)).alias("dst")).where("src <> dst")
     if name == "mesh":
         return others
     # random: a coin for each pair; who is left alone is tied to the next one
-    coin = S.uniform(F.lit("3"), F.least("src", "dst"), F.greatest("src", "dst"))
-    some = others.where(coin < 0.5)
-    alone = ids.join(some.select("src").distinct(), "src", "left_anti").select("src", F.pmod(F.col("src") + 1, F.lit(n)).alias("dst")).where("src <> dst")
-    return some.union(alone).union(alone.select("dst", "src")).distinct()
-
-
-N = 12
+    some = others.where(S.uniform(F.lit("3"), "net", F.least("src", "dst"), F.greatest("src", "dst")) < 0.5)
+    alone = ids.join(some.select("net", "src").distinct(), ["net", "src"], "left_anti").select("net", "src", F.pmod(F.col("src") + 1, "n").alias("dst"))
+    return some.union(alone).union(alone.select("net", F.col("dst"), F.col("src"))).distinct()
 
 
 def topology_ring(spark, sf):
-    return edges_of(spark, "ring", N)
+    return edges_of(agents(spark, sf), "ring")
 
 
 def topology_mesh(spark, sf):
-    return edges_of(spark, "mesh", N)
+    return edges_of(agents(spark, sf), "mesh")
 
 
 def topology_star(spark, sf):
-    return edges_of(spark, "star", N)
+    return edges_of(agents(spark, sf), "star")
 
 
 def topology_random(spark, sf):
-    return edges_of(spark, "random", N)
+    return edges_of(agents(spark, sf), "random")
+
+
+#: The topologies by name.
+TOPOLOGIES = ("ring", "mesh", "star", "random")
 
 
-RND = f"""WITH o AS (SELECT a AS src, b AS dst FROM range({N}) x(a), range({N}) y(b) WHERE a<>b), s AS (SELECT src, dst FROM o WHERE ('0x'||substr(md5('3|'||least(src,dst)||'|'||greatest(src,dst)),1,8))::BIGINT/4294967296.0<0.5),
- l AS (SELECT a AS src, (a+1)%{N} AS dst FROM range({N}) x(a) WHERE a NOT IN (SELECT src FROM s)) SELECT src, dst FROM s UNION SELECT src, dst FROM l UNION SELECT dst, src FROM l"""
+def topology_lateral(spark, sf):
+    """Each agent's neighbours by the table function, in a lateral join; networks take the four topologies in turn."""
+    topology.register(spark)
+    a = agents(spark, sf).withColumn("topology", F.element_at(F.array(*map(F.lit, TOPOLOGIES)), (F.col("net") % 4 + 1).cast("int")))
+    return spark.sql("SELECT net, i AS src, dst FROM {a} a, LATERAL neighbors(a.topology, a.net, a.i, a.n)", a=a)
+
+
+AG = f"ag AS (SELECT net, row_number() OVER (PARTITION BY net ORDER BY s_suppkey)-1 AS i, count(*) OVER (PARTITION BY net) AS n FROM (SELECT s_suppkey//{N} AS net, s_suppkey FROM supplier))"
+EDGE_SQL = {
+    "ring": "SELECT net, i AS src, (i+d+n)%n AS dst FROM ag, (VALUES (-1),(1)) y(d) WHERE n>1",
+    "mesh": "SELECT a.net, a.i AS src, b.i AS dst FROM ag a JOIN ag b ON a.net=b.net AND a.i<>b.i",
+    "star": "SELECT net, i AS src, 0::BIGINT AS dst FROM ag WHERE i>0 UNION ALL SELECT net, 0::BIGINT, i FROM ag WHERE i>0",
+    "random": "SELECT net, src, dst FROM rs UNION SELECT net, src, dst FROM rl UNION SELECT net, dst, src FROM rl",
+}
+RND = f"""WITH {AG}, ro AS (SELECT a.net, a.i AS src, b.i AS dst FROM ag a JOIN ag b ON a.net=b.net AND a.i<>b.i), rs AS (SELECT * FROM ro WHERE ('0x'||substr(md5('3|'||net||'|'||least(src,dst)||'|'||greatest(src,dst)),1,8))::BIGINT/4294967296.0<0.5),
+ rl AS (SELECT net, i AS src, (i+1)%n AS dst FROM ag WHERE n>1 AND (net, i) NOT IN (SELECT (net, src) FROM rs))"""
 
 
 def partner_choice(spark, sf):
-    """On a ring, ten ticks, alpha .7: the agent itself if its draw is above alpha, else the neighbour that a second draw points to."""
-    near = edges_of(spark, "ring", N).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near"))  # two
-    t = near.select("src", "near", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("tick"))
-    pick = F.floor(S.uniform(F.lit("5"), "tick", "src", F.lit("pick")) * F.size("near")).cast("int")
-    return t.select(F.col("src").alias("agent"), "tick", F.when(S.uniform(F.lit("5"), "tick", "src", F.lit("go")) > 0.7, F.col("src")).otherwise(F.get("near", pick)).alias("partner"))
+    """On rings, ten ticks, alpha .7: the agent itself if its draw is above alpha, else the neighbour that a second draw points to."""
+    near = edges_of(agents(spark, sf), "ring").groupBy("net", "src").agg(F.sort_array(F.collect_list("dst")).alias("near"))  # two
+    t = near.select("net", "src", "near", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("tick"))
+    pick = F.floor(S.uniform(F.lit("5"), "net", "tick", "src", F.lit("pick")) * F.size("near")).cast("int")
+    return t.select("net", F.col("src").alias("agent"), "tick", F.when(S.uniform(F.lit("5"), "net", "tick", "src", F.lit("go")) > 0.7, F.col("src")).otherwise(F.get("near", pick)).alias("partner"))
 
 
-_H = lambda k: f"(('0x'||substr(md5('5|'||tick||'|'||agent||'|{k}'),1,8))::BIGINT/4294967296.0)"
+_H = lambda k: f"(('0x'||substr(md5('5|'||net||'|'||tick||'|'||agent||'|{k}'),1,8))::BIGINT/4294967296.0)"
 
 
 def asof_partner_output(spark, sf):
@@ -251,9 +277,9 @@ def escape_html(spark, sf):
 
 
 def model_catalog(spark, sf):
-    """Models of five providers, in order of id without case."""
+    """Models of five providers, in the order of their ids as people read them (the root locale's), accents and case last."""
     keep = A.models(spark, sf).where(F.split("id", "/")[0].isin([f"Brand#{k}1" for k in range(1, 6)]))
-    return keep.select("id", "name", R6("cost").alias("cost")).orderBy(F.lower("id"), "id")
+    return keep.select("id", "name", R6("cost").alias("cost")).orderBy(F.collate("id", "UNICODE"), "id")
 
 
 def models_by_provider(spark, sf):
@@ -271,7 +297,7 @@ def model_cost_lookup(spark, sf):
     return t.join(A.models(spark, sf).select("id", "cost"), "id", "left").select("event_id", "id", R6(F.col("cost") * F.col("tokens")).alias("price"))
 
 
-QUERIES = {f.__name__: f for f in (state_histogram, macro_state_distinct, entropy, conditional_entropy, mutual_information, predictability, transfer_entropy, quantile_bins, mi_hopping_windows, digitize_bins, topology_ring, topology_mesh, topology_star, topology_random, partner_choice, asof_partner_output, agent_history, telemetry_by_tick, replay_last_n, dialogue_last_k, dialogue_by_round, dialogue_context, round_headers, markdown_export, state_extract, intervention_union, escape_html, model_catalog, models_by_provider, cost_format, model_cost_lookup)}
+QUERIES = {f.__name__: f for f in (state_histogram, macro_state_distinct, entropy, conditional_entropy, mutual_information, predictability, transfer_entropy, quantile_bins, mi_hopping_windows, digitize_bins, topology_ring, topology_mesh, topology_star, topology_random, topology_lateral, partner_choice, asof_partner_output, agent_history, telemetry_by_tick, replay_last_n, dialogue_last_k, dialogue_by_round, dialogue_context, round_headers, markdown_export, state_extract, intervention_union, escape_html, model_catalog, models_by_provider, cost_format, model_cost_lookup)}
 _LAST = f"{DI}, k AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY round DESC) AS k FROM discussion)"
 ORACLE = {
     "state_histogram": "SELECT event_type AS state, count(*) AS n FROM events GROUP BY event_type",
@@ -284,11 +310,12 @@ ORACLE = {
     "quantile_bins": f"WITH {EDG} SELECT state, bin, count(*) AS n FROM b GROUP BY state, bin",
     "mi_hopping_windows": HOP,
     "digitize_bins": "WITH t AS (SELECT value/(SELECT max(value) FROM events) AS v FROM events WHERE value IS NOT NULL), b AS (SELECT CAST(" + "+".join(f"(v>={k}/10.0::DOUBLE)::INT" for k in range(1, 10)) + " AS INT) AS bin FROM t) SELECT bin, count(*) AS n FROM b GROUP BY bin",
-    "topology_ring": f"SELECT a AS src, (a+d+{N})%{N} AS dst FROM range({N}) x(a), (VALUES (-1),(1)) y(d)",
-    "topology_mesh": f"SELECT a AS src, b AS dst FROM range({N}) x(a), range({N}) y(b) WHERE a<>b",
-    "topology_star": f"SELECT a AS src, 0::BIGINT AS dst FROM range(1,{N}) x(a) UNION ALL SELECT 0::BIGINT, a FROM range(1,{N}) x(a)",
-    "topology_random": RND,
-    "partner_choice": f"WITH t AS (SELECT agent, CAST(tick AS INT) AS tick, list_sort([(agent+{N}-1)%{N},(agent+1)%{N}]) AS near FROM range({N}) x(agent), range(10) y(tick)) SELECT agent, tick, CASE WHEN {_H('go')}>0.7 THEN agent ELSE near[1+CAST(floor({_H('pick')}*2) AS INT)] END AS partner FROM t",
+    "topology_ring": f"WITH {AG} {EDGE_SQL['ring']}",
+    "topology_mesh": f"WITH {AG} {EDGE_SQL['mesh']}",
+    "topology_star": f"WITH {AG} {EDGE_SQL['star']}",
+    "topology_random": f"{RND} {EDGE_SQL['random']}",
+    "topology_lateral": f"{RND} " + " UNION ALL ".join(f"SELECT net, src, dst FROM ({EDGE_SQL[t]}) WHERE net%4={k}" for k, t in enumerate(TOPOLOGIES)),
+    "partner_choice": f"WITH {AG}, t AS (SELECT net, i AS agent, CAST(tick AS INT) AS tick, list_sort([(i+n-1)%n,(i+1)%n]) AS near FROM ag, range(10) y(tick) WHERE n>1) SELECT net, agent, tick, CASE WHEN {_H('go')}>0.7 THEN agent ELSE near[1+CAST(floor({_H('pick')}*2) AS INT)] END AS partner FROM t",
     "asof_partner_output": ASOF,
     "agent_history": f"WITH {TK}, k AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY tick DESC) AS k FROM ticks) SELECT agent, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY tick) AS last FROM k WHERE k<=5 GROUP BY agent",
     "telemetry_by_tick": f"WITH {TK} SELECT tick, count(*) AS agents, round(avg(latency_ms),6) AS latency, CAST(sum(tokens) AS BIGINT) AS tokens FROM ticks GROUP BY tick",

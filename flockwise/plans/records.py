@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import adapters as A
+from ..sources import settings
 from ..sources.shared import shared
 
 DI, MO = A.SQL["discussion"], A.SQL["models"]
@@ -22,6 +23,17 @@ def config_resolved(spark, sf):
     return n.select("n_nationkey", F.coalesce(F.nullif("cli", F.lit(500)), "file", F.lit(500)).cast("bigint").alias("n_boids"))
 
 
+def settings_files(spark, sf):
+    """A settings file per nation, each with a few of the settings, written and read; the rest have their defaults."""
+    path = shared(spark, "settings")
+    k = F.col("n_nationkey").cast("string")
+    lines = F.array_compact(F.array(F.lit("# of one nation"), F.lit("boids:"), F.concat(F.lit("  n_boids: "), k, F.lit("0")), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("  noise_std: 0."), k, F.lit("5  # measured"))), F.when(F.col("n_nationkey") % 5 == 0, F.lit("  boundary: 'reflective'")), F.lit("sweep:"), F.lit("  n_runs: 3")))
+    n = A.table(spark, sf, "nation").select("n_nationkey", F.array_join(lines, "\n").alias("value"))
+    n.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    r = settings.resolved(settings.read_settings(spark, path), "boids")
+    return r.select(F.regexp_extract("file", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"), "n_boids", "world_size", "boundary", "noise_std")
+
+
 def model_records(spark, sf):
     return A.models(spark, sf).select("id", F.to_json(F.struct("id", "provider", "name")).alias("record"))
 
@@ -163,12 +175,13 @@ def latest_version(spark, sf):
     return A.latest_run(spark, path).select("r_regionkey", F.col("run_id").cast("string").alias("version"))
 
 
-QUERIES = {f.__name__: f for f in (config_resolved, model_records, parsed_costs, round_filter, padded_lines, mini_markdown, dropdown_labels, event_times, vector_arrays, props_roundtrip, token_counts, telemetry_totals, control_config, history_trimmed, next_step, reset_sessions, agent_prompts, csv_roundtrip, json_roundtrip, text_roundtrip, latest_version)}
+QUERIES = {f.__name__: f for f in (config_resolved, settings_files, model_records, parsed_costs, round_filter, padded_lines, mini_markdown, dropdown_labels, event_times, vector_arrays, props_roundtrip, token_counts, telemetry_totals, control_config, history_trimmed, next_step, reset_sessions, agent_prompts, csv_roundtrip, json_roundtrip, text_roundtrip, latest_version)}
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _LAST = lambda c, d: f"coalesce(arg_max({c}, (ts, event_id)) FILTER ({c} IS NOT NULL), {d}) AS {c}"
 _WAS = lambda c, d: f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {d})"
 ORACLE = {
     "config_resolved": "WITH n AS (SELECT n_nationkey, CASE n_nationkey%3 WHEN 0 THEN 500 WHEN 1 THEN n_nationkey*10 END AS cli, CASE WHEN n_nationkey%2=0 THEN n_nationkey+100 END AS file FROM nation) SELECT n_nationkey, CAST(coalesce(nullif(cli,500), file, 500) AS BIGINT) AS n_boids FROM n",
+    "settings_files": "SELECT n_nationkey, CAST(n_nationkey*10 AS BIGINT) AS n_boids, 100.0::DOUBLE AS world_size, CASE WHEN n_nationkey%5=0 THEN 'reflective' ELSE 'periodic' END AS boundary, CASE WHEN n_nationkey%2=0 THEN CAST('0.'||n_nationkey||'5' AS DOUBLE) ELSE 0.1::DOUBLE END AS noise_std FROM nation",
     "model_records": f"WITH {MO} SELECT id, CAST(json_object('id',id,'provider',provider,'name',name) AS VARCHAR) AS record FROM models",
     "parsed_costs": "SELECT p_brand, sum(coalesce(TRY_CAST(CASE WHEN p_partkey%7=0 THEN '' WHEN p_partkey%11=0 THEN 'n/a' WHEN p_partkey%13<>0 THEN CAST(p_size AS VARCHAR) END AS DOUBLE),0.0)) AS cost FROM part GROUP BY p_brand",
     "round_filter": f"WITH {DI} SELECT agent, count(*) AS n FROM discussion WHERE round=1 GROUP BY agent",

@@ -196,8 +196,9 @@ def plot_data(spark, sf):
 
 
 def sweep_tasks(spark, sf):
-    """Every alpha with every run: 31 by 10."""
-    return A.alpha_grid(spark, 0.0, 3.0, 31).crossJoin(spark.range(10).select(F.col("id").cast("int").alias("run"))).select("alpha_idx", R4("alpha").alias("alpha"), "run")
+    """31 even levels between the sweep's least and greatest alpha, each with every run of it."""
+    runs = A.sweep(spark, sf).select("run").distinct()
+    return A.alpha_grid(runs, A.sweep(spark, sf), 31).select("alpha_idx", R4("alpha").alias("alpha"), "run")
 
 
 def union_phases(spark, sf):
@@ -218,12 +219,13 @@ def zoom(spark, sf):
 
 
 def sweep_tasks_clustering(spark, sf):
-    """Every clustering choice with every alpha and run: 9 by 31 by 10; and every size and noise with ten alphas and five runs."""
-    runs = lambda n: spark.range(n).select(F.col("id").cast("int").alias("run"))
-    pairs = lambda a, b: spark.range(1).select(F.explode(F.array(*[F.lit(float(v)) for v in a])).alias("p")).select("p", F.explode(F.array(*[F.lit(float(v)) for v in b])).alias("q"))
-    one = pairs((10, 15, 20), (3, 5, 10)).crossJoin(A.alpha_grid(spark, 0.0, 0.3, 31)).crossJoin(runs(10)).withColumn("grid", F.lit("clustering"))
-    two = pairs((100, 300), (0.1, 0.2)).crossJoin(A.alpha_grid(spark, 0.0, 0.2, 10)).crossJoin(runs(5)).withColumn("grid", F.lit("robustness"))
-    return one.unionByName(two).select("grid", "p", "q", "alpha_idx", R4("alpha").alias("alpha"), "run")
+    """Every clustering choice with 31 levels and every run; and every size and noise with ten levels and the runs up to five."""
+    runs = A.sweep(spark, sf).select("run").distinct()
+    choice = lambda a, b: F.explode(F.array(*[F.struct(F.lit(float(x)).alias("p"), F.lit(float(y)).alias("q")) for x in a for y in b]))
+    tasks = lambda name, n, c, r: A.alpha_grid(r, A.sweep(spark, sf), n).select(F.lit(name).alias("grid"), c.alias("c"), "alpha_idx", "alpha", "run")
+    one = tasks("clustering", 31, choice((10, 15, 20), (3, 5, 10)), runs)
+    two = tasks("robustness", 10, choice((100, 300), (0.1, 0.2)), runs.where("run <= 5"))
+    return one.unionByName(two).select("grid", "c.p", "c.q", "alpha_idx", R4("alpha").alias("alpha"), "run")
 
 
 def task_configs(spark, sf):
@@ -267,6 +269,7 @@ def pelt_changepoints(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (sweep_summary_samp, sweep_summary_pop, rolling_mean_centered, gradient, second_derivative, adjacent_diff, neighbor_jump, discontinuity_point, before_after_means, cohens_d_samp, cohens_d_pop, linear_fit, threshold_split, permutation_pvalue, bootstrap_d_ci, bootstrap_jump_pvalue, verdict_standard, plot_data, sorted_sweep, zoom, sweep_tasks, sweep_tasks_clustering, task_configs, filter_with_fallback, concatenated, union_phases, pelt_changepoints)}
+_BOUNDS = "lo AS (SELECT min(l_discount) AS low, max(l_discount) AS high FROM lineitem), rn AS (SELECT DISTINCT l_linenumber AS run FROM lineitem)"
 _LIST = lambda c, t: f"string_agg(printf('%.4f',{c}),',' ORDER BY alpha) AS {t}"
 _PLOT = DISC.replace(MEANS, "g AS (SELECT l_discount AS alpha, round(avg(l_extendedprice),4) AS mean, round(stddev_samp(l_extendedprice),4) AS std, round(avg(l_quantity),4) AS mean2, round(stddev_samp(l_quantity),4) AS std2, round(avg(l_tax),4) AS mean3 FROM lineitem GROUP BY 1), m AS (SELECT 1 AS run, alpha, mean AS y FROM g)").rsplit(" SELECT run, alpha AS critical_alpha", 1)[0] + f", pt AS (SELECT alpha AS critical_alpha, round(after-before,4) AS magnitude FROM f WHERE k=1) SELECT {', '.join(_LIST(c, c + 's') for c in ('alpha', 'mean', 'std', 'mean2', 'std2', 'mean3'))}, any_value(critical_alpha) AS critical_alpha, any_value(magnitude) AS magnitude FROM g, pt"
 _GR = "SELECT alpha, count(*) AS n, round(avg(metric),4) AS mean, round({}(metric),4) AS std FROM sweep GROUP BY alpha"
@@ -291,10 +294,10 @@ ORACLE = {
     "plot_data": _PLOT,
     "sorted_sweep": f"WITH {MEANS} SELECT alpha, run, round(y,4) AS y FROM m ORDER BY alpha, run",
     "zoom": f"WITH {SW} SELECT alpha, count(*) AS n, round(avg(metric),4) AS mean FROM sweep WHERE alpha<=0.05 GROUP BY alpha",
-    "sweep_tasks_clustering": "SELECT 'clustering' AS grid, p::DOUBLE AS p, q::DOUBLE AS q, CAST(a AS INT) AS alpha_idx, round(a*0.3::DOUBLE/30,4) AS alpha, CAST(r AS INT) AS run FROM (VALUES (10),(15),(20)) x(p), (VALUES (3),(5),(10)) y(q), range(31) z(a), range(10) w(r) UNION ALL SELECT 'robustness', p::DOUBLE, q::DOUBLE, CAST(a AS INT), round(a*0.2::DOUBLE/9,4), CAST(r AS INT) FROM (VALUES (100),(300)) x(p), (VALUES (0.1),(0.2)) y(q), range(10) z(a), range(5) w(r)",
-    "task_configs": """SELECT CAST(a AS INT) AS alpha_idx, CAST(r AS INT) AS run, n::DOUBLE AS noise_std, printf('{"n_boids":500,"world_size":200,"alignment_weight":%.4f,"noise_std":%.2f}', round(a*3.0::DOUBLE/30,4), n::DOUBLE) AS config FROM range(31) x(a), range(10) y(r), (VALUES (0.1),(0.05),(0.2)) z(n)""",
+    "sweep_tasks_clustering": f"WITH {_BOUNDS} SELECT 'clustering' AS grid, p::DOUBLE AS p, q::DOUBLE AS q, CAST(a AS INT) AS alpha_idx, round(low+a*(high-low)/30,4) AS alpha, run FROM (VALUES (10),(15),(20)) x(p), (VALUES (3),(5),(10)) y(q), range(31) z(a), rn, lo UNION ALL SELECT 'robustness', p::DOUBLE, q::DOUBLE, CAST(a AS INT), round(low+a*(high-low)/9,4), run FROM (VALUES (100),(300)) x(p), (VALUES (0.1),(0.2)) y(q), range(10) z(a), rn, lo WHERE run<=5",
+    "task_configs": f"""WITH {_BOUNDS} SELECT CAST(a AS INT) AS alpha_idx, run, n::DOUBLE AS noise_std, printf('{{"n_boids":500,"world_size":200,"alignment_weight":%.4f,"noise_std":%.2f}}', round(low+a*(high-low)/30,4), n::DOUBLE) AS config FROM range(31) x(a), rn, lo, (VALUES (0.1),(0.05),(0.2)) z(n)""",
     "filter_with_fallback": "WITH h AS (SELECT *, l_quantity=15 AND l_linenumber=5 AS hit, bool_or(l_quantity=15 AND l_linenumber=5) OVER (PARTITION BY l_suppkey) AS has FROM lineitem) SELECT l_suppkey, any_value(has) AS matched, count(*) AS n, round(sum(l_extendedprice),2) AS total FROM h WHERE hit OR NOT has GROUP BY l_suppkey",
     "concatenated": f"WITH {SW} SELECT run, count(*) AS n, count(*) FILTER (alpha<{CUT}) AS n_before, round(avg(metric),4) AS mean FROM sweep GROUP BY run",
-    "sweep_tasks": "SELECT CAST(a AS INT) AS alpha_idx, round(a*3.0::DOUBLE/30,4) AS alpha, CAST(r AS INT) AS run FROM range(31) x(a), range(10) y(r)",
+    "sweep_tasks": f"WITH {_BOUNDS} SELECT CAST(a AS INT) AS alpha_idx, round(low+a*(high-low)/30,4) AS alpha, run FROM range(31) x(a), rn, lo",
     "union_phases": "WITH u AS (SELECT 'main' AS phase, l_discount AS alpha, l_extendedprice AS metric FROM lineitem UNION ALL SELECT 'robustness', l_tax, l_extendedprice FROM lineitem) SELECT phase, alpha, count(*) AS n, round(sum(metric),2) AS total FROM u GROUP BY phase, alpha",
 }

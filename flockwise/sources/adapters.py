@@ -52,9 +52,11 @@ def latest_run(spark: SparkSession, path: str) -> DataFrame:
     return runs.join(F.broadcast(last), F.col("run_id") == F.col("last")).drop("last")
 
 
-def alpha_grid(spark: SparkSession, low: float, high: float, n: int) -> DataFrame:
-    """n evenly spaced values with both ends; alpha_idx is the key, as floats are poor ones."""
-    return spark.range(n).select(F.col("id").cast("int").alias("alpha_idx"), (F.lit(low) + F.col("id") * (F.lit(high) - F.lit(low)) / (n - 1)).alias("alpha"))
+def alpha_grid(rows: DataFrame, sweep: DataFrame, n: int) -> DataFrame:
+    """Each row with n evenly spaced values from the sweep's least alpha to its greatest; alpha_idx is the key, as floats are poor ones."""
+    ends = sweep.agg(F.min("alpha").alias("low"), F.max("alpha").alias("high")).where("low is not null")  # one row
+    of = rows.crossJoin(F.broadcast(ends)).withColumn("alpha_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return of.withColumn("alpha", F.col("low") + F.col("alpha_idx") * (F.col("high") - F.col("low")) / (n - 1)).drop("low", "high")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

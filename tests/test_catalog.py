@@ -7,7 +7,8 @@ from pyspark.sql import functions
 
 from flockwise.operators import breaks, density, info, series, space
 from flockwise.plans import catalog
-from flockwise.sources import adapters
+from flockwise.functions import topology
+from flockwise.sources import adapters, settings
 from flockwise.streaming import telemetry
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings conversations".split()
@@ -123,3 +124,28 @@ def test_latest_run(spark, tmp_path):
     for k in ("a", "b"):
         adapters.write_run(spark.range(2 if k == "a" else 3), f"file://{tmp_path}/runs", k)
     assert adapters.latest_run(spark, f"file://{tmp_path}/runs").count() == 3
+
+
+def test_settings_have_defaults_and_no_unknown_keys(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("boids:\n  n_boids: 7   # few\n  boundary: \"reflective\"\n\nsweep:\n  n_boids: 9\n  other: 1\n")
+    (tmp_path / "b.yaml").write_text("# nothing\n")
+    rows_ = settings.read_settings(spark, f"file://{tmp_path}/a.yaml")
+    assert {(r.section, r.key, r.value) for r in rows_.collect()} == {("boids", "n_boids", "7"), ("boids", "boundary", "reflective"), ("sweep", "n_boids", "9"), ("sweep", "other", "1")}
+    r = settings.resolved(rows_, "boids").first()
+    assert (r.n_boids, r.boundary, r.noise_std, r.world_size) == (7, "reflective", 0.1, 100.0)
+    with pytest.raises(TypeError, match="other"):
+        settings.resolved(rows_, "sweep")
+
+
+def test_models_are_in_the_order_of_people(spark):
+    names = ["Zeta", "\u00e4pfel", "apple", "\u00c4rger", "zebra", "Apple", "b"]
+    d = spark.createDataFrame([(n,) for n in names], "id string").orderBy(functions.collate("id", "UNICODE"), "id")
+    assert [r.id for r in d.collect()] == ["\u00e4pfel", "apple", "Apple", "\u00c4rger", "b", "zebra", "Zeta"]
+
+
+def test_neighbors_of_small_networks():
+    eval_ = lambda *a: [x[0] for x in topology.Neighbors().eval(*a)]
+    assert eval_("ring", 0, 0, 2) == [1, 1] and eval_("star", 0, 0, 1) == [] and eval_("mesh", 0, 1, 3) == [0, 2] and eval_("ring", 0, None, 3) == [] and eval_("tree", 0, 0, 3) == []
+    for net in range(40):
+        of = [set(eval_("random", net, i, 3)) for i in range(3)]
+        assert all(of) and all(i in of[j] for i in range(3) for j in of[i])
