@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import topology
-from ..operators import info, select
+from ..operators import info, ordered, select, series
 from ..sources import adapters as A
 from .frames import mi_sql
+from .sweeps import G
 
 R6 = lambda c: F.round(c, 6)
 ST, TK, DI, MO = (A.SQL[k] for k in ("states", "ticks", "discussion", "models"))
@@ -188,19 +189,29 @@ _H = lambda k: f"(('0x'||substr(md5('5|'||net||'|'||tick||'|'||agent||'|{k}'),1,
 
 
 def asof_partner_output(spark, sf):
-    """The latest latency that the partner (the next agent, the first after the last) had shown before: one union, one window."""
+    """The latest latency that the partner (the next agent, the first after the last) had shown before: one union, in which the
+    last value is carried along, so that a much asked partner isn't one task."""
     t = A.ticks(spark, sf)
     n = t.agg((F.max("agent") + 1).alias("n"))  # one row
     asks = t.crossJoin(F.broadcast(n)).select(F.col("event_id"), ((F.col("agent") + 1) % F.col("n")).alias("of"), "ts", F.lit(None).cast("double").alias("seen"), F.lit(1).alias("asks"))
     shows = t.select("event_id", F.col("agent").alias("of"), "ts", F.col("latency_ms").alias("seen"), F.lit(0).alias("asks"))
-    w = Window.partitionBy("of").orderBy("ts", "asks", "event_id")
-    both = asks.unionByName(shows).withColumn("partner_latency", F.last("seen", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    both = ordered.carried_last(asks.unionByName(shows), ["of"], ["ts", "asks", "event_id"], "seen", "partner_latency")
     return both.where("asks = 1").select("event_id", F.col("of").alias("partner"), "partner_latency")
 
 
 ASOF = f"WITH {TK}, a AS (SELECT event_id, (agent+1)%(SELECT max(agent)+1 FROM ticks) AS partner, ts FROM ticks), s AS (SELECT agent, ts, arg_max(latency_ms, event_id) AS latency FROM ticks WHERE latency_ms IS NOT NULL GROUP BY agent, ts) SELECT a.event_id, a.partner, s.latency AS partner_latency FROM a ASOF LEFT JOIN s ON a.partner=s.agent AND a.ts>=s.ts"
 
 
+def event_series(spark, sf):
+    """All events as one long series: the next event's type, the mean of three values, and the slope of the values over time."""
+    e = A.table(spark, sf, "events").select("event_id", "ts", "event_type", F.col("value").alias("y"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"))
+
+    def columns(w):
+        return {"next_type": F.lead("event_type").over(w), "rolling": R6(series.rolling_mean("y", w)), "slope": F.round(series.gradient("y", "x", w), 4)}
+
+    return ordered.windowed(e, [], ["ts", "event_id"], 1, columns).select("event_id", "next_type", "rolling", "slope")
+
+
 def agent_history(spark, sf):
     """The last five ticks of every agent, oldest first."""
     w = Window.partitionBy("agent").orderBy(F.desc("tick"))
@@ -297,7 +308,7 @@ def model_cost_lookup(spark, sf):
     return t.join(A.models(spark, sf).select("id", "cost"), "id", "left").select("event_id", "id", R6(F.col("cost") * F.col("tokens")).alias("price"))
 
 
-QUERIES = {f.__name__: f for f in (state_histogram, macro_state_distinct, entropy, conditional_entropy, mutual_information, predictability, transfer_entropy, quantile_bins, mi_hopping_windows, digitize_bins, topology_ring, topology_mesh, topology_star, topology_random, topology_lateral, partner_choice, asof_partner_output, agent_history, telemetry_by_tick, replay_last_n, dialogue_last_k, dialogue_by_round, dialogue_context, round_headers, markdown_export, state_extract, intervention_union, escape_html, model_catalog, models_by_provider, cost_format, model_cost_lookup)}
+QUERIES = {f.__name__: f for f in (state_histogram, macro_state_distinct, entropy, conditional_entropy, mutual_information, predictability, transfer_entropy, quantile_bins, mi_hopping_windows, digitize_bins, topology_ring, topology_mesh, topology_star, topology_random, topology_lateral, partner_choice, asof_partner_output, event_series, agent_history, telemetry_by_tick, replay_last_n, dialogue_last_k, dialogue_by_round, dialogue_context, round_headers, markdown_export, state_extract, intervention_union, escape_html, model_catalog, models_by_provider, cost_format, model_cost_lookup)}
 _LAST = f"{DI}, k AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY round DESC) AS k FROM discussion)"
 ORACLE = {
     "state_histogram": "SELECT event_type AS state, count(*) AS n FROM events GROUP BY event_type",
@@ -317,6 +328,7 @@ ORACLE = {
     "topology_lateral": f"{RND} " + " UNION ALL ".join(f"SELECT net, src, dst FROM ({EDGE_SQL[t]}) WHERE net%4={k}" for k, t in enumerate(TOPOLOGIES)),
     "partner_choice": f"WITH {AG}, t AS (SELECT net, i AS agent, CAST(tick AS INT) AS tick, list_sort([(i+n-1)%n,(i+1)%n]) AS near FROM ag, range(10) y(tick) WHERE n>1) SELECT net, agent, tick, CASE WHEN {_H('go')}>0.7 THEN agent ELSE near[1+CAST(floor({_H('pick')}*2) AS INT)] END AS partner FROM t",
     "asof_partner_output": ASOF,
+    "event_series": f"""WITH m AS (SELECT event_id, ts, event_type, value AS y, epoch_us(ts)/1e6::DOUBLE AS alpha FROM events) SELECT event_id, lead(event_type) OVER w AS next_type, round(avg(y) OVER (ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING),6) AS rolling, round({G('y')},4) AS slope FROM m WINDOW w AS (ORDER BY ts, event_id)""",
     "agent_history": f"WITH {TK}, k AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY tick DESC) AS k FROM ticks) SELECT agent, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY tick) AS last FROM k WHERE k<=5 GROUP BY agent",
     "telemetry_by_tick": f"WITH {TK} SELECT tick, count(*) AS agents, round(avg(latency_ms),6) AS latency, CAST(sum(tokens) AS BIGINT) AS tokens FROM ticks GROUP BY tick",
     "replay_last_n": f"WITH {TK} SELECT event_id, agent, tick FROM ticks ORDER BY ts DESC, event_id DESC LIMIT 50",
