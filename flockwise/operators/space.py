@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..sources.shared import saved
 
 
+#: Points of a cell, or around it, that one key of the join holds.
+CROWD = 4096
+
+
 def shift(d, world: float):
     """Least displacement on a ring of length `world`."""
     return F.when(d > world / 2, d - world).when(d < -world / 2, d + world).otherwise(d)
@@ -19,7 +23,8 @@ def neighbours(points: DataFrame, radius: float, keys: list[str], *, world: floa
     Points lie in square cells no smaller than the radius; each looks into its own and the eight around it, so that pairs meet by
     equality of cells. With `world`, cells divide it evenly, and there are at least three to an axis or else one; with `seam` they have
     the radius for width instead and the last one is narrower, so that pairs across it may be missed. Points in one place are
-    neighbours only if `coincident`. A crowded cell is one key of an equi-join, whose larger side AQE splits."""
+    neighbours only if `coincident`. Cells with more than CROWD points are cut into blocks, and so are those who look into them: each
+    block meets each other under a key of its own, which holds about CROWD points of either side."""
     if world is None:
         cell, wrap = radius, lambda c: c
     else:
@@ -39,12 +44,30 @@ def neighbours(points: DataFrame, radius: float, keys: list[str], *, world: floa
     if world is not None and cells == 1:
         left = left.distinct()
     right = p.select(*keys, F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *[F.col(e).alias(f"{e}_j") for e in extra], "cx", "cy")
+    cell = [*keys, "cx", "cy"]
+    held = p.groupBy(*cell).agg(F.count("*").alias("_n"))
+    if not held.where(F.col("_n") > CROWD).isEmpty():
+        left, right = dealt(left, right, held, cell)
+        cell = [*cell, "_l", "_r"]
     dx, dy = F.col("xj") - F.col("xi"), F.col("yj") - F.col("yi")
     if world is not None:
         dx, dy = shift(dx, world), shift(dy, world)
-    out = left.join(right, [*keys, "cx", "cy"]).where("i <> j").withColumn("dx", dx).withColumn("dy", dy)
+    out = left.join(right, cell).where("i <> j").withColumn("dx", dx).withColumn("dy", dy)
     out = out.withColumn("dist", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2))
     near = F.col("dist") <= radius if inclusive else F.col("dist") < radius
     if not coincident:
         near = near & (F.col("dist") > 0)
     return out.where(near).select(*keys, "i", "j", "dx", "dy", "dist", *[f"{e}_{s}" for e in extra for s in "ij"])
+
+
+def dealt(left: DataFrame, right: DataFrame, held: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
+    """left (points in the cells that they look into) and right (in their own) with blocks _l and _r, so that every pair of a cell meets
+    once, and no key has more than about CROWD rows of a side."""
+    looking = left.groupBy(*cell).agg(F.count("*").alias("_m"))
+    blocks = lambda c: F.ceil(F.col(c) / CROWD).cast("int")
+    of = saved(held.join(looking, cell).select(*cell, blocks("_m").alias("_ls"), blocks("_n").alias("_rs")))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l = left.join(of, cell).withColumn("_l", own("i", "_ls")).withColumn("_r", all_("_rs")).drop("_ls", "_rs")
+    r = right.join(of, cell).withColumn("_r", own("j", "_rs")).withColumn("_l", all_("_ls")).drop("_ls", "_rs")
+    return l, r

@@ -61,6 +61,24 @@ def test_neighbours_equal_all_pairs(spark):
         assert {(r.i, r.j) for r in space.neighbours(p, radius, [], world=world).collect()} == near
 
 
+def test_crowded_cells_are_dealt_out(spark, monkeypatch):
+    """Four fifths of the points in one cell: pairs as by all pairs, and no key with more than a few blocks' rows."""
+    monkeypatch.setattr(space, "CROWD", 16)
+    rng = np.random.default_rng(5)
+    xy = np.vstack([rng.uniform(10, 14, (160, 2)), rng.uniform(0, 50, (40, 2))])
+    p = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xy)], "id bigint, x double, y double")
+    seen, dealt = [], space.dealt
+    monkeypatch.setattr(space, "dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    for world in (50.0, None):
+        d = np.abs(xy[:, None] - xy[None])
+        d = np.minimum(d, 50 - d) if world else d
+        near = {(i, j) for i, j in zip(*np.nonzero(np.sqrt((d**2).sum(-1)) < 7)) if i != j}
+        got = space.neighbours(p, 7.0, [], world=world).collect()
+        assert {(r.i, r.j) for r in got} == near and len(got) == len(near)
+    for side in seen[-1]:
+        assert side.groupBy("cx", "cy", "_l", "_r").count().agg(functions.max("count")).first()[0] <= 40
+
+
 def test_alternating_states_tell_one_bit(spark):
     s = spark.createDataFrame([(1, k, "ab"[k % 2]) for k in range(2001)], "e int, seq int, state string")
     assert info.mutual_information(info.pairs(s, ["e"], "seq", "state"), ["e"]).first().mi == pytest.approx(1, abs=1e-3)
