@@ -31,7 +31,7 @@ from .common import LOWER, map_texts, materialize, table, text_chunks, word_span
 
 LEAST, SCALE, TOP = 3, 1_000_000_000, 200
 #: Bytes of text counted at once, and rows of counts that a task holds before it passes them on.
-CHUNK, HELD = 1 << 22, 1 << 19
+CHUNK, HELD = 1 << 21, 1 << 18
 #: What isn't part of a term.
 GAP = np.ones(256, bool)
 GAP[65:91] = GAP[97:123] = GAP[128:] = False
