@@ -3,7 +3,8 @@
 Events (conv_id, turn, seq, event, role, text) are dealt by conversation and block of turns, sorted by (turn, seq) and folded:
 `message` opens a message, `delta` adds to the one that is open in its turn, `edit` replaces its text, `regenerate` empties it.
 Blocks are folded and rendered apart, so that a huge conversation meets only as finished blocks in the one row that it becomes; the
-mask is placed in that row's text by running totals, and read back from it piece by piece.
+rows of one turn are one block, which takes time in proportion. The mask is placed in the text by running totals, and read back
+from it piece by piece.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` a message. In texts and roles a backslash is doubled and `<|` becomes `<\\|`; in
 roles a newline gets a backslash as well. So neither mark can occur inside a text, and unescaping gives it back exactly.
@@ -42,19 +43,24 @@ def events_of_turns(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("event"), "role", "text")
 
 
-def _fold(events):
-    """array<struct<turn,seq,role,text,event>>, sorted -> array<struct<turn,role,text>>"""
-    kind = "array<struct<turn:bigint,role:string,text:string>>"
+def _messages(blocks: DataFrame) -> DataFrame:
+    """blocks with es: array<struct<turn,seq,role,text,event>>, sorted -> with messages: array<struct<role,text>>. A message's events are
+    a stretch of the array, and its text is that of the last one that sets it, with the deltas after that: nothing grows event by
+    event. Steps are columns of their own, and a stretch is bound once, as what a lambda names is evaluated for every element."""
+    before = lambda i: F.when(i > 0, F.element_at("es", i).turn)
+    blocks = blocks.withColumn("opens", F.transform("es", lambda e, i: (e.event == "message") | (i == 0) | ~before(i).eqNullSafe(e.turn)))
+    blocks = blocks.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("opens") - 1), lambda i: F.element_at("opens", i + 1)))
 
-    def step(done, e):
-        last = F.element_at(done, -1)
-        starts = (e.event == "message") | (F.size(done) == 0) | ~last.turn.eqNullSafe(e.turn)
-        text = F.when(e.event == "regenerate", "").when(starts | (e.event == "edit"), e.text).otherwise(F.concat(last.text, e.text))
-        new = F.struct(e.turn.alias("turn"), F.when(starts, e.role).otherwise(last.role).alias("role"), text.alias("text"))
-        kept = F.when(starts, done).otherwise(F.slice(done, 1, F.size(done) - 1))
-        return F.concat(kept, F.array(new)).cast(kind)
+    def folded(part):
+        last = F.array_max(F.filter(F.sequence(F.lit(0), F.size(part) - 1), lambda j: (j == 0) | F.element_at(part, j + 1).event.isin("edit", "regenerate")))
+        return F.element_at(F.transform(F.array(last), lambda k: F.struct(F.element_at(part, 1).role.alias("role"), F.concat(
+            F.when(F.element_at(part, k + 1).event == "regenerate", "").otherwise(F.element_at(part, k + 1).text),
+            F.array_join(F.transform(F.slice(part, k + 2, F.size(part)), lambda e: e.text), ""),
+        ).alias("text"))), 1)
 
-    return F.aggregate(events, F.array().cast(kind), step)
+    stretch = lambda p, k: F.slice("es", p + 1, F.coalesce(F.get("starts", k + 1), F.size("es")) - p)
+    parts = blocks.withColumn("parts", F.transform("starts", stretch))
+    return parts.withColumn("messages", F.transform("parts", folded)).drop("es", "opens", "starts", "parts")
 
 
 def format_chats(events: DataFrame, *, block_turns: int = BLOCK_TURNS) -> DataFrame:
@@ -64,19 +70,13 @@ def format_chats(events: DataFrame, *, block_turns: int = BLOCK_TURNS) -> DataFr
         F.struct(F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("event", F.lit("message")).alias("event")).alias("e"),
     )
     blocks = e.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    body = F.transform(_fold(F.col("es")), lambda m: F.struct(F.concat(F.lit(OPEN), escape_role(m.role), F.lit("\n")).alias("head"), escape(m.text).alias("text"), (m.role == "assistant").alias("loss")))
-    blocks = blocks.select("conv_id", "block", body.alias("ms"))
-    kind = "struct<at:int,spans:array<struct<start:int,len:int>>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans")).cast(kind)
-
-    def place(acc, m):
-        at, n = acc.at + F.length(m["head"]), F.length(m["text"])
-        spans = F.when(m["loss"], F.concat(acc.spans, F.array(F.struct(at.alias("start"), n.alias("len"))))).otherwise(acc.spans)
-        return F.struct((at + n + len(CLOSE)).alias("at"), spans.alias("spans")).cast(kind)
-
+    body = F.transform("messages", lambda m: F.struct(F.concat(F.lit(OPEN), escape_role(m.role), F.lit("\n")).alias("head"), escape(m.text).alias("text"), (m.role == "assistant").alias("loss")))
+    blocks = _messages(blocks).select("conv_id", "block", body.alias("ms"))
+    size = lambda m: F.length(m["head"]) + F.length(m["text"]) + len(CLOSE)
+    blocks = running(blocks.select("conv_id", "block", "ms", F.transform("ms", size).alias("at")), ["at"], lambda a, b: a + b)
     whole = F.array_join(F.transform("ms", lambda m: F.concat(m["head"], m["text"], F.lit(CLOSE))), "")
-    done = blocks.select("conv_id", "block", whole.alias("s"), F.aggregate("ms", first, place).alias("p"))
-    done = done.select("conv_id", F.struct("block", "s", F.col("p.at").alias("n"), F.col("p.spans").alias("spans")).alias("b"))
+    span = F.zip_with("ms", "at", lambda m, at: F.when(m["loss"], F.struct((at + F.length(m["head"])).alias("start"), F.length(m["text"]).alias("len"))))
+    done = blocks.select("conv_id", F.struct("block", whole.alias("s"), F.length(whole).alias("n"), F.array_compact(span).alias("spans")).alias("b"))
     chats = done.groupBy("conv_id").agg(F.sort_array(F.collect_list("b")).alias("bs"))
     chats = running(chats.select("conv_id", "bs", F.transform("bs", lambda b: b.n).alias("before")), ["before"], lambda a, b: a + b)
     moved = F.zip_with("bs", "before", lambda b, at: F.transform(b.spans, lambda x: F.struct((x.start + at).alias("start"), x["len"].alias("len"))))

@@ -145,3 +145,46 @@ def test_bisection_brings_kinds_together():
     assert sorted(order) == list(range(512))
     pure = [np.bincount(kind[order[i : i + 32]]).max() / 32 for i in range(0, 512, 32)]
     assert np.mean(pure) > 0.9
+
+
+def test_many_rows_of_one_turn(spark):
+    """32,000 rows without a turn take no more than a few times as long as with turns of their own, and give the same texts."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from flockwise.llm import chat
+
+    took, out = [], []
+    for turn in ("id", "cast(null as bigint)"):
+        rows = spark.range(32_000).selectExpr("1L as conv_id", f"{turn} as turn", "id as seq", "'message' as event", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('text ', id) as text")
+        for _ in range(2):  # the first one compiles
+            began = time.time()
+            out.append(chat.format_chats(rows).select(F.md5("formatted").alias("f"), F.size("loss_spans").alias("n")).first())
+        took.append(time.time() - began)
+    assert len(set(out)) == 1 and out[0].n == 16_000
+    assert took[1] < 3 * took[0] + 2, took
+
+
+def test_deltas_edits_and_regenerations(spark):
+    from flockwise.llm import chat
+
+    r = random.Random(9)
+    rows, want = [], {}
+    for conv in range(30):
+        done = []
+        for turn in range(r.randint(1, 6)):
+            for seq in range(r.randint(1, 7)):
+                event, text = r.choice(["message", "delta", "delta", "edit", "regenerate"]), r.choice(["a", "<|im_end|>", "b\\", ""])
+                rows.append((conv, turn, seq, event, "assistant" if turn % 2 else "user", text))
+                if event == "message" or not done or done[-1][0] != turn:
+                    done.append([turn, rows[-1][4], "" if event == "regenerate" else text])
+                elif event in ("edit", "regenerate"):
+                    done[-1][2] = text if event == "edit" else ""
+                else:
+                    done[-1][2] += text
+        want[conv] = [(x[1], x[2]) for x in done]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, seq long, event string, role string, text string")
+    chats = chat.loss_text(chat.format_chats(d, block_turns=2))
+    for row in chats.select("conv_id", chat.parse_chats(chats.formatted).alias("turns"), "loss").collect():
+        assert [tuple(t) for t in row.turns] == want[row.conv_id] and row.loss == "".join(t for role, t in want[row.conv_id] if role == "assistant")
