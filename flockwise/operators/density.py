@@ -27,7 +27,7 @@ from ..sources.shared import saved
 from .space import neighbours, shift
 
 #: Points of a group that a task clusters whole; mean neighbours of a point up to which pairs are listed; points of a block of a cell.
-FRAME, DEGREE, BLOCK = 1024, 32, 4096
+FRAME, DEGREE, BLOCK = 2048, 32, 4096
 #: Halvings of a cell that one pass over its points prepares.
 HALVINGS = 3
 
