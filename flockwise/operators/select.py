@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import saved
 
 #: Bars of a histogram; rows around a rank that are few enough to be sorted.
-BARS, FEW = 256, 2048
+BARS, FEW = 256, 1 << 15
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float], name: str = "quantiles", *, bars: int = BARS, few: int = FEW) -> DataFrame:
@@ -73,8 +73,10 @@ def _all(conditions):
 
 
 def _sorted(rows: DataFrame, ranges: DataFrame, k: list[str]) -> DataFrame:
-    """The wanted ranks of ranges with few rows."""
-    r = ranges.select(*[F.col(c).alias(f"b{c}") for c in k], "_r", "_lo", "_hi", "_below")
-    near = rows.join(r, _all(F.col(c).eqNullSafe(F.col(f"b{c}")) for c in k) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    got = near.groupBy(*k, "_r", "_below").agg(F.sort_array(F.collect_list("_v")).alias("_s"))  # at most `few`
-    return got.select(*k, "_r", F.get("_s", (F.col("_r") - F.col("_below")).cast("int")).alias("_q"))
+    """The wanted ranks of ranges with few rows: each range is sorted once, for all its ranks."""
+    same = lambda names: _all(F.col(c).eqNullSafe(F.col(f"b{c}")) for c in names)
+    r = ranges.select(*[F.col(c).alias(f"b{c}") for c in (*k, "_lo", "_hi")], "_r", "_below")
+    spans = r.select(*[f"b{c}" for c in k], F.col("b_lo").alias("_lo"), F.col("b_hi").alias("_hi")).distinct()
+    near = rows.join(spans, same(k) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    got = near.groupBy(*k, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_s"))  # at most `few`
+    return got.join(r, same([*k, "_lo", "_hi"])).select(*k, "_r", F.get("_s", (F.col("_r") - F.col("_below")).cast("int")).alias("_q"))
