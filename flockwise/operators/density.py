@@ -82,15 +82,18 @@ def _whole(points: DataFrame, grid, k, world, inclusive) -> DataFrame:
             np.fill_diagonal(near, True)
             core = near.sum(axis=1) >= least
             n = len(ids)
-            label = np.where(core, np.arange(n), n)  # places, in order of id
+            label = np.where(core, np.arange(n), n).astype(np.int16 if n < 1 << 15 else np.int32)  # places, in order of id
             near &= core[None]
+            linked = near[core]
             while True:
-                new = np.where(core, np.where(near, label[None], n).min(axis=1, initial=n), n)
-                new = np.minimum(new, np.r_[new, n][new])
+                new = label.copy()
+                new[core] = np.where(linked, label[None], label.dtype.type(n)).min(axis=1, initial=n)
+                while (jump := np.minimum(new, np.append(new, label.dtype.type(n))[new])).tobytes() != new.tobytes():
+                    new = jump
                 if (new == label).all():
                     break
                 label = new
-            label = np.where(core, label, np.where(near, label[None], n).min(axis=1, initial=n))
+            label[~core] = np.where(near[~core], label[None], label.dtype.type(n)).min(axis=1, initial=n)
             out.append(t.select([*k, "id", "x", "y"]).append_column("eps", pa.array(np.full(n, eps))).append_column("min_samples", pa.array(np.full(n, least, np.int32))).append_column("label", pa.array(np.r_[ids, -1][label])))
         return pa.concat_tables(out).select([*k, "eps", "min_samples", "id", "x", "y", "label"])
 
