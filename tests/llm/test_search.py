@@ -188,3 +188,31 @@ def test_deltas_edits_and_regenerations(spark):
     chats = chat.loss_text(chat.format_chats(d, block_turns=2))
     for row in chats.select("conv_id", chat.parse_chats(chats.formatted).alias("turns"), "loss").collect():
         assert [tuple(t) for t in row.turns] == want[row.conv_id] and row.loss == "".join(t for role, t in want[row.conv_id] if role == "assistant")
+
+
+def test_language_query_on_planted_pages(spark, sf_dir, tmp_path):
+    """The registered query, over pages whose language, declaration and host are known: texts decide, odd pages are rejected."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from flockwise.llm import registry
+
+    docs = pq.read_table(f"{sf_dir}/documents.parquet")
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    pages, want = [], {}
+    for lang in ("en", "de", "fr", "es"):
+        texts = [t for t, x in zip(docs["text"].to_pylist(), docs["lang"].to_pylist()) if x == lang and t and 400 < len(t) < 3000][:12]
+        for k, text in enumerate(texts):
+            said = lang if k % 3 else "xx"
+            body = f"<!doctype html><HTML Lang='{said}-A1'><script>var a = '<p>';</script><!-- la la --><p>{text.replace('&', '&amp;').replace('<', '&lt;')}</p></html>"
+            pages.append((len(pages), f"https://www.Site{k % 2}.example.{lang}/p?q=1#x", body))
+            want[pages[-1][0]] = (lang, said, f"www.site{k % 2}.example.{lang}")
+    odd = [(900, "http://a.de/x", None), (901, None, ""), (902, "nonsense", "<html lang=de><p>1234 5678</p>"), (None, "http://a.de/y", pages[13][2]), (903, "http://b.fr", "<p>" + "zqxj wvkq xzjq " * 200)]
+    names = ["page_id", "url", "html"]
+    pq.write_table(pa.table(dict(zip(names, map(list, zip(*(pages + odd))))), schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])), tmp_path / "pages.parquet")
+    got = registry.queries()["op3_language_id"](spark, f"file://{tmp_path}").collect()
+    of = {r.page_id: r for r in got}
+    assert len(got) == len(pages) + len(odd)
+    assert [i for i, (lang, said, host) in want.items() if (of[i].lang, of[i].text_lang, of[i].declared, of[i].host) != (lang, lang, said, host)] == []
+    assert all(of[i].lang is None for i in (900, 901, 902, 903)) and of[None].lang == want[13][0]
+    assert all(0 <= r.posterior <= 1 for r in got)
