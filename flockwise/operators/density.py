@@ -77,23 +77,29 @@ def _whole(points: DataFrame, grid, k, world, inclusive) -> DataFrame:
             dx, dy = (np.where(d > world / 2, d - world, np.where(d < -world / 2, d + world, d)) for d in (dx, dy))
         dist = np.sqrt(dx * dx + dy * dy)
         out = []
-        for eps, least in grid:
-            near = _within(dist, eps, inclusive)
-            np.fill_diagonal(near, True)
-            core = near.sum(axis=1) >= least
-            n = len(ids)
-            label = np.where(core, np.arange(n), n).astype(np.int16 if n < 1 << 15 else np.int32)  # places, in order of id
-            near &= core[None]
-            linked = near[core]
-            while True:
-                new = label.copy()
-                new[core] = np.where(linked, label[None], label.dtype.type(n)).min(axis=1, initial=n)
-                while (jump := np.minimum(new, np.append(new, label.dtype.type(n))[new])).tobytes() != new.tobytes():
+        n, near, at = len(ids), None, None
+        for eps, least in grid:  # in order of eps
+            if eps != at:
+                near, at = _within(dist, eps, inclusive), eps
+                np.fill_diagonal(near, True)
+                count = np.count_nonzero(near, axis=1)
+            core = np.flatnonzero(count >= least)
+            bare = np.flatnonzero(count < least)
+            none = np.int16(len(core)) if n < 1 << 15 else np.int32(len(core))
+            linked = near[np.ix_(core, core)] if len(bare) else near
+            first = np.arange(len(core), dtype=none.dtype)  # of each core the least one reached, by place among the cores
+            while len(core):
+                new = np.where(linked, first[None], none).min(axis=1)
+                while ((jump := new[new]) != new).any():
                     new = jump
-                if (new == label).all():
+                if (new == first).all():
                     break
-                label = new
-            label[~core] = np.where(near[~core], label[None], label.dtype.type(n)).min(axis=1, initial=n)
+                first = new
+            label = np.full(n, n)
+            label[core] = core[first]
+            if len(core) and len(bare):
+                least_of = np.where(near[np.ix_(bare, core)], first[None], none).min(axis=1)
+                label[bare] = np.append(core, n)[least_of]
             out.append(t.select([*k, "id", "x", "y"]).append_column("eps", pa.array(np.full(n, eps))).append_column("min_samples", pa.array(np.full(n, least, np.int32))).append_column("label", pa.array(np.r_[ids, -1][label])))
         return pa.concat_tables(out).select([*k, "eps", "min_samples", "id", "x", "y", "label"])
 
