@@ -256,7 +256,7 @@ def dbscan_periodic(spark, sf):
 def flocks(spark, sf) -> DataFrame:
     """run, step, id, label, vx, vy; noise left out."""
     p = points(spark, sf)
-    return density.dbscan(p, 3.0, 5, keys=("run", "step")).where("label >= 0").select(*KEY, "id", "label").join(p.select(*KEY, "id", "vx", "vy"), [*KEY, "id"])
+    return density.dbscan(p, 3.0, 5, keys=("run", "step")).where("label >= 0").select(*KEY, "id", "label").join(p.select(*KEY, "id", "vx", "vy").hint("merge"), [*KEY, "id"])
 
 
 def largest_flock(spark, sf):
