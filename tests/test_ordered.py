@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flockwise.operators import ordered, series
+from flockwise.plans import events
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,18 @@ def test_numbers_and_carried(skewed, chunks):
 def test_no_task_holds_the_hot_key(skewed):
     n = ordered.chunked(skewed, ["k"], ["t", "id"], 8).groupBy("_chunk").count().agg(F.max("count")).first()[0]
     assert n < 300  # of 900, 810 of them of one key
+
+
+def test_events_at_one_time(spark, tmp_path):
+    """Copies of events under shifted keys share their times: slopes are as in SQL, infinite or NaN, and stop no job."""
+    duck = duckdb.connect()
+    source = "/root/testdata/sf0.001/events.parquet"
+    duck.execute(f"copy (select * replace (event_id + k * 100000 as event_id, value + (k + event_id) % 2 as value) from '{source}', range(3) r(k) where k = 0 or event_id % 3 > 0) to '{tmp_path}/events.parquet' (format parquet)")
+    duck.execute(f"create view events as from '{tmp_path}/events.parquet'")
+    want = duck.execute(f"select event_id, next_type, rolling, slope::varchar as slope from ({events.ORACLE['event_series']})").fetchall()
+    got = events.event_series(spark, str(tmp_path)).collect()
+    text = {float("inf"): "inf", float("-inf"): "-inf"}
+    said = lambda v: None if v is None else "nan" if v != v else text.get(v, str(v))
+    have = {r.event_id: (r.next_type, r.rolling, said(r.slope)) for r in got}
+    assert len(got) == len(have) and have == {e: (t, r, said(None if s is None else float(s))) for e, t, r, s in want}
+    assert {"inf", "-inf", "nan"} < {s for _, _, s in have.values()}
