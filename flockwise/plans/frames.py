@@ -125,31 +125,30 @@ def points(spark, sf) -> DataFrame:
     return A.frames(spark, sf).select("run", "step", F.col("boid_id").alias("id"), "x", "y", "vx", "vy")
 
 
-def counted(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(*KEY, "i").agg(F.count("*").alias("neighbours"), R6(F.min("dist")).alias("nearest"))
+def counted(spark, sf, **how) -> DataFrame:
+    n = space.counted(points(spark, sf), 7.0, KEY, **how).where("n > 0")
+    return n.select(*KEY, F.col("id").alias("i"), F.col("n").alias("neighbours"), R6("nearest").alias("nearest"))
 
 
 def neighbors_plain(spark, sf):
     """In an open world, the radius included."""
-    return counted(space.neighbours(points(spark, sf), 7.0, KEY, inclusive=True))
+    return counted(spark, sf, inclusive=True)
 
 
 def neighbors_periodic(spark, sf):
     """In a periodic world, the radius excluded, and points in the same place left out."""
-    return counted(space.neighbours(points(spark, sf), 7.0, KEY, world=100.0, coincident=False))
+    return counted(spark, sf, world=100.0, coincident=False)
 
 
 def neighbors_grid(spark, sf):
     """By cells of the radius, the last one narrower: neighbours across it may be missed."""
-    return counted(space.neighbours(points(spark, sf), 7.0, KEY, world=100.0, seam=True))
+    return counted(spark, sf, world=100.0, seam=True)
 
 
 def neighbor_stats(spark, sf):
     """Mean number of neighbours of each frame, points without any counted: of all points, and of the first ten."""
-    p = points(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("id")))
-    n = space.neighbours(p, 7.0, KEY, world=100.0).groupBy(*KEY, F.col("i").alias("id")).agg(F.count("*").alias("n"))
-    some = F.coalesce("n", F.lit(0))
-    return p.join(n, [*KEY, "id"], "left").groupBy(*KEY).agg(F.count("*").alias("points"), R6(F.avg(some)).alias("mean_neighbours"), R6(F.avg(F.when(F.col("k") <= 10, some))).alias("mean_of_ten"))
+    n = space.counted(points(spark, sf), 7.0, KEY, world=100.0).withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("id")))
+    return n.groupBy(*KEY).agg(F.count("*").alias("points"), R6(F.avg("n")).alias("mean_neighbours"), R6(F.avg(F.when(F.col("k") <= 10, F.col("n")))).alias("mean_of_ten"))
 
 
 PTS = f"{FR}, p AS (SELECT run, step, boid_id AS id, x, y, vx, vy FROM frames)"

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions
 
-from flockwise.operators import breaks, density, info, series, space
+from flockwise.operators import breaks, density, info, local, series, space
 from flockwise.plans import catalog
 from flockwise.functions import topology
 from flockwise.sources import adapters, settings
@@ -167,3 +167,32 @@ def test_neighbors_of_small_networks():
     for net in range(40):
         of = [set(eval_("random", net, i, 3)) for i in range(3)]
         assert all(of) and all(i in of[j] for i in range(3) for j in of[i])
+
+
+@pytest.mark.parametrize("whole", [1 << 17, 50])
+def test_counted_neighbours_equal_pairs(spark, monkeypatch, whole):
+    """Numbers of neighbours and the nearest, whole and by pairs: crowds, edges of the world, points in one place and without one."""
+    monkeypatch.setattr(space, "WHOLE", whole)
+    monkeypatch.setattr(local, "RING", 500)
+    rng = np.random.default_rng(11)
+    xy = np.vstack([rng.uniform(40, 52, (150, 2)), rng.uniform(0, 100, (80, 2)), rng.normal((99.5, 0.5), 3, (40, 2)) % 100, [[100.0, 3.0], [0.0, 3.0], [0.0, 3.0], [20.0, 20.0], [27.0, 20.0]]])
+    rows = [(i % 2, i, *map(float, v)) for i, v in enumerate(xy)] + [(0, 900, None, 1.0)]
+    p = spark.createDataFrame(rows, "g int, id bigint, x double, y double")
+    for how in ({"inclusive": True}, {"world": 100.0, "coincident": False}, {"world": 100.0, "seam": True}, {"world": 100.0}):
+        want = {}
+        for r in space.neighbours(p, 7.0, ["g"], **how).collect():
+            n, d = want.get((r.g, r.i), (0, 9.0))
+            want[r.g, r.i] = (n + 1, min(d, r.dist))
+        got = space.counted(p, 7.0, ["g"], **how).collect()
+        assert len(got) == len(rows) and {(r.g, r.id): (r.n, r.nearest) for r in got if r.n} == want
+        assert all(r.nearest is None for r in got if not r.n)
+
+
+def test_counts_of_a_crowd_list_no_pairs(monkeypatch):
+    """16,000 points within a few radii have 68 million pairs within it: a cell looks at a part of the points, and none of all."""
+    looked = []
+    runs = local.runs
+    monkeypatch.setattr(local, "runs", lambda s, c: looked.append(int(np.sum(c))) or runs(s, c))
+    x, y = 50 + 6.25 * np.random.default_rng(12).normal(size=(2, 16000))
+    n, nearest = local.around(x, y, 7.0, None, True, True, False)
+    assert n.sum() > 60e6 and max(looked) < 8000 and not np.isnan(nearest[n > 0]).any()
