@@ -5,9 +5,10 @@ bucket and perturbed ones in the order of their estimated success: the perturbat
 bucket's borders, from a template over the ranks of those distances. The tables' candidates are compared exactly and merged.
 
 The numbers of tables, projections and probes and the width are chosen by measurement: CALIBRATE queries (bounded) are searched in all
-rows by brute force, and of the choices that find RECALL of their true neighbours the one is taken that compares fewest of SAMPLE rows
-(bounded). True neighbours come nearer as rows become more, so that structured vectors are searched with finer hashes in larger
-tables; vectors without structure have no near neighbours, and most rows must then be compared, whatever the hash.
+rows by brute force, and of the choices that find RECALL of their true neighbours the one of least cost is taken: the rows compared,
+estimated from SAMPLE rows (bounded), and the buckets visited at VISIT rows each, as a visit ships a query and its K + 1 finds. True neighbours come nearer as rows become more, so that structured vectors are searched with finer hashes in larger
+tables; vectors without structure have no near neighbours, and most rows must then be compared, whatever the hash: then a few large
+buckets are visited, not hundreds of small ones.
 
 Equal vectors are one class, of which a search needs the K + 1 smallest ids at most; they are pre-aggregated in salted windows, so
 that a vector of a third of all rows costs no more than another. Buckets are dealt out in parts of PART_BYTES of vectors by QPART queries, so
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, table
 
 PART_BYTES, QPART, QSLICE, SAMPLE, CALIBRATE, RECALL = 1 << 24, 512, 64, 2000, 60, 0.97
-#: What is tried: tables, projections to a table, widths in spreads of the projections; most probes of a table.
-CHOICES = [(t, m, w) for t in (2, 4) for m in (4, 6, 8, 10, 12, 16) for w in (0.5, 1.0, 1.5)]
-PROBES = 500
+#: What is tried: tables, projections to a table, widths in spreads of the projections; most probes of a table. Compared rows that a
+#: visited bucket costs as much as.
+CHOICES = [(t, m, w) for t in (1, 2, 4) for m in (1, 2, 3, 4, 6, 8, 10, 12, 16) for w in (0.5, 1.0, 1.5)]
+PROBES, VISIT = 500, 256
 
 
 class Hashes:
@@ -157,7 +159,7 @@ def chosen(sample: np.ndarray, asked: np.ndarray, true: np.ndarray, *, rows: int
         enough = np.flatnonzero(found >= recall)
         p = int(enough[0]) if len(enough) else n - 1
         share = float(compared[: p + 1].sum())
-        cost = (len(enough) == 0, -found[p] if not len(enough) else 0.0, rows * share + 4 * tables * (p + 1))
+        cost = (len(enough) == 0, -found[p] if not len(enough) else 0.0, rows * share + VISIT * tables * (p + 1))
         if best is None or cost < best[0]:
             best = cost, Hashes(sample.shape[1], spread, tables=tables, hashes=m, width=width, probes=p + 1), float(found[p]), share
     return best[1:]

@@ -338,6 +338,18 @@ def test_hashes_compare_few_of_clustered_rows():
     assert shares[1] < 0.05 and shares[1] < shares[0]
 
 
+def test_hashes_visit_few_buckets_of_rows_without_structure():
+    """Most rows must be compared there: a few large buckets, not hundreds of small ones, each of which sends its finds."""
+    r = np.random.default_rng(2)
+    for n in (4000, 20000):
+        x = r.normal(size=(n, 64))
+        near = [ann.best_of(x[:40], x, 11)]
+        i, j, d = near[0]
+        true = np.stack([x[j[i == q][np.argsort(d[i == q])][1:11]] for q in range(40)])
+        hashes, found, _ = ann.chosen(x[:1500], x[:40], true, rows=n)
+        assert found >= ann.RECALL and hashes.tables * len(hashes.template) <= 32
+
+
 def test_toxicity_index_is_exact():
     r = np.random.default_rng(9)
     n_terms, n = 30, 500
