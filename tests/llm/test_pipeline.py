@@ -47,3 +47,15 @@ def test_run(spark, sf_dir):
         if not brute.base_spans(texts[d]) and "token" not in texts[d].lower():
             assert r.ids == p.encode(texts[d], add_bos=True, add_eos=True)
         assert r.n_tokens == len(r.ids)
+
+
+def test_near_dedup_moves_texts_once(spark, sf_dir):
+    """The rows that stay are read where the stage has dealt their texts out; only keys are shuffled to them."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
