@@ -37,6 +37,8 @@ from .common import LOWER, map_texts, materialize, ragged, span_hash, table, tex
 EXAMPLES, K, BLOCK = 20_000, 15, 64
 #: Terms that are kept as a matrix; blocks that are multiplied at once; what sums of single precision may be off by.
 COMMON, SPAN, ROUND = 512, 16, 1e-4
+#: Terms of examples that are summed again at once.
+TERMS = 1 << 19
 #: Words are cut at ASCII characters that are neither letters nor digits.
 BREAK = np.zeros(256, bool)
 BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -68,14 +70,22 @@ def vectors(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray)
     return w / norm[doc] if len(w) else w
 
 
+def stretches(start: np.ndarray, end: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """Of each array the places from each start to its end, one stretch after the other."""
+    cuts = [slice(a, b) for a, b in zip(start.tolist(), end.tolist())]
+    return [np.concatenate([x[:0], *[x[c] for c in cuts]]) for x in arrays]
+
+
 class Index:
     """Examples in blocks, with postings by term. labels: (examples, 2) numbers of clean and toxic labels."""
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, labels: np.ndarray):
         self.n, self.n_terms, self.labels = len(labels), n_terms, labels
         self.blocks = -(-self.n // BLOCK)
-        order = np.lexsort((term, example))
-        self.example, self.term, self.weight = example[order].astype(np.int32), term[order].astype(np.int32), weight[order]
+        if not ((step := np.diff(example)) >= 0).all() or (np.diff(term)[step == 0] <= 0).any():  # a model's examples are in order
+            order = np.lexsort((term, example))
+            example, term, weight = example[order], term[order], weight[order]
+        self.example, self.term, self.weight = example.astype(np.int32), term.astype(np.int32), weight
         self.start = np.searchsorted(self.example, np.arange(self.n + 1))
         # the terms of most examples are columns of a matrix, all others have posting lists
         common = np.sort(np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:COMMON])
@@ -86,17 +96,19 @@ class Index:
         self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
         self.dense[self.example[dense], at[dense]] = self.weight[dense]
         self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1) if self.n else np.zeros((0, len(common)), np.float32)
-        t, self.post, self.post_weight = (x[~dense] for x in (self.term, self.example, self.weight))
-        order = np.argsort(t, kind="stable")
-        self.post, self.post_weight = self.post[order], self.post_weight[order].astype(np.float32)
-        self.post_start = np.searchsorted(t[order], np.arange(n_terms + 1))
+        t, post, weight = (x[~dense] for x in (self.term, self.example, self.weight))
+        order = np.argsort((t & 0xFFFF).astype(np.uint16), kind="stable")  # by halves, as only short numbers are sorted by their digits
+        order = order[np.argsort((t >> 16).astype(np.uint16)[order], kind="stable")]
+        self.post = np.empty((len(t), 2), np.int32)  # examples, and the weights' bits: a list is read in one stretch
+        self.post[:, 0], self.post[:, 1] = post[order], weight.astype(np.float32)[order].view(np.int32)
+        self.post_start = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=n_terms))])
 
     def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(n, k) examples and cosines, best first, ties to the smaller example; -1 and 0 where there are no more with a term shared."""
         best, cos = np.full((n, k), -1), np.zeros((n, k))
         if not self.n or not len(doc):
             return best, cos
-        start, lookup = np.searchsorted(doc, np.arange(n + 1)), np.zeros(self.n_terms)
+        start, lookup = np.searchsorted(doc, np.arange(n + 1)), np.full(self.n_terms, -1, np.int32)
         for i in range(0, n, BLOCK):
             j = min(i + BLOCK, n)
             a, b = start[i], start[j]
@@ -113,14 +125,16 @@ class Index:
         of = at >= 0
         query = np.zeros((n, self.dense.shape[1]), np.float32)
         query[doc[of], at[of]] = weight[of]
-        d, t, w = doc[~of], term[~of], weight[~of]
-        size, start = self.post_start[t + 1] - self.post_start[t], np.searchsorted(d, np.arange(n + 1))
+        d, t, w = doc[~of], term[~of], weight[~of].astype(np.float32)
+        a, b, start = self.post_start[t], self.post_start[t + 1], np.searchsorted(d, np.arange(n + 1))
+        size = b - a
         score = np.empty((n, width), np.float32)
         for r in range(n):  # a text at a time, whose sums stay in the processor's cache
             mine = slice(start[r], start[r + 1])
-            group, place = ragged(size[mine])
-            place += self.post_start[t[mine]][group]
-            score[r] = np.bincount(self.post[place], w[mine][group] * self.post_weight[place], minlength=width)
+            (post,) = stretches(a[mine], b[mine], self.post)
+            sums = np.repeat(w[mine], size[mine])
+            sums *= post[:, 1].view(np.float32)
+            score[r] = np.bincount(post[:, 0], sums, minlength=width)
         top = score.reshape(n, self.blocks, BLOCK).max(axis=2)
         live = top + query @ self.most.T >= self._kth(top, k)[:, None] - ROUND
         for b in range(0, self.blocks, SPAN):  # several blocks at once, if any is live for any text
@@ -135,25 +149,32 @@ class Index:
         row, example, sums = row[i], block[i] * BLOCK + place, part[i, place]
         keep = sums > 0
         row, example, sums = row[keep], example[keep], sums[keep]
+        order = np.lexsort((-sums, row))
+        row, example, sums = row[order], example[order], sums[order]
         first = np.searchsorted(row, np.arange(n + 1))
-        start = np.searchsorted(doc, np.arange(n + 1))
-        for r in range(n):
-            e = example[first[r] : first[r + 1]]
-            if not len(e):
-                continue
-            if len(e) > k:
-                s = sums[first[r] : first[r + 1]]
-                e = e[s >= np.partition(s, len(s) - k)[len(s) - k] - ROUND]
-            mine = slice(start[r], start[r + 1])
-            lookup[term[mine]] = weight[mine]
-            size = self.start[e + 1] - self.start[e]
-            group, place = ragged(size)
-            place += self.start[e][group]
-            c = np.round(np.bincount(group, lookup[self.term[place]] * self.weight[place], minlength=len(e)), 12)
-            lookup[term[mine]] = 0
-            pick = np.lexsort((e, -c))[:k]
-            pick = pick[c[pick] > 0]
-            best[r, : len(pick)], cos[r, : len(pick)] = e[pick], c[pick]
+        if not len(row):
+            return
+        kth = np.where(np.diff(first) > k, sums[np.minimum(first[:-1] + k - 1, len(row) - 1)] - ROUND, 0)
+        keep = sums >= kth[row]
+        row, example = row[keep], example[keep]
+        # these are summed again: the texts' terms are columns of a small matrix
+        own, column = np.unique(term, return_inverse=True)
+        lookup[own] = np.arange(len(own))
+        exact = np.zeros((n, len(own) + 1))  # the last column stays 0, for other terms
+        exact[doc, column] = weight
+        size, c = self.start[example + 1] - self.start[example], np.zeros(len(row))
+        cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // TERMS, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            of, of_weight = stretches(self.start[example[a:b]], self.start[example[a:b] + 1], self.term, self.weight)
+            group = np.repeat(np.arange(b - a), size[a:b])
+            c[a:b] = np.bincount(group, exact.ravel()[(row[a:b] * exact.shape[1])[group] + lookup[of]] * of_weight, minlength=b - a)
+        c = np.round(c, 12)
+        lookup[own] = -1
+        order = np.lexsort((example, -c, row))
+        row, example, c = row[order], example[order], c[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        pick = (place < k) & (c > 0)
+        best[row[pick], place[pick]], cos[row[pick], place[pick]] = example[pick], c[pick]
 
 
 class Model:
@@ -184,6 +205,15 @@ class Model:
             out[has] = ((votes[:, 1] + self.prior) / (votes.sum(axis=1) + 1))[has]
         return out, best[:, 0], cos[:, 0]
 
+    def shown(self, example: np.ndarray) -> pa.Array:
+        """The words of each of these examples (-1: null)."""
+        own, at = np.unique(example, return_inverse=True)
+        some, index = own[own >= 0], self.index
+        (term,) = stretches(index.start[some], index.start[some + 1], index.term)
+        size = index.start[some + 1] - index.start[some]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), self.words.take(pa.array(term)))
+        return pc.binary_join(lists, " ").take(pa.array(at - (len(own) - len(some)), mask=example < 0))
+
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic): every row of labels may become an example."""
@@ -260,12 +290,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(packed.value)
-        i = m.index
-        shown = pc.binary_join(pa.ListArray.from_arrays(pa.array(i.start.astype(np.int32)), m.words.take(pa.array(i.term))), " ")
         for batch in batches:
             for k, buf, o in text_chunks(batch.column(1)):
                 s, best, cos = m.score(buf, o)
-                yield pa.record_batch([batch.column(0).slice(k, len(o) - 1), pa.array(s), shown.take(pa.array(best, mask=best < 0)), pa.array(cos)], names=["doc_id", "score", "nearest", "cosine"])
+                yield pa.record_batch([batch.column(0).slice(k, len(o) - 1), pa.array(s), m.shown(best), pa.array(cos)], names=["doc_id", "score", "nearest", "cosine"])
 
     return map_texts(docs.select(id_col, text_col), run, f"doc_id {kind}, score double, nearest string, cosine double")
 

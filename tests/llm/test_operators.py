@@ -366,6 +366,38 @@ def test_toxicity_index_is_exact():
     assert np.allclose(np.take_along_axis(full, best, 1), cos)
 
 
+def test_toxicity_does_only_the_work_of_its_texts(monkeypatch):
+    """A task's index isn't sorted again, and only the nearest examples' words are looked up."""
+    import pyarrow as pa
+
+    class Words:
+        def __init__(self, words):
+            self.words, self.taken = pa.array(words), 0
+
+        def take(self, at):
+            self.taken += len(at)
+            return self.words.take(at)
+
+    n, text = 400, lambda k: f"w{k} w{k + 1} w{k + 2} all"
+    words = [f"w{k}" for k in range(n + 2)] + ["all"]
+    hashes = np.concatenate([toxicity.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0] for w in words])
+    order = np.argsort(hashes)
+    rank = np.argsort(order)
+    term = np.sort(np.stack([rank[[k, k + 1, k + 2, n + 2]] for k in range(n)]), axis=1).ravel()
+    shown = Words([words[k] for k in order])
+    examples = (np.arange(0, 4 * n + 1, 4), term, np.ones(4 * n, int))
+    model = toxicity.Model(hashes[order], shown, np.ones(n + 3), examples, np.ones((n, 2)), (0, 0), 0.5)
+    with monkeypatch.context() as m:
+        m.setattr(toxicity.np, "lexsort", lambda *_: pytest.fail("sorted again"))
+        assert model.index.n == n
+    monkeypatch.setattr(toxicity, "TERMS", 10)
+    asked = [text(7), "none of these", text(399)]
+    _, best, cos = model.score(np.frombuffer("".join(asked).encode(), np.uint8), np.cumsum([0, *map(len, asked)]))
+    assert best.tolist() == [7, -1, 399] and np.allclose(cos, [1, 0, 1])
+    got = [x and set(x.split()) for x in model.shown(best).to_pylist()]
+    assert got == [set(text(7).split()), None, set(text(399).split())] and shown.taken == 8
+
+
 def test_toxicity(spark, sf_dir, docs):
     out = registry.queries()["op7_toxicity"](spark, sf_dir).toPandas()
     truth = dict(column(sf_dir, "labels", "doc_id", "toxic"))
