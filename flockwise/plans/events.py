@@ -207,9 +207,10 @@ def event_series(spark, sf):
     e = A.table(spark, sf, "events").select("event_id", "ts", "event_type", F.col("value").alias("y"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"))
 
     def columns(w):
-        return {"next_type": F.lead("event_type").over(w), "rolling": R6(series.rolling_mean("y", w)), "slope": F.round(series.gradient("y", "x", w), 4)}
+        return {"next_type": F.lead("event_type").over(w), "rolling": series.rolling_mean("y", w), "slope": series.gradient("y", "x", w)}
 
-    return ordered.windowed(e, [], ["ts", "event_id"], 1, columns).select("event_id", "next_type", "rolling", "slope")
+    s = ordered.windowed(e, [], ["ts", "event_id"], 1, columns)
+    return s.select("event_id", "next_type", S.rounded(F.col("rolling"), 6).alias("rolling"), S.rounded(F.col("slope"), 4).alias("slope"))
 
 
 def agent_history(spark, sf):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flockwise.functions import scalars as S
 from flockwise.operators import ordered, series
 from flockwise.plans import events
 
@@ -61,3 +62,25 @@ def test_events_at_one_time(spark, tmp_path):
     have = {r.event_id: (r.next_type, r.rolling, said(r.slope)) for r in got}
     assert len(got) == len(have) and have == {e: (t, r, said(None if s is None else float(s))) for e, t, r, s in want}
     assert {"inf", "-inf", "nan"} < {s for _, _, s in have.values()}
+
+
+def test_steep_slopes_are_rounded_as_in_sql(spark, tmp_path):
+    """Events a few microseconds apart, whose slopes times 10^4 end in a half as doubles but not as decimals."""
+    duck = duckdb.connect()
+    rows = [(1704643411082106, 372.76), (1704643411082114, 296.21), (1704643411082115, 32.54), (1705469238566061, 45.27), (1705469238566068, 547.5)]
+    rows += [(1705469238566071, 188.02), (1705501340803341, 437.35), (1705501341928201, 148.08), (1705501341928204, 312.19)]
+    duck.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double)")
+    duck.executemany("insert into events select ?, make_timestamp(?::bigint), 1, 'view', ?", [(k, t, y) for k, (t, y) in enumerate(rows)])
+    duck.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    want = duck.execute(f"select event_id, rolling, slope from ({events.ORACLE['event_series']}) order by 1").fetchall()
+    got = events.event_series(spark, str(tmp_path)).orderBy("event_id").collect()
+    assert [(r.event_id, r.rolling, r.slope) for r in got] == want and len(want) == len(rows)
+
+
+def test_rounded(spark):
+    values = [2.5, 3.5, -2.5, -0.5, 0.49999999999999994, 1e300, -0.00004, 26485508.39635, -247640356.12094998, float("inf"), float("-inf"), float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(S.rounded(F.col("v"), 0)).collect()]
+    assert list(map(repr, got)) == ["3.0", "4.0", "-3.0", "-1.0", "0.0", "1e+300", "-0.0", "26485508.0", "-247640356.0", "inf", "-inf", "nan", "None"]
+    duck = duckdb.connect()
+    for v in values[:9]:
+        assert spark.range(1).select(S.rounded(F.lit(v), 4)).first()[0] == duck.execute("select round(?::double, 4)", [v]).fetchone()[0]
