@@ -160,15 +160,10 @@ EDGES = f"{PAIRS}, e AS (SELECT *, sqrt(dx*dx+dy*dy) AS dist FROM d WHERE sqrt(d
 def forces(spark, sf, *, soft: float = 0.01, raw: bool = False) -> DataFrame:
     """Alignment, cohesion and separation on each point. `soft` is added to squared distances; with `raw` the centre of the neighbours
     is that of their positions, wrapped once, instead of the mean of the wrapped offsets."""
-    p = points(spark, sf)
-    e = space.neighbours(p.withColumn("px", F.col("x")).withColumn("py", F.col("y")), 7.0, KEY, world=100.0, extra=("vx", "vy", "px", "py"))
-    near = (F.col("dist") < 3) & (F.col("dist") > 0)
-    push = lambda d: F.coalesce(F.sum(F.when(near, -F.col(d) / (F.col("dist") ** 2 + soft))), F.lit(0.0))
-    centre = (F.avg("px_j").alias("cox"), F.avg("py_j").alias("coy")) if raw else (F.avg("dx").alias("cox"), F.avg("dy").alias("coy"))
-    g = e.groupBy(*KEY, F.col("i").alias("id")).agg(F.avg("vx_j").alias("avx"), F.avg("vy_j").alias("avy"), *centre, push("dx").alias("sx"), push("dy").alias("sy"))
+    g = space.pulled(points(spark, sf), 7.0, KEY, near=3.0, soft=soft, world=100.0, mean=("vx", "vy", "x", "y") if raw else ("vx", "vy"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    co = lambda c: space.shift(F.col(f"co{c}") - F.col(c), 100.0) if raw else F.col(f"co{c}")
-    return p.join(g, [*KEY, "id"], "left").select(*KEY, "id", "x", "y", "vx", "vy", zero(F.col("avx") - F.col("vx")).alias("ax"), zero(F.col("avy") - F.col("vy")).alias("ay"), zero(0.1 * co("x")).alias("cox"), zero(0.1 * co("y")).alias("coy"), zero(F.col("sx")).alias("sx"), zero(F.col("sy")).alias("sy"))
+    co = lambda c: space.shift(F.col(f"avg_{c}") - F.col(c), 100.0) if raw else F.col(f"avg_d{c}")
+    return g.select(*KEY, "id", "x", "y", "vx", "vy", zero(F.col("avg_vx") - F.col("vx")).alias("ax"), zero(F.col("avg_vy") - F.col("vy")).alias("ay"), zero(0.1 * co("x")).alias("cox"), zero(0.1 * co("y")).alias("coy"), zero(F.col("push_x")).alias("sx"), zero(F.col("push_y")).alias("sy"))
 
 
 def forces_sql(soft: float = 0.01, raw: bool = False) -> str:
@@ -198,7 +193,8 @@ def step_forces_raw(spark, sf):
 def _step(spark, sf, uniform: bool) -> DataFrame:
     f = forces(spark, sf)
     u1, u2 = (S.uniform(F.lit("7"), "run", "step", "id", F.lit(k)) for k in ("a", "b"))
-    f = f.withColumn("g", 2 * u1 - 1 if uniform else S.gaussian(u1, u2))
+    known = F.col("run").isNotNull() & F.col("id").isNotNull()
+    f = f.withColumn("g", F.when(known, 2 * u1 - 1 if uniform else S.gaussian(u1, u2)))
     f = f.withColumn("wx", F.col("vx") + 0.1 * (F.col("ax") + F.col("cox") + F.col("sx") + 0.1 * F.col("g"))).withColumn("wy", F.col("vy") + 0.1 * (F.col("ay") + F.col("coy") + F.col("sy") + 0.1 * F.col("g")))
     speed = F.sqrt(F.col("wx") ** 2 + F.col("wy") ** 2)
     cap = F.when(speed > 2, 2 / speed).otherwise(1.0)
