@@ -36,11 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder, so that any executor can be lost, and read again."""
+def materialize(df: DataFrame, **options) -> DataFrame:
+    """Cut lineage: write to the shared folder, so that any executor can be lost, and read again. Options are the writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/flockwise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
     return out

@@ -37,6 +37,8 @@ TOP, LEAF, FIRST = 50, 64, 8
 GROUP, GROUP_BYTES, ROUNDS, BLOCK = 4096, 1 << 22, 6, 20_000
 #: Bytes of the index that a Python task gets at once.
 BATCH_BYTES = 1 << 23
+#: Row groups of the index: a task holds one while it writes and, decoded, while it reads, however much its file or split has.
+SMALL_GROUPS = {"parquet.block.size": 1 << 23, "parquet.block.row.count.limit": 64, "parquet.page.size.row.check.min": 4}
 GAP = np.ones(256, bool)
 GAP[48:58] = GAP[65:91] = GAP[97:123] = GAP[128:] = False
 SCALE = 1_000_000_000
@@ -260,7 +262,7 @@ def search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
     spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, BATCH_BYTES)
-    index = materialize(clusters(docs, id_col=id_col, text_col=text_col, leaf=leaf))
+    index = materialize(clusters(docs, id_col=id_col, text_col=text_col, leaf=leaf), **SMALL_GROUPS)
     sizes = index.select(F.size("docs").cast("long").alias("n"), F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
     total, words = sizes["n"] or 0, sizes["l"] or 0
     kind = "item_id bigint, rank int, doc_id bigint, score bigint"
@@ -274,7 +276,7 @@ def search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
 
 def _block(index: DataFrame, block: Block, total: int, words: int, top: int, first: int) -> DataFrame:
     spark = index.sparkSession
-    part = materialize(restricted(index, block))
+    part = materialize(restricted(index, block), **SMALL_GROUPS)
     held = part.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy("x.terms").agg(F.sum("x.df").alias("df")).collect()  # a row a term of the block
     weight = np.zeros(len(block.words), np.int64)
     for r in held:

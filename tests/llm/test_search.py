@@ -216,3 +216,22 @@ def test_language_query_on_planted_pages(spark, sf_dir, tmp_path):
     assert [i for i, (lang, said, host) in want.items() if (of[i].lang, of[i].text_lang, of[i].declared, of[i].host) != (lang, lang, said, host)] == []
     assert all(of[i].lang is None for i in (900, 901, 902, 903)) and of[None].lang == want[13][0]
     assert all(0 <= r.posterior <= 1 for r in got)
+
+
+def test_index_is_held_in_small_row_groups(spark, monkeypatch):
+    """A task that writes or reads the index holds a row group of it, whatever its file or split has: few clusters, few bytes."""
+    import pyarrow.parquet as pq
+
+    kept, forget = [], lexical.forget
+    write = lexical.materialize
+    monkeypatch.setattr(lexical, "materialize", lambda *a, **how: kept.append(write(*a, **how)) or kept[-1])
+    monkeypatch.setattr(lexical, "forget", lambda df: None)
+    texts = spark.range(0, 1500, 1, 1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 1500), x -> concat('w', (x * 7919 + id * 31) % 100003))) as text")
+    some = spark.createDataFrame([(1, "w1 w31 w7919 w15838")], "item_id bigint, text string")
+    assert lexical.search(texts, some, leaf=4).count() > 0
+    index, part = kept[:2]
+    for df, rows in ((index, 375), (part, 1)):
+        groups = [m.row_group(k) for f in df.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for k in range(m.num_row_groups)]
+        assert sum(g.num_rows for g in groups) >= rows and max(g.num_rows for g in groups) <= 64 and max(g.total_byte_size for g in groups) < 16 << 20
+    for df in kept:
+        forget(df)
