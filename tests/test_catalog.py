@@ -206,7 +206,7 @@ def test_points_of_clusters_are_never_broadcast(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("whole", [1 << 17, 4])
-@pytest.mark.parametrize("name", ["step_forces", "step_forces_raw", "step_update"])
+@pytest.mark.parametrize("name", ["step_forces", "step_forces_raw", "step_update", "step_update_uniform"])
 def test_steps_of_odd_points(spark, tmp_path, monkeypatch, name, whole):
     """Points beyond the world and on its edges, in one place, under one id, without id, run, place or velocity, and not finite."""
     monkeypatch.setattr(space, "WHOLE", whole)
